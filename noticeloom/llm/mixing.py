@@ -9,8 +9,8 @@ is convex with one multiplier per source, and its solution tilts the rates expon
 Newton iterations on the multipliers run over the histogram (source, size, documents), which is
 all the dual needs; they are joins and aggregates over that table, with nothing gathered on the
 driver but the largest relative error. Rates become copies per size class: cumulated copies are
-rounded along the sizes, so a source misses its target by little more than its largest document,
-and no document is taken more than twice.
+rounded along the sizes, which misses the target by little more than the largest document, and
+what is amiss is made up among the smallest ones. No document is taken more than twice.
 
 Defined results: a null text has size 0; null sources come last and form one source; documents
 of size 0 take 0 words; an empty table gives an empty result. Repeated rows are documents of their
@@ -106,6 +106,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float =
     upto = by_size.rowsBetween(W.unboundedPreceding, 0)
     cum = F.floor(F.sum(F.col("docs") * F.col("rate")).over(upto) + F.lit(0.5 - 1e-9))
     classes = rates.withColumn("cum", cum).withColumn("n", F.greatest(F.col("cum") - F.coalesce(F.lag("cum").over(by_size), F.lit(0)), F.lit(0)))
+    # what a source still lacks or has too much, less than its largest document, is made up among its smallest ones
+    whole = W.partitionBy("source")
+    classes = classes.join(F.broadcast(targets) if targets_small(targets) else targets, rates["source"].eqNullSafe(targets["source"])).select(rates["source"], "size", "docs", "rate", "n", "target")
+    classes = classes.withColumn("gap", F.col("target") - F.sum(F.col("n") * F.col("size")).over(whole))
+    below = W.partitionBy("source").orderBy("size").rowsBetween(W.unboundedPreceding, -1)
+    room = F.when(F.col("gap") > 0, most * F.col("docs") - F.col("n")).otherwise(F.col("n"))
+    classes = classes.withColumn("room", room)
+    done = F.coalesce(F.sum(F.col("room") * F.col("size")).over(below), F.lit(0.0))
+    change = F.least(F.greatest(F.floor((F.abs("gap") - done) / F.col("size")), F.lit(0)), F.col("room")).cast("long")
+    classes = classes.withColumn("n", F.col("n") + F.signum("gap").cast("long") * change)
     classes = classes.select(F.col("source").alias("s"), F.col("size").alias("z"), "docs", "rate", "n")
     plan = stored(classes, "mix-classes")
 
