@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeloom.llm import language, mixing, neardup, pieces, quality, secrets, url_filter, warc
+from noticeloom.llm import language, mixing, neardup, pieces, quality, repeats, secrets, url_filter, warc
 from noticeloom.llm.common import table
 
 
@@ -37,6 +37,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.repeated_spans(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_url_filter": op6_url_filter,
     "op7_language_id": op7_language_id,
+    "op8_repeated_passages": op8_repeated_passages,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_sentencepiece": op10_sentencepiece,
 }
