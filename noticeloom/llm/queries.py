@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from noticeloom.llm import language, mixing, neardup, neighbours, pieces, quality, repeats, secrets, url_filter, warc
 from noticeloom.llm.common import table
+from noticeloom.llm.oracles import ORACLES as ORACLES
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,5 +67,3 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_sentencepiece": op10_sentencepiece,
 }
-
-ORACLES: dict[str, str] = {}
