@@ -280,17 +280,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILAR)
     # buckets that still hold several components, compared block against block
     member = shared.select("band", "node").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     member = stored(member, "members")
-    open_ = member.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low != high AND n > 2").select("band", "n")  # of two, one is the leader
-    blocks = member.join(open_, "band").withColumn("of", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")))
-    # every block meets itself and those after it
-    met = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1))).select(
-        "band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "node", "component",
-        F.when(F.col("block") == F.col("other"), -1).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"))
+    # the largest component of a bucket is compared with the rest only, the rest with itself too
+    tally = member.groupBy("band", "component").agg(F.count("*").alias("k")).groupBy("band").agg(F.max(F.struct("k", "component")).alias("main"), F.sum("k").alias("n"))
+    open_ = tally.where("main.k < n AND n > 2").select("band", F.col("main.component").alias("main"), F.ceil(F.col("main.k") / BLOCK).alias("mains"), F.ceil((F.col("n") - F.col("main.k")) / BLOCK).alias("rests"))  # of two, one is the leader
+    blocks = member.join(open_, "band").withColumn("is_main", F.col("component") == F.col("main"))
+    blocks = blocks.withColumn("at", F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rests"))))
+    cell = lambda kind, p, q, side: F.struct(F.lit(kind).alias("kind"), p.alias("p"), q.alias("q"), side.alias("side"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    at = F.col("at")
+    with_main = F.when(F.col("is_main"), F.transform(upto("rests"), lambda p: cell("main", p, at, F.lit(1)))).otherwise(F.transform(upto("mains"), lambda q: cell("main", at, q, F.lit(0))))
+    with_rest = F.when(~F.col("is_main"), F.transform(upto("rests"), lambda q: cell("rest", F.least(at, q), F.greatest(at, q), F.when(at == q, -1).when(at < q, 0).otherwise(1))))
+    met = blocks.select("band", "node", "component", F.explode(F.concat(with_main, F.coalesce(with_rest, F.array().cast("array<struct<kind:string,p:bigint,q:bigint,side:int>>")))).alias("x")).select("band", "node", "component", "x.*")
     # buckets with the same members are one: a digest of the members' hashes names them
-    parts = met.groupBy("band", "p", "q").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("digest"), F.count("*").alias("k"))
-    once = parts.groupBy("digest", "k", "p", "q").agg(F.min("band").alias("band")).select("band", "p", "q")
-    met = met.join(once, ["band", "p", "q"]).join(classes.select("node", "registers", "n_shingles"), "node").join(sets, "node")
-    more = met.groupBy("band", "p", "q").applyInPandas(_connect(percent), "a binary, b binary")
+    parts = met.groupBy("band", "kind", "p", "q").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("digest"), F.count("*").alias("k"))
+    once = parts.groupBy("digest", "k", "kind", "p", "q").agg(F.min("band").alias("band")).select("band", "kind", "p", "q")
+    met = met.join(once, ["band", "kind", "p", "q"]).join(classes.select("node", "registers", "n_shingles"), "node").join(sets, "node")
+    more = met.groupBy("band", "kind", "p", "q").applyInPandas(_connect(percent), "a binary, b binary")
     final = stored(components(links.unionByName(stored(more, "more"))), "final")
 
     # the least id of all rows of a component; rows without words keep their own
@@ -299,3 +304,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILAR)
     out = rows.join(ids.select(F.col("node").alias("set_id"), "component_id"), "set_id", "left")
     name = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", name.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILAR) -> DataFrame:
+    """docs with one document of each component: the one with the smallest id. Of repeated rows with
+    that id and the same text one stays; documents without words all stay."""
+    found = stored(near_duplicates(docs, words, percent), "near-duplicates")
+    kept = found.where("kept").select(F.col("doc_id").alias("_kept"))
+    out = docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    if kept.groupBy("_kept").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out
