@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bounds of the training sample for each language.
 LANG_DOCS, LANG_CHARS = 60, 24_000
@@ -193,8 +194,6 @@ def predict_languages(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
                 [*(batch.column(i) for i in kept), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
                 names=[*(batch.schema.names[i] for i in kept), "lang_pred", "score"])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
@@ -209,3 +208,21 @@ def identify(docs: DataFrame, lang_docs: int = LANG_DOCS, lang_chars: int = LANG
     rows = docs.select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
     samples = training_sample(rows.where(~F.col("held_out")), lang_docs, lang_chars)
     return predict_languages(rows.select("doc_id", "held_out", "text"), samples)
+
+
+def keep_identified(docs: DataFrame, least_score: float = 0.0, lang_docs: int = LANG_DOCS, lang_chars: int = LANG_CHARS) -> DataFrame:
+    """The rows of docs, with all columns, whose text has a language with at least this score.
+
+    Learns from the rows that are not held out, as ``identify`` does; texts without one go."""
+    samples = training_sample(docs.where(~held_out(F.col("doc_id"))), lang_docs, lang_chars)
+    shared = docs.sparkSession.sparkContext.broadcast(samples)
+    key = hash(tuple(sorted(samples.items())))
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = parser_of(key, shared.value)
+        for batch in batches:
+            found = parser.predict(batch.column(place).to_pylist())
+            yield batch.filter(pa.array([x != UNKNOWN and s >= least_score for x, s in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

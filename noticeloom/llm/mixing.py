@@ -30,7 +30,7 @@ BUDGET, MOST = 1.5, 2.0
 #: Newton ends when every source is this near its target, or after so many steps.
 TOLERANCE, STEPS = 1e-6, 30
 #: Rows of one window: classes with more documents are ranked in parts.
-PART_ROWS = 5000
+PART_ROWS = 1000
 
 
 def text_size(text: Column) -> Column:
@@ -138,3 +138,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float =
 def targets_small(targets: DataFrame, most_rows: int = 5000) -> bool:
     """Whether a table of sources may be broadcast; beyond that many rows it is joined by shuffling."""
     return targets.limit(most_rows + 1).count() <= most_rows
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
+    """docs with every row as often as the mix takes it."""
+    taken = stored(mix(docs, weights, budget, most).select("doc_id", "source", "size", "copies"), "mix-copies")
+    key = ["doc_id", "source", "size"]
+    sized = docs.withColumn("_size", text_size(F.col("text")))
+    if taken.groupBy(*key).count().where("count > 1").limit(1).count():
+        # rows that their ids do not tell apart get their copies in the order of their texts
+        turn = lambda df, by: df.withColumn("_turn", F.row_number().over(W.partitionBy("doc_id", "source", df.columns[-1]).orderBy(by)))
+        sized, taken = turn(sized, "text"), turn(taken.select("doc_id", "source", "copies", "size"), "copies")
+    else:
+        sized, taken = sized.withColumn("_turn", F.lit(1)), taken.withColumn("_turn", F.lit(1))
+    t = taken.where("copies > 0").select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_turn").alias("_t"), F.col("copies").alias("_copies"))
+    same = sized["doc_id"].eqNullSafe(F.col("_i")) & sized["source"].eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_turn") == F.col("_t"))
+    out = sized.join(t, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return out.select(*docs.columns)

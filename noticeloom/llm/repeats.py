@@ -404,11 +404,19 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with every repeated passage cut from text; bytes of characters that a cut splits are dropped."""
-    spans = repeated_spans(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("n_bytes").alias("_n"), "spans").dropDuplicates(["_id", "_n", "spans"])
-    raw = F.col("text").cast("binary")
-    size = F.size("spans")
-    starts = F.transform(F.sequence(F.lit(0), size), lambda i: F.struct(
-        F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("spans", i - 1)["end"]).alias("a"), F.when(i == size, F.octet_length("text").cast("long")).otherwise(F.get("spans", i)["start"]).alias("z")))
-    pieces = F.transform(starts, lambda x: F.decode(F.substring(raw, (x["a"] + 1).cast("int"), (x["z"] - x["a"]).cast("int")), F.lit("UTF-8")))
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.octet_length("text") == F.col("_n")), "left")
-    return joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))).select(*docs.columns)
+    spans = repeated_spans(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("n_bytes").alias("_n"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_n", "_spans"])
+    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.octet_length("text") == F.col("_n")), "left").select(*(docs[c] for c in docs.columns), "_spans")
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for t, cuts in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if cuts:
+                    raw, bounds = t.encode(), [0, *(x for c in cuts for x in (c["start"], c["end"]))]
+                    t = "".join(raw[s:e].decode("utf-8", "ignore") for s, e in zip(bounds[::2], [*bounds[1::2], len(raw)], strict=True))
+                texts.append(t)
+            columns = [pa.array(texts, c.type) if i == place else c for i, c in enumerate(batch.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return joined.mapInArrow(run, docs.schema)
