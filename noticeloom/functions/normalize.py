@@ -7,6 +7,8 @@ import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from noticeloom.functions.text import let
+
 # Weekday names by their first two letters.
 DAYS = {"mo": "Montag", "di": "Dienstag", "mi": "Mittwoch", "do": "Donnerstag", "fr": "Freitag", "sa": "Samstag", "so": "Sonntag"}
 # The first three letters of month names, and their numbers.
@@ -23,10 +25,10 @@ def day_name(text: Column) -> Column:
 
 
 def month_numbers(text: Column) -> Column:
-    """Month names as numbers with a dot, whole words from their first three letters."""
-    for name, number in MONTHS:
-        text = F.regexp_replace(text, f"(?iu){name}[a-zäöü]*", f"{number}.")
-    return text
+    """The month name of a text as its number and a dot; names count from their first three letters."""
+    word = "(?iu)(" + "|".join(n for n, _ in MONTHS) + ")[a-zäöü]*"
+    number = F.element_at(F.create_map(*[F.lit(x) for pair in MONTHS for x in pair]), F.lower(F.regexp_extract(text, word, 1)))
+    return F.coalesce(F.regexp_replace(text, F.lit(word), F.concat(number, F.lit("."))), text)
 
 
 def date_digits(text: Column) -> Column:
@@ -39,24 +41,28 @@ def date_digits(text: Column) -> Column:
 def normal_date(text: Column, today: datetime.date, pivot: int = 12) -> Column:
     """``YYYY-MM-DD``, or empty. Two-digit years are of this century if above the pivot or 00;
     without a year the date is the next such day from today on."""
-    d = date_digits(text)
+    return let(date_digits(text), lambda d: _dated(d, today, pivot))
+
+
+def _dated(d: Column, today: datetime.date, pivot: int) -> Column:
     n = F.char_length(d)
-    day, month = F.substring(d, 1, 2), F.substring(d, 3, 2)
-    yy = F.substring(d, 5, 2)
-    this = F.lit(f"{today.year:04d}")
+    day, month, yy = F.substring(d, 1, 2), F.substring(d, 3, 2), F.substring(d, 5, 2)
     coming = F.concat(month, day) >= F.lit(today.strftime("%m%d"))
     year = (
         F.when(n == 8, F.substring(d, 5, 4))
         .when((n == 6) & ((yy.cast("int") > pivot) | (yy == "00")), F.concat(F.lit("20"), yy))
-        .when((n == 4) & (F.substring(d, 1, 2) != "20"), F.when(coming, this).otherwise(F.lit(f"{today.year + 1:04d}")))
+        .when((n == 4) & (day != "20"), F.when(coming, F.lit(f"{today.year:04d}")).otherwise(F.lit(f"{today.year + 1:04d}")))
     )
-    good = year.isNotNull() & day.cast("int").between(1, 31) & month.cast("int").between(1, 12)
-    return F.when(good, F.concat_ws("-", year, month, day)).otherwise(F.lit(""))
+    good = day.cast("int").between(1, 31) & month.cast("int").between(1, 12)
+    return F.coalesce(F.when(good, F.concat(year, F.lit("-"), month, F.lit("-"), day)), F.lit(""))
 
 
 def normal_time(text: Column, compat: bool = False) -> Column:
     """``HH:MM`` from the digits of a text, or empty; minutes are multiples of five."""
-    d = F.regexp_replace(text, "[^0-9]", "")
+    return let(F.regexp_replace(text, "[^0-9]", ""), lambda d: _clock(d, compat))
+
+
+def _clock(d: Column, compat: bool) -> Column:
     n = F.char_length(d)
     five = F.substring(d, -1, 1).isin("0", "5")
     one = F.lit("") if compat else F.concat(F.lit("0"), d, F.lit(":00"))

@@ -17,6 +17,11 @@ URL_ESCAPES = [
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def let(value: Column, body) -> Column:
+    """body(x) with x bound to value: a long expression that is used often stands in the plan once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def replace_all(text: Column, old: str, new: str) -> Column:
     return F.replace(text, F.lit(old), F.lit(new))
 

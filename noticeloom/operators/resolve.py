@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from noticeloom.functions import normalize as N
-from noticeloom.operators.boxes import title_pool, titles
+from noticeloom.functions.text import let
+from noticeloom.operators.boxes import complete, is_garbage, titles
 
 SURE, VERSION = 80, "0.2"
 
@@ -61,58 +62,77 @@ def reachable(urls: DataFrame, hosts: DataFrame, url: str = "url") -> DataFrame:
     return urls.withColumn("host", N.url_host(F.col(url))).join(hosts, "host", "left_semi").drop("host")
 
 
-def _listed(df: DataFrame, value: str, name: str, key: str) -> DataFrame:
-    return df.groupBy(key).agg(F.array_sort(F.collect_set(value)).alias(name))
+STRINGS = "array<string>"
+#: Kinds of facts that a title must not hold.
+FACTS = ("date", "datetime", "dayofweek", "streetaddress", "city", "price")
+PLACE = {"latitude": "double", "longitude": "double", "city": "string", "region": "string", "country": "string", "postal_code": "string", "address": "string"}
+
+
+def gathered(entities: DataFrame, confidence: DataFrame, today: datetime.date, compat: bool = False, key: str = "doc_id") -> DataFrame:
+    """One row a document: its facts by kind in normal form, as sorted arrays. One shuffle, by document."""
+    v, kind = F.col("value"), F.col("kind")
+    rows = entities.join(confidence.select(key, "ord", "confidence"), [key, "ord"], "left")
+    some = lambda of, form=v: F.array_sort(F.collect_set(F.when(of, form)))
+    text = lambda name, form=v: some((kind == name) & (form != ""), form)
+    time = N.normal_time(v, compat)
+    return rows.groupBy(key).agg(
+        text("date", N.normal_date(v, today)).alias("dates"), text("dayofweek", N.day_name(v)).alias("days"),
+        some((kind == "datetime") & (F.col("confidence") >= SURE) & (time != ""), time).alias("clock"),
+        text("url", N.normal_url(N.repair_url(v))).alias("urls"), some(kind == "price", N.ticket(v, compat)).alias("tickets"), text("artists").alias("artists"),
+        some(kind == "streetaddress", F.struct("ord", v.alias("street"))).alias("streets"), some(kind == "city", F.struct("ord", v.alias("city"))).alias("cities"),
+        some(kind == "location", F.struct("subkey", v.alias("venue"))).alias("locations"), some(kind.isin(*FACTS), F.col("ord")).alias("taken"))
+
+
+def start_column(dates: Column, days: Column, clock: Column) -> Column:
+    """Starts of an event: the first date that a named weekday confirms, or else the first date, with every time that is no date."""
+    named = F.filter(F.transform(days, lambda d: F.array_min(F.filter(dates, lambda x: N.weekday_of(x) == d))), lambda x: x.isNotNull())
+    first = let(named, lambda n: F.array_min(F.when(F.size(n) > 0, n).otherwise(dates)))
+    as_times = F.transform(dates, lambda d: F.concat(F.substring(d, 9, 2), F.lit(":"), F.substring(d, 6, 2)))
+    return N.start_times(F.coalesce(first, F.lit("")), F.array_except(clock, as_times))
+
+
+def address_column(streets: Column, cities: Column) -> Column:
+    """Street with city of the same box; without such a box every pair, and every city alone."""
+    pair = lambda s, c: F.concat_ws(", ", s["street"], c["city"])
+    near = F.flatten(F.transform(streets, lambda s: F.transform(F.filter(cities, lambda c: c["ord"] == s["ord"]), lambda c: pair(s, c))))
+    every = F.concat(F.flatten(F.transform(streets, lambda s: F.transform(cities, lambda c: pair(s, c)))), F.transform(cities, lambda c: c["city"]))
+    return F.array_sort(F.array_distinct(let(near, lambda n: F.when(F.size(n) > 0, n).otherwise(every))))
+
+
+def _town(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, r"^\d{5}", ""))
 
 
 def resolve(boxes: DataFrame, entities: DataFrame, today: datetime.date, gazetteer: DataFrame | None = None, hosts: DataFrame | None = None, compat: bool = False) -> DataFrame:
     """One event record a document with boxes.
 
     boxes(doc_id, ord, text, confidence, x, y, width, height); entities(doc_id, ord, kind, subkey,
-    value). All parts are grouped by doc_id. gazetteer(query, latitude, longitude, city, region,
-    country, postal_code, address) stands for a geocoder, hosts(host) for name resolution."""
-    key = "doc_id"
-    docs = boxes.select(key).distinct()
-    sure = entities.join(boxes.select(key, "ord", "confidence"), [key, "ord"]).where(F.col("confidence") >= SURE)
-    dates = values(entities, "date", lambda v: N.normal_date(v, today), "date")
-    days = values(entities, "dayofweek", N.day_name, "day")
-    times = times_not_dates(values(sure, "datetime", lambda v: N.normal_time(v, compat), "time"), dates)
-    chosen = confirmed_dates(dates, days)
-    first_date = chosen.groupBy(key).agg(F.min("date").alias("date"))
-    start = docs.join(first_date, key, "left").join(_listed(times, "time", "times", key), key, "left")
-    start = start.select(key, N.start_times(F.coalesce("date", F.lit("")), F.coalesce("times", F.array().cast("array<string>"))).alias("times"))
-
-    urls = values(entities, "url", lambda v: N.normal_url(N.repair_url(v)), "url")
-    urls = _listed(reachable(urls, hosts) if hosts is not None else urls, "url", "urls", key)
-    prices = entities.where(F.col("kind") == "price").select(key, "value").distinct().withColumn("t", N.ticket(F.col("value"), compat))
-    tickets = prices.groupBy(key).agg(F.array_sort(F.collect_set("t")).alias("tickets"))
-    artists = _listed(entities.where(F.col("kind") == "artists"), "value", "artists", key)
-    names = titles(title_pool(boxes, entities, compat))
-
-    box_of = lambda kind, name: entities.where(F.col("kind") == kind).select(key, "ord", F.col("value").alias(name))
-    cities = box_of("city", "city")
-    addresses = address_candidates(box_of("streetaddress", "street"), cities)
-    town = lambda c: F.trim(F.regexp_replace(c, r"^\d{5}", ""))
-    places = addresses.withColumnRenamed("address", "line")
-    fields = ("latitude", "longitude", "city", "region", "country", "postal_code", "address")
+    value). Facts are gathered once a document and worked on as arrays, so all parts are dealt by
+    doc_id. gazetteer(query, latitude, longitude, city, region, country, postal_code, address)
+    stands for a geocoder, hosts(host) for name resolution."""
+    key, none = "doc_id", F.array().cast(STRINGS)
+    facts = gathered(entities, boxes, today, compat)
+    pool = complete(boxes).where((F.col("confidence") > 70) & ~is_garbage(F.col("text"), compat)).join(facts.select(key, "taken"), key, "left").where(~F.coalesce(F.array_contains("taken", F.col("ord")), F.lit(False)))
+    out = boxes.select(key).distinct().join(facts, key, "left").join(titles(pool.drop("taken")), key, "left")
+    out = out.withColumn("times", start_column(F.coalesce("dates", none), F.coalesce("days", none), F.coalesce("clock", none))).withColumn("lines", address_column("streets", "cities"))
+    if hosts is not None:
+        urls = reachable(out.select(key, F.explode("urls").alias("url")), hosts).groupBy(key).agg(F.array_sort(F.collect_set("url")).alias("urls"))
+        out = out.drop("urls").join(urls, key, "left")
     if gazetteer is not None:
-        hit = places.join(gazetteer.select(F.col("query").alias("line"), *fields), "line")
+        hit = out.select(key, F.explode("lines").alias("line")).join(gazetteer.select(F.col("query").alias("line"), *PLACE), "line")
+        places = hit.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("line", *PLACE))).alias("places"))
+        out = out.join(places, key, "left")
     else:
-        hit = places.select(key, "line", *(F.lit(None).cast("double" if f[-4:] == "tude" else "string").alias(f) for f in fields)).withColumn("address", F.col("line"))
-    # venues of the cities that a place's own city contains; the first of them in order is taken
-    at = venues(cities.select(key, F.lower(town(F.col("city"))).alias("city")).distinct(), entities.where(F.col("kind") == "location"))
-    named = city_matches(hit.withColumn("place_city", F.coalesce("city", town(F.col("line")))).drop("city"), at)
-    venue = named.groupBy(key).agg(F.min(F.struct("city", "venue"))["venue"].alias("venue_name"))
-    place = hit.groupBy(key).agg(F.min(F.struct("line", *fields)).alias("p")).select(key, *(F.col(f"p.{f}").alias(f) for f in fields))
-
-    out = docs
-    for part in (names, start, urls, tickets, artists, venue, place):
-        out = out.join(part, key, "left")
-    none = F.array().cast("array<string>")
+        out = out.withColumn("places", F.transform("lines", lambda x: F.struct(x.alias("line"), *((x if c == "address" else F.lit(None).cast(t)).alias(c) for c, t in PLACE.items()))))
+    # the first venue of a city that a place's own city contains
+    towns = F.transform("cities", lambda c: F.lower(_town(c["city"])))
+    own = lambda x: F.lower(F.coalesce(x["city"], _town(x["line"])))
+    at = let(towns, lambda t: F.filter("locations", lambda v: F.array_contains(t, v["subkey"]) & F.exists("places", lambda x: own(x).contains(v["subkey"]))))
+    out = out.withColumn("venue_name", F.get(F.array_sort(at), F.lit(0))["venue"]).withColumn("place", F.get("places", F.lit(0)))
     return out.select(
         key, F.lit(VERSION).alias("version"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("description", F.lit("")).alias("description"),
-        F.coalesce("artists", none).alias("artists"), F.coalesce("times", none).alias("times"), F.coalesce("tickets", F.array().cast("array<struct<price:string,currency:string>>")).alias("tickets"),
-        F.coalesce("urls", none).alias("urls"), "venue_name", *fields)
+        F.coalesce("artists", none).alias("artists"), "times", F.coalesce("tickets", F.array().cast("array<struct<price:string,currency:string>>")).alias("tickets"),
+        F.coalesce("urls", none).alias("urls"), "venue_name", *(F.col("place")[c].alias(c) for c in PLACE))
 
 
 def with_fallback(events: DataFrame, local: DataFrame, remote: DataFrame, id_column: str = "event_id") -> DataFrame:
