@@ -215,6 +215,23 @@ def fetch_attachment(spark, sf_dir):
     return files.attachment(_posters(spark, sf_dir), 8, "userimage")
 
 
+@query("""SELECT doc_id, doc_id % 7 <> 0 AS has_picture, CASE WHEN doc_id % 7 <> 0 THEN 'data:image/jpeg;base64,' || base64(CAST(encode(source) AS BLOB)) END AS shown FROM documents""")
+def picture_flags(spark, sf_dir):
+    a = F.col("attachments")
+    return _posters(spark, sf_dir).select("doc_id", files.has_picture(a).alias("has_picture"), files.shown_picture(a).alias("shown"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id % 4 <> 0")
+def new_documents(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return files.new_documents(d.where("doc_id % 4 = 0"), d).select("doc_id", "lang")
+
+
+@query("""SELECT page_id, regexp_replace(url, '/?[^/]*$', '') AS folder, string_split(url, '/')[-1] AS name, regexp_extract(string_split(url, '/')[-1], '\\.([^.]*)$', 1) AS extension FROM pages""")
+def path_parts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", files.path_parts(F.col("url")).alias("p")).select("page_id", "p.*")
+
+
 # joins
 
 

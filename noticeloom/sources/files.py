@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noticeloom.functions.text import plain_base64
+from noticeloom.functions.text import data_url, plain_base64
 from noticeloom.operators.selector import find
 
 RECORD = """text ARRAY<STRUCT<text: STRING, confidence: DOUBLE, x: INT, y: INT, width: INT, height: INT, id: STRING, baseid: STRING,
@@ -59,6 +59,35 @@ def document(documents: DataFrame, doc_id, rev: str | None = None, attachments:
     return out if attachments or "attachments" not in out.columns else out.drop("attachments")
 
 
+def event(events: DataFrame, event_id: str, rev: str | None = None) -> DataFrame:
+    """One event record, perhaps of a given revision."""
+    out = events.where(F.col("event_id") == F.lit(event_id))
+    return out if rev is None else out.where(F.col("rev") == rev)
+
+
+def new_documents(before: DataFrame, now: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Documents of now whose ids were not there before."""
+    return now.join(before.select(key).distinct(), key, "left_anti")
+
+
+def has_picture(attachments: Column, name: str = "userimage") -> Column:
+    """Whether an attachment of that name holds any bytes."""
+    return F.coalesce(F.octet_length(F.try_element_at(attachments, F.lit(name))["data"]) > 0, F.lit(False))
+
+
+def shown_picture(attachments: Column, thumb: str = "userimage-thumb", full: str = "userimage") -> Column:
+    """Data URL of the thumbnail, or of the full picture where there is none; null without either."""
+    one = lambda n: F.when(has_picture(attachments, n), data_url(F.try_element_at(attachments, F.lit(n))["content_type"], F.try_element_at(attachments, F.lit(n))["data"]))
+    return F.coalesce(one(thumb), one(full))
+
+
+def path_parts(path: Column) -> Column:
+    """(folder, name, extension) of a file's path."""
+    name = F.substring_index(path, "/", -1)
+    folder = F.regexp_replace(path, "/?[^/]*$", "")
+    return F.struct(folder.alias("folder"), name.alias("name"), F.regexp_extract(name, r"\.([^.]*)$", 1).alias("extension"))
+
+
 def attachment(documents: DataFrame, doc_id, name: str) -> DataFrame:
     """(doc_id, content_type, data as base64) of an attachment; an empty text if there is none."""
     a = F.element_at("attachments", F.lit(name))

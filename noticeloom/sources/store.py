@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noticeloom.functions.text import record_id
+
 UNTITLED = "Unbekannt"
 
 
@@ -81,6 +83,15 @@ def results(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named, named.select("doc_id", "event_id")
 
 
+def created(pictures: DataFrame, thumb: Column, full: Column, now: Column, version: str = "0.2") -> DataFrame:
+    """New posters of pictures(filename, ...): a name of their own, both pictures attached, no event yet."""
+    one = lambda data: F.struct(F.lit("image/jpeg").alias("content_type"), data.alias("data"))
+    attachments = F.create_map(F.lit("userimage"), one(full), F.lit("userimage-thumb"), one(thumb))
+    none = F.lit(None).cast("string")
+    return pictures.select(record_id(F.col("filename"), now.cast("string")).alias("doc_id"), none.alias("rev"), F.lit(version).alias("version"), now.alias("created"), none.alias("processed_by"),
+                           none.alias("event_id"), none.alias("user_event"), attachments.alias("attachments"), F.lit(False).alias("deleted"))
+
+
 def attach(documents: DataFrame, name: str, data: Column, content_type: str = "image/jpeg") -> DataFrame:
     """documents with an attachment put in under a name."""
     one = F.create_map(F.lit(name), F.struct(F.lit(content_type).alias("content_type"), data.alias("data")))

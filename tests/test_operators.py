@@ -171,6 +171,8 @@ def test_sources(spark, tmp_path):
     assert files.attachment(d, "a", "userimage").first().data == "QUJD" and files.attachment(d, "b", "userimage").first().data == ""
     assert [r.doc_id for r in files.selected_ids(d, selector.NEXT_DOCUMENT).collect()] == ["a"]
     assert claims.released(claims.claimed(d, "e")).where("processed_by IS NULL").count() == 2
+    new = store.created(files.image_files(spark, str(tmp_path)), F.col("content"), F.col("content"), F.to_timestamp(F.lit("2018-01-01")))
+    assert new.first().attachments["userimage"].data == b"123" and claims.unclaimed(new).count() == 1 and files.event(new, "e1").count() == 0
     e = spark.createDataFrame([("e1", "T")], "event_id string, title string")
     assert [r.doc_id for r in files.posters_of_events(d, e, {"title": "T"}).collect()] == ["b"]
     assert "userimage" in store.attach(d, "userimage", F.lit("x").cast("binary")).where("doc_id = 'b'").first().attachments
