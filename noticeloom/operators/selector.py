@@ -47,9 +47,10 @@ def _all(columns: list[Column]) -> Column:
 
 
 def compile_selector(selector: dict | str, schema: T.StructType) -> Column:
-    """A condition that is never null: what cannot be decided does not match."""
-    node = json.loads(selector) if isinstance(selector, str) else selector
-    return F.coalesce(_compiled(node, schema, None), F.lit(False))
+    """A condition for where(): what cannot be decided is null and does not match.
+
+    It stays a plain conjunction, so its parts reach the scan."""
+    return _compiled(json.loads(selector) if isinstance(selector, str) else selector, schema, None)
 
 
 def _compiled(node, schema: T.StructType, path: str | None) -> Column:
