@@ -56,11 +56,11 @@ for _kind in ("date", "datetime", "streetaddress"):
     QUERIES[f"extract_{_kind}"] = _extracted(_kind)
 
 
-@query("""SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '[a-zA-Z][a-z0-9_.-]+@[\\da-z.-]+[. ][a-z.]{2,6}'))) AS vals FROM documents
+@query("""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[a-zA-Z][a-z0-9_.-]+@[\\da-z.-]+[. ][a-z.]{2,6}'))), '|') AS vals FROM documents
 WHERE len(regexp_extract_all(text, '[a-zA-Z][a-z0-9_.-]+@[\\da-z.-]+[. ][a-z.]{2,6}')) > 0""")
 def distinct_emails(spark, sf_dir):
     found = entities.extract(table(spark, sf_dir, "documents"), kinds=("email",))
-    return entities.distinct_values(found).select("doc_id", "vals")
+    return entities.distinct_values(found).select("doc_id", F.array_join("vals", "|").alias("vals"))
 
 
 # normal forms
@@ -134,9 +134,9 @@ def url_encode(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.url_encode(F.col("text")), 256).alias("encoded"))
 
 
-@query("""SELECT p_partkey, p_name, list_filter(string_split_regex(p_name, '[\\x09-\\x0D ]+'), lambda x: x <> '') AS words, CAST(len(list_filter(string_split_regex(p_name, '[\\x09-\\x0D ]+'), lambda x: x <> '')) AS INTEGER) AS n FROM part""")
+@query("""SELECT p_partkey, p_name, array_to_string(list_filter(string_split_regex(p_name, '[\\x09-\\x0D ]+'), lambda x: x <> ''), '|') AS words, CAST(len(list_filter(string_split_regex(p_name, '[\\x09-\\x0D ]+'), lambda x: x <> '')) AS INTEGER) AS n FROM part""")
 def tokenize(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", "p_name", text.tokens(F.col("p_name")).alias("words"), F.size(text.tokens(F.col("p_name"))).alias("n"))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", F.array_join(text.tokens(F.col("p_name")), "|").alias("words"), F.size(text.tokens(F.col("p_name"))).alias("n"))
 
 
 @query("""WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS ws FROM part), r AS (SELECT p_partkey, ws, unnest(range(1, len(ws) + 1)) AS i FROM w), s AS (SELECT p_partkey, ws, i, unnest(range(1, len(ws) - i + 2)) AS k FROM r)
@@ -403,11 +403,11 @@ def time_not_date(spark, sf_dir):
     return resolve.times_not_dates(times, _dates(spark, sf_dir))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN [] WHEN o_orderkey % 4 = 1 THEN [d] ELSE [d || 'T20:00:00.000', d || 'T21:30:00.000'] END AS starts FROM (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders)""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 4 = 1 THEN d ELSE d || 'T20:00:00.000|' || d || 'T21:30:00.000' END AS starts FROM (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders)""")
 def start_times(spark, sf_dir):
     m = F.col("o_orderkey") % 4
     times = F.when(m >= 2, F.array(F.lit("20:00"), F.lit("21:30"))).otherwise(F.array().cast("array<string>"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", normalize.start_times(F.when(m != 0, F.date_format("o_orderdate", "yyyy-MM-dd")), times).alias("starts"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", normalize.start_times(F.when(m != 0, F.date_format("o_orderdate", "yyyy-MM-dd")), times).alias("starts")).withColumn("starts", F.array_join("starts", "|"))
 
 
 @query("SELECT c_custkey AS doc_id, n_name AS city, s_name AS venue FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey")
@@ -534,9 +534,9 @@ def change_feed_state(spark, sf_dir):
     return claims.latest_state(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id").select("user_id", "event_type", "event_id")
 
 
-@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+@query("SELECT strftime(ts, '%Y-%m-%d') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def windowed_counts(spark, sf_dir):
-    return claims.windowed_counts(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 2))
+    return claims.windowed_counts(table(spark, sf_dir, "events")).withColumns({"start": F.date_format("start", "yyyy-MM-dd"), "total": F.round("total", 2)})
 
 
 @query("SELECT o.doc_id, CASE WHEN o.doc_id % 2 = 0 THEN 'local' WHEN o.doc_id % 3 = 0 THEN 'remote' END AS place FROM (SELECT o_orderkey AS doc_id FROM orders) o")
