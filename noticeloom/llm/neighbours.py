@@ -202,10 +202,15 @@ def list_parts(spark: SparkSession, count: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), count // 20_000)
 
 
+def block_count(spark: SparkSession, count: int, most: int) -> int:
+    """Blocks of at most that many rows, and enough of them for all cores."""
+    return max(-(-count // most), 2 * spark.sparkContext.defaultParallelism)
+
+
 def neighbour_graph(nodes: DataFrame, count: int, seed: int = 20240311, rounds: int = ROUNDS) -> DataFrame:
     """(node, other, score): lists of about LIST nearest nodes, by NN-descent."""
     parts = list_parts(nodes.sparkSession, count)
-    blocks = max(1, -(-count // BLOCK))
+    blocks = block_count(nodes.sparkSession, count, BLOCK)
     graph = first_lists(nodes, count, seed, parts)
     for _ in range(rounds):
         near = stored(around(graph, parts), "near")
@@ -250,7 +255,7 @@ def _beams(k: int):
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, count: int, beam: int = BEAM, rounds: int = SEARCH_ROUNDS) -> DataFrame:
     """(query, beam, scores): for queries(query, qv, entry array) the best nodes that greedy search finds."""
     near = stored(around(graph, list_parts(graph.sparkSession, count)), "near")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    blocks = block_count(nodes.sparkSession, queries.count(), QUERY_BLOCK)
     none = F.expr("cast(array() as array<bigint>)")
     state = queries.select("query", F.transform("qv", lambda x: x.cast("float")).alias("qv"), none.alias("beam"), F.expr("cast(array() as array<float>)").alias("scores"), none.alias("seen"), F.col("entry").alias("fresh"))
     block = F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")
