@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,8 +35,9 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "named")
 
 #: One pair of a line: a name (perhaps quoted, dotted or subscripted), an operator, a literal or a name.
+#: A name begins where its run of characters does and takes all of it, so long runs are read once.
 PAIR = re.compile(
-    r"""([A-Za-z_][A-Za-z0-9_.\-]*)["']?\]?[ \t]*(?::=|=>|=(?!=)|:(?!//))[ \t]*(?:[A-Za-z]{0,2}"([^"\n]{1,4096})"|'([^'\n]{1,4096})'|([^\s"'`,;(){}\[\]<>#&|]{1,4096}))""",
+    r"""(?<![A-Za-z0-9_.\-])[0-9.\-]*+([A-Za-z_][A-Za-z0-9_.\-]*+)["']?\]?[ \t]*(?::=|=>|=(?!=)|:(?!//))[ \t]*(?:[A-Za-z]{0,2}"([^"\n]{1,4096})"|'([^'\n]{1,4096})'|([^\s"'`,;(){}\[\]<>#&|]{1,4096}))""",
 )
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -104,8 +106,9 @@ def secret_spans(text: str | None) -> list[tuple[int, int, str]]:
     if not text:
         return []
     base = base_spans(text)
-    known = [(s, e) for s, e, kind in base if kind == "assign"]
-    more = [x for x in named_spans(text) if not any(s <= x[0] and x[1] <= e for s, e in known)]
+    starts, ends = [s for s, _, k in base if k == "assign"], [e for _, e, k in base if k == "assign"]  # in order, not overlapping
+    inside = lambda s, e: (i := bisect_right(starts, s)) > 0 and e <= ends[i - 1]
+    more = [x for x in named_spans(text) if not inside(x[0], x[1])]
     return sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
