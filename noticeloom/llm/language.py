@@ -164,7 +164,8 @@ def training_sample(labelled: DataFrame, lang_docs: int = LANG_DOCS, lang_chars:
     best = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = named.select("doc_id", "lang").withColumn("r", F.row_number().over(best)).where(F.col("r") <= lang_docs).select("doc_id", "lang").distinct()
     cut = F.substring("text", 1, lang_chars)  # of a training text; predictions take whole texts
-    rows = named.select("doc_id", "lang", cut.alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"]).collect()
+    rows = named.select("doc_id", "lang", cut.alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"])
+    rows = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()  # one of rows that share an id
     parts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"] if r["doc_id"] is not None else -1, r["text"])):
         parts.setdefault(r["lang"], []).append(folded(r["text"]))
