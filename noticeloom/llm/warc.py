@@ -4,8 +4,8 @@ Records are grouped by payload digest in the JVM, so the archive writers see one
 that already know whether they are responses or revisits. Each task writes archives of bounded
 size to shared storage. An archive starts with a skippable Zstandard frame (magic 0x184D2A5D) that
 holds a dictionary trained on the archive's own records; every record follows as a frame of its own
-and can be read alone. File names depend on the job and the partition only and files appear by a
-rename, so a task that runs again replaces its own files. Archives are read back with Spark's
+and can be read alone. Each partition has a folder of its own, which a task empties first, and files appear
+by a rename, so a task that runs again replaces its own files. Archives are read back with Spark's
 binary file source from any store.
 
 Defined results: a null payload is an empty response; payloads under DEDUP_BYTES are always
@@ -114,11 +114,22 @@ def archive_records(raw: bytes) -> Iterator[bytes]:
         rest = rest[len(rest) - len(frame.unused_data) :]
 
 
-def put(path: str, data: bytes) -> None:
-    """Write a file to the store of its URI; it appears whole or not at all."""
+def _store(path: str):
+    """The store of a URI or local path, and the name there."""
     from pyarrow import fs
 
-    store, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def emptied(path: str) -> None:
+    """Delete what a folder holds; it need not exist."""
+    store, name = _store(path)
+    store.delete_dir_contents(name, missing_dir_ok=True)
+
+
+def put(path: str, data: bytes) -> None:
+    """Write a file to the store of its URI; it appears whole or not at all."""
+    store, name = _store(path)
     part = f"{name}.{uuid.uuid4().hex}.tmp"
     store.create_dir(os.path.dirname(name), recursive=True)
     with store.open_output_stream(part) as out:
@@ -130,10 +141,11 @@ def write_archives(records: DataFrame, folder: str, archive_size: int = ARCHIVE_
     """Write record_types() rows as archives below folder; returns (path, records, bytes), lazily."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        own, number, held, size = f"{folder}/part-{TaskContext.get().partitionId():06d}", 0, [], 0
+        emptied(own)  # an attempt that failed may have cut its rows into more archives
 
         def flush():
-            path = f"{folder}/part-{part:06d}-{number:05d}.warc.zst"
+            path = f"{own}/{number:05d}.warc.zst"
             data = archive_bytes(held)
             put(path, data)
             return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(held)], pa.int64()), pa.array([len(data)], pa.int64())], names=["path", "records", "bytes"])

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -70,6 +71,14 @@ def test_archives(spark):
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
+def test_a_task_that_runs_again_leaves_no_old_archives(spark, tmp_path):
+    pages = warc.record_types(spark.createDataFrame([(i, "u", f"page {i}") for i in range(20)], "page_id long, url string, html string").coalesce(1))
+    folder = f"file://{tmp_path}"
+    assert warc.write_archives(pages, folder, 300).count() > 3
+    assert warc.write_archives(pages, folder).agg(F.sum("records")).first()[0] == 20
+    assert sorted(r.page_id for r in warc.read_archives(spark, folder).select("page_id").collect()) == list(range(20))
+
+
 def test_archive_has_a_dictionary_and_single_frames():
     records = [warc.record_bytes(i, f"http://h/{i}", "response", None, b"<html>" + str(i).encode() * 50 + b"common words here" * 20, "d", 1) for i in range(300)]
     raw = warc.archive_bytes(records)
@@ -111,6 +120,15 @@ def test_secrets(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_long_runs_are_read_once():
+    began = time.process_time()
+    assert secrets.secret_spans("data:" + "Ab" * 300_000) == []
+    many = " ".join(f"token=abcdef{i}" for i in range(20_000))
+    assert Counter(k for _, _, k in secrets.secret_spans(many)) == {"assign": 20_000}
+    assert [k for _, _, k in secrets.secret_spans("2my_password => 'abcD1234efgh5678'")] == ["named"]
+    assert time.process_time() - began < 20
+
+
 # 3 nearest neighbours
 
 
