@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,17 @@ def dropped(*frames: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of texts that a task works on at once; Arrow batches hold many more.
+SLICE_ROWS = 500
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most that many rows, which bounds what is made of their texts at once."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, rows):
+            yield whole.slice(start, rows)
+
+
 def let(value, body):
     """A column from body(x), with x bound to value and evaluated once."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -30,6 +30,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from noticeloom.llm.common import slices
+
 #: Bounds of the training sample for each language.
 LANG_DOCS, LANG_CHARS = 60, 24_000
 SEGMENT = 512
@@ -189,7 +191,7 @@ def predict_languages(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = parser_of(key, shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = parser.predict(batch.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in kept), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
@@ -222,7 +224,7 @@ def keep_identified(docs: DataFrame, least_score: float = 0.0, lang_docs: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = parser_of(key, shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = parser.predict(batch.column(place).to_pylist())
             yield batch.filter(pa.array([x != UNKNOWN and s >= least_score for x, s in found], pa.bool_()))
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import dropped, stored
+from noticeloom.llm.common import dropped, slices, stored
 
 WORDS, SIMILAR = 5, 75  # shingle length; percent of the union
 BUCKETS, BANDS, ROWS = 128, 32, 4
@@ -150,7 +150,7 @@ def _bands(registers: np.ndarray) -> np.ndarray:
 
 def _sketches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counts, names, registers = [], [], []
             for t in batch.column("text"):
                 s = shingle_set(t.as_py(), words)
@@ -194,7 +194,7 @@ def _verifier(percent: int):
     """Of (a, b, set_a, set_b) the pairs that are similar on full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [[np.frombuffer(x.as_py(), np.uint64) for x in batch.column(c)] for c in ("set_a", "set_b")]
             keep = pa.array([similar(a, b, percent) for a, b in zip(*sets, strict=True)], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
@@ -214,7 +214,7 @@ def _estimator(percent: int):
 
 def _set_maker(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             full = [shingle_set(t.as_py(), words).tobytes() for t in batch.column("text")]
             own = [hashlib.blake2b(f, digest_size=16).digest() == n.as_py() for f, n in zip(full, batch.column("node"), strict=True)]  # ids may repeat
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(full, pa.binary())], names=["node", "full"]).filter(pa.array(own, pa.bool_()))

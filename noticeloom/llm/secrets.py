@@ -27,6 +27,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from noticeloom.llm.common import slices
+
 #: Fixed base patterns and least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -142,7 +144,7 @@ SCAN = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access",
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [secret_spans(t) for t in batch.column("text").to_pylist()]
         count = lambda kind: [sum(k == kind for _, _, k in r) for r in rows]
         base = [hashlib.sha256(joined([x for x in r if x[2] != "named"]).encode()).hexdigest() for r in rows]
@@ -162,7 +164,7 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = pa.array([redacted(t, mask) for t in batch.column(place).to_pylist()], batch.column(place).type)
             yield pa.RecordBatch.from_arrays([texts if i == place else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
