@@ -12,8 +12,8 @@ node and block), and a second shuffle merges them into the lists. Rounds end whe
 
 Search. A query starts from entry nodes, its own node's list if it is a row of the table, and keeps
 a beam of the best nodes found. Each round joins the beam's unexpanded nodes with the graph and
-their neighbours with the vectors, and ends when nothing in the beam is left to expand. What is
-returned is scored in double precision on the original vectors.
+their neighbours with the vectors. A query leaves the rounds when nothing in its beam is left to
+expand, and they end when all have left. What is returned is scored in double precision on the original vectors.
 
 Every list, beam and reverse list has a fixed length; no pairs of a group and no vectors are
 collected on the driver. Blocks hold a fixed number of nodes, so memory in tasks is bounded.
@@ -35,13 +35,13 @@ from pyspark.sql import functions as F
 
 from noticeloom.llm.common import dropped, stored
 
-#: Length of neighbour lists, most reverse neighbours, rounds, cells' size, first rounds.
-LIST, REVERSE, ROUNDS, CELL, FIRST = 32, 32, 8, 400, 4
+#: Length of neighbour lists, most reverse neighbours, cells' size, first rounds.
+LIST, REVERSE, CELL, FIRST = 32, 32, 400, 4
 #: Improvements of a node that one block hands on; nodes of a block.
 LOCAL, BLOCK = 16, 4096
 #: Rounds end when less than this share of the list entries is new.
 QUIET = 0.02
-BEAM, SEARCH_ROUNDS, QUERY_BLOCK = 320, 4, 512
+BEAM, QUERY_BLOCK = 320, 512
 LOW = -np.inf
 
 
@@ -207,12 +207,13 @@ def block_count(spark: SparkSession, count: int, most: int) -> int:
     return max(-(-count // most), 2 * spark.sparkContext.defaultParallelism)
 
 
-def neighbour_graph(nodes: DataFrame, count: int, seed: int = 20240311, rounds: int = ROUNDS) -> DataFrame:
+def neighbour_graph(nodes: DataFrame, count: int, seed: int = 20240311) -> DataFrame:
     """(node, other, score): lists of about LIST nearest nodes, by NN-descent."""
     parts = list_parts(nodes.sparkSession, count)
     blocks = block_count(nodes.sparkSession, count, BLOCK)
     graph = first_lists(nodes, count, seed, parts)
-    for _ in range(rounds):
+    share = 1.0
+    while share >= QUIET:  # lists only get better, so this ends
         near = stored(around(graph, parts), "near")
         block = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(blocks))
         left = near.select(block.alias("block"), "node", "near")
@@ -223,11 +224,10 @@ def neighbour_graph(nodes: DataFrame, count: int, seed: int = 20240311, rounds:
         better = left.groupBy("block").cogroup(right.groupBy("to")).applyInPandas(_local_join, ENTRIES)
         new = stored(merged(graph.unionByName(better), LIST, parts), "graph")
         kept = new.join(graph.select("node", "other"), ["node", "other"], "left_semi").count()
-        share = 1 - kept / max(1, new.count())
+        total = new.count()
+        share = 1 - kept / total if total else 0.0
         dropped(near, graph)
         graph = new
-        if share < QUIET:
-            break
     return graph
 
 
@@ -252,7 +252,7 @@ def _beams(k: int):
     return run
 
 
-def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, count: int, beam: int = BEAM, rounds: int = SEARCH_ROUNDS) -> DataFrame:
+def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, count: int, beam: int = BEAM) -> DataFrame:
     """(query, beam, scores): for queries(query, qv, entry array) the best nodes that greedy search finds."""
     near = stored(around(graph, list_parts(graph.sparkSession, count)), "near")
     blocks = block_count(nodes.sparkSession, queries.count(), QUERY_BLOCK)
@@ -260,19 +260,21 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, count: int, b
     state = queries.select("query", F.transform("qv", lambda x: x.cast("float")).alias("qv"), none.alias("beam"), F.expr("cast(array() as array<float>)").alias("scores"), none.alias("seen"), F.col("entry").alias("fresh"))
     block = F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")
     vectors = nodes.select(F.col("node").alias("other"), F.transform("v", lambda x: x.cast("float")).alias("v"))
-    for turn in range(rounds + 1):
-        if turn:
-            open_ = state.select("query", F.explode(F.array_except("beam", "seen")).alias("node"))
-            fresh = open_.join(near, "node").select("query", F.explode("near").alias("other")).distinct().groupBy("query").agg(F.collect_list("other").alias("fresh"))
-            state = state.join(fresh, "query", "left").withColumn("fresh", F.coalesce("fresh", none))
+    unseen = F.size(F.array_except("beam", "seen"))
+    finished = None
+    while True:
         left = state.select(block, "*")
         wanted = left.select("block", F.explode("fresh").alias("other")).distinct()
         right = wanted.join(vectors, "other").select(F.col("block").alias("to"), "other", "v")
-        done = left.groupBy("block").cogroup(right.groupBy("to")).applyInPandas(_beams(beam), "query long, qv array<float>, beam array<long>, scores array<float>, seen array<long>")
-        state = stored(done, "beams")
-        if turn and not state.where(F.size(F.array_except("beam", "seen")) > 0).limit(1).count():
-            break
-    return state.select("query", "beam", "scores")
+        done = stored(left.groupBy("block").cogroup(right.groupBy("to")).applyInPandas(_beams(beam), "query long, qv array<float>, beam array<long>, scores array<float>, seen array<long>"), "beams")
+        ended = done.where(unseen == 0).select("query", "beam", "scores")
+        finished = ended if finished is None else finished.unionByName(ended)
+        going = done.where(unseen > 0)
+        if going.isEmpty():  # every round adds nodes to seen, so this comes
+            return finished
+        open_ = going.select("query", F.explode(F.array_except("beam", "seen")).alias("node"))
+        fresh = open_.join(near, "node").select("query", F.explode("near").alias("other")).distinct().groupBy("query").agg(F.collect_list("other").alias("fresh"))
+        state = going.join(fresh, "query", "left").withColumn("fresh", F.coalesce("fresh", none))
 
 
 def nearest(rows: DataFrame, queries, k: int = 20, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
