@@ -36,11 +36,15 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "named")
 
-#: One pair of a line: a name (perhaps quoted, dotted or subscripted), an operator, a literal or a name.
-#: A name begins where its run of characters does and takes all of it, so long runs are read once.
+#: One pair of a line: a name (perhaps quoted, dotted or subscripted), perhaps a type, an operator, a literal or a name.
+#: A name begins where its run of characters does and takes all of it, so long runs are read once. A name that is
+#: itself assigned to (``a = b = ...``) is not taken as the literal: the match ends before it.
 PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_.\-])[0-9.\-]*+([A-Za-z_][A-Za-z0-9_.\-]*+)["']?\]?[ \t]*(?::=|=>|=(?!=)|:(?!//))[ \t]*(?:[A-Za-z]{0,2}"([^"\n]{1,4096})"|'([^'\n]{1,4096})'|([^\s"'`,;(){}\[\]<>#&|]{1,4096}))""",
+    r"""(?<![A-Za-z0-9_.\-])[0-9.\-]*+([A-Za-z_][A-Za-z0-9_.\-]*+)["']?\]?[ \t]*+"""
+    r"""(?::[ \t]*+[A-Za-z_][A-Za-z0-9_.]*+(?:[ \t]*+[\[|][^=:\n"']*+)?[ \t]*+(?:(?<=[ \t])=(?![=>])|=(?=[ \t]*+[A-Za-z]{0,2}["']))|:=|=>|=(?!=)|:(?!//))[ \t]*+"""
+    r"""(?:(?=[A-Za-z_][A-Za-z0-9_.\-]*+[ \t]*+=(?![=>]))|[A-Za-z]{0,2}"([^"\n]++)"|'([^'\n]++)'|([^\s"'`,;(){}\[\]<>#&|]++))""",
 )
+BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>#&|]++""")
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 OPERATOR_LINE = re.compile(r"[^\n]*[=:][^\n]*")
@@ -79,12 +83,33 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
+def _unquoted(chain: list[tuple[str, int]], text: str, end: int) -> Iterator[tuple[str, str, int, int, bool]]:
+    """Pairs of chained names (name, place of its value) without a quoted literal, last first, so names take over from later ones."""
+    found, covered = [], 0
+    for name, start in chain:
+        if start >= covered and (m := BARE.match(text, start, end)):
+            found.append((name, m[0], m.start(), m.end(), False))
+            covered = m.end()
+    yield from reversed(found)
+
+
 def pairs(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
-    """(name, value, start, end, quoted) in order, from the lines that hold an operator."""
+    """(name, value, start, end, quoted) in order, from the lines that hold an operator; chained names each have the literal."""
     for line in OPERATOR_LINE.finditer(text):
+        chain: list[tuple[str, int]] = []
         for m in PAIR.finditer(text, line.start(), line.end()):
-            group = next(g for g in (2, 3, 4) if m[g] is not None)
-            yield m[1], m[group], m.start(group), m.end(group), group != 4
+            if chain and m.start() != chain[-1][1]:
+                yield from _unquoted(chain, text, line.end())
+                chain = []
+            chain.append((m[1], m.end() if m.lastindex == 1 else m.start(m.lastindex)))
+            if m.lastindex == 1:
+                continue
+            if m.lastindex == 4:
+                yield from _unquoted(chain, text, line.end())
+            else:
+                yield from ((name, m[m.lastindex], m.start(m.lastindex), m.end(m.lastindex), True) for name, _ in chain)
+            chain = []
+        yield from _unquoted(chain, text, line.end())
 
 
 def named_spans(text: str) -> list[tuple[int, int, str]]:

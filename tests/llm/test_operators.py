@@ -129,6 +129,20 @@ def test_long_runs_are_read_once():
     assert time.process_time() - began < 20
 
 
+def test_secrets_of_any_length_after_types_and_in_chains():
+    key = "Ab3" * 3000
+    for text in (f'signing_key = "{key}"', f"signing_key: '{key}'", f"signing_key={key}"):
+        assert key not in secrets.redacted(text)
+    secret = "hunter2Hunter2"
+    for text in ('db_password: str = "S"', 'db_password: Optional[str] = "S"', 'db_password: str | None = "S"', 'signing_key: str="S"', 'a = signing_key = "S"', 'signing_key = a = "S"', 'signing_key=a="S"', "signing_key = a = S"):
+        assert secret not in secrets.redacted(text.replace("S", secret)), text
+    assert secrets.redacted("signing_key=abcD1234=efgh5678") == "signing_key=[secret]"
+    begun = time.perf_counter()
+    for part in ("a=", "a = ", "a: b = ", "a:b[", 'a="', "a|b:", "a = 'b", "a:b "):
+        secrets.secret_spans(part * 100_000)
+    assert time.perf_counter() - begun < 20
+
+
 # 3 nearest neighbours
 
 
