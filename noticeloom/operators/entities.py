@@ -21,7 +21,8 @@ SHORT_KINDS = ("price", "dayofweek")
 
 def matches(text: Column, kind: str) -> Column:
     """All matches of a kind, in order; except for prices and days, those of more than three bytes."""
-    found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+    pattern = PATTERNS[kind].replace(r"\b", "(?<![0-9A-Za-z_])")  # before digits; Java's own takes letters beyond ASCII as parts of words
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return found if kind in SHORT_KINDS else F.filter(found, lambda x: F.octet_length(x) > 3)
 
 

@@ -38,7 +38,7 @@ def query(sql: str | None = None):
 
 def _extracted(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = entities.extract(table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "~").alias("text")), kinds=(kind,))
+        found = entities.extract(table(spark, sf_dir, "documents"), kinds=(kind,))
         return found.select("doc_id", "ord", "value")
 
     return run

@@ -178,3 +178,17 @@ def test_sources(spark, tmp_path):
     assert "userimage" in store.attach(d, "userimage", F.lit("x").cast("binary")).where("doc_id = 'b'").first().attachments
     assert "attachments" not in store.serialized(d).first().json
     assert store.id_report(d).first().ids == "a,b" and files.document(d, "a", attachments=False).columns[-1] == "event_id"
+
+
+def test_extracts_come_from_the_unchanged_text(spark, tmp_path):
+    import re
+
+    from noticeloom.plans.queries import QUERIES
+
+    texts = ["Müllerstraße 12, 80331 München, Eintritt 12,50 € am 3. Mär 2018 um 20:30 Uhr, Samstag", "ü10 € – Große Bäckergasse 7; 50667 Köln-Süd", "info@köln.de, über www.köln.de und http://a-b.de/ä", "ä12345 Zürich", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for kind, pattern in entities.PATTERNS.items():
+        got = sorted(tuple(r) for r in QUERIES[f"extract_{kind}"](spark, str(tmp_path)).collect())
+        found = [[m[0] for m in re.finditer(pattern, t or "", re.A)] for t in texts]
+        want = [[v for v in vs if kind in entities.SHORT_KINDS or len(v.encode()) > 3] for vs in found]
+        assert got == [(i, k, v) for i, vs in enumerate(want) for k, v in enumerate(vs)], kind
