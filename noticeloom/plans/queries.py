@@ -334,10 +334,10 @@ def dictionary_counts(spark, sf_dir):
 
 @query()
 def transposition_distance(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.substring("p_name", 1, 9).alias("a")).distinct()
+    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).where("a IS NOT NULL").distinct()
     q = p.withColumnRenamed("a", "b")
-    pairs = p.join(q, F.substring("a", 1, 1) == F.substring("b", 1, 1))
-    return pairs.select("a", "b", fuzzy.transposition_distance(F.col("a"), F.col("b")).alias("distance"))
+    pairs = fuzzy.delete_index(p, "a").join(fuzzy.delete_index(q, "b"), "delete_key").select("a", "b").distinct()
+    return pairs.withColumn("distance", fuzzy.transposition_distance(F.col("a"), F.col("b"))).where(F.col("distance") <= fuzzy.MOST)
 
 
 @query()

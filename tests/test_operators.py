@@ -192,3 +192,14 @@ def test_extracts_come_from_the_unchanged_text(spark, tmp_path):
         found = [[m[0] for m in re.finditer(pattern, t or "", re.A)] for t in texts]
         want = [[v for v in vs if kind in entities.SHORT_KINDS or len(v.encode()) > 3] for vs in found]
         assert got == [(i, k, v) for i, vs in enumerate(want) for k, v in enumerate(vs)], kind
+
+
+def test_transposed_names_meet_whole(spark, tmp_path):
+    from noticeloom.plans.queries import QUERIES
+
+    names = ["abcdefghijklm", "bacdefghijklm", "abcdefghijkml", "badcefghijklm", "abcdefghixyzw", "ab", "ba"]
+    spark.createDataFrame([(n,) for n in [*names, None, "ab"]], "p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r.a, r.b): r.distance for r in QUERIES["transposition_distance"](spark, str(tmp_path)).collect()}
+    near = {(0, 1): 1, (0, 2): 1, (0, 3): 2, (1, 2): 2, (1, 3): 1, (5, 6): 1}
+    want = {(n, n): 0 for n in names} | {(names[i], names[j]): d for i, j in near for d in [near[i, j]]}
+    assert got == want | {(b, a): d for (a, b), d in want.items()}
