@@ -91,6 +91,13 @@ def orientation_tag(data: bytes | None) -> int:
     """Orientation (1 to 8) in a JPEG's EXIF header; -1 if there is none, -2 if it is no JPEG."""
     if not data or data[:2] != b"\xff\xd8":
         return -2
+    try:
+        return _exif_value(data)
+    except struct.error:  # the header is cut off
+        return -1
+
+
+def _exif_value(data: bytes) -> int:
     at = 2
     while at + 4 <= len(data):
         marker, size = struct.unpack_from(">HH", data, at)

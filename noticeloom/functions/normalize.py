@@ -13,7 +13,7 @@ from noticeloom.functions.text import let
 DAYS = {"mo": "Montag", "di": "Dienstag", "mi": "Mittwoch", "do": "Donnerstag", "fr": "Freitag", "sa": "Samstag", "so": "Sonntag"}
 # The first three letters of month names, and their numbers.
 MONTHS = [
-    ("jan", "01"), ("feb", "02"), ("mär", "03"), ("mar", "03"), ("apr", "04"), ("mai", "05"), ("may", "05"), ("jun", "06"), ("jul", "07"),
+    ("jan", "01"), ("feb", "02"), ("mar", "03"), ("mär", "03"), ("apr", "04"), ("mai", "05"), ("may", "05"), ("jun", "06"), ("jul", "07"),
     ("aug", "08"), ("sep", "09"), ("okt", "10"), ("oct", "10"), ("nov", "11"), ("dez", "12"), ("dec", "12"),
 ]
 
@@ -50,10 +50,10 @@ def _dated(d: Column, today: datetime.date, pivot: int) -> Column:
     coming = F.concat(month, day) >= F.lit(today.strftime("%m%d"))
     year = (
         F.when(n == 8, F.substring(d, 5, 4))
-        .when((n == 6) & ((yy.cast("int") > pivot) | (yy == "00")), F.concat(F.lit("20"), yy))
+        .when((n == 6) & ((yy.try_cast("int") > pivot) | (yy == "00")), F.concat(F.lit("20"), yy))
         .when((n == 4) & (day != "20"), F.when(coming, F.lit(f"{today.year:04d}")).otherwise(F.lit(f"{today.year + 1:04d}")))
     )
-    good = day.cast("int").between(1, 31) & month.cast("int").between(1, 12)
+    good = day.try_cast("int").between(1, 31) & month.try_cast("int").between(1, 12)
     return F.coalesce(F.when(good, F.concat(year, F.lit("-"), month, F.lit("-"), day)), F.lit(""))
 
 
@@ -120,10 +120,10 @@ def display_date(start: Column, all_day: Column) -> Column:
 
 
 def geocode_fields(response: Column) -> Column:
-    """Typed place from one geocoder hit as JSON text; the town is the best of its levels."""
+    """Typed place from one geocoder hit as JSON text; the town is the best of its levels, a house number counts with its road only."""
     g = lambda path: F.get_json_object(response, path)
     return F.struct(
-        g("$.lat").cast("double").alias("latitude"), g("$.lon").cast("double").alias("longitude"),
+        g("$.lat").try_cast("double").alias("latitude"), g("$.lon").try_cast("double").alias("longitude"),
         F.coalesce(g("$.address.city"), g("$.address.town"), g("$.address.village"), g("$.address.residential")).alias("city"),
         g("$.address.state").alias("region"), g("$.address.country").alias("country"), g("$.address.postcode").alias("postal_code"),
-        F.concat_ws(" ", g("$.address.road"), g("$.address.house_number")).alias("address"))
+        F.when(g("$.address.road").isNotNull(), F.concat_ws(" ", g("$.address.road"), g("$.address.house_number"))).otherwise(F.lit("")).alias("address"))

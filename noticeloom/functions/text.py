@@ -10,9 +10,9 @@ UMLAUTS = [("ä", "'a"), ("ö", "'o"), ("ü", "'u"), ("Ä", "'A"), ("Ö", "'O"),
 # Characters that a URL escapes; the percent sign comes first.
 URL_ESCAPES = [
     ("%", "%25"), (" ", "%20"), ("!", "%21"), ('"', "%22"), ("#", "%23"), ("$", "%24"), ("&", "%26"), ("'", "%27"), ("(", "%28"), (")", "%29"),
-    ("*", "%2a"), ("+", "%2b"), (",", "%2c"), ("/", "%2f"), (":", "%3a"), (";", "%3b"), ("<", "%3c"), ("=", "%3d"), (">", "%3e"), ("?", "%3f"),
-    ("@", "%40"), ("[", "%5b"), ("\\", "%5c"), ("]", "%5d"), ("{", "%7b"), ("}", "%7d"),
-    ("ä", "%c3%a4"), ("ö", "%c3%b6"), ("ü", "%c3%bc"), ("ß", "%c3%9f"),
+    ("*", "%2A"), ("+", "%2B"), (",", "%2C"), ("/", "%2F"), (":", "%3A"), (";", "%3B"), ("=", "%3D"), ("?", "%3F"), ("@", "%40"),
+    ("[", "%5B"), ("\\", "%5C"), ("]", "%5D"), ("{", "%7B"), ("|", "%7C"), ("}", "%7D"),
+    ("ä", "%C3%A4"), ("ö", "%C3%B6"), ("ü", "%C3%BC"), ("ß", "%C3%9F"),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
