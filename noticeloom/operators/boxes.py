@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -169,29 +170,25 @@ def alignment(winner: str, reading: str) -> list[str]:
     """What of a reading stands for each character of the winner.
 
     A character takes any stretch of the reading at a cost of 1 plus the stretch's distance from
-    one character, with a bonus of 5 where the characters after both agree. The cheapest end
-    within the last reached row is followed back."""
-    m, n = len(winner), len(reading)
-    far = float("inf")
-    table = [[0.0] * (n + 1), *([far] * (n + 1) for _ in range(m))]
-    char = lambda s, i: s[i] if i < len(s) else "\0"
-    for i in range(m):
-        for j in range(n + 1):
-            if table[i][j] == far:
-                continue
-            for k in range(n - j + 1):
-                cost = 1 + abs(k - 1) - (5 if k > 0 and char(reading, j + 1) == char(winner, i + 1) else 0)
-                table[i + 1][j + k] = min(table[i + 1][j + k], table[i][j] + cost)
-    out, last = [""] * m, n
-    for i in range(m, -1, -1):
-        row = table[i][: last + 1]
-        at = row.index(min(row))
-        if i < m:
-            out[i] = reading[at:last]
-        last = at
-    if m:
-        out[0] = reading[:last] + out[0] if last else out[0]
-    return out
+    one character, with a bonus of 5 where the characters after both agree. So a row's costs follow from
+    the one before: an empty stretch costs 2 and any other its length less the bonus at its start,
+    which is a running minimum. Stretches are read off backwards: each begins at the first of the
+    cheapest places in its row that are not behind the one before."""
+    if not winner:
+        return []
+    place = np.arange(len(reading) + 1)
+    after = np.array([*map(ord, reading[1:]), 0, 0][: len(place)])
+    costs = [np.zeros(len(place), np.int64)]
+    for follows in [*map(ord, winner[1:]), 0]:
+        starts = np.minimum.accumulate(costs[-1] - place - 5 * (after == follows))
+        row = costs[-1] + 2
+        row[1:] = np.minimum(row[1:], starts[:-1] + place[1:])
+        costs.append(row)
+    bounds = [len(reading)]
+    for row in reversed(costs):
+        bounds.append(int(row[: bounds[-1] + 1].argmin()))
+    bounds.reverse()
+    return [reading[s:e] for s, e in zip(bounds[:-2], bounds[1:-1], strict=True)]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

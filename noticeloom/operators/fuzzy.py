@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from noticeloom.functions.text import escape_umlauts
+
 MOST, SHARE = 2, 0.2
-#: Bytes up to which a dictionary's size lets it be broadcast.
-BROADCAST_ROWS = 200_000
 
 
 def dictionary(terms: DataFrame, term: str = "term", keys: tuple[str, ...] = ("dict_key", "subkey")) -> DataFrame:
@@ -65,20 +66,25 @@ def delete_index(terms: DataFrame, term: str = "term", most: int = MOST) -> Data
     return terms.select("*", F.explode(deletes(F.col(term), most)).alias("delete_key"))
 
 
-def fuzzy_join(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", most: int = MOST, nearest: bool = True, share: float | None = SHARE) -> DataFrame:
+def fuzzy_join(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", most: int = MOST, nearest: bool = True, share: float | None = SHARE,
+               costs: list[tuple[str, str, float]] | None = None) -> DataFrame:
     """texts with the terms within most edits, and distance: by default the nearest ones, if nearer than a share of the text.
 
-    Distinct texts are matched once and joined back."""
-    words = texts.select(F.lower(F.col(text)).alias("_w")).where("_w IS NOT NULL").distinct()
-    known = terms.select(F.col(term).alias("_t")).distinct()
+    Both sides are compared lower-cased and with German letters escaped, distinct texts once. With
+    costs, the candidates within most edits are measured by that table (cost_distance) instead."""
+    folded = lambda x: escape_umlauts(F.lower(x))
+    words = texts.select(folded(F.col(text)).alias("_w")).where("_w IS NOT NULL").distinct()
+    known = terms.select(folded(F.col(term)).alias("_t")).distinct()
     keys = delete_index(words, "_w", most).join(delete_index(known, "_t", most), "delete_key").select("_w", "_t").distinct()
     found = keys.withColumn("distance", F.levenshtein("_w", "_t", most)).where("distance >= 0")
+    if costs is not None:
+        found = cost_distance(found, costs, "_w", "_t")
     if nearest:
         found = found.withColumn("_least", F.min("distance").over(W.partitionBy("_w"))).where("distance = _least").drop("_least")
     if share is not None:
         found = found.where(F.col("distance") < share * F.char_length("_w"))
-    out = texts.withColumn("_k", F.lower(F.col(text))).join(found, F.col("_k") == F.col("_w")).drop("_k", "_w")
-    return out.join(terms, F.col("_t") == F.col(term)).drop("_t")
+    out = texts.withColumn("_k", folded(F.col(text))).join(found, F.col("_k") == F.col("_w")).drop("_k", "_w")
+    return out.join(terms, F.col("_t") == folded(F.col(term))).drop("_t")
 
 
 def suggestions(found: DataFrame, keys: tuple[str, ...], verbose: int = 1) -> DataFrame:
@@ -94,36 +100,77 @@ def push_to_base(found: DataFrame, boxes: DataFrame, keys: tuple[str, ...] = ("d
     return found.join(base, [*(found[k] == base[k] for k in keys), found["base_id"] == base["box_id"]]).select(*(base[k] for k in keys), "box_id", F.col("dict_key").alias("kind"), "subkey", F.col("term").alias("value")).distinct()
 
 
-def weighted_distance(a: str, b: str, costs: dict[tuple[str, str], float], longest: int) -> float:
-    """Edit distance whose steps replace up to longest characters by as many, at a table's cost or the longer one's length."""
-    far = float("inf")
-    table = [[far] * (len(b) + 1) for _ in range(len(a) + 1)]
-    table[0][0] = 0.0
-    for i in range(len(a) + 1):
-        for j in range(len(b) + 1):
-            here = table[i][j]
-            if here == far:
-                continue
-            for p in range(min(longest, len(a) - i) + 1):
-                for q in range(min(longest, len(b) - j) + 1):
+class CostTable:
+    """Costs of replacing short strings by others; what is not in the table costs the longer one's length, equal strings nothing."""
+
+    def __init__(self, costs: list[tuple[str, str, float]]):
+        self.longest = max([1, *(max(len(x), len(y)) for x, y, _ in costs)])
+        self.code = {c: i for i, c in enumerate(sorted({c for x, y, _ in costs for c in x + y}), 1)}  # 0: any other
+        base = self.base = len(self.code) + 1
+        number = lambda x: sum(self.code[c] * base**k for k, c in enumerate(reversed(x)))
+        tables: dict[tuple[int, int], dict[int, float]] = {}
+        for x, y, c in costs:
+            tables.setdefault((len(x), len(y)), {})[number(x) * base ** len(y) + number(y)] = c
+        self.tables = {k: (np.array(sorted(t)), np.array([t[x] for x in sorted(t)])) for k, t in tables.items()}
+
+    def prices(self, p: int, q: int, x: np.ndarray, y: np.ndarray, equal: np.ndarray) -> np.ndarray:
+        """What it costs to replace strings of length p by strings of length q (their codes, last character first)."""
+        out = np.full(len(equal), float(max(p, q)))
+        if (p, q) in self.tables:
+            known, cost = self.tables[p, q]
+            digits = [*x, *y]
+            whole = sum(d * self.base**k for d, k in zip(digits, [*range(q, q + p), *range(q)], strict=True))
+            at = np.minimum(np.searchsorted(known, whole), len(known) - 1)
+            hit = (known[at] == whole) & np.all([d > 0 for d in digits], axis=0)
+            out[hit] = cost[at[hit]]
+        if p == q:
+            out[equal] = 0.0
+        return out
+
+
+def weighted_distances(left: list[str], right: list[str], costs: CostTable) -> np.ndarray:
+    """Edit distances whose steps replace up to costs.longest characters by as many.
+
+    All pairs are worked on side by side: the cost of two prefixes is the least, over the strings that
+    they end in, of what stands before those and the price of replacing one by the other."""
+    n, m = max(map(len, left), default=0), max(map(len, right), default=0)
+    raw = [np.array([[ord(c) for c in s.ljust(k, "\0")] for s in words], np.int64).reshape(len(words), k).T for words, k in ((left, n), (right, m))]
+    codes = [np.vectorize(lambda c: costs.code.get(chr(c), 0), otypes=[np.int64])(r) if r.size else r for r in raw]
+    best = np.full((n + 1, m + 1, len(left)), np.inf)
+    best[0, 0] = 0.0
+    alike = np.zeros((n + 1, m + 1, len(left)), np.int64)  # length of the longest equal ends
+    for i in range(n + 1):
+        for j in range(m + 1):
+            if i and j:
+                alike[i, j] = np.where(raw[0][i - 1] == raw[1][j - 1], alike[i - 1, j - 1] + 1, 0)
+            for p in range(min(costs.longest, i) + 1):
+                for q in range(min(costs.longest, j) + 1):
                     if p or q:
-                        x, y = a[i : i + p], b[j : j + q]
-                        cost = 0.0 if x == y else costs.get((x, y), float(max(p, q)))
-                        table[i + p][j + q] = min(table[i + p][j + q], here + cost)
-    return table[-1][-1]
+                        price = costs.prices(p, q, codes[0][i - p : i][::-1], codes[1][j - q : j][::-1], alike[i, j] >= p)
+                        np.minimum(best[i, j], best[i - p, j - q] + price, out=best[i, j])
+    return best[[len(x) for x in left], [len(y) for y in right], np.arange(len(left))]
+
 
+#: Pairs that are worked on side by side.
+PAIRS = 1000
 
-def cost_distance(pairs: DataFrame, costs: list[tuple[str, str, float]], a: str = "a", b: str = "b") -> DataFrame:
-    """pairs with distance by a table of substitution costs (small, given as rows)."""
-    table = {(x, y): c for x, y, c in costs}
-    longest = max([1, *(max(len(x), len(y)) for x, y in table)])
+
+def cost_distance(pairs: DataFrame, costs: list[tuple[str, str, float]], a: str = "a", b: str = "b", name: str = "distance") -> DataFrame:
+    """pairs with their distance by a table of substitution costs (small, given as rows); null if either is."""
+    table = CostTable(costs)
 
     @F.pandas_udf("double")
     def distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for xs, ys in batches:
-            yield pd.Series([None if x is None or y is None else weighted_distance(x, y, table, longest) for x, y in zip(xs, ys, strict=True)], dtype="float64")
-
-    return pairs.withColumn("distance", distance(a, b))
+            out = np.full(len(xs), np.nan)
+            known = np.flatnonzero((xs.notna() & ys.notna()).to_numpy())
+            known = known[np.argsort([len(xs.iat[i]) + len(ys.iat[i]) for i in known], kind="stable")]
+            for start in range(0, len(known), PAIRS):
+                some = known[start : start + PAIRS]
+                out[some] = weighted_distances(xs.iloc[some].tolist(), ys.iloc[some].tolist(), table)
+            yield pd.Series(out).astype("Float64").mask(np.isnan(out))
+
+    return pairs.withColumn(name, distance(a, b))
 
 
 def transposition_distance(a: Column, b: Column) -> Column:

@@ -18,6 +18,7 @@ def setting(default, text: str):
 class Config:
     most_edits: int = setting(2, "most edits between a text and a dictionary's term")
     edit_share: float = setting(0.2, "edits must be fewer than this share of the text's length")
+    distance: str = setting("ocr", "how texts and terms are compared: ocr (by substitution costs) or plain")
     files_per_trigger: int = setting(5, "files that a stream takes at once")
     overlap_share: float = setting(0.8, "common area from which two boxes are readings of one text")
     sure: int = setting(80, "least confidence of times")

@@ -22,24 +22,25 @@ def merged_branches(rectified: DataFrame, original: DataFrame, config: Config =
     return both.withColumn("ord", (F.col("ord") * 2 + F.col("branch")).cast("int")).drop("branch")
 
 
-def spelled(boxes: DataFrame, terms: DataFrame, config: Config = Config()) -> DataFrame:
-    """(doc_id, ord, kind, subkey, value): dictionary terms near a box's text or a run of its words."""
+def spelled(boxes: DataFrame, terms: DataFrame, config: Config = Config(), costs: list[tuple[str, str, float]] | None = None) -> DataFrame:
+    """(doc_id, ord, kind, subkey, value): dictionary terms near a box's text or a run of its words, by a table
+    of substitution costs if the settings ask for that and one is given."""
     grams = B.box_ngrams(boxes).select("doc_id", "ord", F.col("ngram").alias("text"))
-    near = fuzzy_join(grams, terms, most=config.most_edits, share=config.edit_share)
+    near = fuzzy_join(grams, terms, most=config.most_edits, share=config.edit_share, costs=costs if config.distance == "ocr" else None)
     return near.select("doc_id", "ord", F.col("dict_key").alias("kind"), "subkey", F.col("term").alias("value")).distinct()
 
 
-def facts(boxes: DataFrame, terms: DataFrame | None = None, config: Config = Config()) -> DataFrame:
+def facts(boxes: DataFrame, terms: DataFrame | None = None, config: Config = Config(), costs: list[tuple[str, str, float]] | None = None) -> DataFrame:
     """Entities of boxes by patterns and, with a dictionary, by spelling."""
     found = extract(boxes.withColumnRenamed("ord", "box"), keys=("doc_id", "box")).select("doc_id", F.col("box").alias("ord"), "kind", F.lit(None).cast("string").alias("subkey"), "value")
-    return found if terms is None else found.unionByName(spelled(boxes, terms, config))
+    return found if terms is None else found.unionByName(spelled(boxes, terms, config, costs))
 
 
 def events(rectified: DataFrame, original: DataFrame | None, today: datetime.date, terms: DataFrame | None = None, gazetteer: DataFrame | None = None, hosts: DataFrame | None = None, config: Config = Config()) -> DataFrame:
     """Collate, vote, extract, spell and resolve."""
     collated = merged_branches(rectified, original, config) if original is not None else B.collate(rectified, config.overlap_share)
     voted = B.vote(collated)
-    return resolve(voted, facts(voted, terms, config), today, gazetteer, hosts, config.compat)
+    return resolve(voted, facts(voted, terms, config), today, gazetteer, hosts, config.compat, config.sure)
 
 
 def document_boxes(documents: DataFrame, text: str = "text") -> DataFrame:
