@@ -7,14 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def truthy(value: Column) -> Column:
-    """Whether a value counts as given: not null, and not an empty string, list or map."""
-    return value.isNotNull() & (value.cast("string") != "")
-
-
-def overlay_value(user: Column, server: Column) -> Column:
+def truthy(value: Column, kind: T.DataType = T.StringType()) -> Column:
+    """Whether a value counts as given: not null, and not an empty string or list, zero or false. Structs and maps always count."""
+    given = value.isNotNull()
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return given & (F.octet_length(value) > 0)
+    if isinstance(kind, T.ArrayType):
+        return given & (F.size(value) > 0)
+    if isinstance(kind, T.BooleanType):
+        return given & value
+    if isinstance(kind, T.NumericType):
+        return given & (value != 0)
+    return given
+
+
+def overlay_value(user: Column, server: Column, kind: T.DataType = T.StringType()) -> Column:
     """The user's value where it is given, else the server's."""
-    return F.when(truthy(user), user).otherwise(server)
+    return F.when(truthy(user, kind), user).otherwise(server)
 
 
 def _fields(df: DataFrame, column: str) -> list[T.StructField]:
@@ -24,7 +33,7 @@ def _fields(df: DataFrame, column: str) -> list[T.StructField]:
 def overlay_struct(df: DataFrame, user: str, server: str, name: str = "event") -> DataFrame:
     """df with a struct of each field's user value where given, else the server's."""
     own = {f.name for f in _fields(df, user)}
-    parts = [(overlay_value(F.col(user)[f.name], F.col(server)[f.name]) if f.name in own else F.col(server)[f.name]).alias(f.name) for f in _fields(df, server)]
+    parts = [(overlay_value(F.col(user)[f.name], F.col(server)[f.name], f.dataType) if f.name in own else F.col(server)[f.name]).alias(f.name) for f in _fields(df, server)]
     return df.withColumn(name, F.struct(*parts))
 
 

@@ -16,9 +16,9 @@ def is_edited(user_event: Column) -> Column:
 
 
 def flags(df: DataFrame, title: Column, address: Column, times: Column) -> DataFrame:
-    """df with has_title, has_address and has_times."""
+    """df with has_title, has_address and has_times; times is an array."""
     given = lambda c: F.coalesce(c.isNotNull() & (c.cast("string") != ""), F.lit(False))
-    return df.withColumns({"has_title": given(title), "has_address": given(address), "has_times": F.coalesce(times > 0, F.lit(False))})
+    return df.withColumns({"has_title": given(title), "has_address": given(address), "has_times": F.coalesce(F.size(times) > 0, F.lit(False))})
 
 
 def thirds(df: DataFrame) -> DataFrame:

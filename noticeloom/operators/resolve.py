@@ -28,7 +28,9 @@ def times_not_dates(times: DataFrame, dates: DataFrame, key: str = "doc_id") ->
 
 
 def confirmed_dates(dates: DataFrame, days: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Dates (key, date) whose weekday a document names (key, day): the first of each named day; all, if no day confirms any."""
+    """Dates (key, date) whose weekday a document names (key, day): the first of each named day; all, if no day confirms any.
+
+    Named days differ, so no two can take the same date and the first of each is what taking dates one by one gives."""
     found = dates.withColumn("day", N.weekday_of(F.col("date"))).join(days.select(key, "day").distinct(), [key, "day"]).groupBy(key, "day").agg(F.min("date").alias("date")).select(key, "date")
     rest = dates.join(found.select(key).distinct(), key, "left_anti")
     return found.unionByName(rest.select(key, "date"))
@@ -68,7 +70,7 @@ FACTS = ("date", "datetime", "dayofweek", "streetaddress", "city", "price")
 PLACE = {"latitude": "double", "longitude": "double", "city": "string", "region": "string", "country": "string", "postal_code": "string", "address": "string"}
 
 
-def gathered(entities: DataFrame, confidence: DataFrame, today: datetime.date, compat: bool = False, key: str = "doc_id") -> DataFrame:
+def gathered(entities: DataFrame, confidence: DataFrame, today: datetime.date, compat: bool = False, key: str = "doc_id", sure: int = SURE) -> DataFrame:
     """One row a document: its facts by kind in normal form, as sorted arrays. One shuffle, by document."""
     v, kind = F.col("value"), F.col("kind")
     rows = entities.join(confidence.select(key, "ord", "confidence"), [key, "ord"], "left")
@@ -77,7 +79,7 @@ def gathered(entities: DataFrame, confidence: DataFrame, today: datetime.date, c
     time = N.normal_time(v, compat)
     return rows.groupBy(key).agg(
         text("date", N.normal_date(v, today)).alias("dates"), text("dayofweek", N.day_name(v)).alias("days"),
-        some((kind == "datetime") & (F.col("confidence") >= SURE) & (time != ""), time).alias("clock"),
+        some((kind == "datetime") & (F.col("confidence") >= sure) & (time != ""), time).alias("clock"),
         text("url", N.normal_url(N.repair_url(v))).alias("urls"), some(kind == "price", N.ticket(v, compat)).alias("tickets"), text("artists").alias("artists"),
         some(kind == "streetaddress", F.struct("ord", v.alias("street"))).alias("streets"), some(kind == "city", F.struct("ord", v.alias("city"))).alias("cities"),
         some(kind == "location", F.struct("subkey", v.alias("venue"))).alias("locations"), some(kind.isin(*FACTS), F.col("ord")).alias("taken"))
@@ -103,7 +105,7 @@ def _town(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, r"^\d{5}", ""))
 
 
-def resolve(boxes: DataFrame, entities: DataFrame, today: datetime.date, gazetteer: DataFrame | None = None, hosts: DataFrame | None = None, compat: bool = False) -> DataFrame:
+def resolve(boxes: DataFrame, entities: DataFrame, today: datetime.date, gazetteer: DataFrame | None = None, hosts: DataFrame | None = None, compat: bool = False, sure: int = SURE) -> DataFrame:
     """One event record a document with boxes.
 
     boxes(doc_id, ord, text, confidence, x, y, width, height); entities(doc_id, ord, kind, subkey,
@@ -111,7 +113,7 @@ def resolve(boxes: DataFrame, entities: DataFrame, today: datetime.date, gazette
     doc_id. gazetteer(query, latitude, longitude, city, region, country, postal_code, address)
     stands for a geocoder, hosts(host) for name resolution."""
     key, none = "doc_id", F.array().cast(STRINGS)
-    facts = gathered(entities, boxes, today, compat)
+    facts = gathered(entities, boxes, today, compat, sure=sure)
     pool = complete(boxes).where((F.col("confidence") > 70) & ~is_garbage(F.col("text"), compat)).join(facts.select(key, "taken"), key, "left").where(~F.coalesce(F.array_contains("taken", F.col("ord")), F.lit(False)))
     out = boxes.select(key).distinct().join(facts, key, "left").join(titles(pool.drop("taken")), key, "left")
     out = out.withColumn("times", start_column(F.coalesce("dates", none), F.coalesce("days", none), F.coalesce("clock", none))).withColumn("lines", address_column("streets", "cities"))

@@ -124,9 +124,10 @@ def umlaut_roundtrip(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(escaped, 256).alias("escaped"), F.sha2(text.unescape_umlauts(escaped), 256).alias("back"))
 
 
+# each character with the code points of its UTF-8 bytes, which the SQL writes in hexadecimal
 _URL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-for _a, _b in text.URL_ESCAPES:
-    _URL = f"replace({_URL}, '{_a.replace(chr(39), chr(39) * 2)}', '{_b}')"
+for _c in "%" + " !#$&()*+,/:;=?@[\\]{|}\"'" + "äöüß":
+    _URL = f"replace({_URL}, '{_c.replace(chr(39), chr(39) * 2)}', '{''.join(f'%{x:02X}' for x in _c.encode())}')"
 
 
 @query(f"SELECT doc_id, sha256({_URL}) AS encoded FROM documents")
@@ -471,7 +472,7 @@ def quality_score(spark, sf_dir):
 
 def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return quality.flags(d, F.when(F.col("lang") != "de", F.col("lang")), F.when(F.col("quality") == 1, F.lit("x")), F.when(F.col("toxic").isNotNull(), F.lit(1)))
+    return quality.flags(d, F.when(F.col("lang") != "de", F.col("lang")), F.when(F.col("quality") == 1, F.lit("x")), F.when(F.col("toxic").isNotNull(), F.array("toxic")))
 
 
 @query("SELECT count(*) AS documents, count(*) FILTER (d.lang <> 'de') AS titles, count(*) FILTER (l.quality = 1) AS addresses, count(*) FILTER (l.toxic IS NOT NULL) AS dates FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -519,14 +520,14 @@ def replicate_subset(spark, sf_dir):
     return left.select("doc_id", "value")
 
 
-@query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id LIMIT 200")
+@query("SELECT event_id, event_type, row_number() OVER (ORDER BY ts DESC, event_id) AS place FROM events")
 def sort_created_desc(spark, sf_dir):
-    return table(spark, sf_dir, "events").orderBy(F.col("ts").desc(), "event_id").limit(200).select("event_id", "event_type")
+    return files.newest_first(table(spark, sf_dir, "events"), "ts", "event_id").select("event_id", "event_type", "place")
 
 
-@query("SELECT string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY CAST(doc_id AS VARCHAR)) AS ids FROM documents WHERE lang = 'es'")
+@query("SELECT doc_id // 1000 AS part, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM (SELECT DISTINCT doc_id FROM documents) GROUP BY 1")
 def feedback_report(spark, sf_dir):
-    return store.id_report(table(spark, sf_dir, "documents").where("lang = 'es'"))
+    return store.id_report(table(spark, sf_dir, "documents"))
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")

@@ -6,6 +6,7 @@ import json
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,8 +47,9 @@ def boxes_of(records: DataFrame, key: str = "doc_id", record: str = "record") ->
 
 
 def open_input(spark: SparkSession, documents: DataFrame, argument: str) -> DataFrame:
-    """A file's picture if the argument is a path that exists, else the document of that id."""
-    if os.path.exists(argument):
+    """A file's picture if the argument is a path that exists in its store, else the document of that id."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(argument)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return spark.read.format("binaryFile").load(argument).select(F.col("path").alias("filename"), "content")
     return document(documents, argument)
 
@@ -114,8 +116,18 @@ def posters_of_events(posters: DataFrame, events: DataFrame, selector, limit: in
     return posters.join(some, "event_id", "left_semi").orderBy("doc_id").limit(limit)
 
 
-def newest_first(documents: DataFrame, by: str = "created") -> DataFrame:
-    return documents.orderBy(F.col(by).desc())
+def newest_first(documents: DataFrame, by: str = "created", key: str = "doc_id", part: str = "minute") -> DataFrame:
+    """documents, newest first and then by key, with place, counted from 1; those without a time come last.
+
+    Rows are ranked within the minutes (or other parts) of their times; a part's first place follows
+    from the number of rows in the parts after it, a table with one row a part."""
+    rows = documents.withColumn("_part", F.date_trunc(part, by))
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy(F.col("_part").desc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col("_part").alias("_p"), before.alias("_before"))
+    rank = F.row_number().over(W.partitionBy("_part").orderBy(F.col(by).desc(), key))
+    placed = rows.withColumn("_rank", rank).join(offsets, F.col("_part").eqNullSafe(F.col("_p")))
+    return placed.select(*documents.columns, (F.col("_before") + F.col("_rank")).alias("place")).orderBy("place")
 
 
 def change_feed(spark: SparkSession, path: str, schema: T.StructType | str, files: int = 5) -> DataFrame:

@@ -83,6 +83,23 @@ def results(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named, named.select("doc_id", "event_id")
 
 
+def save_results(events: DataFrame, documents: Snapshots, records: Snapshots, best: str = "image") -> None:
+    """Put resolved documents into both stores: event records by their ids, then the documents' links to them.
+
+    A document gets its event's id, and its best picture (column best, where there is one) as an attachment."""
+    named, links = results(events)
+    rows = named.drop("rev", best).withColumn("rev", F.lit(None).cast("string"))
+    known = records.read()
+    records.write(rows.withColumn("rev", next_rev(F.col("rev"), *_contents(rows, "event_id"))) if known is None else upsert(known, rows.select(*known.columns), "event_id"))
+    held = documents.read()
+    if held is not None:
+        linked = held.drop("event_id").join(links, "doc_id").select(*held.columns)
+        if best in events.columns:
+            linked = linked.join(events.select("doc_id", best), "doc_id")
+            linked = linked.where(F.col(best).isNull()).unionByName(attach(linked.where(F.col(best).isNotNull()), "image", F.col(best))).select(*held.columns)
+        documents.write(upsert(held, linked))
+
+
 def created(pictures: DataFrame, thumb: Column, full: Column, now: Column, version: str = "0.2") -> DataFrame:
     """New posters of pictures(filename, ...): a name of their own, both pictures attached, no event yet."""
     one = lambda data: F.struct(F.lit("image/jpeg").alias("content_type"), data.alias("data"))
@@ -106,13 +123,17 @@ def serialized(df: DataFrame, images: bool = False, pretty: bool = False, name:
 
 
 def export_json(df: DataFrame, path: str) -> None:
-    """The rows as one JSON lines file, for copies of moderate size."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """The rows as JSON lines, a file for each partition."""
+    df.write.mode("overwrite").json(path)
 
 
-def id_report(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row: ids in order, joined by commas, for a message about chosen documents."""
-    return df.agg(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), ",").alias("ids"))
+def id_report(df: DataFrame, key: str = "doc_id", per_line: int = 1000) -> DataFrame:
+    """(part, ids): distinct ids in order, joined by commas. Parts are ranges of per_line whole numbers; other ids are dealt by hash, about per_line to a part."""
+    ids = df.select(key).where(F.col(key).isNotNull()).distinct()
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x.cast("string")), ",")
+    whole = dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
+    part = F.floor(F.col(key) / per_line) if whole else F.pmod(F.xxhash64(key), F.lit(ids.count() // per_line + 1))
+    return ids.groupBy(part.alias("part")).agg(line.alias("ids"))
 
 
 class Snapshots:
@@ -127,16 +148,38 @@ class Snapshots:
         where = self._path(f"{self.folder}/_current")
         return sorted(f.getPath().getName() for f in self._fs.listStatus(where)) if self._fs.exists(where) else []
 
-    def read(self) -> DataFrame | None:
-        found = self._pointers()
-        return self.spark.read.parquet(f"{self.folder}/{found[-1].split('.', 1)[1]}") if found else None
-
-    def write(self, df: DataFrame) -> None:
-        """Write a snapshot and then point to it; of two writers of one version the second fails."""
+    def version(self) -> int:
+        """Number of the newest version; 0 if there is none."""
         found = self._pointers()
-        number = int(found[-1].split(".", 1)[0]) + 1 if found else 1
+        return int(found[-1]) if found else 0
+
+    def read(self, version: int | None = None) -> DataFrame | None:
+        """The newest snapshot, or that of a version."""
+        number = self.version() if version is None else version
+        while number:
+            stream = self._fs.open(self._path(f"{self.folder}/_current/{number:08d}"))
+            try:
+                name = bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+            finally:
+                stream.close()
+            if name:
+                return self.spark.read.parquet(f"{self.folder}/{name}")
+            number -= 1  # the pointer is just being written
+        return None
+
+    def write(self, df: DataFrame, after: int | None = None) -> int:
+        """Write a snapshot and then point to it, as the version after the newest (or the given) one; returns its number.
+
+        A version's pointer is a file named by its number, made only if there is none: of two writers of
+        one version the second fails, and its snapshot is never read."""
+        number = (self.version() if after is None else after) + 1
         name = f"v{number:08d}-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.folder}/{name}")
-        if any(p.startswith(f"{number:08d}.") for p in self._pointers()):
-            raise RuntimeError(f"version {number} of {self.folder} was written meanwhile")
-        self._fs.create(self._path(f"{self.folder}/_current/{number:08d}.{name}"), False).close()
+        pointer = self._path(f"{self.folder}/_current/{number:08d}")
+        try:
+            out = self._fs.create(pointer, False)
+        except Exception as error:
+            raise RuntimeError(f"version {number} of {self.folder} was written meanwhile") from error
+        out.write(bytearray(name.encode()))
+        out.close()
+        return number

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from noticeloom.sources.store import Snapshots, upsert
+from noticeloom.sources.store import Snapshots, compare_and_set, upsert
 
 
 def unclaimed(documents: DataFrame) -> DataFrame:
@@ -24,21 +24,56 @@ def released(documents: DataFrame) -> DataFrame:
     return documents.withColumn("processed_by", F.lit(None).cast("string"))
 
 
+def updated(store: Snapshots, change: Callable[[DataFrame], DataFrame], tries: int = 5) -> DataFrame | None:
+    """Write change(what the store holds) as its next version, again from what it then holds if another writer was first; returns what was changed."""
+    for left in reversed(range(tries)):
+        version = store.version()
+        now = store.read(version)
+        if now is None:
+            return None
+        try:
+            store.write(change(now), after=version)
+            return now
+        except RuntimeError:
+            if not left:
+                raise
+    return None
+
+
+def claim(store: Snapshots, wanted: DataFrame, engine: str, key: str = "doc_id") -> DataFrame | None:
+    """Put an engine's name on those of the wanted documents that are free and whose revision is still the stored one; returns them."""
+    mine = lambda now: unclaimed(now).join(wanted.select(key, "rev"), [key, "rev"], "left_semi")
+    before = updated(store, lambda now: compare_and_set(now, claimed(mine(now), engine), key)[0])
+    return None if before is None else mine(before)
+
+
+def release(store: Snapshots, documents: DataFrame, engine: str, key: str = "doc_id") -> None:
+    """Take an engine's name off documents that it has claimed."""
+    updated(store, lambda now: upsert(now, released(now.where(F.col("processed_by") == engine).join(documents.select(key), key, "left_semi")), key))
+
+
 def processed(stream: DataFrame, work: Callable[[DataFrame], DataFrame], sink: Snapshots, checkpoint: str, key: str = "doc_id", dead: Snapshots | None = None, dry_run: bool = False,
-              interval: str | None = None) -> StreamingQuery:
+              interval: str | None = None, documents: Snapshots | None = None, engine: str | None = None) -> StreamingQuery:
     """Run work on each batch and put its rows into a store.
 
-    A batch that fails goes to the dead letters with its error, and the query fails if there are
-    none to take it. A batch that runs again puts in the same rows. dry_run writes nothing."""
+    With a store of documents and an engine's name, each batch first claims its documents there and works
+    on those that it got; a failure releases them. A batch that fails goes to the dead letters with its
+    error, and the query fails if there are none to take it. A batch that runs again puts in the same
+    rows. dry_run writes nothing."""
 
     def batch(df: DataFrame, number: int) -> None:
         df = df.persist()
+        got = None
         try:
-            out = work(df)
+            if documents is not None and not dry_run:
+                got = claim(documents, df, engine, key)
+            out = work(df if got is None else df.join(got.select(key), key, "left_semi"))
             if not dry_run:
                 now = sink.read()
                 sink.write(out if now is None else upsert(now, out, key))
         except Exception as error:
+            if got is not None:
+                release(documents, got, engine, key)
             if dead is None or dry_run:
                 raise
             letters = df.select(F.to_json(F.struct(*[c for c in df.columns if c not in ("images", "processed_by")])).alias("record"), F.lit(str(error)[:2000]).alias("error"), F.lit(number).alias("batch"))
