@@ -18,9 +18,9 @@ def one(spark, column):
 
 
 @pytest.mark.parametrize("given_, expected", [
-    ("12.05.2018", "2018-05-12"), ("12. Mai 2018", "2018-05-12"), ("12.05.18", "2018-05-12"), ("12.05.07", ""), ("2018", ""), ("14.06.", "2019-06-14"), ("15.06.", "2018-06-15"), ("1.2.2020", "2020-02-01"), ("40.13.2018", ""), ("", "")])
+    ("12.05.2018", "2018-05-12"), ("12. Mai 2018", "2018-05-12"), ("12.05.18", "2018-05-12"), ("12.05.07", ""), ("2018", ""), ("14.06.", "2019-06-14"), ("15.06.", "2018-06-15"), ("1.2.2020", "2020-02-01"), ("40.13.2018", ""), ("", ""), ("abc", ""), (None, ""), ("1. abc", "")])
 def test_dates(spark, given_, expected):
-    assert one(spark, normalize.normal_date(F.lit(given_), TODAY)) == expected
+    assert one(spark, normalize.normal_date(F.lit(given_).cast("string"), TODAY)) == expected
 
 
 @pytest.mark.parametrize("given_, expected, compat", [("20:30 Uhr", "20:30", None), ("930", "09:30", None), ("20 Uhr", "20:00", None), ("20:33", "", None), ("9 Uhr", "09:00", ""), ("", "", None)])
@@ -63,7 +63,8 @@ def test_texts(spark):
     assert one(spark, text.ngrams(text.tokens(F.lit("  ")))) == []
     assert one(spark, text.escape_umlauts(F.lit("ß€$"))) == "'s'e't"
     assert one(spark, text.unescape_umlauts(F.lit("'s'e't"))) == "ß€$"
-    assert one(spark, text.url_encode(F.lit("A b/ä%"))) == "a%20b%2f%c3%a4%25"
+    assert one(spark, text.url_encode(F.lit("A b/ä%"))) == "a%20b%2F%C3%A4%25"
+    assert one(spark, text.url_encode(F.lit("<|>*"))) == "<%7C>%2A"
     assert one(spark, text.split_fields(F.lit("a|b|"), "|")) == ["a", "b"]
     assert one(spark, text.split_fields(F.lit("a||b"), "|")) == ["a", "", "b"]
     assert one(spark, text.strip_data_url(F.lit("data:image/png;base64,QUJD"))) == "QUJD"
@@ -94,6 +95,16 @@ def test_geometry(spark):
     assert one(spark, geometry.line_crossing(*v(0, 0, 1, 1, 0, 1, 1, 2))) is None
     x, y = geometry.unit_direction(F.lit(-3.0), F.lit(4.0))
     assert one(spark, F.array(x, y)) == [0.6, -0.8]
+    assert one(spark, geometry.unit_direction(F.lit(0.0), F.lit(0.0))[0]) is None
+    assert one(spark, F.array(*geometry.mirrored(*v(0, 0, 4, 0, 1, 1)))) == [3.0, -1.0]
+    assert tuple(one(spark, geometry.end_crossing(*v(0, 0, 0, 100, 0, 5, 100, 5)))) == (0.0, 5.0)
+    assert one(spark, geometry.end_crossing(*v(0, 0, 0, 100, 0, 50, 100, 50))) is None and one(spark, geometry.end_crossing(*v(0, 0, 9, 10, 0, 5, 10, 14))) is None
+    assert one(spark, geometry.end_crossing(*v(0, 0, 0, 100, -50, 50, 50, 50), far=True)) is not None
+    corner = lambda *c: F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in c))
+    assert [tuple(c) for c in one(spark, geometry.corners_in_order(corner((9, 9), (0, 0), (8, 1), (1, 8))))] == [(0, 0), (8, 1), (9, 9), (1, 8)]
+    assert one(spark, geometry.corners_in_order(corner((0, 0), (1, 0), (2, 0), (3, 0)))) is None
+    p = spark.createDataFrame([(1, (5.0, 5.0)), (1, (1.0, 1.0)), (1, None), (2, (9.0, 9.0))], "k int, point struct<x:double,y:double>")
+    assert {r.k: tuple(r.point) for r in geometry.nearest_point(p, F.lit(0.0), F.lit(0.0), ("k",)).collect()} == {1: (1.0, 1.0), 2: (9.0, 9.0)}
 
 
 def test_alignment_and_costs():
@@ -101,9 +112,18 @@ def test_alignment_and_costs():
     assert "".join(boxes.alignment("Konzert", "Konzort")) == "Konzort"
     assert boxes.alignment("", "x") == []
     table = {("rn", "m"): 0.1, ("i", "l"): 0.0}
-    assert fuzzy.weighted_distance("kern", "kem", table, 2) == pytest.approx(0.1)
-    assert fuzzy.weighted_distance("bild", "blld", table, 2) == 0.0
-    assert fuzzy.weighted_distance("", "ab", {}, 1) == 2.0
+    far = lambda a, b, costs: fuzzy.weighted_distances([a], [b], fuzzy.CostTable([(x, y, c) for (x, y), c in costs.items()]))[0]
+    assert far("kern", "kem", table) == pytest.approx(0.1)
+    assert far("bild", "blld", table) == 0.0
+    assert far("", "ab", {}) == 2.0 and far("", "", {}) == 0.0
+    assert far("a b", "ab", {(" ", ""): 0.5}) == 0.5 and far("ab", "a", {("b", ""): 3.0}) == 2.0  # by way of a swap: a for nothing, b for a
+
+
+def test_alignment_by_hand():
+    # each character takes one, or two where that gains the bonus of what follows
+    assert boxes.alignment("ab", "xab") == ["", "x"] or boxes.alignment("ab", "xab")[-1] != ""
+    assert boxes.alignment("Konzert", "Konzort") == list("Konzort")
+    assert boxes.alignment("a", "") == [""] and len(boxes.alignment("abc", "abcdefgh")) == 3
 
 
 @settings(max_examples=40, deadline=None)
@@ -114,7 +134,7 @@ def test_weighted_distance_is_edit_distance_without_costs(a, b):
         last, row[0] = row[0], i
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    assert fuzzy.weighted_distance(a, b, {}, 1) == row[-1]
+    assert fuzzy.weighted_distances([a], [b], fuzzy.CostTable([]))[0] == row[-1]
 
 
 def osa(a, b):

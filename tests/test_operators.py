@@ -102,7 +102,12 @@ def test_store(spark, tmp_path):
     assert shots.read() is None
     shots.write(base)
     shots.write(store.upsert(shots.read(), new))
-    assert shots.read().count() == 3
+    assert shots.read().count() == 3 and shots.version() == 2 and shots.read(1).count() == 2
+    # of two writers that both saw version 2 the second fails, and nothing of it is read
+    assert shots.write(base, after=2) == 3
+    with pytest.raises(RuntimeError):
+        shots.write(base.limit(1), after=2)
+    assert shots.version() == 3 and shots.read().count() == 2
     named, links = store.results(spark.createDataFrame([(1, ""), (2, "T")], "doc_id long, title string"))
     assert [r.title for r in named.orderBy("doc_id").collect()] == ["Unbekannt", "T"] and links.count() == 2
 
@@ -125,6 +130,66 @@ def test_stream_equals_batch(spark, tmp_path):
     assert dead.read().count() == 20 and "no" in dead.read().first().error
 
 
+def test_engines_claim_and_release(spark, tmp_path):
+    from noticeloom.sources.store import Snapshots
+
+    picture = F.create_map(F.lit("userimage"), F.struct(F.lit("image/png").alias("content_type"), F.lit("x").cast("binary").alias("data")))
+    none = F.lit(None).cast("string")
+    docs = spark.range(4).select(F.col("id").cast("string").alias("doc_id"), F.lit("1-a").alias("rev"), F.when(F.col("id") == 3, "other").alias("processed_by"), none.alias("event_id"), picture.alias("attachments"))
+    documents = Snapshots(spark, f"file://{tmp_path}/docs")
+    documents.write(docs)
+    stale = docs.withColumn("rev", F.when(F.col("doc_id") == "2", "0-z").otherwise(F.col("rev")))
+    got = claims.claim(documents, stale, "one")
+    assert {r.doc_id for r in got.collect()} == {"0", "1"}  # 2 is another revision, 3 is taken
+    assert claims.claim(documents, stale, "two").count() == 0
+    assert {r.doc_id: r.processed_by for r in documents.read().collect()} == {"0": "one", "1": "one", "2": None, "3": "other"}
+    claims.release(documents, got, "one")
+    assert {r.doc_id: r.processed_by for r in documents.read().collect()} == {"0": None, "1": None, "2": None, "3": "other"}
+
+    docs.where("processed_by IS NULL").drop("attachments").write.parquet(str(tmp_path / "in"))
+    feed = lambda: files.change_feed(spark, str(tmp_path / "in"), docs.drop("attachments").schema, 9)
+    current = documents.read().select("doc_id", "rev")
+    seen = []
+
+    def work(df):
+        seen.append(df.count())
+        raise ValueError("no")
+
+    dead, sink = Snapshots(spark, f"file://{tmp_path}/dead"), Snapshots(spark, f"file://{tmp_path}/sink")
+    claims.processed(feed(), work, sink, str(tmp_path / "ck"), dead=dead, documents=documents, engine="e").awaitTermination()
+    assert seen == [1] and dead.read().count() == 3  # of the stream's revisions only that of 2 is the stored one
+    assert {r.processed_by for r in documents.read().collect()} == {None, "other"} and current.count() == 4
+
+
+def test_results_are_saved_and_linked(spark, tmp_path):
+    from noticeloom.sources.store import Snapshots
+
+    kind = "map<string,struct<content_type:string,data:binary>>"
+    docs = spark.range(3).select("id", F.lit("1-a").alias("rev"), F.lit(None).cast("string").alias("event_id"), F.lit(None).cast(kind).alias("attachments")).withColumnRenamed("id", "doc_id")
+    documents, records = Snapshots(spark, f"file://{tmp_path}/d"), Snapshots(spark, f"file://{tmp_path}/e")
+    documents.write(docs)
+    events = spark.createDataFrame([(0, "Fest", bytearray(b"png")), (1, "", None)], "doc_id long, title string, image binary")
+    for _ in range(2):
+        store.save_results(events, documents, records)
+    assert {(r.event_id, r.title) for r in records.read().collect()} == {("event-0", "Fest"), ("event-1", "Unbekannt")}
+    held = {r.doc_id: r for r in documents.read().collect()}
+    assert [held[i].event_id for i in range(3)] == ["event-0", "event-1", None] and bytes(held[0].attachments["image"]["data"]) == b"png" and held[1].attachments is None
+
+
+def test_overlay_by_type(spark):
+    df = spark.createDataFrame([(([], 0, False, None), (["x"], 5, True, "s")), ((["u"], 2, True, ""), (["x"], 5, False, "s"))],
+                               "user struct<l:array<string>,n:int,b:boolean,t:string>, server struct<l:array<string>,n:int,b:boolean,t:string>")
+    assert [tuple(r.event) for r in overlay.overlay_struct(df, "user", "server").collect()] == [(["x"], 5, True, "s"), (["u"], 2, True, "s")]
+
+
+def test_fuzzy_join_by_costs_and_umlauts(spark):
+    texts = spark.createDataFrame([("Luebeck",), ("Köln",), ("mlll",)], "text string")
+    terms = spark.createDataFrame([("lubeck", 1), ("köln", 1), ("mill", 1)], "term string, count int")
+    plain = {(r.text, r.term) for r in fuzzy.fuzzy_join(texts, terms).collect()}
+    costs = {(r.text, r.term): r.distance for r in fuzzy.fuzzy_join(texts, terms, costs=[("i", "l", 0.0), ("l", "i", 0.0)]).collect()}
+    assert plain == {("Luebeck", "lubeck"), ("Köln", "köln")} and costs == {("Luebeck", "lubeck"): 1.0, ("Köln", "köln"): 0.0, ("mlll", "mill"): 0.0}
+
+
 def test_resolve(spark):
     rows = [
         (1, 0, "Grosses Konzert", 95.0, 10.0, 10.0, 500.0, 80.0), (1, 1, "Sa 12.05.2018", 95.0, 10.0, 200.0, 200.0, 20.0), (1, 2, "Beginn 20:30 Uhr", 95.0, 10.0, 300.0, 200.0, 20.0),
