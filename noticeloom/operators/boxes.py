@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticeloom.functions.geometry import overlap_share, rectangles_touch
-from noticeloom.functions.text import ngrams, tokens
+from noticeloom.functions.text import let, ngrams, tokens
 
 BOX = "doc_id long, ord int, text string, confidence double, x double, y double, width double, height double"
 COMPLETE = ("text", "confidence", "x", "y", "width", "height")
@@ -104,25 +104,25 @@ def collate_boxes(rows: list[dict], least: float) -> list[dict]:
 def collate(boxes: DataFrame, least: float = 0.8) -> DataFrame:
     """boxes (see BOX) with near-equal readings merged, and replaces: what each winner stands for.
 
-    Order decides, so a document's boxes are one group; only documents with an overlapping pair are
-    grouped at all, the others pass through."""
+    Order decides, so a document's boxes are one group, in one shuffle; only documents with an overlapping
+    pair are handed to Python, the others pass through."""
     full = complete(boxes).select("doc_id", F.col("ord").cast("int").alias("ord"), "text", *(F.col(c).cast("double").alias(c) for c in COMPLETE[1:]))
-    some = overlap_pairs(full, least).select("doc_id").distinct()
-    schema = BOX + ", replaces array<struct<text:string,confidence:double>>"
-
-    kinds = {c.split()[0]: c.split()[1] for c in BOX.split(", ")}
-    members = [c for c in kinds if c != "doc_id"]
+    members = [c.split()[0] for c in BOX.split(", ") if not c.startswith("doc_id")]
+    kind = dict(boxes.dtypes)["doc_id"]
+    schema = BOX.replace("doc_id long", f"doc_id {kind}") + ", replaces array<struct<text:string,confidence:double>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [r | {"doc_id": d} for d, boxes in zip(batch.column("doc_id").to_pylist(), batch.column("boxes").to_pylist(), strict=True) for r in collate_boxes(boxes, least)]
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("ord", pa.int32()), ("text", pa.string()), *((c, pa.float64()) for c in COMPLETE[1:]),
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", batch.schema.field("doc_id").type), ("ord", pa.int32()), ("text", pa.string()), *((c, pa.float64()) for c in COMPLETE[1:]),
                                                                   ("replaces", pa.list_(pa.struct([("text", pa.string()), ("confidence", pa.float64())])))]))
 
-    documents = full.join(some, "doc_id", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*members))).alias("boxes"))
-    merged = documents.mapInArrow(run, schema)
-    rest = full.join(some, "doc_id", "left_anti").withColumn("replaces", F.array().cast("array<struct<text:string,confidence:double>>"))
+    sides = lambda a, b: (a[c] for x in (a, b) for a, c in ((x, "x"), (x, "y"), (x, "width"), (x, "height")))
+    meets = lambda rows: F.exists(rows, lambda a: F.exists(rows, lambda b: (a["ord"] < b["ord"]) & (overlap_share(*sides(a, b)) > least)))
+    documents = full.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*members))).alias("boxes")).withColumn("meets", meets(F.col("boxes")))
+    merged = documents.where("meets").select("doc_id", "boxes").mapInArrow(run, schema)
+    rest = documents.where("NOT meets").select("doc_id", F.explode("boxes").alias("b")).select("doc_id", "b.*").withColumn("replaces", F.array().cast("array<struct<text:string,confidence:double>>"))
     return merged.unionByName(rest)
 
 
@@ -149,12 +149,32 @@ def without_overlaps(boxes: DataFrame, key: str = "doc_id", order: str = "ord")
     return boxes.join(gone, [key, order], "left_anti")
 
 
+#: Members of a box that may be a title, in the order by which boxes are compared.
+TITLE_BOX = ("area", "ord", "confidence", "x", "y", "width", "height", "text")
+
+
+def title_boxes(boxes: DataFrame, key: str = "doc_id", order: str = "ord") -> DataFrame:
+    """(key, pool): the boxes of each document as one array."""
+    box = F.struct((F.col("width") * F.col("height")).alias("area"), F.col(order).alias("ord"), *TITLE_BOX[2:])
+    return boxes.groupBy(key).agg(F.collect_list(box).alias("pool"))
+
+
+def title_of(pool: Column) -> Column:
+    """(title, description) of an array of boxes: the five largest (see largest and without_overlaps) by
+    distance from the origin; the first is the title, the others the description."""
+    first_of_area = lambda rows: F.filter(rows, lambda x, i: (i == 0) | (x["area"] != F.get(rows, i - 1)["area"]))
+    sides = lambda a: (a["x"], a["y"], a["width"], a["height"])
+    beaten = lambda a, b: ((a["ord"] < b["ord"]) & (a["confidence"] <= b["confidence"])) | ((a["ord"] > b["ord"]) & (a["confidence"] < b["confidence"]))
+    left = lambda rows: F.filter(rows, lambda a: ~F.exists(rows, lambda b: beaten(a, b) & rectangles_touch(*sides(a), *sides(b))))
+    place = lambda a: F.struct((a["x"] * a["x"] + a["y"] * a["y"]).alias("d"), a["ord"].alias("ord"), a["text"].alias("text"))
+    five = let(F.sort_array(pool, asc=False), lambda rows: F.filter(F.slice(first_of_area(rows), 1, 5), lambda x: ~has_triple(x["text"])))
+    ordered = let(five, lambda rows: F.array_sort(F.transform(left(rows), place)))
+    return let(ordered, lambda s: F.when(F.size(s) > 0, F.struct(F.get(s, F.lit(0))["text"].alias("title"), F.array_join(F.transform(F.slice(s, 2, 5), lambda x: x["text"]), "\n").alias("description"))))
+
+
 def titles(boxes: DataFrame, key: str = "doc_id", order: str = "ord") -> DataFrame:
-    """(key, title, description): the five largest boxes by distance from the origin; the first is the title, the others the description."""
-    top = without_overlaps(largest(boxes, 5, key, order).where(~has_triple(F.col("text"))), key, order)
-    place = F.struct((F.col("x") * F.col("x") + F.col("y") * F.col("y")).alias("d"), F.col(order), F.col("text"))
-    sorted_ = F.array_sort(F.collect_list(place))
-    return top.groupBy(key).agg(sorted_.alias("s")).select(key, F.element_at("s", 1)["text"].alias("title"), F.array_join(F.transform(F.slice("s", 2, 5), lambda x: x["text"]), "\n").alias("description"))
+    """(key, title, description) of the documents that have a title."""
+    return title_boxes(boxes, key, order).select(key, title_of(F.col("pool")).alias("t")).where("t IS NOT NULL").select(key, "t.title", "t.description")
 
 
 def box_ngrams(boxes: DataFrame, key: tuple[str, ...] = ("doc_id", "ord"), text: str = "text") -> DataFrame:

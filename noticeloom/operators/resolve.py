@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from noticeloom.functions import normalize as N
 from noticeloom.functions.text import let
-from noticeloom.operators.boxes import complete, is_garbage, titles
+from noticeloom.operators.boxes import COMPLETE, is_garbage, title_boxes, title_of
 
 SURE, VERSION = 80, "0.2"
 
@@ -70,10 +70,12 @@ FACTS = ("date", "datetime", "dayofweek", "streetaddress", "city", "price")
 PLACE = {"latitude": "double", "longitude": "double", "city": "string", "region": "string", "country": "string", "postal_code": "string", "address": "string"}
 
 
-def gathered(entities: DataFrame, confidence: DataFrame, today: datetime.date, compat: bool = False, key: str = "doc_id", sure: int = SURE) -> DataFrame:
-    """One row a document: its facts by kind in normal form, as sorted arrays. One shuffle, by document."""
+def gathered(entities: DataFrame, boxes: DataFrame, today: datetime.date, compat: bool = False, key: str = "doc_id", sure: int = SURE) -> DataFrame:
+    """One row a document: its facts by kind in normal form, as sorted arrays. One shuffle, by document.
+
+    Entities have the confidence of their boxes (facts() gives it); where they do not, it is joined."""
     v, kind = F.col("value"), F.col("kind")
-    rows = entities.join(confidence.select(key, "ord", "confidence"), [key, "ord"], "left")
+    rows = entities if "confidence" in entities.columns else entities.join(boxes.select(key, "ord", "confidence"), [key, "ord"], "left")
     some = lambda of, form=v: F.array_sort(F.collect_set(F.when(of, form)))
     text = lambda name, form=v: some((kind == name) & (form != ""), form)
     time = N.normal_time(v, compat)
@@ -114,8 +116,15 @@ def resolve(boxes: DataFrame, entities: DataFrame, today: datetime.date, gazette
     stands for a geocoder, hosts(host) for name resolution."""
     key, none = "doc_id", F.array().cast(STRINGS)
     facts = gathered(entities, boxes, today, compat, sure=sure)
-    pool = complete(boxes).where((F.col("confidence") > 70) & ~is_garbage(F.col("text"), compat)).join(facts.select(key, "taken"), key, "left").where(~F.coalesce(F.array_contains("taken", F.col("ord")), F.lit(False)))
-    out = boxes.select(key).distinct().join(facts, key, "left").join(titles(pool.drop("taken")), key, "left")
+    # a document's boxes are one array, next to its facts
+    may = F.lit(True)
+    for c in COMPLETE:
+        may &= F.col(c).isNotNull()
+    may &= (F.col("confidence") > 70) & ~is_garbage(F.col("text"), compat)
+    marked = boxes.withColumns({c: F.when(may, F.col(c)) for c in COMPLETE})
+    out = title_boxes(marked, key).join(facts, key, "left")
+    free = F.filter("pool", lambda x: x["area"].isNotNull() & ~F.coalesce(F.array_contains("taken", x["ord"]), F.lit(False)))
+    out = out.withColumn("t", title_of(free)).select("*", "t.title", "t.description").drop("pool", "t")
     out = out.withColumn("times", start_column(F.coalesce("dates", none), F.coalesce("days", none), F.coalesce("clock", none))).withColumn("lines", address_column("streets", "cities"))
     if hosts is not None:
         urls = reachable(out.select(key, F.explode("urls").alias("url")), hosts).groupBy(key).agg(F.array_sort(F.collect_set("url")).alias("urls"))

@@ -23,16 +23,16 @@ def merged_branches(rectified: DataFrame, original: DataFrame, config: Config =
 
 
 def spelled(boxes: DataFrame, terms: DataFrame, config: Config = Config(), costs: list[tuple[str, str, float]] | None = None) -> DataFrame:
-    """(doc_id, ord, kind, subkey, value): dictionary terms near a box's text or a run of its words, by a table
+    """(doc_id, ord, confidence, kind, subkey, value): dictionary terms near a box's text or a run of its words, by a table
     of substitution costs if the settings ask for that and one is given."""
-    grams = B.box_ngrams(boxes).select("doc_id", "ord", F.col("ngram").alias("text"))
+    grams = B.box_ngrams(boxes).select("doc_id", "ord", "confidence", F.col("ngram").alias("text"))
     near = fuzzy_join(grams, terms, most=config.most_edits, share=config.edit_share, costs=costs if config.distance == "ocr" else None)
-    return near.select("doc_id", "ord", F.col("dict_key").alias("kind"), "subkey", F.col("term").alias("value")).distinct()
+    return near.select("doc_id", "ord", "confidence", F.col("dict_key").alias("kind"), "subkey", F.col("term").alias("value")).distinct()
 
 
 def facts(boxes: DataFrame, terms: DataFrame | None = None, config: Config = Config(), costs: list[tuple[str, str, float]] | None = None) -> DataFrame:
-    """Entities of boxes by patterns and, with a dictionary, by spelling."""
-    found = extract(boxes.withColumnRenamed("ord", "box"), keys=("doc_id", "box")).select("doc_id", F.col("box").alias("ord"), "kind", F.lit(None).cast("string").alias("subkey"), "value")
+    """Entities of boxes by patterns and, with a dictionary, by spelling; each with its box's confidence."""
+    found = extract(boxes.withColumnRenamed("ord", "box"), keys=("doc_id", "box", "confidence")).select("doc_id", F.col("box").alias("ord"), "confidence", "kind", F.lit(None).cast("string").alias("subkey"), "value")
     return found if terms is None else found.unionByName(spelled(boxes, terms, config, costs))
 
 
