@@ -567,3 +567,187 @@ def first_places(spark, sf_dir):
     clicks = table(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("user_id").alias("doc_id"), "event_id")
     placed = clicks.withColumn("event_ord", F.row_number().over(W.partitionBy("doc_id").orderBy("event_id")))
     return placed.groupBy("doc_id").agg(F.min("event_ord").cast("long").alias("first_place"), F.count("*").alias("n"))
+
+
+# further operators
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN '' WHEN p_size % 4 = 1 THEN '2018-' || lpad(CAST(p_size % 12 + 1 AS VARCHAR), 2, '0') || '-05' ELSE '' END AS date FROM part""")
+def normalize_odd_dates(spark, sf_dir):
+    """Dates among texts without digits, empty and null ones."""
+    p = table(spark, sf_dir, "part")
+    m = F.col("p_size") % 4
+    shown = F.when(m == 0, F.col("p_name")).when(m == 1, F.concat(F.lit("am 5."), (F.col("p_size") % 12 + 1).cast("string"), F.lit(".2018"))).when(m == 2, F.lit(""))
+    return p.select("p_partkey", normalize.normal_date(shown, TODAY).alias("date"))
+
+
+@query("""SELECT p_partkey, p_brand || '/' || replace(p_name, ' ', '') AS joined, 3 AS n, CAST(p_size AS VARCHAR) AS third FROM part""")
+def split_records(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumn("line", F.concat_ws("|", "p_brand", "p_name", F.col("p_size").cast("string"), F.lit("")))
+    parts = text.split_fields(F.col("line"), "|")
+    return p.select("p_partkey", F.concat(parts[0], F.lit("/"), text.without_spaces(parts[1])).alias("joined"), F.size(parts).alias("n"), parts[2].alias("third"))
+
+
+@query("""SELECT c_custkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS name
+FROM (SELECT c_custkey, sha256(c_name || chr(31) || c_mktsegment) AS h FROM customer)""")
+def record_names(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", text.record_id(F.col("c_name"), F.col("c_mktsegment")).alias("name"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%d.%m.%Y') ELSE strftime(o_orderdate, '%d.%m.%Y, %H:%M') || ' Uhr' END AS shown,
+ CASE WHEN o_orderkey % 3 = 0 THEN 'T' || chr(10) || o_orderpriority ELSE 'T' END AS note, 'geo://0,0?q=' || CAST(o_custkey AS VARCHAR) || ',1(' || o_orderstatus || ')' AS uri FROM orders""")
+def shown_events(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    note = text.event_text(F.lit("T"), F.lit(""), F.lit(None).cast("string"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")))
+    return o.select("o_orderkey", normalize.display_date(F.col("o_orderdate"), F.col("o_orderkey") % 2 == 0).alias("shown"), note.alias("note"), text.geo_uri(F.col("o_custkey"), F.lit(1), F.col("o_orderstatus")).alias("uri"))
+
+
+@query("""SELECT p_partkey, NOT (strlen(t) < 2 OR c < 51 OR strlen(t) = 2 AND t[1] = t[2] OR strlen(t) < 4 AND c < 60 OR len(regexp_replace(t, '[^ilI]', '', 'g')) > (strlen(t) + 1) // 2) AS kept
+FROM (SELECT p_partkey, left(replace(p_name, 'e', 'l'), CAST(p_partkey % 7 AS INTEGER)) AS t, p_size * 2 AS c FROM part)""")
+def box_acceptance(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.substring(F.replace("p_name", F.lit("e"), F.lit("l")), F.lit(1), (F.col("p_partkey") % 7).cast("int")).alias("t"), (F.col("p_size") * 2).alias("c"))
+    return p.select("p_partkey", boxes.acceptable(F.col("t"), F.col("c")).alias("kept"))
+
+
+@query(f"""WITH {_BOXES_SQL}, facts AS (SELECT DISTINCT doc_id, ord FROM boxes WHERE ord % 3 = 0)
+SELECT b.doc_id, b.ord FROM boxes b LEFT JOIN facts f ON b.doc_id = f.doc_id AND b.ord = f.ord WHERE b.confidence > 70 AND f.ord IS NULL""")
+def title_candidates(spark, sf_dir):
+    b = _boxes(spark, sf_dir)
+    found = b.where("ord % 3 = 0").select("doc_id", "ord", F.lit("date").alias("kind"), F.lit("x").alias("value")).unionByName(b.select("doc_id", "ord", F.lit("url").alias("kind"), F.lit("x").alias("value")))
+    return boxes.title_pool(b, found).select("doc_id", "ord")
+
+
+@query(f"""WITH {_SPELL_SQL}, f AS (SELECT t.p_partkey, p.term, p.d, n.n FROM texts t JOIN pairs p ON t.t = p.t JOIN terms n ON n.term = p.term)
+SELECT p_partkey, term, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY n DESC, term) AS INTEGER) AS by_count, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY 2 * d - n, term) AS INTEGER) AS by_both FROM f""")
+def ranked_suggestions(spark, sf_dir):
+    texts, terms = _misspelled(spark, sf_dir)
+    found = fuzzy.fuzzy_join(texts, terms, nearest=False, share=None).select("p_partkey", "term", "distance", "count")
+    both = fuzzy.suggestions(found, ("p_partkey",), 2).select("p_partkey", "term", F.col("rank").alias("by_both"))
+    return fuzzy.suggestions(found, ("p_partkey",), 1).withColumnRenamed("rank", "by_count").join(both, ["p_partkey", "term"]).select("p_partkey", "term", "by_count", "by_both")
+
+
+@query("""SELECT l_orderkey AS doc_id, l_linenumber AS box_id, 'city' AS kind, CAST(NULL AS VARCHAR) AS subkey, l_returnflag AS value FROM lineitem GROUP BY ALL""")
+def suggestions_of_bases(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    held = li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("box_id")).distinct()
+    found = li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("base_id"), F.lit("city").alias("dict_key"), F.lit(None).cast("string").alias("subkey"), F.col("l_returnflag").alias("term"))
+    return fuzzy.push_to_base(found, held)
+
+
+@query("""SELECT c_custkey AS doc_id, n_name || ' am See' AS place_city, n_name AS city FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 2 = 0""")
+def city_of_place(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    places = c.select(F.col("c_custkey").alias("doc_id"), F.when(F.col("c_custkey") % 2 == 0, F.concat("n_name", F.lit(" am See"))).otherwise("x").alias("place_city"))
+    return resolve.city_matches(places, c.select(F.col("c_custkey").alias("doc_id"), F.upper("n_name").alias("city"))).select("doc_id", "place_city", F.col("city"))
+
+
+@query("""SELECT c_custkey, c_custkey % 3 = 0 AS processed, c_custkey % 4 = 0 AS edited FROM customer""")
+def edit_state(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    user = F.struct(F.when(F.col("c_custkey") % 4 == 0, F.col("c_name")).alias("title"))
+    return c.select("c_custkey", quality.is_processed(F.when(F.col("c_custkey") % 3 == 0, F.col("c_name"))).alias("processed"), quality.is_edited(F.when(F.col("c_custkey") % 8 != 5, user)).alias("edited"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE 'old|new' END AS added, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE c_mktsegment END AS cut FROM customer""")
+def edited_lists(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    held = F.when(F.col("c_custkey") % 2 == 1, F.array(F.lit("old")))
+    two = F.when(F.col("c_custkey") % 2 == 1, F.array(F.lit("gone"), F.col("c_mktsegment"))).otherwise(F.array(F.lit("gone")))
+    rows = overlay.without_keys(c.withColumn("e", F.struct(F.lit(1).alias("a"), overlay.removed_at(two, 0).alias("b"))), "e", "a")
+    return rows.select("c_custkey", F.array_join(overlay.appended(held, F.lit("new")), "|").alias("added"), F.array_join("e.b", "|").alias("cut"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 10 THEN CAST(l_partkey % 50 AS DOUBLE) END AS x, CASE WHEN l_quantity > 10 THEN CAST(l_suppkey % 40 AS DOUBLE) END AS y, CAST(l_suppkey % 7 + 5 - l_partkey % 9 AS DOUBLE) AS mirrored FROM lineitem""")
+def line_crossings(spark, sf_dir):
+    """Where an upright line crosses a level one, unless the latter is a point."""
+    li = table(spark, sf_dir, "lineitem")
+    x, y, v = (F.col("l_partkey") % 50).cast("double"), (F.col("l_suppkey") % 40).cast("double"), lambda n: F.lit(float(n))
+    far = F.when(F.col("l_quantity") > 10, 100.0).otherwise(0.0)
+    crossing = geometry.square_crossing(x, v(0), x, v(90), v(0), y, far, y)
+    back = geometry.mirrored((F.col("l_suppkey") % 7).cast("double"), v(0), v(5), v(0), (F.col("l_partkey") % 9).cast("double"), v(0))[0]
+    return li.select("l_orderkey", "l_linenumber", crossing.alias("c"), back.alias("mirrored")).select("l_orderkey", "l_linenumber", "c.x", "c.y", "mirrored")
+
+
+@query("""WITH p AS (SELECT l_orderkey, CAST(l_partkey % 100 AS DOUBLE) AS x, CAST(l_suppkey % 100 AS DOUBLE) AS y FROM lineitem)
+SELECT l_orderkey, x, y FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY (x - 30) * (x - 30) + (y - 40) * (y - 40), x, y) AS r FROM p) WHERE r = 1""")
+def nearest_crossing(spark, sf_dir):
+    p = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct((F.col("l_partkey") % 100).cast("double").alias("x"), (F.col("l_suppkey") % 100).cast("double").alias("y")).alias("point"))
+    return geometry.nearest_point(p, F.lit(30.0), F.lit(40.0), ("l_orderkey",)).select("l_orderkey", "point.x", "point.y")
+
+
+@query("""SELECT p_partkey, '0,0 ' || s || ',1 ' || s || ',9 1,8' AS corners FROM (SELECT p_partkey, CAST(p_size + 5 AS VARCHAR) AS s FROM part)""")
+def ordered_corners(spark, sf_dir):
+    c = lambda x, y: F.struct(x.cast("double").alias("x"), F.lit(float(y)).alias("y"))
+    s = F.col("p_size") + 5
+    four = geometry.corners_in_order(F.array(c(s, 9), c(F.lit(1), 8), c(F.lit(0), 0), c(s, 1)))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(four, lambda p: F.concat_ws(",", p["x"].cast("int").cast("string"), p["y"].cast("int").cast("string"))), " ").alias("corners"))
+
+
+@query("""SELECT r_name || '|' || n_name || '|' || CAST(n_nationkey / 4.0 AS VARCHAR) AS value FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 = 2""")
+def cost_records(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).where("n_nationkey % 4 = 2")
+    return fuzzy.cost_lines(n.select(F.col("r_name").alias("a"), F.col("n_name").alias("b"), (F.col("n_nationkey") / 4).alias("cost")))
+
+
+@query("""SELECT event_id, event_id % 3 = 1 AS failed, CASE WHEN event_id % 3 = 0 THEN json_extract_string(props, '$.k') END AS k FROM events""")
+def parsed_props(spark, sf_dir):
+    m = F.col("event_id") % 3
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(m == 0, F.col("props")).when(m == 1, F.lit("{no json")).alias("json"))
+    return files.parsed_records(rows, schema="k STRING").select("event_id", "failed", "record.k")
+
+
+@query("SELECT o_orderkey AS doc_id, '1-' || o_orderstatus AS rev, o_orderpriority AS value FROM orders WHERE o_orderkey = 5 AND o_orderstatus = (SELECT o_orderstatus FROM orders WHERE o_orderkey = 5)")
+def document_of_revision(spark, sf_dir):
+    o = _orders(spark, sf_dir)
+    rev = o.where("doc_id = 5").first()
+    return files.document(o, 5, rev["rev"] if rev else None).select("doc_id", "rev", "value")
+
+
+@query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 4 = 0 THEN 'event-' || o_orderkey WHEN o_orderkey % 4 = 1 THEN 'kept' ELSE 'event-' || o_orderkey END AS event_id, CASE WHEN o_orderkey % 2 = 0 THEN 'Unbekannt' ELSE o_orderpriority END AS title FROM orders")
+def event_records(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    m = F.col("o_orderkey") % 4
+    made = o.select(F.col("o_orderkey").alias("doc_id"), F.when(m == 1, "kept").alias("event_id"), F.when(m == 0, F.lit("")).when(m % 2 == 1, F.col("o_orderpriority")).alias("title"))
+    named, links = store.results(made)
+    return links.join(named.select("doc_id", "title"), "doc_id")
+
+
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 6 = 0 THEN 'set' ELSE o_orderpriority END AS value, CASE WHEN o_orderkey % 6 = 0 THEN 2 ELSE 1 END AS revs FROM orders""")
+def updated_field(spark, sf_dir):
+    o = _orders(spark, sf_dir)
+    changed = store.update_field(o, o.where("doc_id % 6 = 0").select("doc_id", F.lit("set").alias("value")), "value")
+    return changed.select("doc_id", "value", F.substring_index("rev", "-", 1).cast("int").alias("revs"))
+
+
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'png|' || md5(o_orderpriority) ELSE 'jpeg|' || md5(o_orderstatus) END AS held FROM orders""")
+def attached_pictures(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderstatus", "o_orderpriority")
+    first = F.create_map(F.lit("image"), F.struct(F.lit("jpeg").alias("content_type"), F.col("o_orderstatus").cast("binary").alias("data")))
+    rows = o.withColumn("attachments", first)
+    put = store.attach(rows.where("doc_id % 2 = 0"), "image", F.col("o_orderpriority").cast("binary"), "png").unionByName(rows.where("doc_id % 2 = 1"))
+    a = F.col("attachments")["image"]
+    return put.select("doc_id", F.concat(a["content_type"], F.lit("|"), F.md5(a["data"])).alias("held"))
+
+
+@query(f"""WITH {_BOXES_SQL} SELECT doc_id, CAST(2 * ord AS INTEGER) AS ord, text FROM boxes WHERE doc_id % 2 = 0 AND ord = 1 UNION ALL SELECT doc_id, CAST(2 * ord + 1 AS INTEGER), text FROM boxes WHERE ord = 2""")
+def merged_readings(spark, sf_dir):
+    b = _boxes(spark, sf_dir)
+    return extract.merged_branches(b.where("doc_id % 2 = 0 AND ord = 1"), b.where("ord = 2")).select("doc_id", "ord", "text")
+
+
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN 2 WHEN o_orderkey % 3 = 1 THEN 5 ELSE 7 END AS n, CASE WHEN o_orderkey % 3 = 0 THEN 'x' WHEN o_orderkey % 3 = 1 THEN 'u' ELSE 'x' END AS l FROM orders""")
+def overlay_by_type(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    m = F.col("doc_id") % 3
+    none = F.array().cast("array<string>")
+    user = F.struct(F.when(m == 0, 2).when(m == 1, 5).otherwise(0).alias("n"), F.when(m == 0, none).when(m == 1, F.array(F.lit("u"))).alias("l"))
+    server = F.struct(F.lit(7).alias("n"), F.array(F.lit("x")).alias("l"))
+    return overlay.overlay_struct(o.withColumns({"user": user, "server": server}), "user", "server").select("doc_id", "event.n", F.array_join("event.l", "|").alias("l"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 0.1 ELSE 1.0 END + CASE WHEN l_returnflag = 'A' THEN 0.0 ELSE 1.0 END AS distance FROM lineitem")
+def cost_distances(spark, sf_dir):
+    """Distances by substitution costs: rn for m, a flag for A."""
+    li = table(spark, sf_dir, "lineitem")
+    pairs = li.select("l_orderkey", "l_linenumber", F.concat(F.when(F.col("l_linenumber") % 2 == 0, "kern").otherwise("ken"), "l_returnflag").alias("a"), F.concat(F.when(F.col("l_linenumber") % 2 == 0, "kem").otherwise("kem"), F.lit("A")).alias("b"))
+    return fuzzy.cost_distance(pairs, [("rn", "m", 0.1)]).select("l_orderkey", "l_linenumber", "distance")
