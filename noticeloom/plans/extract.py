@@ -14,6 +14,10 @@ from noticeloom.operators.resolve import resolve
 from noticeloom.plans.config import Config
 
 
+#: Numbers of a box.
+BOX_NUMBERS = ("confidence", "x", "y", "width", "height")
+
+
 def merged_branches(rectified: DataFrame, original: DataFrame, config: Config = Config()) -> DataFrame:
     """Boxes of both readings of a document, each collated on its own; the rectified ones come first."""
     first = B.collate(rectified, config.overlap_share).withColumn("branch", F.lit(0))

@@ -30,7 +30,7 @@ def image_files(spark: SparkSession, path: str, glob: str = "*.{jpg,jpeg,png,gif
     return files.select(F.col("path").alias("filename"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
 
 
-def json_records(spark: SparkSession, path: str, schema: T.StructType | str = RECORD) -> DataFrame:
+def json_records(spark: SparkSession, path: str | list[str], schema: T.StructType | str = RECORD) -> DataFrame:
     """One record a file."""
     return spark.read.schema(schema).json(path, multiLine=True).withColumn("source", F.input_file_name())
 
@@ -46,10 +46,15 @@ def boxes_of(records: DataFrame, key: str = "doc_id", record: str = "record") ->
     return records.select(key, F.posexplode(F.col(record)["text"]).alias("ord", "b")).select(key, "ord", "b.*")
 
 
+def exists(spark: SparkSession, name: str) -> bool:
+    """Whether a name is the path of a file or folder in its store."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def open_input(spark: SparkSession, documents: DataFrame, argument: str) -> DataFrame:
     """A file's picture if the argument is a path that exists in its store, else the document of that id."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(argument)
-    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    if exists(spark, argument):
         return spark.read.format("binaryFile").load(argument).select(F.col("path").alias("filename"), "content")
     return document(documents, argument)
 

@@ -176,6 +176,30 @@ def test_results_are_saved_and_linked(spark, tmp_path):
     assert [held[i].event_id for i in range(3)] == ["event-0", "event-1", None] and bytes(held[0].attachments["image"]["data"]) == b"png" and held[1].attachments is None
 
 
+def test_batch_of_files_and_ids(spark, tmp_path):
+    import json
+
+    from noticeloom.plans import batch
+    from noticeloom.sources.store import Snapshots
+
+    (tmp_path / "a.json").write_text(json.dumps({"text": [{"text": "Grosses Konzert", "confidence": 95, "x": 1, "y": 1, "width": 500, "height": 80}, {"text": "Sa 12.05.2018", "confidence": 95, "x": 1, "y": 200, "width": 200, "height": 20}]}))
+    docs = spark.createDataFrame([("7", "Fest am 13.05.2018 um 20:30 Uhr"), ("8", "nichts")], "doc_id string, text string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    lines = []
+    batch.main(["--documents", str(tmp_path / "docs"), str(tmp_path / "a.json"), "7"], spark, TODAY, lambda x: lines.append(json.loads(x)))
+    by = {x["doc_id"].rsplit("/", 1)[-1]: x for x in lines}
+    assert set(by) == {"a.json", "7"} and by["a.json"]["title"] == "Grosses Konzert" and by["a.json"]["times"] == ["2018-05-12"] and by["7"]["times"] == ["2018-05-13T20:30:00.000"]
+    batch.main(["--documents", str(tmp_path / "docs"), "--out", str(tmp_path / "out"), "7", "8"], spark, TODAY)
+    assert spark.read.text(str(tmp_path / "out")).count() == 2
+    with pytest.raises(ValueError):
+        batch.main(["nowhere"], spark, TODAY)
+    for dry in (True, False):
+        sink = Snapshots(spark, f"file://{tmp_path}/sink{dry}")
+        batch.stream(spark, str(tmp_path / "docs"), docs.schema, sink, str(tmp_path / f"ck{dry}"), TODAY, Config(dry_run=dry)).awaitTermination()
+        assert (sink.read() is None) == dry
+    assert sink.read().count() == 2
+
+
 def test_overlay_by_type(spark):
     df = spark.createDataFrame([(([], 0, False, None), (["x"], 5, True, "s")), ((["u"], 2, True, ""), (["x"], 5, False, "s"))],
                                "user struct<l:array<string>,n:int,b:boolean,t:string>, server struct<l:array<string>,n:int,b:boolean,t:string>")
