@@ -21,12 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where that is unset (one machine only)."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one if Spark runs on one
+    machine; on a cluster that is an error, as executors would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isDefined():
             found = jsc.getCheckpointDir().get()
+        elif spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             found = "file://" + tempfile.mkdtemp(prefix="noticeloom-")
             spark.sparkContext.setCheckpointDir(found)
@@ -53,7 +56,20 @@ def dropped(*frames: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: Rows of texts that a task works on at once; Arrow batches hold many more.
+#: Most rows and bytes of an Arrow batch of texts, unless the session says otherwise: texts may be very long.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches that stay small when texts are long."""
+    conf = df.sparkSession.conf
+    for key, value in BATCHES.items():
+        if conf.get(key, None) is None:
+            conf.set(key, value)
+    return df.mapInArrow(run, schema)
+
+
+#: Rows of texts that a task works on at once; Arrow batches hold more.
 SLICE_ROWS = 500
 
 
@@ -64,6 +80,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield whole.slice(start, rows)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with underscores before it until no column of df has it, in either case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let(value, body):
     """A column from body(x), with x bound to value and evaluated once."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -9,10 +9,13 @@ the 10 bits that follow the first one. Empty buckets borrow from buckets chosen
    with one leader only, so a bucket of n classes makes n candidates. Candidates whose
    collision-corrected estimate is far too low are dropped, the others are verified on full sets.
    Bands have leaders of their own, so members of a large group meet many of them.
-3. Verified links give components. Buckets that still hold several components are compared fully,
-   block against block inside tasks: sketches first, then full sets, skipping what is already
-   connected, and only links that connect something are returned, so no pairs are emitted by group.
-4. Links give the final components; the smallest id of a component's rows names it.
+3. Verified links are thinned: what a class's leaders are to each other through it needs one link
+   each, and most classes of a group have the same leaders. What is left gives components. Buckets
+   that still hold several are compared fully, block against block inside tasks: sketches first, then
+   full sets, skipping what is already connected, and only links between components are returned.
+4. Those links merge components; the smallest id of a component's rows names it.
+
+Intermediate tables are deleted as soon as nothing reads them any more.
 
 Candidates are found with a chance of 1 - (1 - J^ROWS)^BANDS: beyond 1 - 1e-5 from J = 0.75 on.
 
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import dropped, slices, stored
+from noticeloom.llm.common import dropped, mapped, slices, stored, unused
 
 WORDS, SIMILAR = 5, 75  # shingle length; percent of the union
 BUCKETS, BANDS, ROWS = 128, 32, 4
@@ -43,6 +46,9 @@ MARGIN = 0.25
 #: Classes of a bucket that are compared at once.
 BLOCK = 512
 
+#: Longest text, in bytes, for which powers stay in memory between texts.
+KEPT_POWERS = 1 << 20
+
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -64,9 +70,11 @@ _POWERS = [_powers(1 << 12, _BASE), _powers(1 << 12, pow(_BASE, -1, 1 << 64))]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, kept for the longest text so far."""
+    """Powers of the base and of its inverse modulo 2^64, kept for texts of at most KEPT_POWERS bytes."""
+    size = 1 << max(0, n - 1).bit_length()
+    if size > KEPT_POWERS:
+        return _powers(n, _BASE), _powers(n, pow(_BASE, -1, 1 << 64))
     if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
         _POWERS[:] = [_powers(size, _BASE), _powers(size, pow(_BASE, -1, 1 << 64))]
     return _POWERS[0][:n], _POWERS[1][:n]
 
@@ -170,12 +178,24 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("node").take(places), pa.array(np.concatenate(keys))], names=["node", "band"])
 
 
-def components(nodes_links: DataFrame) -> DataFrame:
+def stars(links: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what links (member, leader) do, nearly one for each member.
+
+    A member has at most one leader a band. It stays linked with the least of its leaders, and so do
+    the others: members of a large group share most leaders, so most of those links are the same."""
+    of = links.groupBy("member").agg(F.array_sort(F.collect_set("leader")).alias("leaders"))
+    first = F.element_at("leaders", 1)
+    own = F.array(F.struct(F.col("member").alias("a"), first.alias("b")))
+    others = F.transform(F.slice("leaders", 2, BANDS), lambda x: F.struct(x.alias("a"), first.alias("b")))
+    return of.select(F.explode(F.concat(own, others)).alias("x")).select("x.*").distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
     """(node, component) for the nodes of links(a, b): the least node that a chain of links reaches.
 
     Each round every node hands the least name among its neighbours and itself to them all, and
     names are then followed once more (pointer jumping), until nothing changes."""
-    edges = stored(nodes_links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(nodes_links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "edges")
+    edges = stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "edges")
     names = stored(edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("component")), "names")
     while True:
         near = edges.join(names, edges["v"] == names["node"]).groupBy("u").agg(F.min("component").alias("near"))
@@ -191,13 +211,13 @@ def components(nodes_links: DataFrame) -> DataFrame:
 
 
 def _verifier(percent: int):
-    """Of (a, b, set_a, set_b) the pairs that are similar on full sets."""
+    """Of (member, leader, set_a, set_b) the pairs that are similar on full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [[np.frombuffer(x.as_py(), np.uint64) for x in batch.column(c)] for c in ("set_a", "set_b")]
             keep = pa.array([similar(a, b, percent) for a, b in zip(*sets, strict=True)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(keep)
+            yield batch.select(["member", "leader"]).filter(keep)
 
     return run
 
@@ -207,7 +227,7 @@ def _estimator(percent: int):
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, BUCKETS) for c in ("reg_a", "reg_b"))
-                yield batch.select(["a", "b"]).filter(pa.array(estimate(a, b) >= percent / 100 - MARGIN))
+                yield batch.select(["member", "leader"]).filter(pa.array(estimate(a, b) >= percent / 100 - MARGIN))
 
     return run
 
@@ -223,7 +243,7 @@ def _set_maker(words: int):
 
 
 def _connect(percent: int):
-    """Links that connect components among the members of one pair of blocks of a bucket."""
+    """Links between components that the members of one pair of blocks of a bucket show."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["side"] != 1].reset_index(drop=True), pdf[pdf["side"] != 0].reset_index(drop=True)
@@ -244,7 +264,7 @@ def _connect(percent: int):
                 x, y = top(left["component"].iat[i]), top(right["component"].iat[j])
                 if x != y and similar(a, np.frombuffer(right["full"].iat[j], np.uint64), percent):
                     up[max(x, y)] = min(x, y)
-                    found.append((left["node"].iat[i], right["node"].iat[j]))
+                    found.append((x, y))
         return pd.DataFrame(found, columns=["a", "b"])
 
     return run
@@ -253,7 +273,7 @@ def _connect(percent: int):
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILAR) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs(doc_id, text)."""
     kind = dict(docs.dtypes)["doc_id"]
-    rows = stored(docs.select("doc_id", "text").mapInArrow(_sketches(words), f"doc_id {kind}, n_shingles long, set_id binary, registers binary"), "sketches")
+    rows = stored(mapped(docs.select("doc_id", "text"), _sketches(words), f"doc_id {kind}, n_shingles long, set_id binary, registers binary"), "sketches")
     classes = stored(
         rows.where(F.col("n_shingles") > 0).groupBy("set_id").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
         .withColumnRenamed("set_id", "node"), "classes")
@@ -263,23 +283,27 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILAR)
     leaders = bands.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", "band"), "node"))["node"].alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader")
     shared = stored(bands.join(leaders, "band"), "shared")
     dropped(bands)
-    pairs = shared.where(F.col("node") != F.col("leader")).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    reg = lambda x: classes.select(F.col("node").alias(x), F.col("registers").alias(f"reg_{x}"))
-    candidates = stored(pairs.join(reg("a"), "a").join(reg("b"), "b").select("a", "b", "reg_a", "reg_b").mapInArrow(_estimator(percent), "a binary, b binary"), "candidates")
+    pairs = shared.where(F.col("node") != F.col("leader")).groupBy(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).agg(F.min("leader").alias("leader"))
+    pairs = pairs.select(F.when(F.col("leader") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("member"), "leader")
+    reg = lambda x, y: classes.select(F.col("node").alias(x), F.col("registers").alias(f"reg_{y}"))
+    pair = "member binary, leader binary"
+    candidates = stored(pairs.join(reg("member", "a"), "member").join(reg("leader", "b"), "leader").select("member", "leader", "reg_a", "reg_b").mapInArrow(_estimator(percent), pair), "candidates")
 
     # full sets of the classes that stand in a candidate or in a shared bucket
     wanted = shared.select("node").distinct()
     owner = classes.join(wanted, "node", "left_semi").select("node", F.col("first").alias("doc_id"))
     texts = docs.select("doc_id", "text").join(owner, docs["doc_id"].eqNullSafe(owner["doc_id"])).select("node", "text")
-    made = texts.mapInArrow(_set_maker(words), "node binary, full binary")
+    made = mapped(texts, _set_maker(words), "node binary, full binary")
     sets = stored(made.groupBy("node").agg(F.first("full").alias("full")), "sets")
-    full = lambda x: sets.select(F.col("node").alias(x), F.col("full").alias(f"set_{x}"))
-    links = stored(candidates.join(full("a"), "a").join(full("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_verifier(percent), "a binary, b binary"), "links")
-    named = stored(components(links), "components")
+    full = lambda x, y: sets.select(F.col("node").alias(x), F.col("full").alias(f"set_{y}"))
+    links = stored(candidates.join(full("member", "a"), "member").join(full("leader", "b"), "leader").select("member", "leader", "set_a", "set_b").mapInArrow(_verifier(percent), pair), "links")
+    dropped(candidates)
+    named = components(stars(links))
+    dropped(links)
 
     # buckets that still hold several components, compared block against block
-    member = shared.select("band", "node").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    member = stored(member, "members")
+    member = stored(shared.select("band", "node").join(named, "node", "left").withColumn("component", F.coalesce("component", "node")), "members")
+    dropped(shared)
     # the largest component of a bucket is compared with the rest only, the rest with itself too
     tally = member.groupBy("band", "component").agg(F.count("*").alias("k")).groupBy("band").agg(F.max(F.struct("k", "component")).alias("main"), F.sum("k").alias("n"))
     open_ = tally.where("main.k < n AND n > 2").select("band", F.col("main.component").alias("main"), F.ceil(F.col("main.k") / BLOCK).alias("mains"), F.ceil((F.col("n") - F.col("main.k")) / BLOCK).alias("rests"))  # of two, one is the leader
@@ -290,28 +314,36 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILAR)
     at = F.col("at")
     with_main = F.when(F.col("is_main"), F.transform(upto("rests"), lambda p: cell("main", p, at, F.lit(1)))).otherwise(F.transform(upto("mains"), lambda q: cell("main", at, q, F.lit(0))))
     with_rest = F.when(~F.col("is_main"), F.transform(upto("rests"), lambda q: cell("rest", F.least(at, q), F.greatest(at, q), F.when(at == q, -1).when(at < q, 0).otherwise(1))))
-    met = blocks.select("band", "node", "component", F.explode(F.concat(with_main, F.coalesce(with_rest, F.array().cast("array<struct<kind:string,p:bigint,q:bigint,side:int>>")))).alias("x")).select("band", "node", "component", "x.*")
+    met = stored(blocks.select("band", "node", "component", F.explode(F.concat(with_main, F.coalesce(with_rest, F.array().cast("array<struct<kind:string,p:bigint,q:bigint,side:int>>")))).alias("x")).select("band", "node", "component", "x.*"), "met")
+    dropped(member)
     # buckets with the same members are one: a digest of the members' hashes names them
     parts = met.groupBy("band", "kind", "p", "q").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("digest"), F.count("*").alias("k"))
     once = parts.groupBy("digest", "k", "kind", "p", "q").agg(F.min("band").alias("band")).select("band", "kind", "p", "q")
-    met = met.join(once, ["band", "kind", "p", "q"]).join(classes.select("node", "registers", "n_shingles"), "node").join(sets, "node")
-    more = met.groupBy("band", "kind", "p", "q").applyInPandas(_connect(percent), "a binary, b binary")
-    final = stored(components(links.unionByName(stored(more, "more"))), "final")
+    compared = met.join(once, ["band", "kind", "p", "q"]).join(classes.select("node", "registers", "n_shingles"), "node").join(sets, "node")
+    more = stored(compared.groupBy("band", "kind", "p", "q").applyInPandas(_connect(percent), "a binary, b binary"), "more")
+    dropped(met, sets)
+    # components that such links connect take the least name among them
+    tops = components(more)
+    dropped(more)
 
     # the least id of all rows of a component; rows without words keep their own
-    of = classes.join(final, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "first")
+    top = tops.select(F.col("node").alias("inner"), F.col("component").alias("outer"))
+    of = classes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("inner"), "first").join(top, "inner", "left").select("node", F.coalesce("outer", "inner").alias("component"), "first")
     ids = of.join(of.groupBy("component").agg(F.min("first").alias("component_id")), "component")
-    out = rows.join(ids.select(F.col("node").alias("set_id"), "component_id"), "set_id", "left")
+    out = rows.select("doc_id", "n_shingles", "set_id").join(ids.select(F.col("node").alias("set_id"), "component_id"), "set_id", "left")
     name = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", name.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = out.select("doc_id", "n_shingles", name.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = stored(out, "near-duplicates")
+    dropped(rows, classes, named, tops)
+    return out
 
 
 def without_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILAR) -> DataFrame:
     """docs with one document of each component: the one with the smallest id. Of repeated rows with
     that id and the same text one stays; documents without words all stay."""
-    found = stored(near_duplicates(docs, words, percent), "near-duplicates")
-    kept = found.where("kept").select(F.col("doc_id").alias("_kept"))
-    out = docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-    if kept.groupBy("_kept").count().where("count > 1").limit(1).count():
+    id_ = unused(docs, "kept")[0]
+    kept = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias(id_))
+    out = docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(F.col(id_)), "left_semi")
+    if kept.groupBy(id_).count().where("count > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id", "text"])
     return out
