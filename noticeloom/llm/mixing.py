@@ -1,12 +1,13 @@
 """Mixing sources to target weights by entropy balancing, in DataFrame functions only.
 
 Every document d of source s gets a rate r_d. Among all rates with the source's token total at its
-target and 0 <= r_d <= 2, entropy balancing takes those closest to 1 in relative entropy. The dual
+target and 0 <= r_d <= 2, entropy balancing takes those closest to 1 in weighted relative entropy. The dual
 is convex with one multiplier per source, and its solution tilts the rates exponentially:
 
     r_d = min(2, exp(lambda_s * z_d)),   z_d = size_d / (mean size + size_d)
 
-Newton iterations on the multipliers run over the histogram (source, size, documents), which is
+Relative entropy counts a document with the weight mean size + size, so that neither a few very long
+documents nor very many short ones bear the whole change. Newton iterations on the multipliers run over the histogram (source, size, documents), which is
 all the dual needs; they are joins and aggregates over that table, with nothing gathered on the
 driver but the largest relative error. Rates become copies per size class: cumulated copies are
 rounded along the sizes, which misses the target by little more than the largest document, and
@@ -23,12 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import WORD, dropped, stored
+from noticeloom.llm.common import WORD, dropped, stored, unused
 
 WEIGHTS = (3, 1, 2)
 BUDGET, MOST = 1.5, 2.0
 #: Newton ends when every source is this near its target, or after so many steps.
 TOLERANCE, STEPS = 1e-6, 30
+#: Most classes that are broadcast, some 50 bytes each.
+CLASS_ROWS = 200_000
 #: Rows of one window: classes with more documents are ranked in parts.
 PART_ROWS = 1000
 
@@ -95,12 +98,22 @@ def balanced(hist: DataFrame, targets: DataFrame, most: float = MOST, tolerance:
     return base.join(m, base["source"].eqNullSafe(m["s"])).select(base["source"], "size", "docs", rate.alias("rate"))
 
 
+def hash_part(docs: Column, part_rows: int) -> Column:
+    """Part of a class of that many documents into which the hash of doc_id falls."""
+    return F.pmod(F.xxhash64("doc_id"), F.ceil(docs / part_rows))
+
+
+def hash_order(docs: Column, part_rows: int = PART_ROWS) -> Column:
+    """By what the documents of a class are ordered."""
+    return F.struct(hash_part(docs, part_rows).alias("p"), F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("i"))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST, part_rows: int = PART_ROWS) -> DataFrame:
     """(doc_id, source, size, source_size, target, rate, copies) of every row of docs(doc_id, text, source)."""
     rows = stored(docs.select("doc_id", "source", text_size(F.col("text")).alias("size")), "mix-rows")
     hist = stored(rows.groupBy("source", "size").agg(F.count("*").alias("docs")), "mix-hist")
     targets = stored(source_targets(hist, weights, budget, most), "mix-targets")
-    rates = balanced(hist, targets, most)
+    rates = balanced(hist, targets, most)  # reads two tables of its own
 
     by_size = W.partitionBy("source").orderBy(F.col("size").desc())
     upto = by_size.rowsBetween(W.unboundedPreceding, 0)
@@ -118,11 +131,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float =
     classes = classes.withColumn("n", F.col("n") + F.signum("gap").cast("long") * change)
     classes = classes.select(F.col("source").alias("s"), F.col("size").alias("z"), "docs", "rate", "n")
     plan = stored(classes, "mix-classes")
+    dropped(rates, hist)
 
     # documents of a class in an order of hashes; large classes are ranked in parts, whose sizes are added up first
     h = F.xxhash64("doc_id")
     marked = rows.join(plan, rows["source"].eqNullSafe(plan["s"]) & (rows["size"] == plan["z"]), "left").drop("s", "z")
-    marked = marked.withColumn("part", F.coalesce(F.pmod(h, F.ceil(F.col("docs") / part_rows)), F.lit(0)))
+    marked = marked.withColumn("part", F.coalesce(hash_part(F.col("docs"), part_rows), F.lit(0)))
     sizes = marked.groupBy("source", "size", "part").agg(F.count("*").alias("k"))
     before = F.coalesce(F.sum("k").over(W.partitionBy("source", "size").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("part").alias("p"), before.alias("before"))
@@ -131,8 +145,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float =
     copies = F.floor(F.col("n") / F.col("docs")) + F.when(F.col("before") + F.col("rank") <= F.col("n") % F.col("docs"), 1).otherwise(0)
     out = ranked.withColumn("copies", F.coalesce(copies, F.lit(0)).cast("int"))
     t = targets.withColumnRenamed("source", "s")
-    return out.drop("s").join(F.broadcast(t) if targets_small(targets) else t, F.col("source").eqNullSafe(F.col("s"))).select(
+    out = out.drop("s").join(F.broadcast(t) if targets_small(targets) else t, F.col("source").eqNullSafe(F.col("s"))).select(
         "doc_id", "source", "size", "source_size", "target", F.coalesce("rate", F.lit(0.0)).alias("rate"), "copies")
+    out = stored(out, "mix")
+    dropped(rows, targets, plan)
+    return out
 
 
 def targets_small(targets: DataFrame, most_rows: int = 5000) -> bool:
@@ -141,17 +158,28 @@ def targets_small(targets: DataFrame, most_rows: int = 5000) -> bool:
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
-    """docs with every row as often as the mix takes it."""
-    taken = stored(mix(docs, weights, budget, most).select("doc_id", "source", "size", "copies"), "mix-copies")
+    """docs with every row as often as the mix takes it.
+
+    A class (source, size) takes its documents up to a hash once more than the others, so rows meet
+    one row of their class, and texts are not shuffled unless the table of classes is too large to broadcast.
+    Rows that id, source and size do not tell apart are told apart by their texts, in a shuffle."""
+    taken = mix(docs, weights, budget, most).select("doc_id", "source", "size", "copies")
+    size, turn, mark, copies, copy, i, s, z, t = unused(docs, "size", "turn", "mark", "copies", "copy", "i", "s", "z", "t")
+    sized = docs.withColumn(size, text_size(F.col("text")))
     key = ["doc_id", "source", "size"]
-    sized = docs.withColumn("_size", text_size(F.col("text")))
     if taken.groupBy(*key).count().where("count > 1").limit(1).count():
-        # rows that their ids do not tell apart get their copies in the order of their texts
-        turn = lambda df, by: df.withColumn("_turn", F.row_number().over(W.partitionBy("doc_id", "source", df.columns[-1]).orderBy(by)))
-        sized, taken = turn(sized, "text"), turn(taken.select("doc_id", "source", "copies", "size"), "copies")
+        by = lambda *order: F.row_number().over(W.partitionBy(*order[:3]).orderBy(order[3]))
+        sized = sized.withColumn(turn, by("doc_id", "source", size, "text"))
+        rows = taken.withColumn("turn", by(*key, "copies")).where("copies > 0").select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(z), F.col("turn").alias(t), F.col("copies").alias(copies))
+        out = sized.join(rows, sized["doc_id"].eqNullSafe(F.col(i)) & sized["source"].eqNullSafe(F.col(s)) & (F.col(size) == F.col(z)) & (F.col(turn) == F.col(t)))
     else:
-        sized, taken = sized.withColumn("_turn", F.lit(1)), taken.withColumn("_turn", F.lit(1))
-    t = taken.where("copies > 0").select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_turn").alias("_t"), F.col("copies").alias("_copies"))
-    same = sized["doc_id"].eqNullSafe(F.col("_i")) & sized["source"].eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_turn") == F.col("_t"))
-    out = sized.join(t, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*docs.columns)
+        few = taken.groupBy("source", "size").agg(F.min("copies").alias("few"), F.max("copies").alias("many"), F.count("*").alias("docs")).select(F.col("source").alias("s"), F.col("size").alias("z"), "few", "many", "docs")
+        last = taken.join(few, taken["source"].eqNullSafe(F.col("s")) & (taken["size"] == F.col("z"))).where("copies > few").groupBy("source", "size").agg(F.max(hash_order(F.col("docs"))).alias("last"))
+        last = last.select(F.col("source").alias("ls"), F.col("size").alias("lz"), "last")
+        classes = few.join(last, few["s"].eqNullSafe(F.col("ls")) & (few["z"] == F.col("lz")), "left").where("many > 0").select(F.struct("few", "many", "docs", "last").alias(mark), F.col("s").alias(s), F.col("z").alias(z))
+        classes = stored(classes, "mix-marks")
+        out = sized.join(F.broadcast(classes) if targets_small(classes, CLASS_ROWS) else classes, sized["source"].eqNullSafe(F.col(s)) & (F.col(size) == F.col(z)))
+        m = F.col(mark)
+        out = out.withColumn(copies, F.when(m["last"].isNotNull() & (hash_order(m["docs"]) <= m["last"]), m["many"]).otherwise(m["few"]))
+        dropped(taken)
+    return out.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
