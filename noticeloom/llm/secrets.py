@@ -1,12 +1,14 @@
 r"""Secret scans with assignment-aware lexing.
 
 Three base patterns find assignments of well-known names, access keys and long hexadecimal runs.
-Beside them, lines that hold ``=`` or ``:`` are lexed as source or configuration: every
-``name = literal`` (also ``name: literal``, ``name := literal``, ``name => literal``, quoted keys,
-call keywords) becomes a name-literal pair, names that are assigned other names take over their
-literals (constants are propagated within the document, in order), and each literal is scored by
-the words of the names it reaches and by its own form. Literals with a high enough score are spans
-of kind ``named``, unless a base span of kind ``assign`` already covers them.
+Beside them, lines that hold ``=`` or ``:`` are lexed as source or configuration: names (quoted, dotted,
+subscripted, chained, with types), operators (``=``, ``:``, ``:=``, ``=>``), strings with escapes, triple and
+joined ones, bare values, blocks and values on the next line, and mappings, lists and calls that belong to
+a name. Each literal is paired with its name; names that are given other names hand on how sensitive they
+are (constants are propagated within the document, whatever the order), as do the names of mappings,
+lists and calls to what stands inside. A literal is scored by the words of the names it reaches and by
+its own form; with a high enough score it is a span of kind ``named`` (one for each part of a joined
+text), unless a base span of kind ``assign`` already covers it. No length is limited.
 
 Offsets are code points, ends exclusive. The scan is one pass over each row, so hot sources and
 groups of copies cost no more than other rows.
@@ -23,11 +25,13 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from noticeloom.llm.common import slices
+from noticeloom.llm.common import mapped, slices
 
 #: Fixed base patterns and least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -36,18 +40,34 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "named")
 
-#: One pair of a line: a name (perhaps quoted, dotted or subscripted), perhaps a type, an operator, a literal or a name.
-#: A name begins where its run of characters does and takes all of it, so long runs are read once. A name that is
-#: itself assigned to (``a = b = ...``) is not taken as the literal: the match ends before it.
-PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_.\-])[0-9.\-]*+([A-Za-z_][A-Za-z0-9_.\-]*+)["']?\]?[ \t]*+"""
-    r"""(?::[ \t]*+[A-Za-z_][A-Za-z0-9_.]*+(?:[ \t]*+[\[|][^=:\n"']*+)?[ \t]*+(?:(?<=[ \t])=(?![=>])|=(?=[ \t]*+[A-Za-z]{0,2}["']))|:=|=>|=(?!=)|:(?!//))[ \t]*+"""
-    r"""(?:(?=[A-Za-z_][A-Za-z0-9_.\-]*+[ \t]*+=(?![=>]))|[A-Za-z]{0,2}"([^"\n]++)"|'([^'\n]++)'|([^\s"'`,;(){}\[\]<>#&|]++))""",
-)
+# The syntax, in parts. Every repetition is possessive, so no run of characters is read twice for one token.
+_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
+_ASSIGNS = r"(?::=|=>|=(?![=>])|:(?!//))"
+_QUOTED = r'"""(?:[^"\\]++|\\.|"(?!""))*+"""' + r"|'''(?:[^'\\]++|\\.|'(?!''))*+'''" + r'|"(?:[^"\\\n]++|\\.)*+"' + r"|'(?:[^'\\\n]++|\\.)*+'|`(?:[^`\\\n]++|\\.)*+`"
+#: A name (perhaps quoted, dotted or subscripted) and an operator; a name begins where its run of characters does.
+_HEAD = rf"(?<![A-Za-z0-9_.\-])[0-9.\-]*+(?P<name>{_NAME})[\"'`]?\]?[ \t]*+(?P<op>{_ASSIGNS})"
+STRING = re.compile(rf"(?s)(?<![A-Za-z0-9_])[A-Za-z]{{0,2}}(?:{_QUOTED})")
+TOKEN = re.compile(rf"(?s)(?P<line>\n)|(?P<head>{_HEAD})|(?P<string>(?<![A-Za-z0-9_])[A-Za-z]{{0,2}}(?:{_QUOTED}))|(?P<open>[(\[{{])|(?P<close>[)\]}}])")
+SPACES = re.compile(r"[ \t]*+")
+#: After a string: what makes it a name.
+KEYED = re.compile(rf"(?P<bracket>\]?)[ \t]*+(?P<op>{_ASSIGNS})")
+#: After ``name:``, a type and the operator.
+TYPE = re.compile(r"""[A-Za-z_][A-Za-z0-9_.]*+(?:[ \t]*+[\[|][^=:\n"']*+)?[ \t]*+(?:(?<=[ \t])=(?![=>])|=(?=[ \t]*+[A-Za-z]{0,2}["']))[ \t]*+""")
+#: A name that is itself assigned to (``a = b = ...``).
+CHAINED = re.compile(rf"(?P<name>{_NAME})[ \t]*+=(?![=>])[ \t]*+")
+CALL = re.compile(r"(?:new[ \t]++|await[ \t]++)?[A-Za-z_][A-Za-z0-9_.:]*+(?=\()")
+INDEXED = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*+(?=\[)")
 BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>#&|]++""")
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
+#: What joins parts of a text: a plus sign, a line that goes on, and within brackets nothing but space.
+PLUS, BESIDE = re.compile(r"[ \t]*+(?:\+|\\(?=\n))\s*+"), re.compile(r"\s*+")
+BLOCK = re.compile(r"[|>][+\-0-9]*+[ \t]*+(?=\n)")
+ITEM = re.compile(r"-[ \t]++")
+#: Arguments that name a variable of the environment.
+VARIABLE = re.compile(r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\Z")
 NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 OPERATOR_LINE = re.compile(r"[^\n]*[=:][^\n]*")
+CLOSING = {"(": ")", "[": "]", "{": "}"}
 
 #: Words of names and what they say about the value, from 0 to 1.
 SENSITIVE = {
@@ -59,15 +79,18 @@ PLACEHOLDER = re.compile(r"(?i)\A(?:x+|\*+|\.+|changeme|example|your[_-].*|none|
 THRESHOLD = 1.2
 
 
+@lru_cache(20_000)
 def name_score(name: str) -> float:
     """How sensitive a name is: the sum of its words' weights, at most 1."""
     return min(1.0, sum(SENSITIVE.get(w.lower(), 0.0) for w in NAME_WORD.findall(name)))
 
 
-def literal_score(value: str) -> float:
-    """How much a literal looks like a key: length, mixture of characters and entropy, from 0 to 1."""
+def literal_score(value: str, phrase: bool = False) -> float:
+    """How much a literal looks like a key: length, mixture of characters and entropy, from 0 to 1.
+
+    White space speaks against it, but for quoted texts of names that stand for pass phrases (phrase)."""
     n = len(value)
-    if n < 6 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+    if n < 6 or PLACEHOLDER.match(value) or (not phrase or value[-1] in ".?!:") and any(c.isspace() for c in value):
         return 0.0
     bits = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
     kinds = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]"))
@@ -83,49 +106,216 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
-def _unquoted(chain: list[tuple[str, int]], text: str, end: int) -> Iterator[tuple[str, str, int, int, bool]]:
-    """Pairs of chained names (name, place of its value) without a quoted literal, last first, so names take over from later ones."""
-    found, covered = [], 0
-    for name, start in chain:
-        if start >= covered and (m := BARE.match(text, start, end)):
-            found.append((name, m[0], m.start(), m.end(), False))
-            covered = m.end()
-    yield from reversed(found)
+class Found(NamedTuple):
+    """A literal or a name that is given to a name (None: to what stands around it)."""
+
+    name: str | None
+    around: float  # how sensitive the names of the mappings, lists and calls around it are
+    spans: tuple[tuple[int, int], ...]
+    value: str
+    quoted: bool
+    argument: bool = False
+
+
+def quoted_span(m: re.Match) -> tuple[int, int]:
+    """Where the text of a string lies, without prefix and quotes."""
+    raw = m[0]
+    prefix = min(raw.index(q) for q in "\"'`" if q in raw)
+    width = 3 if len(raw) - prefix >= 6 and raw[prefix : prefix + 3] in ('"""', "'''") else 1
+    return m.start() + prefix + width, m.end() - width
+
+
+class Lexer:
+    """Reads assignments from a place on to the end of its line, and further while a mapping, list, call or
+    indented block that belongs to a sensitive name is open."""
+
+    def __init__(self, text: str, at: int):
+        self.text, self.at = text, at
+        self.stack: list[tuple[str | int, float]] = []  # closing bracket or indentation, how sensitive the names around are
+        self.found: list[Found] = []
+
+    def around(self) -> float:
+        return self.stack[-1][1] if self.stack else 0.0
+
+    def run(self) -> int:
+        """The place where reading ended."""
+        while (m := TOKEN.search(self.text, self.at)) is not None:
+            self.at = m.end()
+            kind = m.lastgroup
+            if kind == "line":
+                if not self.next_line():
+                    return self.at
+            elif kind == "head":
+                self.value(m["name"], m["op"])
+            elif kind == "string":
+                self.string(m)
+            elif kind == "open":
+                self.stack.append((CLOSING[m[0]], self.around()))
+            elif self.stack and self.stack[-1][0] == m[0]:
+                self.stack.pop()
+        return len(self.text)
+
+    def next_line(self) -> bool:
+        """Whether anything is open that goes on in the line that begins here."""
+        start = SPACES.match(self.text, self.at).end()
+        blank = start == len(self.text) or self.text[start] == "\n"
+        while not blank and self.stack and isinstance(self.stack[-1][0], int) and start - self.at <= self.stack[-1][0]:
+            self.stack.pop()
+        if not self.around() or (blank and self.stack[-1][0] == ")"):
+            return False
+        self.at = start
+        if isinstance(self.stack[-1][0], int) and (item := ITEM.match(self.text, start)):
+            self.at = item.end()
+            if not TOKEN.match(self.text, self.at) and (bare := BARE.match(self.text, self.at)):
+                self.found.append(Found(None, self.around(), (bare.span(),), bare[0], False))
+                self.at = bare.end()
+        return True
+
+    def string(self, m: re.Match) -> None:
+        """A string that stands alone: a name if an operator follows, else a member of what is open."""
+        keyed = KEYED.match(self.text, self.at)
+        if keyed:
+            if keyed["bracket"] and self.stack and self.stack[-1][0] == "]":
+                self.stack.pop()
+            self.at = keyed.end()
+            s, e = quoted_span(m)
+            self.value(self.text[s:e], keyed["op"])
+        elif self.around():
+            self.literal(m, [None])
+
+    def literal(self, m: re.Match, names: list[str | None]) -> None:
+        """A string, with the strings and names that are joined to it."""
+        spans, others = [quoted_span(m)], []
+        self.at = m.end()
+        within = bool(self.stack) and self.stack[-1][0] == ")"
+        while True:
+            joint = PLUS.match(self.text, self.at) or (BESIDE.match(self.text, self.at) if within else None)
+            more = STRING.match(self.text, joint.end()) if joint else None
+            if more:
+                spans.append(quoted_span(more))
+                self.at = more.end()
+            elif joint and "+" in joint[0] and (bare := BARE.match(self.text, joint.end())) and NAME.match(bare[0]):
+                others.append(bare)
+                self.at = bare.end()
+            else:
+                break
+        value = "".join(self.text[s:e] for s, e in spans)
+        for name in names:
+            self.found.append(Found(name, self.around(), tuple(spans), value, True, within))
+            self.found += [Found(name, self.around(), (b.span(),), b[0], False) for b in others]
+
+    def value(self, name: str, op: str) -> None:
+        """What a name is given, from here on."""
+        text = self.text
+        self.at = SPACES.match(text, self.at).end()
+        if op == ":" and (kind := TYPE.match(text, self.at)):
+            self.at = kind.end()
+        names: list[tuple[str, int]] = [(name, self.at)]
+        while chained := CHAINED.match(text, self.at):
+            self.at = chained.end()
+            names.append((chained["name"], self.at))
+        if m := STRING.match(text, self.at):
+            self.literal(m, [x for x, _ in names])
+            return
+        inner = max(self.around(), *(name_score(x) for x, _ in names)) if len(names) > 1 else max(self.around(), name_score(name))
+        if self.at == len(text) or text[self.at] == "\n" or (op == ":" and BLOCK.match(text, self.at)):
+            self.below([x for x, _ in names], inner)
+        elif text[self.at] in CLOSING:
+            self.stack.append((CLOSING[text[self.at]], inner))
+            self.at += 1
+        elif call := CALL.match(text, self.at):
+            self.stack.append((")", inner))
+            self.at = call.end() + 1
+        elif indexed := INDEXED.match(text, self.at):
+            self.stack.append(("]", 0.0))  # what stands in the brackets is a key
+            self.at = indexed.end() + 1
+        else:
+            covered, found = 0, []
+            for x, start in names:  # each of several names has what stands after it, up to its end
+                if start >= covered and (m := BARE.match(text, start)):
+                    found.append(Found(x, self.around(), (m.span(),), m[0], False))
+                    covered = m.end()
+            self.found += reversed(found)
+            self.at = max(self.at, covered)
+
+    def below(self, names: list[str], inner: float) -> None:
+        """A value that stands below its name, further in: a text, a block of text, or a mapping."""
+        text = self.text
+        block = BLOCK.match(text, self.at)
+        end = block.end() if block else self.at
+        if end == len(text) or not inner:
+            return
+        line = text.rfind("\n", 0, self.at) + 1
+        own = SPACES.match(text, line).end() - line
+        start = SPACES.match(text, end + 1).end()
+        if start - end - 1 <= own:
+            return
+        if block:
+            first = last = start
+            at = end + 1
+            while at < len(text):
+                begin = SPACES.match(text, at).end()
+                stop = text.find("\n", begin)
+                stop = len(text) if stop < 0 else stop
+                if begin < stop:
+                    if begin - at <= own:
+                        break
+                    last = stop
+                at = stop + 1
+            self.found += [Found(x, self.around(), ((first, last),), "".join(text[first:last].split()), True) for x in names]
+            self.at = last
+        elif (m := STRING.match(text, start)) and not KEYED.match(text, m.end()):
+            self.literal(m, list(names))
+        else:
+            self.stack.append((own, inner))
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
-    """(name, value, start, end, quoted) in order, from the lines that hold an operator; chained names each have the literal."""
+def assignments(text: str) -> Iterator[Found]:
+    """What the lines of a text that hold an operator, and what belongs to them, give to names."""
+    done = 0
     for line in OPERATOR_LINE.finditer(text):
-        chain: list[tuple[str, int]] = []
-        for m in PAIR.finditer(text, line.start(), line.end()):
-            if chain and m.start() != chain[-1][1]:
-                yield from _unquoted(chain, text, line.end())
-                chain = []
-            chain.append((m[1], m.end() if m.lastindex == 1 else m.start(m.lastindex)))
-            if m.lastindex == 1:
-                continue
-            if m.lastindex == 4:
-                yield from _unquoted(chain, text, line.end())
-            else:
-                yield from ((name, m[m.lastindex], m.start(m.lastindex), m.end(m.lastindex), True) for name, _ in chain)
-            chain = []
-        yield from _unquoted(chain, text, line.end())
+        if line.start() >= done:
+            lexer = Lexer(text, line.start())
+            done = lexer.run()
+            yield from lexer.found
 
 
 def named_spans(text: str) -> list[tuple[int, int, str]]:
-    """Literals whose names, their own or those that they are handed on to, make them secrets."""
+    """Literals whose names, their own, those around them or those that they are handed on to, make them secrets.
+
+    Names hand on in whatever order a text has its lines: a name is as sensitive as any that is given its value."""
     if "=" not in text and ":" not in text:
         return []
-    holds: dict[str, tuple[int, int]] = {}  # the literal that a name stands for
-    reach: dict[tuple[int, int], tuple[str, float]] = {}
-    for name, value, start, end, quoted in pairs(text):
-        span = holds.get(value) if not quoted and NAME.match(value) else None
-        if span is None:
-            span = (start, end)
-            reach.setdefault(span, (value, 0.0))
-        holds[name] = span
-        reach[span] = (reach[span][0], max(reach[span][1], name_score(name)))
-    return [(s, e, "named") for (s, e), (value, score) in reach.items() if score >= 0.5 and score + literal_score(value) >= THRESHOLD]
+    found = list(assignments(text))
+    known = {f.name for f in found if f.name is not None}
+    given: dict[str, list[str]] = {}  # what names are given other names
+    score: dict[str, float] = {}
+    literals = []
+    for f in found:
+        if f.name is not None:
+            score[f.name] = max(score.get(f.name) or name_score(f.name), f.around)
+        if not f.quoted and f.value in known and NAME.match(f.value):
+            if f.name is not None:
+                given.setdefault(f.name, []).append(f.value)
+            else:
+                score[f.value] = max(score.get(f.value) or name_score(f.value), f.around)
+        else:
+            literals.append(f)
+    done: set[str] = set()
+    for first in sorted(score, key=lambda x: -score[x]) if given else ():
+        todo = [first]
+        while todo:
+            x = todo.pop()
+            if x not in done:
+                done.add(x)
+                score[x] = max(score.get(x, 0.0), score[first])
+                todo += given.get(x, ())
+    out: dict[tuple[int, int], None] = {}
+    for f in literals:
+        of = f.around if f.name is None else score[f.name]
+        if of >= 0.5 and not (f.argument and VARIABLE.match(f.value)) and of + literal_score(f.value, f.quoted and of >= 0.9) >= THRESHOLD:
+            out |= dict.fromkeys(x for x in f.spans if x[0] < x[1])
+    return [(s, e, "named") for s, e in out]
 
 
 def secret_spans(text: str | None) -> list[tuple[int, int, str]]:
@@ -181,7 +371,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text): counts by kind, digest of the base spans, all spans."""
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(_scan, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_named long, base_sha256 string, spans string")
+    return mapped(docs.select("doc_id", "text"), _scan, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_named long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
@@ -193,4 +383,4 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
             texts = pa.array([redacted(t, mask) for t in batch.column(place).to_pylist()], batch.column(place).type)
             yield pa.RecordBatch.from_arrays([texts if i == place else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
