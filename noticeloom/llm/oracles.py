@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from noticeloom.llm.url_filter import DEVIATIONS, STRONGEST, THRESHOLD, WEAKEST
+from noticeloom.llm.url_filter import DEVIATIONS, STRONGEST, SUFFIXES, THRESHOLD, WEAKEST
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -31,18 +31,20 @@ def _strength(level: str, prior: str) -> str:
 
 URLS = f"""WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 r AS (SELECT *, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
- WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/' WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule,
- string_split(host, '.') AS parts FROM u),
-x AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled, parts[-1] AS suffix, CASE WHEN len(parts) > 1 THEN parts[-2] || '.' || parts[-1] ELSE host END AS domain FROM r),
-h0 AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(CASE WHEN ruled = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS good FROM x WHERE ruled IS NOT NULL GROUP BY ALL),
+ WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/' WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM u),
+k AS (SELECT *, string_split(name, '.') AS ps, array_to_string(string_split(name, '.')[-2:], '.') AS two, regexp_matches(name, '^[0-9]+([.][0-9]+){{3}}$') OR starts_with(name, '[') AS numbers
+ FROM (SELECT *, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), '[.]?(:[0-9]*)?$', '') AS name FROM r)),
+x AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled, CASE WHEN numbers THEN name WHEN two IN {SUFFIXES} THEN two ELSE ps[-1] END AS suffix,
+ CASE WHEN numbers THEN name WHEN two IN {SUFFIXES} THEN array_to_string(ps[-3:], '.') ELSE two END AS domain FROM k),
+h0 AS (SELECT name, domain, suffix, count(*)::DOUBLE AS n, sum(CASE WHEN ruled = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS good FROM x WHERE ruled IS NOT NULL GROUP BY ALL),
 p AS (SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) AS p0 FROM h0),
 s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT p0 FROM p) AS p0 FROM h0 GROUP BY suffix),
 s AS (SELECT suffix, (good + m * p0) / (n + m) AS sp, n + m AS ss FROM (SELECT *, {_strength('s0', 'p0')} AS m FROM s0)),
 d0 AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good, any_value(sp) AS sp FROM h0 JOIN s USING (suffix) GROUP BY ALL),
 d AS (SELECT domain, (good + m * sp) / (n + m) AS dp, n + m AS ds FROM (SELECT *, {_strength('d0', 'sp')} AS m FROM d0)),
-h1 AS (SELECT host, n, good, dp FROM h0 JOIN d USING (domain)),
-h AS (SELECT host, (good + m * dp) / (n + m) AS hp, n + m AS hs FROM (SELECT *, {_strength('h1', 'dp')} AS m FROM h1)),
-j AS (SELECT x.*, coalesce(hp, dp, sp, (SELECT p0 FROM p)) AS q, coalesce(hs, ds, ss, {WEAKEST}) AS size FROM x LEFT JOIN h USING (host) LEFT JOIN d USING (domain) LEFT JOIN s USING (suffix))
+h1 AS (SELECT name, n, good, dp FROM h0 JOIN d USING (domain)),
+h AS (SELECT name, (good + m * dp) / (n + m) AS hp, n + m AS hs FROM (SELECT *, {_strength('h1', 'dp')} AS m FROM h1)),
+j AS (SELECT x.*, coalesce(hp, dp, sp, (SELECT p0 FROM p)) AS q, coalesce(hs, ds, ss, {WEAKEST}) AS size FROM x LEFT JOIN h USING (name) LEFT JOIN d USING (domain) LEFT JOIN s USING (suffix))
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN q - {DEVIATIONS} * sqrt(q * (1 - q) / (size + 1)) >= {THRESHOLD} THEN 'allow' ELSE 'block' END) AS verdict FROM j"""
 
 NEAR = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

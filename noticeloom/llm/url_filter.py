@@ -1,6 +1,9 @@
 """URL filters: explicit rules first, empirical-Bayes host reputation for the rest.
 
-Labelled outcomes (1 good, 0 bad) are counted by host, registered domain and public suffix. Each
+Labelled outcomes (1 good, 0 bad) are counted by host, registered domain and public suffix. For that a
+host stands without user, port and last dot; suffixes are the last label, or the last two where a table
+(a parameter) has them, and the domain is the label before; addresses of numbers are their own domain and
+suffix. Each
 level is a beta-binomial whose prior mean is the posterior mean of the level above: suffixes shrink
 to the corpus mean, domains to their suffix, hosts to their domain. The strength of each level's
 prior comes from the spread of the groups at that level (method of moments), within fixed bounds.
@@ -8,7 +11,8 @@ A page passes if the lower posterior bound of the most specific known level reac
 
 Defined results: a null URL, or one without ``://``, has an empty host and path; it fits no rule
 and is judged by the corpus prior. An empty table gives an empty result. Repeated rows are judged
-row by row. Extra input columns are ignored.
+row by row. Extra input columns are ignored. The lower bound is the posterior mean less some posterior
+standard deviations, as functions of columns have no quantile of the beta distribution.
 """
 
 from __future__ import annotations
@@ -28,6 +32,13 @@ RULES = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
+# Public suffixes of two labels under which registrations are common; pass a whole list where there is one.
+SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "co.za", "co.in", "co.il", "co.jp", "or.jp", "ne.jp", "co.kr",
+    "com.ar", "com.br", "com.cn", "com.hk", "com.mx", "com.pl", "com.sg", "com.tr", "com.tw", "com.ua",
+)
+#: Most hosts that are broadcast, some 100 bytes each.
+BROADCAST_HOSTS = 100_000
 #: Bounds of a prior's strength, in observations.
 WEAKEST, STRONGEST = 2.0, 200.0
 #: Lower bound: this many posterior standard deviations below the mean must reach the threshold.
@@ -44,13 +55,26 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, PARTS, 2), F.lit(""))
 
 
-def host_domain(host: Column) -> Column:
-    """The last two labels of a host: its registered domain where suffixes have one label."""
-    return F.substring_index(host, ".", -2)
+def known_as(host: Column) -> Column:
+    """A host without user, port and last dot, under which its outcomes are counted."""
+    return F.regexp_replace(F.regexp_replace(host, r"(?s)\A.*@", ""), r"\.?(:[0-9]*)?\z", "")
+
+
+def is_address(host: Column) -> Column:
+    """Whether a host is an address of numbers."""
+    return host.rlike(r"\A[0-9]+(\.[0-9]+){3}\z") | host.startswith("[")
 
 
-def host_suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def host_suffix(host: Column, suffixes=SUFFIXES) -> Column:
+    """The public suffix: two labels if the table has them, else one."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(is_address(host), host).when(two.isin(*suffixes), two).otherwise(F.substring_index(host, ".", -1))
+
+
+def host_domain(host: Column, suffixes=SUFFIXES) -> Column:
+    """The registered domain: the suffix and the label before it, where there is one."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(is_address(host), host).when(two.isin(*suffixes), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def rule_for(host: Column, path: Column, rules=RULES) -> Column:
@@ -80,7 +104,7 @@ def _strength(prior: Column) -> Column:
     return F.when(rho > 0, F.least(F.greatest(1 / rho - 1, F.lit(WEAKEST)), F.lit(STRONGEST))).otherwise(F.lit(STRONGEST))
 
 
-def host_reputation(outcomes: DataFrame) -> tuple[float, DataFrame, DataFrame, DataFrame]:
+def host_reputation(outcomes: DataFrame, suffixes=SUFFIXES) -> tuple[float, DataFrame, DataFrame, DataFrame]:
     """Posterior means and sizes: of the corpus (a mean), by suffix, by domain and by host, from outcomes(host, good 0/1).
 
     Counts are taken at the hosts and rolled up from there, so one hot host is pre-aggregated
@@ -88,7 +112,7 @@ def host_reputation(outcomes: DataFrame) -> tuple[float, DataFrame, DataFrame, D
     hosts = (
         outcomes.where(F.col("good").isNotNull())
         .groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("good").cast("double")).alias("good"))
-        .withColumn("domain", host_domain(F.col("host"))).withColumn("suffix", host_suffix(F.col("host")))
+        .withColumn("domain", host_domain(F.col("host"), suffixes)).withColumn("suffix", host_suffix(F.col("host"), suffixes))
     )
     hosts = stored(hosts, "hosts")
     roll = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
@@ -111,22 +135,23 @@ def lower_bound(p: Column, size: Column, deviations: float = DEVIATIONS) -> Colu
     return p - deviations * F.sqrt(p * (1 - p) / (size + 1))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, deviations: float = DEVIATIONS, threshold: float = THRESHOLD) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, deviations: float = DEVIATIONS, threshold: float = THRESHOLD, suffixes=SUFFIXES) -> DataFrame:
     """pages(page_id, url) with host, path, rule, verdict, posterior_mean and lower_bound.
 
     outcomes(url, good): labelled page outcomes, 1 good and 0 bad. Rows of pages are judged through
-    their distinct hosts: only those are joined with the reputations, then once with the pages."""
-    p0, s, d, h = host_reputation(outcomes.select(url_host(F.col("url")).alias("host"), F.col("good")))
+    their distinct hosts: only those are joined with the reputations, then once with the pages. Judged hosts
+    are a table of their own, broadcast if they are few; else a host with very many pages is joined in parts."""
+    p0, s, d, h = host_reputation(outcomes.select(known_as(url_host(F.col("url"))).alias("host"), F.col("good")), suffixes)
     rows = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    hosts = rows.select("host").distinct().select("host", host_domain(F.col("host")).alias("domain"), host_suffix(F.col("host")).alias("suffix"))
-    judged = (
+    hosts = rows.select(known_as(F.col("host")).alias("host")).distinct().select("host", host_domain(F.col("host"), suffixes).alias("domain"), host_suffix(F.col("host"), suffixes).alias("suffix"))
+    judged = stored(
         hosts.join(h, "host", "left").join(d, "domain", "left").join(s, "suffix", "left")
         .withColumn("posterior_mean", F.coalesce("hp", "dp", "sp", F.lit(p0)))
         .withColumn("size", F.coalesce("hs", "ds", "ss", F.lit(WEAKEST)))
-        .select("host", "posterior_mean", lower_bound(F.col("posterior_mean"), F.col("size"), deviations).alias("lower_bound"))
-    )
+        .select(F.col("host").alias("known_as"), "posterior_mean", lower_bound(F.col("posterior_mean"), F.col("size"), deviations).alias("lower_bound")), "judged")
+    few = judged.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     return (
-        rows.join(judged, "host", "left")
+        rows.join(F.broadcast(judged) if few else judged, known_as(F.col("host")) == F.col("known_as"), "left")
         .withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
         .withColumn("verdict", F.coalesce(rule_verdict(F.col("rule"), rules), F.when(F.col("lower_bound") >= threshold, "allow").otherwise("block")))
         .select("page_id", "host", "path", "rule", "verdict", "posterior_mean", "lower_bound")
