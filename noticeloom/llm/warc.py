@@ -4,15 +4,17 @@ Records are grouped by payload digest in the JVM, so the archive writers see one
 that already know whether they are responses or revisits. Each task writes archives of bounded
 size to shared storage. An archive starts with a skippable Zstandard frame (magic 0x184D2A5D) that
 holds a dictionary trained on the archive's own records; every record follows as a frame of its own
-and can be read alone. Each partition has a folder of its own, which a task empties first, and files appear
-by a rename, so a task that runs again replaces its own files. Archives are read back with Spark's
-binary file source from any store.
+and can be read alone. Every attempt of a task writes to a folder of its own, which becomes the partition's
+folder by a rename when it is whole; of several attempts the first stays and the others are deleted.
+Archives are read back with Spark's binary file source from any store.
 
 Defined results: a null payload is an empty response; payloads under DEDUP_BYTES are always
 responses; among equal larger payloads every row with the smallest page_id is the response (so
 repeated rows of that id are responses too) and the others revisit it; rows with a null page_id
 revisit like any other and are responses if all ids of their group are null. An empty table writes
-no archive and reads back as an empty result. Extra columns are ignored.
+no archive and reads back as an empty result. A null url reads back as null, and line breaks in urls as
+%0D and %0A. Records are named by page_id and digest, so that revisits name what they refer to even where
+ids repeat. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import shared_dir
+from noticeloom.llm.common import shared_dir, stored
 
 DEDUP_BYTES = 100
 #: Bytes of records in an archive before the next one begins, of a dictionary, of what trains it.
@@ -53,19 +55,25 @@ def record_types(pages: DataFrame, dedup_bytes: int = DEDUP_BYTES) -> DataFrame:
         .join(groups, "payload_digest").where(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
         .select(F.col("page_id").alias("p"), F.col("payload_digest").alias("d"), F.col("first").alias("refers_to")).distinct()
     )
+    repeated = stored(repeated, "warc-repeated")  # a table, so that rows without an id are joined in parts
     out = rows.join(repeated, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("payload_digest") == F.col("d")), "left")
     return out.select("page_id", "url", "payload", "payload_digest", "payload_bytes", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"), "refers_to")
 
 
+def record_name(page_id, digest: str) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest}>"
+
+
 def record_bytes(page_id, url, kind: str, refers_to, payload: bytes, digest: str, size: int) -> bytes:
     """One WARC/1.1 record; a revisit has no block and names what it refers to."""
-    clean = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-    head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Target-URI: {clean}",
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_name(page_id, digest)}"]
+    if url is not None:
+        head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+    head += [
         "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}", "Content-Type: text/html; charset=utf-8",
     ]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_name(refers_to, digest)}"]
     head.append(f"Content-Length: {len(payload)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
@@ -121,10 +129,23 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def emptied(path: str) -> None:
-    """Delete what a folder holds; it need not exist."""
-    store, name = _store(path)
-    store.delete_dir_contents(name, missing_dir_ok=True)
+def take_place(work: str, final: str) -> None:
+    """Rename an attempt's folder to the partition's, or delete it if another attempt was first."""
+    from pyarrow import fs
+
+    store, a = _store(work)
+    z = _store(final)[1]
+    if store.get_file_info(a).type == fs.FileType.NotFound:
+        return  # no rows, no archives
+    there = lambda: store.get_file_info(z).type != fs.FileType.NotFound
+    if not there():
+        try:
+            store.move(a, z)
+            return
+        except OSError:
+            if not there():
+                raise
+    store.delete_dir(a)
 
 
 def put(path: str, data: bytes) -> None:
@@ -138,30 +159,40 @@ def put(path: str, data: bytes) -> None:
 
 
 def write_archives(records: DataFrame, folder: str, archive_size: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write record_types() rows as archives below folder; returns (path, records, bytes), lazily."""
+    """Write record_types() rows as archives below folder, which is emptied first.
+
+    Returns (path, archives, records, bytes) of each partition's folder, lazily."""
+    jvm = records.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(records.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    store.delete(path, True)
+    store.mkdirs(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, number, held, size = f"{folder}/part-{TaskContext.get().partitionId():06d}", 0, [], 0
-        emptied(own)  # an attempt that failed may have cut its rows into more archives
+        part = f"part-{TaskContext.get().partitionId():06d}"
+        own = f"{folder}/_attempts/{part}-{uuid.uuid4().hex}"  # names with an underscore are not read
+        number, held, size, count, written = 0, [], 0, 0, 0
 
         def flush():
-            path = f"{own}/{number:05d}.warc.zst"
+            nonlocal number, held, size, count, written
             data = archive_bytes(held)
-            put(path, data)
-            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(held)], pa.int64()), pa.array([len(data)], pa.int64())], names=["path", "records", "bytes"])
+            put(f"{own}/{number:05d}.warc.zst", data)
+            number, held, size, count, written = number + 1, [], 0, count + len(held), written + len(data)
 
         for batch in batches:
             for page_id, url, payload, digest, n, kind, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.append(record_bytes(page_id, url, kind, refers_to, b"" if kind == "revisit" else payload.encode(), digest, n))
                 size += len(held[-1])
                 if size >= archive_size:
-                    yield flush()
-                    number, held, size = number + 1, [], 0
+                    flush()
         if held:
-            yield flush()
+            flush()
+        if count:
+            take_place(own, f"{folder}/{part}")
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{part}"]), *(pa.array([x], pa.int64()) for x in (number, count, written))], names=["path", "archives", "records", "bytes"])
 
     columns = ("page_id", "url", "payload", "payload_digest", "payload_bytes", "record_type", "refers_to")
-    return records.select(*columns).mapInArrow(run, "path string, records long, bytes long")
+    return records.select(*columns).mapInArrow(run, "path string, archives long, records long, bytes long")
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -172,14 +203,14 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
             for raw in batch.column("content"):
                 rows = [parse_record(r) for r in archive_records(raw.as_py())]
                 number = lambda x: int(x) if x else None
-                page = lambda x: number(x.removeprefix("<urn:page:").removesuffix(">"))
+                page = lambda x: number(x.removeprefix("<urn:page:").split(":", 1)[0])
                 whole = [hashlib.sha256(p).hexdigest() for _, p in rows]
                 stated = [f["WARC-Payload-Digest"].removeprefix("sha256:") for f, _ in rows]
                 for (f, p), digest, said in zip(rows, whole, stated, strict=True):
                     if f["WARC-Type"] == "response" and (digest != said or len(p) != int(f["X-Payload-Length"])):
                         raise ValueError(f"record {f['WARC-Record-ID']} does not hold its payload")
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([page(f["WARC-Record-ID"]) for f, _ in rows], pa.int64()), pa.array([f["WARC-Target-URI"] for f, _ in rows]), pa.array([f["WARC-Type"] for f, _ in rows]),
+                    pa.array([page(f["WARC-Record-ID"]) for f, _ in rows], pa.int64()), pa.array([f.get("WARC-Target-URI") for f, _ in rows], pa.string()), pa.array([f["WARC-Type"] for f, _ in rows]),
                     pa.array([page(f["WARC-Refers-To"]) if "WARC-Refers-To" in f else None for f, _ in rows], pa.int64()),
                     pa.array([p for _, p in rows], pa.binary()), pa.array(stated), pa.array([int(f["X-Payload-Length"]) for f, _ in rows], pa.int64()),
                 ], names=["page_id", "url", "record_type", "refers_to", "payload", "payload_digest", "payload_bytes"])
@@ -192,8 +223,5 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Write a record per page to archives in the shared folder and read them back."""
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/noticeloom/warc-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
     write_archives(record_types(pages), folder).agg(F.sum("records")).collect()
     return read_archives(spark, folder)
