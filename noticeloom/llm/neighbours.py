@@ -57,9 +57,10 @@ def valid_vectors(rows: DataFrame, id_column: str = "vec_id", vector: str = "emb
 def nodes_of(vectors: DataFrame, keep: int) -> DataFrame:
     """(node, v, ids): distinct vectors with their smallest ids; a node is named by its smallest id.
 
-    Ids are cut to the keep smallest in each task before they are shuffled."""
+    Ids are first cut to the keep smallest in as many parts as the root of the number of rows, so neither
+    the ids of a part nor those of all parts of a very common vector are many."""
     key = F.xxhash64("v")
-    salt = F.pmod(F.xxhash64("id"), F.lit(64))
+    salt = F.pmod(F.xxhash64("id"), F.lit(max(64, int(vectors.count() ** 0.5))))
     some = vectors.groupBy(key.alias("k"), "v", salt.alias("s")).agg(F.slice(F.sort_array(F.collect_list("id")), 1, keep).alias("ids"))
     merged = some.groupBy("k", "v").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids"))
     return merged.select(F.element_at("ids", 1).alias("node"), "v", "ids")
@@ -148,7 +149,7 @@ def first_lists(nodes: DataFrame, count: int, seed: int, parts: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("v"), pa.array(code)], names=["node", "v", "code"])
 
         codes = nodes.select("node", "v").mapInArrow(coded, "node long, v array<double>, code long")
-        sizes = codes.groupBy("code").agg(F.count("*").alias("n"))
+        sizes = stored(codes.groupBy("code").agg(F.count("*").alias("n")), "code-sizes")
         cells = codes.join(sizes, "code").withColumn("cell", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / (2 * CELL))))
         found = cells.groupBy("code", "cell").applyInPandas(_cells, ENTRIES)
         out = found if out is None else out.unionByName(found)
