@@ -166,11 +166,22 @@ def venue_label(spark, sf_dir):
 # filters
 
 
-@query("""SELECT doc_id, CAST(i - 1 AS INTEGER) AS ord FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
-WHERE len(regexp_replace(ls[i], '[^ilI]', '', 'g')) > (strlen(ls[i]) + 1) // 2""")
+@query("""SELECT p_partkey, t FROM (SELECT p_partkey, translate(p_name, 'aeorn', 'ilIil') || repeat('i', CAST(p_size % 5 AS INTEGER)) AS t FROM part) WHERE len(regexp_replace(t, '[^ilI]', '', 'g')) > (strlen(t) + 1) // 2""")
 def repetitive_filter(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ord", "line"))
-    return lines.where(boxes.is_repetitive(F.col("line"))).select("doc_id", "ord")
+    lines = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.translate("p_name", "aeorn", "ilIil"), F.expr("repeat('i', p_size % 5)")).alias("t"))
+    return lines.where(boxes.is_repetitive(F.col("t")))
+
+
+@query("""SELECT c_custkey, CAST(i - 1 AS INTEGER) AS ord, vs[i] AS value FROM (SELECT c_custkey, vs, unnest(range(1, len(vs) + 1)) AS i FROM (
+ SELECT c_custkey, list_filter(regexp_extract_all(t, '\\b\\d{5} +(?:[a-zA-Z-]|\\. ){4,}'), lambda x: strlen(x) > 3) AS vs FROM (
+ SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'no town' ELSE 'Weg 7, ' || lpad(CAST(c_custkey % 90000 + 10000 AS VARCHAR), 5, '0') || '  ' || n_name || ' x ' || CAST(c_custkey % 100 + 54300 AS VARCHAR) || ' St. Ann-Dorf, 1234 abcde' END AS t FROM customer JOIN nation ON c_nationkey = n_nationkey)))""")
+def city_lines(spark, sf_dir):
+    """Towns with their codes in lines of addresses."""
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    code = (F.col("c_custkey") % 90000 + 10000).cast("string")
+    line = F.concat(F.lit("Weg 7, "), code, F.lit("  "), F.col("n_name"), F.lit(" x "), (F.col("c_custkey") % 100 + 54300).cast("string"), F.lit(" St. Ann-Dorf, 1234 abcde"))
+    rows = c.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "no town").otherwise(line).alias("text"))
+    return entities.extract(rows, kinds=("city",), keys=("c_custkey",)).select("c_custkey", "ord", "value")
 
 
 @query("""SELECT doc_id, len(text) >= 3 AND len(list_filter(range(1, len(text) - 1), lambda i: text[i] = text[i + 1] AND text[i] = text[i + 2])) > 0 AS triple,
