@@ -2,7 +2,8 @@
 
 For every language a bounded sample of labelled text is indexed by a suffix automaton. A text is
 parsed greedily into the longest phrases that occur in the sample; the language that needs the
-fewest phrases, normalised by the bits that one phrase costs (log2 of the sample's length), wins.
+fewest phrases, normalised by the bits that one phrase costs (log2 of the sample's length, and at least
+one more than those of any character), wins.
 A character that a sample lacks ends the phrase before it and is a phrase of its own.
 
 A missing transition of the automata already holds the restart at the root and the phrases that end,
@@ -121,7 +122,10 @@ class CrossParser:
         self.dense = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         order = np.argsort(keys) if keys else np.zeros(0, np.int64)
         self.keys, self.to = np.array(keys, np.int64)[order], np.array(to, np.int64)[order]
-        self.bits = np.array([math.log2(max(2, len(samples[x]))) for x in self.languages])
+        # a phrase costs a place in the sample, but no less than naming any character: else a tiny sample would win by cheap phrases
+        self.bits = np.array([max(math.log2(max(2, len(samples[x]))), 1 + math.log2(self.width)) for x in self.languages])
+        #: what a character costs in a text of random letters of a language: phrases of it are as long as strings of that length are all in the sample
+        self.random = {x: math.log2(max(2, len(set(samples[x])))) for x in self.languages}
         self.root = np.array(self.roots, np.int32 if self.dense.size < 1 << 31 else np.int64)[:, None]
 
     def encode(self, text: str) -> np.ndarray:
@@ -282,23 +286,15 @@ def identify(docs: DataFrame, lang_docs: int = LANG_DOCS, lang_chars: int = LANG
     return predict_languages(rows.select("doc_id", "held_out", "text"), samples).drop("bits")
 
 
-def random_bits(samples: dict[str, str]) -> float:
-    """Bits that a character costs in a text of random letters, log2 of their number, of the language with the fewest.
-
-    Phrases of such a text are as long as strings of that length are all in the sample."""
-    return min((math.log2(max(2, len(set(t)))) for t in samples.values()), default=0.0)
-
-
 def keep_identified(docs: DataFrame, least_score: float = 0.0, random_share: float = RANDOM_SHARE, lang_docs: int = LANG_DOCS, lang_chars: int = LANG_CHARS) -> DataFrame:
     """The rows of docs, with all columns, whose language is known.
 
     Rejected are texts without a letter, texts whose best language is less than least_score ahead of the
-    second, and texts of SHORT characters or more that read like random letters: that cost random_share of
-    what those cost, or more.
+    second, and texts of SHORT characters or more that read like random letters of their language: that cost
+    random_share of what those cost, or more.
     Learns from the rows that are not held out, as ``identify`` does; where no row is labelled, only texts
     without a letter go."""
     samples = training_sample(docs.where(~held_out(F.col("doc_id"))), lang_docs, lang_chars)
-    most = random_share * random_bits(samples)
     shared = docs.sparkSession.sparkContext.broadcast(samples)
     key = hash(tuple(sorted(samples.items())))
     place = docs.columns.index("text")
@@ -309,7 +305,7 @@ def keep_identified(docs: DataFrame, least_score: float = 0.0, random_share: flo
             texts = batch.column(place).to_pylist()
             if parser.languages:
                 found = zip(texts, parser.predict(texts), strict=True)
-                keep = [x != UNKNOWN and s >= least_score and (bits < most or len(t) < SHORT) for t, (x, s, bits) in found]
+                keep = [x != UNKNOWN and s >= least_score and (bits < random_share * parser.random[x] or len(t) < SHORT) for t, (x, s, bits) in found]
             else:
                 keep = [bool(t and LETTER.search(t)) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))

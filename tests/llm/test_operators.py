@@ -476,6 +476,14 @@ def test_large_alphabets_stay_small():
     assert p.phrases([t]).tolist() == [[longest_matches(samples[x], t) for x in "abc"]]
 
 
+def test_tiny_samples_do_not_win():
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 7))) for _ in range(80)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    p = language.CrossParser({"real": text(1500), "tiny": "aa a"})
+    assert [x[0] for x in p.predict([text(30), text(5), "aa a aa"])][:2] == ["real", "real"]
+
+
 def test_training_sample_takes_distinct_ids(spark):
     rows = [(1, "aaa bbb", "xx")] * 200 + [(i, "ccc ddd", "xx") for i in range(2, 6)] + [(i, "12 34", "xx") for i in range(10, 90)] + [(None, "eee", "yy"), (None, "eee", "yy")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)

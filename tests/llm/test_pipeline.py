@@ -27,13 +27,13 @@ def test_stages(spark, tmp_path):
     from noticeloom.llm import language
 
     samples = language.training_sample(spark.read.parquet(f"{SF}/documents.parquet").where("crc32(cast(doc_id AS string)) % 5 <> 0"))
-    parser, most = language.CrossParser(samples), language.random_bits(samples)
+    parser = language.CrossParser(samples)
     assert all(re.search(r"[^\W\d_]", r[1] or "") for r in after) and set(after) <= set(before)
     for r in before:  # a row stays if its text is short or costs less than random letters do
         t = language.folded(r[1] or "")
-        cost = min((longest_matches(samples[x], t) * bits for x, bits in zip(parser.languages, parser.bits, strict=True)), default=0) if len(t) < 400 else None
-        if re.search(r"[^\W\d_]", r[1] or "") and cost is not None:
-            assert (r in after) == (cost < most * len(t) or len(r[1]) < language.SHORT)
+        if re.search(r"[^\W\d_]", r[1] or "") and len(t) < 400:
+            cost, best = min((longest_matches(samples[x], t) * bits, x) for x, bits in zip(parser.languages, parser.bits, strict=True))
+            assert (r in after) == (cost < parser.random[best] * len(t) or len(r[1]) < language.SHORT)
     before, after = (rows(x) for x in at["near_duplicates"])
     kept = {name for _, n, name in brute_near(before) if n}
     assert {r[0] for r in after} == kept and len(after) == len(kept)
@@ -50,3 +50,22 @@ def test_stages(spark, tmp_path):
 
 def test_run_has_the_rows_of_the_stages(spark):
     assert corpus_pipeline.run(spark, SF).where("NOT round_trip").count() == 0
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    """Nulls, repeated rows and ids, odd texts and columns named as results; then no rows at all."""
+    from tests.llm.test_operators import DOC, corpus
+
+    rows = corpus()
+    for name, some in (("odd", rows), ("none", [])):
+        docs = spark.createDataFrame(some, DOC).repartition(2)
+        counts = [docs.count()]
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}-{k}")
+            columns, docs = docs.columns, spark.read.parquet(f"{tmp_path}/{name}-{k}")
+            assert docs.columns == columns or k == len(corpus_pipeline.STAGES) - 1
+            counts.append(docs.count())
+        if some:
+            assert 0 < counts[2] < counts[1] < counts[0] and counts[2] == counts[3] and counts[4] == counts[5] > 0 and docs.where("NOT round_trip").count() == 0
+        else:
+            assert counts == [0] * 6
