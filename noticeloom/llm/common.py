@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -60,13 +61,27 @@ def dropped(*frames: DataFrame) -> None:
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
+def give_back() -> None:
+    """Return memory that a task no longer uses to the system; else idle Python workers keep as much as their largest task took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mapped(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow(run, schema) with batches that stay small when texts are long."""
     conf = df.sparkSession.conf
     for key, value in BATCHES.items():
         if conf.get(key, None) is None:
             conf.set(key, value)
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(tidy, schema)
 
 
 #: Rows of texts that a task works on at once; Arrow batches hold more.

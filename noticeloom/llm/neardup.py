@@ -43,6 +43,8 @@ BUCKETS, BANDS, ROWS = 128, 32, 4
 ZERO_BITS, MANTISSA = 6, 10
 #: Estimates this far below the threshold are not verified (over 6 standard deviations of 128 buckets).
 MARGIN = 0.25
+#: Most ids that are broadcast, some 16 bytes each.
+GONE_IDS = 2_000_000
 #: Classes of a bucket that are compared at once.
 BLOCK = 512
 
@@ -340,10 +342,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILAR)
 
 def without_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILAR) -> DataFrame:
     """docs with one document of each component: the one with the smallest id. Of repeated rows with
-    that id and the same text one stays; documents without words all stay."""
-    id_ = unused(docs, "kept")[0]
-    kept = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias(id_))
-    out = docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(F.col(id_)), "left_semi")
-    if kept.groupBy(id_).count().where("count > 1").limit(1).count():
+    that id and the same text one stays; documents without words all stay.
+
+    The ids of those that go are broadcast if they are at most GONE_IDS, so that texts are not shuffled."""
+    id_ = unused(docs, "gone")[0]
+    ids = stored(near_duplicates(docs, words, percent).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count_if("kept").alias("n")), "ids")
+    gone = ids.where("NOT kept").select(F.col("doc_id").alias(id_))
+    few = gone.limit(GONE_IDS + 1).count() <= GONE_IDS
+    out = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].eqNullSafe(F.col(id_)), "left_anti")
+    if ids.where("n > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id", "text"])
     return out
