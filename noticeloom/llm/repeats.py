@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeloom.llm.common import stored
+from noticeloom.llm.common import dropped, mapped, slices, stored, unused
 from noticeloom.llm.neardup import _BYTE, mixed, powers
 
 WINDOW, GRAM = 400, 64
@@ -174,7 +174,7 @@ def digest(data: bytes) -> bytes:
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = [anchored(t.as_py())[0].view(np.int64) for t in batch.column("raw")]
         offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))
@@ -184,7 +184,7 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(name, key, class, place, low, high) of the contexts of marked texts; low and high are the
     least and largest distances of windows before the anchor."""
-    for batch in batches:
+    for batch in slices(batches):
         for name, raw, marks in zip(batch.column("name").to_pylist(), batch.column("raw").to_pylist(), batch.column("marks"), strict=True):
             hashes, place, first, last = anchored(raw)
             use = np.flatnonzero(np.isin(hashes.view(np.int64), np.asarray(marks.values)))
@@ -197,12 +197,12 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _context_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of chosen contexts: wanted holds structs (class, key, n, place, low, high)."""
-    for batch in batches:
+    """The bytes of chosen contexts: wanted holds structs (class, key, n, place, low, high, k)."""
+    for batch in slices(batches):
         for raw, wanted in zip(batch.column("raw").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-            rows = [(w["class"], w["key"], w["n"], w["low"], w["high"], raw[w["place"] - w["high"] : w["place"] - w["low"] + WINDOW]) for w in wanted]
+            rows = [(w["class"], w["key"], w["n"], w["low"], w["high"], w["k"], raw[w["place"] - w["high"] : w["place"] - w["low"] + WINDOW]) for w in wanted]
             columns = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["class", "key", "n", "low", "high", "context"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["class", "key", "n", "low", "high", "k", "context"])
 
 
 # comparison of classes
@@ -310,22 +310,32 @@ def _divided(step: int):
     return run
 
 
-def repeated_classes(classes: DataFrame, level: int = 0) -> DataFrame:
-    """(class, from, to) of classes(class, key, n, low, high, context), none of which occurs alone in its key."""
-    whole = classes.where("n > 1").select("class", F.col("low").alias("from"), F.col("high").alias("to"))
-    sizes = classes.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
-    sized = classes.join(sizes, "key")
-    total = classes.count()
+def sized(classes: DataFrame, label: str) -> DataFrame:
+    """classes with k, the number of classes with their key.
+
+    The counts are a table of their own, so that a key with very many classes is joined in parts."""
+    sizes = stored(classes.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), f"{label}-sizes")
+    out = stored(classes.join(sizes, "key", "left").withColumn("k", F.coalesce("k", F.lit(1).cast("long"))), label)
+    dropped(sizes)
+    return out
+
+
+def repeated_classes(classes: DataFrame, level: int = 0) -> tuple[DataFrame, list[DataFrame]]:
+    """(class, from, to) of classes(class, key, n, low, high, context, k), and the tables that it reads."""
+    found = classes.where("n > 1").select("class", F.col("low").alias("from"), F.col("high").alias("to"))
+    several = classes.where((F.col("k") > 1) & (F.col("k") <= GROUP))  # at the last level equal keys mean equal windows, so k is 1
+    total = several.count()
     bucket = F.pmod(F.xxhash64("key"), F.lit(max(1, total // BUCKET + 1)))
-    small = sized.where(F.col("k") <= GROUP).withColumn("bucket", bucket).select("bucket", "class", "key", "low", "high", "context")
-    found = whole.unionByName(small.groupBy("bucket").applyInPandas(_compare, "class binary, from long, to long"))
-    if level == len(RANGES) or not sizes.where(F.col("k") > GROUP).limit(1).count():
-        return found
-    large = sized.where(F.col("k") > GROUP).select("class", "key", "n", "low", "high", "context")
-    parts = stored(large.mapInArrow(_divided(RANGES[level]), "parent binary, key long, class binary, n long, low long, high long, context binary"), "repeat-parts")
+    small = several.select(bucket.alias("bucket"), "class", "key", "low", "high", "context")
+    pairs = stored(small.groupBy("bucket").applyInPandas(_compare, "class binary, from long, to long"), f"repeat-found-{level}")
+    found, used = found.unionByName(pairs), [classes, pairs]
+    large = classes.where(F.col("k") > GROUP)
+    if level == len(RANGES) or not large.limit(1).count():
+        return found, used
+    parts = stored(large.select("class", "key", "n", "low", "high", "context").mapInArrow(_divided(RANGES[level]), "parent binary, key long, class binary, n long, low long, high long, context binary"), "repeat-parts")
     merged = parts.groupBy("class").agg(*(F.first(c).alias(c) for c in ("key", "low", "high", "context")), F.sum("n").alias("n")).select("class", "key", "n", "low", "high", "context")
-    ranges = repeated_classes(stored(merged, "repeat-classes"), level + 1)
-    return found.unionByName(parts.select("parent", "class").join(ranges, "class").select(F.col("parent").alias("class"), "from", "to"))
+    ranges, more = repeated_classes(sized(merged, "repeat-classes"), level + 1)
+    return found.unionByName(parts.select("parent", "class").join(ranges, "class").select(F.col("parent").alias("class"), "from", "to")), [*used, parts, *more]
 
 
 # documents
@@ -343,7 +353,7 @@ def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         names, removed, spans, kept = batch.column("name"), [], [], []
         for raw, starts in zip(batch.column("raw").to_pylist(), batch.column("starts").to_pylist(), strict=True):
             runs = covered([(x["first"], x["last"] + WINDOW) for x in starts])
@@ -363,49 +373,56 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", raw.alias("raw"), F.sha2(raw, 256).alias("name"), F.octet_length(raw).cast("long").alias("n_bytes"))
-    seen = stored(rows.mapInArrow(_hashes, f"doc_id {kind}, name string, n_bytes long, anchors array<long>"), "repeat-anchors")
+    seen = stored(mapped(rows, _hashes, f"doc_id {kind}, name string, n_bytes long, anchors array<long>"), "repeat-anchors")
 
     # distinct texts, and the anchors that they do not have alone
     texts = stored(seen.groupBy("name").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("anchors").alias("anchors")).where(F.size("anchors") > 0), "repeat-texts")
     anchors = texts.select("name", F.explode("anchors").alias("h"))
-    common = anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    common = stored(anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "repeat-common")
     marks = anchors.join(common, "h").groupBy("name").agg(F.collect_set("h").alias("marks"))
     marks = marks.join(texts.select("name", "first"), "name").select(F.col("name").alias("own"), "first", "marks")
-    mine = rows.select("doc_id", "name", "raw").join(marks.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("name") == F.col("own")))
+    mine = rows.select("doc_id", "name", "raw").join(marks, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("name") == F.col("own")))
     marked = stored(mine.select("name", "raw", "marks"), "repeat-marked")
+    dropped(common)
 
     # contexts, their classes, and the bytes of one context of each class that is not alone in its key
-    contexts = stored(marked.mapInArrow(_contexts, "name string, key long, class binary, place long, low long, high long"), "repeat-contexts")
+    contexts = stored(mapped(marked, _contexts, "name string, key long, class binary, place long, low long, high long"), "repeat-contexts")
     classes = contexts.groupBy("class").agg(F.min(F.struct("name", "place", "low", "high", "key")).alias("x"), F.count("*").alias("n"))
-    classes = classes.select("class", "n", "x.*")
-    classes = stored(classes, "repeat-classes")
-    alone = classes.groupBy("key").agg(F.count("*").alias("k")).where("k = 1").select("key")
-    whole = classes.join(alone, "key", "left_semi").where("n > 1").select("class", F.col("low").alias("from"), F.col("high").alias("to"))
-    compared = classes.join(alone, "key", "left_anti").groupBy("name").agg(F.collect_list(F.struct("class", "key", "n", "place", "low", "high")).alias("wanted"))
+    classes = sized(classes.select("class", "n", "x.*"), "repeat-classes")
+    whole = classes.where("k = 1 AND n > 1").select("class", F.col("low").alias("from"), F.col("high").alias("to"))
+    compared = classes.where("k > 1").groupBy("name").agg(F.collect_list(F.struct("class", "key", "n", "place", "low", "high", "k")).alias("wanted"))
     texts_of = marked.select("name", "raw")
-    filled = stored(texts_of.join(compared.hint("shuffle_hash"), "name").select("raw", "wanted").mapInArrow(_context_bytes, "class binary, key long, n long, low long, high long, context binary").dropDuplicates(["class"]), "repeat-filled")
-    ranges = whole.unionByName(repeated_classes(filled.select("class", "key", "n", "low", "high", "context")))
+    filled = mapped(texts_of.join(compared, "name").select("raw", "wanted"), _context_bytes, "class binary, key long, n long, low long, high long, k long, context binary")
+    filled = stored(filled.dropDuplicates(["class"]), "repeat-filled")
+    found, used = repeated_classes(filled)
+    ranges = whole.unionByName(found)
 
     # ranges of windows become ranges of starts in each text, and those what is left of it
     starts = contexts.join(ranges, "class").groupBy("name").agg(F.collect_set(F.struct((F.col("place") - F.col("to")).alias("first"), (F.col("place") - F.col("from")).alias("last"))).alias("starts"))
-    cut = texts_of.join(starts.hint("shuffle_hash"), "name").select("name", "raw", "starts").mapInArrow(_removed, "name string, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string")
+    starts = stored(starts, "repeat-starts")
+    dropped(contexts, classes, *used)
+    cut = mapped(texts_of.join(starts, "name").select("name", "raw", "starts"), _removed, "name string, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string")
     cut = stored(cut.dropDuplicates(["name"]), "repeat-cut")
+    dropped(marked, starts)
     copies = texts.where("copies > 1").select(F.col("name").alias("copied"))
     out = seen.select("doc_id", "name", "n_bytes").join(cut, "name", "left").join(copies, F.col("name") == F.col("copied"), "left")
     all_ = F.col("copied").isNotNull() & (F.col("n_bytes") >= WINDOW)
     span = F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))
     empty = hashlib.sha256(b"").hexdigest()
-    return out.select(
+    out = stored(out.select(
         "doc_id", "n_bytes",
         F.when(all_, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(all_, F.array(span)).otherwise(F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"))).alias("spans"),
-        F.when(all_, F.lit(empty)).otherwise(F.coalesce("kept_sha256", "name")).alias("kept_sha256"))
+        F.when(all_, F.lit(empty)).otherwise(F.coalesce("kept_sha256", "name")).alias("kept_sha256")), "repeats")
+    dropped(seen, texts, cut)
+    return out
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with every repeated passage cut from text; bytes of characters that a cut splits are dropped."""
-    spans = repeated_spans(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("n_bytes").alias("_n"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_n", "_spans"])
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.octet_length("text") == F.col("_n")), "left").select(*(docs[c] for c in docs.columns), "_spans")
+    i, n, cuts_of = unused(docs, "id", "n", "cuts")
+    spans = repeated_spans(docs).where("n_removed > 0").select(F.col("doc_id").alias(i), F.col("n_bytes").alias(n), F.col("spans").alias(cuts_of)).dropDuplicates([i, n, cuts_of])
+    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col(i)) & (F.octet_length("text") == F.col(n)), "left").select(*(docs[c] for c in docs.columns), cuts_of)
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,4 +436,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             columns = [pa.array(texts, c.type) if i == place else c for i, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return joined.mapInArrow(run, docs.schema)
+    return mapped(joined, run, docs.schema)
