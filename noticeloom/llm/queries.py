@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeloom.llm import language, mixing, neardup, neighbours, pieces, quality, repeats, secrets, url_filter, warc
+from noticeloom.llm import fim, language, mixing, neardup, neighbours, pieces, quality, repeats, secrets, url_filter, warc
 from noticeloom.llm.common import table
 from noticeloom.llm.oracles import ORACLES as ORACLES
 
@@ -55,6 +55,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_secret_scan": op2_secret_scan,
@@ -66,4 +71,5 @@ QUERIES = {
     "op8_repeated_passages": op8_repeated_passages,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
