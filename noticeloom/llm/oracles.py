@@ -63,4 +63,13 @@ p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], ''
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN len(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN len(m) END AS middle_chars,
  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
 
-ORACLES = {"op1_warc": WARC, "op5_quality_rules": QUALITY, "op6_url_filter": URLS, "op9_near_duplicates": NEAR, "op11_fill_in_middle": FIM}
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED = rf"""WITH t AS (SELECT doc_id, {_TERMS} AS ts FROM documents), s AS (SELECT doc_id, len(ts)::BIGINT AS n, ts FROM t WHERE len(ts) > 0),
+g AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS l FROM s), p AS (SELECT doc_id, n, x, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(ts) AS x FROM s) GROUP BY ALL),
+w AS (SELECT x, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT x, count(*)::BIGINT AS df FROM p GROUP BY x), g),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS x FROM benchmark),
+r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // l))))::BIGINT AS score FROM q JOIN w USING (x) JOIN p USING (x), g GROUP BY ALL HAVING score > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM r QUALIFY rank <= 50"""
+
+ORACLES = {"op1_warc": WARC, "op5_quality_rules": QUALITY, "op6_url_filter": URLS, "op9_near_duplicates": NEAR, "op11_fill_in_middle": FIM, "op13_ranked_search": RANKED}
