@@ -72,4 +72,11 @@ q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS x FROM benchmark),
 r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // l))))::BIGINT AS score FROM q JOIN w USING (x) JOIN p USING (x), g GROUP BY ALL HAVING score > 0)
 SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM r QUALIFY rank <= 50"""
 
-ORACLES = {"op1_warc": WARC, "op5_quality_rules": QUALITY, "op6_url_filter": URLS, "op9_near_duplicates": NEAR, "op11_fill_in_middle": FIM, "op13_ranked_search": RANKED}
+VECTORS = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+g AS (SELECT * FROM v WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+e AS (SELECT p.vec_id AS a, q.vec_id AS b FROM g p JOIN g q ON p.label = q.label AND p.vec_id <> q.vec_id AND list_cosine_similarity(p.v, q.v) >= 0.93),
+c(vec_id, r) AS (SELECT a, a FROM e UNION SELECT c.vec_id, e.b FROM c JOIN e ON c.r = e.a),
+m AS (SELECT vec_id, min(r) AS r FROM c GROUP BY vec_id), n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT x.vec_id, coalesce(n.n, 0) AS n_links, coalesce(m.r, x.vec_id) AS component_id, coalesce(m.r, x.vec_id) = x.vec_id AS kept FROM embeddings x LEFT JOIN n ON n.a = x.vec_id LEFT JOIN m ON m.vec_id = x.vec_id"""
+
+ORACLES = {"op1_warc": WARC, "op5_quality_rules": QUALITY, "op6_url_filter": URLS, "op9_near_duplicates": NEAR, "op11_fill_in_middle": FIM, "op12_vector_groups": VECTORS, "op13_ranked_search": RANKED}

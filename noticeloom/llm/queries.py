@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeloom.llm import fim, language, lexical, mixing, neardup, neighbours, pieces, quality, repeats, secrets, url_filter, warc
+from noticeloom.llm import fim, language, lexical, mixing, neardup, neighbours, pieces, quality, repeats, secrets, url_filter, vector_groups, warc
 from noticeloom.llm.common import table
 from noticeloom.llm.oracles import ORACLES as ORACLES
 
@@ -60,6 +60,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+def op12_vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_groups.grouped(table(spark, sf_dir, "embeddings"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -76,5 +80,6 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_vector_groups": op12_vector_groups,
     "op13_ranked_search": op13_ranked_search,
 }
