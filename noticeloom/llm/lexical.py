@@ -42,8 +42,8 @@ from noticeloom.llm.common import dropped, give_back, mapped, slices, stored
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Documents of a range that is scored at once; postings of a shard; characters of a block of queries.
-LEAF, SHARD, BLOCK_CHARS = 256, 2_000_000, 16_000_000
+#: Documents of a range that is scored at once (a cut costs as much as some ten thousand postings); postings of a shard; characters of a block of queries.
+LEAF, SHARD, BLOCK_CHARS = 2048, 2_000_000, 16_000_000
 #: Positions are spread by a bijection of numbers of so many bits, which breaks ties among impacts.
 BITS = 40
 _MASK, _ODD = (1 << BITS) - 1, 0x9E3779B97F4A7C15 & ((1 << BITS) - 1) | 1
@@ -112,8 +112,9 @@ class Treaps:
         np.add.at(out, self.doc[at] - a, np.repeat(weights, sizes) * self.impact[at])
         return out
 
-    def best(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: int = 1, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+    def best(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: int = 1, leaf: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(documents, scores): all that are among the k best of at least floor, in any order, and few others."""
+        leaf = leaf or LEAF
         if not len(self.doc):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         nodes = self.root[terms]

@@ -38,6 +38,7 @@ def corpus(seed, n):
 @pytest.mark.parametrize(("shard", "chars"), [(2_000_000, 16_000_000), (300, 400)])
 def test_equals_plain_scores(spark, monkeypatch, shard, chars):
     monkeypatch.setattr(lexical, "SHARD", shard)
+    monkeypatch.setattr(lexical, "LEAF", 16)
     docs, items = corpus(4, 1500)
     a = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id long, text string, rank int, item_id string").repartition(3)
     b = spark.createDataFrame([(i, t, 1.0) for i, t in items], "item_id long, text string, score double")
