@@ -14,6 +14,8 @@ from noticeloom.operators import boxes, entities, fuzzy, overlay, quality, resol
 from noticeloom.plans import extract
 from noticeloom.sources import files, store
 from noticeloom.sources.files import table
+from noticeloom.sources.segments import Segments
+from noticeloom.sources.shared import shared_folder
 from noticeloom.streaming import claims
 
 TODAY = datetime.date(2018, 6, 15)
@@ -506,8 +508,25 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, value, revs FROM (SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN 'changed' ELSE o_orderpriority END AS value, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS revs FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0)""")
 def upsert_merge(spark, sf_dir):
     o = _orders(spark, sf_dir)
-    merged = store.upsert(o.where("doc_id % 2 = 0"), o.where("doc_id % 3 = 0").withColumn("value", F.lit("changed")))
-    return merged.select("doc_id", "value", F.substring_index("rev", "-", 1).cast("int").alias("revs"))
+    held = Segments(spark, shared_folder(spark, "orders"), buckets=16)
+    held.write(o.where("doc_id % 2 = 0"))
+    held.put(o.where("doc_id % 3 = 0").withColumn("value", F.lit("changed")))
+    return held.read().select("doc_id", "value", F.substring_index("rev", "-", 1).cast("int").alias("revs"))
+
+
+@query("""SELECT o_orderkey AS doc_id, engine, batch, state FROM (SELECT o_orderkey, o_orderkey % 6 AS k FROM orders), (VALUES (0, 'one', 0::BIGINT, 'done'), (3, 'one', 0, 'done'), (2, 'two', 8, 'held'), (4, 'two', 8, 'held')) AS c(k, engine, batch, state) WHERE c.k = o_orderkey % 6""")
+def claim_ledger(spark, sf_dir):
+    """Two engines claim orders: one works on multiples of 3, two on what is left of the even ones; batch 7 of two
+    is too slow, so its claims go to batch 8, and what batch 0 of one claims twice stays its own."""
+    o, held = _orders(spark, sf_dir).select("doc_id", "rev"), Segments(spark, shared_folder(spark, "claims"), buckets=16)
+    at = datetime.datetime(2024, 1, 1)
+    one, two, late = (claims.Ledger(held, e, "orders", clock=lambda m=minutes: at + datetime.timedelta(minutes=m)) for e, minutes in (("one", 0), ("two", 0), ("two", 11)))
+    one.claim(o.where("doc_id % 3 = 0"), 0)
+    two.claim(o.where("doc_id % 2 = 0"), 7)
+    fence, _ = one.claim(o.where("doc_id % 3 = 0"), 0)
+    one.settle(fence)
+    late.claim(o.where("doc_id % 2 = 0"), 8)
+    return held.read().select("doc_id", "engine", "batch", "state")
 
 
 @query("SELECT o_orderkey AS doc_id, 'changed' AS value FROM orders WHERE o_orderkey % 3 = 0 AND o_orderstatus <> 'F'")

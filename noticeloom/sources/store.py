@@ -7,6 +7,7 @@ replaced last, so readers see one state or the next, and a failed write changes
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,21 +27,53 @@ def _contents(df: DataFrame, key: str) -> list[Column]:
     return [F.col(c) for c in df.columns if c not in (key, "rev")]
 
 
-def upsert(base: DataFrame, changes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """base with changes put in: rows of new keys are added, others replaced with the next revision. Changes without a key get one."""
-    named = changes.withColumn(key, F.coalesce(F.col(key), F.expr("uuid()"))) if dict(changes.dtypes)[key] == "string" else changes
-    old = base.select(key, F.col("rev").alias("_rev"))
-    new = named.drop("rev").join(old, key, "left")
-    new = new.withColumn("rev", next_rev(F.col("_rev"), *_contents(named, key))).select(*base.columns)
-    return base.join(named.select(key), key, "left_anti").unionByName(new)
+def one_a_key(changes: DataFrame, key: str = "doc_id", order: str | None = None) -> DataFrame:
+    """One row of each key: the last by the order column (nulls first), then by its content as JSON. Null text keys all stay."""
+    if key != order:
+        by = F.struct(*([F.col(order)] if order else []), F.to_json(F.struct(*changes.columns)))
+        known = changes.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*changes.columns), by).alias("r")).select("r.*")
+        return known.unionByName(changes.where(F.col(key).isNull()))
+    raise ValueError("rows of one key cannot be ordered by the key")
+
+
+def upserts(base: DataFrame, changes: DataFrame, key: str = "doc_id", order: str | None = None, fence: str | None = None) -> DataFrame:
+    """The rows that changes add to base or replace in it, with their next revisions.
+
+    Of a key that stands more than once in the changes its last row counts (see ``one_a_key``). Changes whose
+    content is what base holds change nothing; nor do those with a smaller number in the fence column than
+    base has. Null text keys get one made of the row's content; other null keys are an error."""
+    columns = [F.col(c) for c in changes.columns]
+    text = dict(changes.dtypes)[key] == "string"
+    name = F.concat(F.lit("id-"), F.md5(F.to_json(F.struct(*columns)))) if text else F.raise_error(F.lit(f"a change has no {key}")).cast(dict(changes.dtypes)[key])
+    named = one_a_key(changes, key, order).withColumn(key, F.coalesce(F.col(key), name))
+    old = base.select(key, F.col("rev").alias("_rev"), *([F.col(fence).alias("_fence")] if fence else []))
+    new = named.drop("rev").join(old, key, "left").withColumn("rev", next_rev(F.col("_rev"), *_contents(named, key)))
+    same = F.substring_index("rev", "-", -1).eqNullSafe(F.substring_index("_rev", "-", -1))
+    late = F.coalesce(F.col(fence) < F.col("_fence"), F.lit(False)) if fence else F.lit(False)
+    return new.where(~same & ~late).select(*base.columns)
+
+
+def replaced(base: DataFrame, rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """base with rows put in place of those of their keys."""
+    return base.join(rows.select(key), key, "left_anti").unionByName(rows)
+
+
+def upsert(base: DataFrame, changes: DataFrame, key: str = "doc_id", order: str | None = None) -> DataFrame:
+    """base with changes put in: rows of new keys are added, others replaced with the next revision; see ``upserts``."""
+    return replaced(base, upserts(base, changes, key, order), key)
 
 
 def compare_and_set(base: DataFrame, changes: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(base with the changes whose revision is the stored one, the rejected changes)."""
+    good, bad = revised(base, changes, key)
+    return upsert(base, good, key), bad
+
+
+def revised(base: DataFrame, changes: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(changes whose revision is the stored one, the others)."""
     now = base.select(key, F.col("rev").alias("_rev"))
     checked = changes.join(now, key, "left").withColumn("_ok", F.col("rev").eqNullSafe(F.col("_rev")))
-    good, bad = checked.where("_ok").drop("_ok", "_rev"), checked.where("NOT _ok").drop("_ok", "_rev")
-    return upsert(base, good, key), bad
+    return checked.where("_ok").drop("_ok", "_rev"), checked.where("NOT _ok").drop("_ok", "_rev")
 
 
 def tombstone(base: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -88,16 +121,16 @@ def save_results(events: DataFrame, documents: Snapshots, records: Snapshots, be
 
     A document gets its event's id, and its best picture (column best, where there is one) as an attachment."""
     named, links = results(events)
-    rows = named.drop("rev", best).withColumn("rev", F.lit(None).cast("string"))
-    known = records.read()
-    records.write(rows.withColumn("rev", next_rev(F.col("rev"), *_contents(rows, "event_id"))) if known is None else upsert(known, rows.select(*known.columns), "event_id"))
-    held = documents.read()
-    if held is not None:
+    records.put(named.drop("rev", best).withColumn("rev", F.lit(None).cast("string")), "event_id")
+
+    def linked(held: DataFrame, _: int) -> DataFrame:
         linked = held.drop("event_id").join(links, "doc_id").select(*held.columns)
         if best in events.columns:
             linked = linked.join(events.select("doc_id", best), "doc_id")
             linked = linked.where(F.col(best).isNull()).unionByName(attach(linked.where(F.col(best).isNotNull()), "image", F.col(best))).select(*held.columns)
-        documents.write(upsert(held, linked))
+        return upserts(held, linked)
+
+    documents.change(linked)
 
 
 def created(pictures: DataFrame, thumb: Column, full: Column, now: Column, version: str = "0.2") -> DataFrame:
@@ -153,19 +186,39 @@ class Snapshots:
         found = self._pointers()
         return int(found[-1]) if found else 0
 
-    def read(self, version: int | None = None) -> DataFrame | None:
-        """The newest snapshot, or that of a version."""
+    def _named(self, version: int | None) -> tuple[int, str | None]:
+        """The number of a version (default: the newest) and the name that its pointer holds; the one before if it is just being written."""
         number = self.version() if version is None else version
         while number:
-            stream = self._fs.open(self._path(f"{self.folder}/_current/{number:08d}"))
-            try:
-                name = bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
-            finally:
-                stream.close()
+            name = self._text(f"_current/{number:08d}")
             if name:
-                return self.spark.read.parquet(f"{self.folder}/{name}")
-            number -= 1  # the pointer is just being written
-        return None
+                return number, name
+            number -= 1
+        return 0, None
+
+    def _text(self, name: str) -> str:
+        stream = self._fs.open(self._path(f"{self.folder}/{name}"))
+        try:
+            return bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def _put_text(self, name: str, text: str) -> None:
+        """A new file with this text; an error if there is one."""
+        out = self._fs.create(self._path(f"{self.folder}/{name}"), False)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def _point(self, number: int, name: str) -> None:
+        try:
+            self._put_text(f"_current/{number:08d}", name)
+        except Exception as error:
+            raise RuntimeError(f"version {number} of {self.folder} was written meanwhile") from error
+
+    def read(self, version: int | None = None) -> DataFrame | None:
+        """The newest snapshot, or that of a version."""
+        _, name = self._named(version)
+        return self.spark.read.parquet(f"{self.folder}/{name}") if name else None
 
     def write(self, df: DataFrame, after: int | None = None) -> int:
         """Write a snapshot and then point to it, as the version after the newest (or the given) one; returns its number.
@@ -175,11 +228,35 @@ class Snapshots:
         number = (self.version() if after is None else after) + 1
         name = f"v{number:08d}-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.folder}/{name}")
-        pointer = self._path(f"{self.folder}/_current/{number:08d}")
-        try:
-            out = self._fs.create(pointer, False)
-        except Exception as error:
-            raise RuntimeError(f"version {number} of {self.folder} was written meanwhile") from error
-        out.write(bytearray(name.encode()))
-        out.close()
+        self._point(number, name)
         return number
+
+    def merge(self, rows: DataFrame, after: int | None = None, key: str = "doc_id") -> int:
+        """Put rows in place of those of their keys, as the next version."""
+        version = self.version() if after is None else after
+        now = self.read(version)
+        return self.write(rows if now is None else replaced(now, rows, key), version)
+
+    def change(self, make: Callable[[DataFrame, int], DataFrame], key: str = "doc_id", tries: int = 5) -> tuple[int, DataFrame] | None:
+        """Merge the rows make(what the store holds, the new version's number), again from what it then holds if another writer was first.
+
+        Returns the new version and what was held before; None if the store is empty."""
+        for left in reversed(range(tries)):
+            version = self.version()
+            now = self.read(version)
+            if now is None:
+                return None
+            try:
+                return self.merge(make(now, version + 1), version, key), now
+            except RuntimeError:
+                if not left:
+                    raise
+        return None
+
+    def put(self, changes: DataFrame, key: str = "doc_id", order: str | None = None, fence: str | None = None) -> int:
+        """Upsert changes as the next version; an empty store takes them as they are, with first revisions."""
+        if self.version():
+            return self.change(lambda now, _: upserts(now, changes.select(*[c for c in now.columns if c != "rev"]), key, order, fence), key)[0]
+        columns = changes.columns if "rev" in changes.columns else [*changes.columns, "rev"]
+        none = changes.limit(0).drop("rev").withColumn("rev", F.lit(None).cast("string")).select(*columns)
+        return self.write(upserts(none, changes, key, order), 0)

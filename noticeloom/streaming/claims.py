@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import datetime
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from noticeloom.sources.store import Snapshots, compare_and_set, upsert
+from noticeloom.sources.store import Snapshots, upserts
 
 
 def unclaimed(documents: DataFrame) -> DataFrame:
@@ -24,56 +27,109 @@ def released(documents: DataFrame) -> DataFrame:
     return documents.withColumn("processed_by", F.lit(None).cast("string"))
 
 
-def updated(store: Snapshots, change: Callable[[DataFrame], DataFrame], tries: int = 5) -> DataFrame | None:
-    """Write change(what the store holds) as its next version, again from what it then holds if another writer was first; returns what was changed."""
-    for left in reversed(range(tries)):
-        version = store.version()
-        now = store.read(version)
-        if now is None:
-            return None
-        try:
-            store.write(change(now), after=version)
-            return now
-        except RuntimeError:
-            if not left:
-                raise
-    return None
+def mark(engine: str, stream: str | None = None, batch: int | None = None) -> str:
+    """The name that a claim puts on a document: the engine's, with the stream and the batch if it is a batch's."""
+    return engine if batch is None else f"{engine}/{hashlib.md5((stream or '').encode()).hexdigest()[:12]}/{batch}"
 
 
 def claim(store: Snapshots, wanted: DataFrame, engine: str, key: str = "doc_id") -> DataFrame | None:
-    """Put an engine's name on those of the wanted documents that are free and whose revision is still the stored one; returns them."""
+    """Put a name (see ``mark``) on those of the wanted documents that are free and whose revision is still the stored one.
+
+    Returns the documents that have the name, as they are stored: a batch that runs again gets those that it claimed before, too."""
     mine = lambda now: unclaimed(now).join(wanted.select(key, "rev"), [key, "rev"], "left_semi")
-    before = updated(store, lambda now: compare_and_set(now, claimed(mine(now), engine), key)[0])
-    return None if before is None else mine(before)
+    done = store.change(lambda now, _: upserts(now, claimed(mine(now), engine), key), key)
+    if done is None:
+        return None
+    return store.read(done[0]).where(F.col("processed_by") == engine).join(wanted.select(key), key, "left_semi")
 
 
 def release(store: Snapshots, documents: DataFrame, engine: str, key: str = "doc_id") -> None:
-    """Take an engine's name off documents that it has claimed."""
-    updated(store, lambda now: upsert(now, released(now.where(F.col("processed_by") == engine).join(documents.select(key), key, "left_semi")), key))
+    """Take a name off documents that it has claimed."""
+    store.change(lambda now, _: upserts(now, released(now.where(F.col("processed_by") == engine).join(documents.select(key), key, "left_semi")), key), key)
+
+
+#: Claims: who works on which revision of a document. A fence is the version of the ledger that granted the claim, so later grants have larger ones.
+LEDGER = "doc_id {key}, rev string, engine string, stream string, batch long, fence long, until timestamp, state string"
+HELD, DONE, FREE = "held", "done", "free"
+
+
+def granted(ledger: DataFrame, wanted: DataFrame, engine: str, stream: str, batch: int, fence: int, now: datetime.datetime, lease: datetime.timedelta, key: str = "doc_id") -> DataFrame:
+    """The rows of the ledger by which a batch gets wanted(key, rev) documents: those that nobody holds, whose holder's
+    time is over, that are done in another revision, or that this batch holds already (it runs again)."""
+    new = wanted.select(key, "rev").dropDuplicates([key])
+    old = ledger.select(key, *[F.col(c).alias(f"_{c}") for c in ("rev", "engine", "stream", "batch", "until", "state")], F.lit(True).alias("_known"))
+    at = F.lit(now).cast("timestamp")
+    own = (F.col("_engine") == engine) & (F.col("_stream") == stream) & (F.col("_batch") == batch)
+    free = F.col("_known").isNull() | (F.col("_state") == FREE) | ((F.col("_state") == HELD) & (own | (F.col("_until") <= at))) | ((F.col("_state") == DONE) & ~F.col("_rev").eqNullSafe(F.col("rev")))
+    return new.join(old, key, "left").where(free).select(
+        key, "rev", F.lit(engine).alias("engine"), F.lit(stream).alias("stream"), F.lit(batch).cast("long").alias("batch"), F.lit(fence).cast("long").alias("fence"), (at + F.lit(lease)).alias("until"), F.lit(HELD).alias("state"))
+
+
+class Ledger:
+    """Claims of engines on documents, in a store of their own that any number of engines write."""
+
+    def __init__(self, store: Snapshots, engine: str, stream: str, lease: datetime.timedelta = datetime.timedelta(minutes=10), key: str = "doc_id", clock: Callable[[], datetime.datetime] = datetime.datetime.now):
+        self.store, self.engine, self.stream, self.lease, self.key, self.clock = store, engine, stream, lease, key, clock
+
+    def claim(self, wanted: DataFrame, batch: int) -> tuple[int, DataFrame]:
+        """(fence, the claims that this batch now has)."""
+        if not self.store.version():
+            kind = dict(wanted.dtypes)[self.key]
+            with contextlib.suppress(RuntimeError):  # another engine was first
+                self.store.write(wanted.sparkSession.createDataFrame([], LEDGER.format(key=kind).replace("doc_id", self.key)), 0)
+        fence, _ = self.store.change(lambda now, number: granted(now, wanted, self.engine, self.stream, batch, number, self.clock(), self.lease, self.key), self.key)
+        return fence, self._own(fence)
+
+    def _own(self, fence: int) -> DataFrame:
+        return self.store.read().where((F.col("fence") == fence) & (F.col("engine") == self.engine) & (F.col("state") == HELD))
+
+    def fenced(self, out: DataFrame, fence: int) -> DataFrame:
+        """The rows of out whose documents are still held by the claims of this fence; the number is put in as a column."""
+        return out.join(self._own(fence).select(self.key), self.key, "left_semi").withColumn("fence", F.lit(fence).cast("long"))
+
+    def settle(self, fence: int, state: str = DONE) -> None:
+        """Mark the claims of a fence as done, or as free after a failure."""
+        self.store.change(lambda now, _: now.where((F.col("fence") == fence) & (F.col("engine") == self.engine) & (F.col("state") == HELD)).withColumn("state", F.lit(state)), self.key)
 
 
 def processed(stream: DataFrame, work: Callable[[DataFrame], DataFrame], sink: Snapshots, checkpoint: str, key: str = "doc_id", dead: Snapshots | None = None, dry_run: bool = False,
-              interval: str | None = None, documents: Snapshots | None = None, engine: str | None = None) -> StreamingQuery:
+              interval: str | None = None, documents: Snapshots | None = None, engine: str | None = None, ledger: Ledger | None = None) -> StreamingQuery:
     """Run work on each batch and put its rows into a store.
 
-    With a store of documents and an engine's name, each batch first claims its documents there and works
-    on those that it got; a failure releases them. A batch that fails goes to the dead letters with its
-    error, and the query fails if there are none to take it. A batch that runs again puts in the same
-    rows. dry_run writes nothing."""
+    With a ledger, each batch first claims its documents there and works on those that it got. The claims
+    carry engine, stream and batch, so a batch that runs again after a crash gets its own back,
+    whether the crash came before or after the sink was written. Rows reach the sink with their fence, and
+    only if the claim still holds and the sink has none of a later one: an engine that was taken for dead
+    and comes back changes nothing. With a store of documents and an engine's name, claims are put on the
+    documents themselves, likewise by batch; both may be used together.
+
+    A batch that fails goes to the dead letters with its error and its claims are released; the query fails if
+    there are none to take it. A batch that runs again puts in the same rows. dry_run writes nothing."""
 
     def batch(df: DataFrame, number: int) -> None:
         df = df.persist()
-        got = None
+        got, fence = None, None
+        name = mark(engine, checkpoint, number) if engine else ""
         try:
+            some = df
             if documents is not None and not dry_run:
-                got = claim(documents, df, engine, key)
-            out = work(df if got is None else df.join(got.select(key), key, "left_semi"))
+                got = claim(documents, df, name, key)
+                some = df if got is None else df.join(got.select(key), key, "left_semi")
+            if ledger is not None and not dry_run:
+                fence, held = ledger.claim(some, number)
+                some = some.join(held.select(key), key, "left_semi")
+            out = work(some)
             if not dry_run:
-                now = sink.read()
-                sink.write(out if now is None else upsert(now, out, key))
+                if fence is None:
+                    sink.put(out, key)
+                else:
+                    sink.put(ledger.fenced(out, fence), key, fence="fence")
+                    ledger.settle(fence)
         except Exception as error:
             if got is not None:
-                release(documents, got, engine, key)
+                release(documents, got, name, key)
+            if fence is not None:
+                ledger.settle(fence, FREE)
             if dead is None or dry_run:
                 raise
             letters = df.select(F.to_json(F.struct(*[c for c in df.columns if c not in ("images", "processed_by")])).alias("record"), F.lit(str(error)[:2000]).alias("error"), F.lit(number).alias("batch"))
