@@ -5,10 +5,15 @@ and a vector with very many copies is one node of the graph.
 
 Build. Nodes fall into small cells of random hyperplane codes, where all of a cell's nodes are
 compared; several such rounds give first lists. Then NN-descent: neighbours of a node, in both
-directions, are likely neighbours of each other. A Spark join brings to each block of nodes the
-vectors of all their neighbours, each vector once a block; the pairs around each node are scored
-with one small matrix product, those that would improve a list are kept (at most LOCAL for each
-node and block), and a second shuffle merges them into the lists. Rounds end when few lists change.
+directions, are likely neighbours of each other. Only nodes with a neighbour that they did not have the
+round before are looked at, and only pairs with such a neighbour: all others were scored then, and lists
+only get better. A Spark join brings to each block of such nodes the vectors of their neighbours, each
+vector once a block; the pairs around each node are scored with one small matrix product, those
+that would improve a list are kept (the best LIST of each node and block, as many as a list can take), and a
+second shuffle merges them into the lists. Rounds end when few lists change.
+
+Graph and search work on vectors in single precision, divided by the largest component of the table where
+that is very large or very small.
 
 Search. A query starts from entry nodes, its own node's list if it is a row of the table, and keeps
 a beam of the best nodes found. Each round joins the beam's unexpanded nodes with the graph and
@@ -19,7 +24,8 @@ Every list, beam and reverse list has a fixed length; no pairs of a group and no
 collected on the driver. Blocks hold a fixed number of nodes, so memory in tasks is bounded.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no
-part, nor do those of another length than the most common one. Repeated ids are rows of their own.
+part, nor do those of another length than the most common one, nor rows without an id. Ids are whole
+numbers of any width. Repeated ids are rows of their own.
 A table with one valid vector, or none, gives an empty result. Extra columns are ignored.
 """
 
@@ -37,8 +43,10 @@ from noticeloom.llm.common import dropped, stored
 
 #: Length of neighbour lists, most reverse neighbours, cells' size, first rounds.
 LIST, REVERSE, CELL, FIRST = 32, 32, 400, 4
-#: Improvements of a node that one block hands on; nodes of a block.
-LOCAL, BLOCK = 16, 4096
+#: Nodes of a block.
+BLOCK = 4096
+#: Largest components beyond (or below one over) which vectors are scaled before they are cut to single precision.
+FAR = 1e12
 #: Rounds end when less than this share of the list entries is new.
 QUIET = 0.02
 BEAM, QUERY_BLOCK = 320, 512
@@ -49,13 +57,13 @@ def valid_vectors(rows: DataFrame, id_column: str = "vec_id", vector: str = "emb
     """(id, v as doubles) of the vectors that take part."""
     v = F.col(vector).cast("array<double>")
     good = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    out = rows.select(F.col(id_column).alias("id"), v.alias("v")).where(F.col("v").isNotNull()).where(good)
+    out = rows.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(good)
     length = out.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return out.where(F.size("v") == (length["n"] if length else 0))
 
 
 def nodes_of(vectors: DataFrame, keep: int) -> DataFrame:
-    """(node, v, ids): distinct vectors with their smallest ids; a node is named by its smallest id.
+    """(node, v, f, ids): distinct vectors, as they are and in single precision, with their smallest ids; a node is named by its smallest id.
 
     Ids are first cut to the keep smallest in as many parts as the root of the number of rows, so neither
     the ids of a part nor those of all parts of a very common vector are many."""
@@ -63,7 +71,9 @@ def nodes_of(vectors: DataFrame, keep: int) -> DataFrame:
     salt = F.pmod(F.xxhash64("id"), F.lit(max(64, int(vectors.count() ** 0.5))))
     some = vectors.groupBy(key.alias("k"), "v", salt.alias("s")).agg(F.slice(F.sort_array(F.collect_list("id")), 1, keep).alias("ids"))
     merged = some.groupBy("k", "v").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids"))
-    return merged.select(F.element_at("ids", 1).alias("node"), "v", "ids")
+    most = vectors.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 1.0
+    scale = most if most > FAR or most < 1 / FAR else 1.0
+    return merged.select(F.element_at("ids", 1).alias("node"), "v", F.transform("v", lambda x: (x / scale).cast("float")).alias("f"), "ids")
 
 
 def _matrix(column, dtype=np.float32) -> np.ndarray:
@@ -92,15 +102,19 @@ def _best(node: np.ndarray, other: np.ndarray, score: np.ndarray, keep: int) ->
 ENTRIES = "node long, other long, score float"
 
 
-def _cells(pdf: pd.DataFrame) -> pd.DataFrame:
-    x, node = np.stack(pdf["v"].to_numpy()).astype(np.float32), pdf["node"].to_numpy()
+def _entries(node=(), other=(), score=()) -> pa.Table:
+    return pa.table({"node": pa.array(np.asarray(node, np.int64)), "other": pa.array(np.asarray(other, np.int64)), "score": pa.array(np.asarray(score, np.float32))})
+
+
+def _cells(rows: pa.Table) -> pa.Table:
+    x, node = _matrix(rows.column("f")), rows.column("node").to_numpy()
     s = x @ x.T
     np.fill_diagonal(s, LOW)
     k = min(LIST, len(x) - 1)
     if k < 1:
-        return pd.DataFrame({"node": [], "other": [], "score": []}).astype({"node": "int64", "other": "int64", "score": "float32"})
+        return _entries()
     top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    return pd.DataFrame({"node": np.repeat(node, k), "other": node[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()})
+    return _entries(np.repeat(node, k), node[top].ravel(), np.take_along_axis(s, top, 1).ravel())
 
 
 def _merged(keep: int):
@@ -135,67 +149,70 @@ def merged(entries: DataFrame, keep: int, parts: int) -> DataFrame:
 
 def first_lists(nodes: DataFrame, count: int, seed: int, parts: int) -> DataFrame:
     """Neighbours within the cells of FIRST random hyperplane codes; cells too large are dealt out by hashes."""
-    size = len(nodes.select("v").first()["v"])
+    size = len(nodes.select("f").first()["f"])
     bits = max(0, int(np.ceil(np.log2(max(1, count / CELL)))))
     rng = np.random.default_rng(seed)
-    out = None
+    out, made = None, []
     for turn in range(FIRST):
         planes = rng.standard_normal((bits, size)).astype(np.float32)
 
         def coded(batches: Iterator[pa.RecordBatch], planes=planes) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                side = _matrix(batch.column("v")) @ planes.T > 0 if len(planes) else np.zeros((batch.num_rows, 1))
+                side = _matrix(batch.column("f")) @ planes.T > 0 if len(planes) else np.zeros((batch.num_rows, 1))
                 code = (side * (1 << np.arange(side.shape[1]))).sum(axis=1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("v"), pa.array(code)], names=["node", "v", "code"])
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("f"), pa.array(code)], names=["node", "f", "code"])
 
-        codes = nodes.select("node", "v").mapInArrow(coded, "node long, v array<double>, code long")
+        codes = nodes.select("node", "f").mapInArrow(coded, "node long, f array<float>, code long")
         sizes = stored(codes.groupBy("code").agg(F.count("*").alias("n")), "code-sizes")
+        made.append(sizes)
         cells = codes.join(sizes, "code").withColumn("cell", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / (2 * CELL))))
-        found = cells.groupBy("code", "cell").applyInPandas(_cells, ENTRIES)
+        found = cells.groupBy("code", "cell").applyInArrow(_cells, ENTRIES)
         out = found if out is None else out.unionByName(found)
-    return stored(merged(out, LIST, parts), "graph")
+    out = stored(merged(out, LIST, parts), "graph")
+    dropped(*made)
+    return out
 
 
 def around(graph: DataFrame, parts: int) -> DataFrame:
-    """(node, near): the neighbours of each node in both directions, at most LIST and REVERSE of them."""
-    forward = graph.select("node", "other", "score")
+    """(node, other): the neighbours of each node in both directions, at most LIST and REVERSE of them."""
     back = merged(graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "score"), REVERSE, parts)
-    return forward.unionByName(back).groupBy("node").agg(F.collect_set("other").alias("near"))
+    return graph.select("node", "other").unionByName(back.select("node", "other")).distinct()
 
 
-def _local_join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Pairs around the nodes of a block that improve a list: left (node, near), right (other, v, worst)."""
-    names = right["other"].to_numpy()
+def _local_join(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Pairs around the nodes of a block that improve a list: left (node, near, fresh), right (other, f, worst)."""
+    if not len(right) or not len(left):
+        return _entries()
+    names = right.column("other").to_numpy()
     order = np.argsort(names)
-    names = names[order]
-    if not len(names) or not len(left):
-        return pd.DataFrame({"node": [], "other": [], "score": []}).astype({"node": "int64", "other": "int64", "score": "float32"})
-    x = np.stack(right["v"].to_numpy()[order]).astype(np.float32)
-    worst = right["worst"].to_numpy()[order].astype(np.float32)
+    names, x, worst = names[order], _matrix(right.column("f"))[order], right.column("worst").to_numpy()[order]
+    near, fresh = left.column("near").combine_chunks(), left.column("fresh").combine_chunks()
+    ends = np.cumsum(np.asarray(near.value_lengths()))
+    near, fresh = np.searchsorted(names, near.flatten().to_numpy()), np.asarray(fresh.flatten().to_numpy(zero_copy_only=False), bool)
     found: list[tuple] = []
-    held, packed = 0, []
+    held = 0
 
     def pack():
         nonlocal held, found
         a, b, s = (np.concatenate(c) for c in zip(*found, strict=True))
-        top = _best(a, b, s, LOCAL)
+        top = _best(a, b, s, LIST)
         found, held = [(a[top], b[top], s[top])], len(top)
 
-    for near in left["near"]:
-        at = np.searchsorted(names, near)
+    for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        at, new = near[lo:hi], fresh[lo:hi]
         s = x[at] @ x[at].T
         np.fill_diagonal(s, LOW)
-        i, j = np.nonzero(s > worst[at][:, None])
+        i, j = np.nonzero((s > worst[at][:, None]) & (new[:, None] | new[None, :]))
         if len(i):
             found.append((at[i], at[j], s[i, j]))
             held += len(i)
             if held > 4_000_000:
                 pack()
     if not found:
-        return pd.DataFrame({"node": [], "other": [], "score": []}).astype({"node": "int64", "other": "int64", "score": "float32"})
+        return _entries()
     pack()
     a, b, s = found[0]
-    return pd.DataFrame({"node": names[a], "other": names[b], "score": s})
+    return _entries(names[a], names[b], s)
 
 
 def list_parts(spark: SparkSession, count: int) -> int:
@@ -213,33 +230,37 @@ def neighbour_graph(nodes: DataFrame, count: int, seed: int = 20240311) -> DataF
     parts = list_parts(nodes.sparkSession, count)
     blocks = block_count(nodes.sparkSession, count, BLOCK)
     graph = first_lists(nodes, count, seed, parts)
-    share = 1.0
+    share, before = 1.0, None
     while share >= QUIET:  # lists only get better, so this ends
-        near = stored(around(graph, parts), "near")
+        flagged = around(graph, parts)
+        old = F.lit(False) if before is None else F.coalesce("old", F.lit(False))
+        flagged = flagged if before is None else flagged.join(before.select("node", F.explode("near").alias("other"), F.lit(True).alias("old")), ["node", "other"], "left")
+        pairs = F.collect_list(F.struct("other", (~old).alias("fresh")))
+        near = stored(flagged.groupBy("node").agg(pairs.alias("x")).select("node", F.col("x.other").alias("near"), F.col("x.fresh").alias("fresh")), "near")
         block = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(blocks))
-        left = near.select(block.alias("block"), "node", "near")
+        left = near.where(F.exists("fresh", lambda x: x)).select(block.alias("block"), "node", "near", "fresh")
         worst = graph.groupBy("node").agg(F.when(F.count("*") < LIST, float("-inf")).otherwise(F.min("score")).cast("float").alias("worst"))
-        vectors = nodes.select(F.col("node").alias("other"), "v").join(worst.withColumnRenamed("node", "other"), "other", "left").select("other", F.transform("v", lambda x: x.cast("float")).alias("v"), F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst"))
+        vectors = nodes.select(F.col("node").alias("other"), "f").join(worst.withColumnRenamed("node", "other"), "other", "left").select("other", "f", F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst"))
         wanted = left.select("block", F.explode("near").alias("other")).distinct()
-        right = wanted.join(vectors, "other").select(F.col("block").alias("to"), "other", "v", "worst")
-        better = left.groupBy("block").cogroup(right.groupBy("to")).applyInPandas(_local_join, ENTRIES)
+        right = wanted.join(vectors, "other").select(F.col("block").alias("to"), "other", "f", "worst")
+        better = left.groupBy("block").cogroup(right.groupBy("to")).applyInArrow(_local_join, ENTRIES)
         new = stored(merged(graph.unionByName(better), LIST, parts), "graph")
         kept = new.join(graph.select("node", "other"), ["node", "other"], "left_semi").count()
         total = new.count()
         share = 1 - kept / total if total else 0.0
-        dropped(near, graph)
-        graph = new
+        dropped(graph, *([] if before is None else [before]))
+        graph, before = new, near
+    dropped(before)
     return graph
 
 
 def _beams(k: int):
-    """One round of search for a block of queries: left (query, qv, beam, scores, open), right (other, v)."""
+    """One round of search for a block of queries: left (query, qv, beam, scores, seen, fresh), right (other, f)."""
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = right["other"].to_numpy()
+    def run(rows: pa.Table, right: pa.Table) -> pa.Table:
+        left, names = rows.to_pandas(), right.column("other").to_numpy()
         order = np.argsort(names)
-        names = names[order]
-        x = np.stack(right["v"].to_numpy()[order]).astype(np.float32) if len(names) else np.zeros((0, 1), np.float32)
+        names, x = names[order], _matrix(right.column("f"))[order]
         rows = []
         for query, qv, beam, scores, seen, fresh in zip(*(left[c] for c in ("query", "qv", "beam", "scores", "seen", "fresh")), strict=True):
             new = np.setdiff1d(np.asarray(fresh, np.int64), np.asarray(beam, np.int64))
@@ -248,30 +269,33 @@ def _beams(k: int):
             nodes, all_ = np.concatenate([np.asarray(beam, np.int64), new]), np.concatenate([np.asarray(scores, np.float32), s])
             top = np.lexsort((nodes, -all_))[:k]
             rows.append((query, qv, nodes[top], all_[top], np.union1d(np.asarray(seen, np.int64), np.asarray(beam, np.int64))))
-        return pd.DataFrame(rows, columns=["query", "qv", "beam", "scores", "seen"])
+        return pa.Table.from_pandas(pd.DataFrame(rows, columns=["query", "qv", "beam", "scores", "seen"]), pa.schema([("query", pa.int64()), ("qv", pa.list_(pa.float32())), ("beam", pa.list_(pa.int64())), ("scores", pa.list_(pa.float32())), ("seen", pa.list_(pa.int64()))]), preserve_index=False)
 
     return run
 
 
-def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, count: int, beam: int = BEAM) -> DataFrame:
-    """(query, beam, scores): for queries(query, qv, entry array) the best nodes that greedy search finds."""
-    near = stored(around(graph, list_parts(graph.sparkSession, count)), "near")
+def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, count: int, beam: int = BEAM, made: list[DataFrame] | None = None) -> DataFrame:
+    """(query, beam, scores): for queries(query, qv, entry array) the best nodes that greedy search finds. Tables that the result reads are added to made."""
+    near = stored(around(graph, list_parts(graph.sparkSession, count)).groupBy("node").agg(F.collect_list("other").alias("near")), "near")
     blocks = block_count(nodes.sparkSession, queries.count(), QUERY_BLOCK)
     none = F.expr("cast(array() as array<bigint>)")
-    state = queries.select("query", F.transform("qv", lambda x: x.cast("float")).alias("qv"), none.alias("beam"), F.expr("cast(array() as array<float>)").alias("scores"), none.alias("seen"), F.col("entry").alias("fresh"))
+    state = queries.select("query", "qv", none.alias("beam"), F.expr("cast(array() as array<float>)").alias("scores"), none.alias("seen"), F.col("entry").alias("fresh"))
     block = F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")
-    vectors = nodes.select(F.col("node").alias("other"), F.transform("v", lambda x: x.cast("float")).alias("v"))
+    vectors = nodes.select(F.col("node").alias("other"), "f")
     unseen = F.size(F.array_except("beam", "seen"))
     finished = None
     while True:
         left = state.select(block, "*")
         wanted = left.select("block", F.explode("fresh").alias("other")).distinct()
-        right = wanted.join(vectors, "other").select(F.col("block").alias("to"), "other", "v")
-        done = stored(left.groupBy("block").cogroup(right.groupBy("to")).applyInPandas(_beams(beam), "query long, qv array<float>, beam array<long>, scores array<float>, seen array<long>"), "beams")
+        right = wanted.join(vectors, "other").select(F.col("block").alias("to"), "other", "f")
+        done = stored(left.groupBy("block").cogroup(right.groupBy("to")).applyInArrow(_beams(beam), "query long, qv array<float>, beam array<long>, scores array<float>, seen array<long>"), "beams")
+        if made is not None:
+            made.append(done)
         ended = done.where(unseen == 0).select("query", "beam", "scores")
         finished = ended if finished is None else finished.unionByName(ended)
         going = done.where(unseen > 0)
         if going.isEmpty():  # every round adds nodes to seen, so this comes
+            dropped(near)
             return finished
         open_ = going.select("query", F.explode(F.array_except("beam", "seen")).alias("node"))
         fresh = open_.join(near, "node").select("query", F.explode("near").alias("other")).distinct().groupBy("query").agg(F.collect_list("other").alias("fresh"))
@@ -291,9 +315,10 @@ def nearest(rows: DataFrame, queries, k: int = 20, id_column: str = "vec_id", ve
     # queries with equal vectors are searched once, by their node
     node_of = nodes.select("node", F.col("v").alias("nv"))
     named = stored(asked.join(node_of, F.xxhash64("v").eqNullSafe(F.xxhash64("nv")) & (F.col("v") == F.col("nv"))).select("query_id", "node"), "asked")
-    starts = named.select("node").distinct().join(nodes.select("node", "v"), "node").join(lists, "node", "left").select(
-        F.col("node").alias("query"), F.col("v").alias("qv"), F.array_union(F.array("node"), F.coalesce("entry", F.expr("cast(array() as array<bigint>)"))).alias("entry"))
-    found = search(stored(starts, "starts"), nodes, graph, count)
+    starts = named.select("node").distinct().join(nodes.select("node", "f"), "node").join(lists, "node", "left").select(
+        F.col("node").alias("query"), F.col("f").alias("qv"), F.array_union(F.array("node"), F.coalesce("entry", F.expr("cast(array() as array<bigint>)"))).alias("entry"))
+    made: list[DataFrame] = [stored(starts, "starts")]
+    found = search(made[0], nodes, graph, count, made=made)
     # exact scores of the best, with the ids of their nodes; a few more than k, as float scores may tie
     some = found.select("query", F.explode(F.slice("beam", 1, 2 * k + 12)).alias("other"))
     v = nodes.select(F.col("node").alias("other"), F.col("v").alias("ov"), "ids")
@@ -304,4 +329,7 @@ def nearest(rows: DataFrame, queries, k: int = 20, id_column: str = "vec_id", ve
     pairs = F.flatten(F.transform("xs", lambda x: F.transform(x["ids"], lambda i: F.struct(x["down"].alias("down"), i.alias("id")))))
     ordered = best.select("query", F.slice(F.sort_array(pairs), 1, 2 * k + 2).alias("found"))
     out = named.join(ordered, named["node"] == ordered["query"]).select("query_id", F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k).alias("found"))
-    return out.select("query_id", F.posexplode("found").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.down")).alias("score"))
+    out = out.select("query_id", F.posexplode("found").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.down")).alias("score"))
+    out = stored(out, "nearest")
+    dropped(vectors, nodes, named, *([graph] if count > 1 else []), *made)
+    return out

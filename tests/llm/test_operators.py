@@ -243,9 +243,9 @@ def test_nearest(spark):
 
 def test_search_ends_when_nothing_is_left_to_expand(spark):
     chain = 30  # each node knows the next ones only, and each step is nearer
-    nodes = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(chain)], "node long, v array<double>")
+    nodes = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(chain)], "node long, f array<float>")
     graph = spark.createDataFrame([(i, j, 1.0) for i in range(chain) for j in (i - 1, i + 1) if 0 <= j < chain], "node long, other long, score float")
-    queries = spark.createDataFrame([(0, [1.0, 0.0], [0]), (20, [1.0, 0.0], [20])], "query long, qv array<double>, entry array<long>")
+    queries = spark.createDataFrame([(0, [1.0, 0.0], [0]), (20, [1.0, 0.0], [20])], "query long, qv array<float>, entry array<long>")
     got = {r.query: r.beam for r in neighbours.search(queries, nodes, graph, chain, beam=4).collect()}
     assert got == {0: [29, 28, 27, 26], 20: [29, 28, 27, 26]}
 
