@@ -46,7 +46,8 @@ class Segments(Snapshots):
     def _bucket(self, buckets: int) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(buckets)).cast("int")
 
-    def _segment(self, rows: DataFrame, number: int, buckets: int) -> dict:
+    def _segment(self, rows: DataFrame, number: int, buckets: int, moved: bool = False) -> dict:
+        """Write rows as a segment of a version; moved: they were held before."""
         path = f"s{number:08d}-{uuid.uuid4().hex}"
         rows.withColumn("_number", F.lit(number)).withColumn("_bucket", self._bucket(buckets)).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.folder}/{path}")
         held = {}
@@ -54,7 +55,7 @@ class Segments(Snapshots):
             name = f.getPath().getName()
             if name.startswith("_bucket="):
                 held[name.removeprefix("_bucket=")] = self._fs.getContentSummary(f.getPath()).getLength()
-        return {"path": path, "number": number, "bytes": held}
+        return {"path": path, "number": number, "bytes": held, "moved": moved}
 
     def _rows(self, manifest: dict, only: set[str] | None = None) -> DataFrame:
         """The rows that a manifest's segments hold (in some buckets)."""
@@ -80,6 +81,23 @@ class Segments(Snapshots):
         found = self.manifest(version)
         return self._rows(found) if found else None
 
+    def changes(self, since: int, upto: int | None = None) -> DataFrame | None:
+        """(columns, version): the rows that the versions after since and up to another (default: the newest) put in.
+
+        All rows that are held, under that version, if some of those versions are forgotten."""
+        upto = self.version() if upto is None else upto
+        held = self.manifest(upto)
+        if held is None:
+            return None
+        schema = T.StructType([*T.StructType.fromJson(held["schema"]).fields, T.StructField("_number", T.IntegerType())])
+        known = {int(p) for p in self._pointers()}
+        if any(n not in known for n in range(since + 1, upto + 1)):
+            return self._rows(held).withColumn("version", F.lit(upto))
+        own = [s for n in range(since + 1, upto + 1) for s in self.manifest(n)["segments"] if s["number"] == n and not s["moved"]]
+        paths = [f"{self.folder}/{s['path']}/_bucket={b}" for s in own for b in s["bytes"]]
+        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return rows.withColumnRenamed("_number", "version")
+
     def write(self, df: DataFrame, after: int | None = None) -> int:
         """Put df in place of all that is held, as the version after the newest (or the given) one."""
         number = (self.version() if after is None else after) + 1
@@ -113,7 +131,7 @@ class Segments(Snapshots):
         if not full:
             return None
         rest = [s | {"bytes": {b: n for b, n in s["bytes"].items() if b not in full}} for s in held["segments"]]
-        made = self._segment(self._rows(held, full), version + 1, held["buckets"])
+        made = self._segment(self._rows(held, full), version + 1, held["buckets"], moved=True)
         try:
             return self._commit(version + 1, [*rest, made], T.StructType.fromJson(held["schema"]))
         except RuntimeError:  # the other writer's version stands; the next merge calls again

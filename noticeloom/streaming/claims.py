@@ -142,12 +142,6 @@ def processed(stream: DataFrame, work: Callable[[DataFrame], DataFrame], sink: S
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def changed_posters(changes: DataFrame, posters: DataFrame) -> DataFrame:
-    """Posters whose event a stream or table of changes (event_id, deleted, ...) touches; deletions and unknown ids do nothing."""
-    alive = changes.where(~F.coalesce("deleted", F.lit(False)))
-    return alive.join(posters, "event_id")
-
-
 def latest_state(changes: DataFrame, key: str, when: str) -> DataFrame:
     """The last change of each key, as a running table (output mode complete or update)."""
     return changes.groupBy(key).agg(F.max_by(F.struct(*[c for c in changes.columns if c != key]), when).alias("s")).select(key, "s.*")
