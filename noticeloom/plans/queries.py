@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from noticeloom.functions import geometry, normalize, text
 from noticeloom.operators import boxes, entities, fuzzy, overlay, quality, resolve, selector
 from noticeloom.plans import extract
-from noticeloom.sources import files, store
+from noticeloom.sources import datasource, files, store
 from noticeloom.sources.files import table
 from noticeloom.sources.segments import Segments
 from noticeloom.sources.shared import shared_folder
-from noticeloom.streaming import claims
+from noticeloom.streaming import claims, state
+from noticeloom.streaming.sync import Sync
 
 TODAY = datetime.date(2018, 6, 15)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -565,6 +566,53 @@ def change_feed_state(spark, sf_dir):
     return claims.latest_state(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id").select("user_id", "event_type", "event_id")
 
 
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'")
+def live_changes(spark, sf_dir):
+    """A stream of events keeps each user's last one; an error takes the user away. (A stream reads a single file only by a pattern.)"""
+    folder = shared_folder(spark, "changes")
+    held = Segments(spark, f"{folder}/held", key="user_id", buckets=16)
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet").select("user_id", "event_id", "event_type", (F.col("event_type") == "error").alias("deleted"))
+    feed = state.last_changes(events, "user_id", "event_id").writeStream.outputMode("update").foreachBatch(lambda df, _: held.put(df.drop("delta"), order="event_id") and None)
+    feed.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return store.live(held.read()).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 3 = 0 AND c_custkey % 5 <> 0")
+def changed_posters(spark, sf_dir):
+    changes = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("event_id"), "c_name", (F.col("c_custkey") % 5 == 0).alias("deleted"))
+    return state.changed_posters(changes, table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("event_id"))).select("o_orderkey", "c_name")
+
+
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 4 = 0 THEN 'twice' WHEN o_orderkey % 6 = 0 THEN 'once' ELSE o_orderpriority END AS value,
+ CASE WHEN o_orderkey % 4 = 0 THEN 3 WHEN o_orderkey % 6 = 0 THEN 2 ELSE 1 END AS revs FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0""")
+def synced_orders(spark, sf_dir):
+    """Even orders here, multiples of 3 there, are synced, changed on both sides (multiples of 6 once here, of 4 twice there) and synced again."""
+    folder, o = shared_folder(spark, "sync"), _orders(spark, sf_dir)
+    here, there = (Segments(spark, f"{folder}/{n}", buckets=16) for n in ("here", "there"))
+    here.write(o.where("doc_id % 2 = 0"))
+    there.write(o.where("doc_id % 3 = 0"))
+    both = Sync(here, there, store.Snapshots(spark, f"{folder}/checkpoint"))
+    both.catch_up()
+    for side, value, some, times in ((here, "once", "doc_id % 6 = 0", 1), (there, "twice", "doc_id % 4 = 0", 2)):
+        new = side.read().where(some)
+        for turn in range(times):
+            new = new.withColumn("value", F.lit(value if turn == times - 1 else "draft"))
+            new = new.withColumn("rev", store.next_rev(F.col("rev"), F.col("value")))
+        side.merge(new)
+    both.catch_up()
+    return there.read().select("doc_id", "value", F.substring_index("rev", "-", 1).cast("int").alias("revs"))
+
+
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 7 = 0 THEN 'changed' ELSE o_orderpriority END AS value, CASE WHEN o_orderkey % 7 = 0 THEN 2 ELSE 1 END AS version FROM orders""")
+def store_source(spark, sf_dir):
+    """Orders in a store, some of them changed through the store's own format, read through it."""
+    folder, o = shared_folder(spark, "source"), _orders(spark, sf_dir)
+    Segments(spark, folder, buckets=8).write(o)
+    name = datasource.register(spark)
+    o.where("doc_id % 7 = 0").withColumn("value", F.lit("changed")).write.format(name).mode("append").save(folder)
+    return spark.read.format(name).load(folder).select("doc_id", "value", "version")
+
+
 @query("SELECT strftime(ts, '%Y-%m-%d') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def windowed_counts(spark, sf_dir):
     return claims.windowed_counts(table(spark, sf_dir, "events")).withColumns({"start": F.date_format("start", "yyyy-MM-dd"), "total": F.round("total", 2)})
