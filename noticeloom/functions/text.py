@@ -65,11 +65,18 @@ def without_spaces(text: Column) -> Column:
     return F.regexp_replace(text, r"[\n ]", "")
 
 
-def ngrams(words: Column) -> Column:
-    """Every contiguous run of words, n(n+1)/2 of them, by start and then length."""
-    n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.array_join(F.slice(words, i, k), " ")))
-    return F.when(n > 0, F.flatten(runs)).otherwise(F.array().cast("array<string>"))
+def ngrams(words: Column, longest: int | None = None) -> Column:
+    """Every contiguous run of words by start and then length: n(n+1)/2 of them, or those of at most so many characters."""
+
+    def runs(w: Column) -> Column:
+        upto = lambda i: F.size(w) - i + 1
+        if longest is not None:  # words have a character at least, and a space stands between two
+            upto = lambda i: F.least(F.size(w) - i + 1, F.lit(longest // 2 + 1))
+        found = F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.transform(F.sequence(F.lit(1), upto(i)), lambda k: F.array_join(F.slice(w, i, k), " "))))
+        found = found if longest is None else F.filter(found, lambda x: F.char_length(x) <= longest)
+        return F.when(F.size(w) > 0, found).otherwise(F.array().cast("array<string>"))
+
+    return let(words, runs)
 
 
 def strip_data_url(text: Column) -> Column:

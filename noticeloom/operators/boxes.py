@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from noticeloom.functions.geometry import overlap_share, rectangles_touch
 from noticeloom.functions.text import let, ngrams, tokens
+from noticeloom.sources.shared import shared_folder
 
 BOX = "doc_id long, ord int, text string, confidence double, x double, y double, width double, height double"
 COMPLETE = ("text", "confidence", "x", "y", "width", "height")
@@ -46,26 +47,54 @@ def complete(boxes: DataFrame) -> DataFrame:
     return boxes.na.drop(subset=list(COMPLETE))
 
 
-def _sides(boxes: DataFrame, key: str, order: str, *more: str) -> tuple[DataFrame, DataFrame]:
-    names = ("x", "y", "width", "height", order, *more)
-    side = lambda p: boxes.select(key, *(F.col(c).alias(f"{p}_{c}") for c in names))
-    return side("a"), side("b")
+#: Documents with more boxes are cut into cells of a grid, so that they spread over tasks.
+SPLIT = 1000
+#: The level of documents that are not cut.
+_WHOLE = -(1 << 20)
 
 
-def overlap_pairs(boxes: DataFrame, least: float = 0.8, key: str = "doc_id", order: str = "ord") -> DataFrame:
+def _level(width: Column, height: Column) -> Column:
+    """The power of two that neither side exceeds."""
+    return F.ceil(F.log2(F.greatest(width, height, F.lit(1e-9)))).cast("int")
+
+
+def _met(boxes: DataFrame, key: str, order: str, split: int) -> tuple[DataFrame, Column]:
+    """(a_ and b_ columns of boxes of one document that may meet, the condition under which a pair counts).
+
+    In a large document a box stands in the cells (two by two at most) of a grid as wide as its longer side,
+    rounded up to a power of two, and in those of all wider grids that the document's boxes have. Two boxes are
+    compared in the grid of the larger one, and count in the cell of their overlap's lower corner only."""
+    large = boxes.groupBy(key).agg(F.count("*").alias("_n"), F.max(_level(F.col("width"), F.col("height"))).alias("_top")).where(F.col("_n") > split).select(F.col(key).alias("_key"), "_top")
+    placed = boxes.join(large, F.col(key) == F.col("_key"), "left").withColumn("_own", _level(F.col("width"), F.col("height")))
+    cell = lambda v, level: F.floor(v / F.pow(F.lit(2.0), level))
+    span = lambda v, size, level: F.sequence(cell(v, level), cell(v + size, level))
+    at = lambda level: F.flatten(F.transform(span(F.col("x"), F.col("width"), level), lambda cx: F.transform(span(F.col("y"), F.col("height"), level), lambda cy: F.struct(level.alias("level"), cx.alias("cx"), cy.alias("cy")))))
+    whole = F.array(F.struct(F.lit(_WHOLE).alias("level"), F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy")))
+    placed = placed.withColumn("_at", F.explode(F.when(F.col("_top").isNull(), whole).otherwise(F.flatten(F.transform(F.sequence(F.col("_own"), F.col("_top")), at)))))
+    names = ("x", "y", "width", "height", order, "_own")
+    side = lambda p: placed.select(key, "_at", *(F.col(c).alias(f"{p}_{c}") for c in names))
+    level = F.col("_at.level")
+    corner = lambda v: cell(F.greatest(f"a_{v}", f"b_{v}"), level)
+    once = (level == _WHOLE) | ((level == F.greatest("a__own", "b__own")) & (F.col("_at.cx") == corner("x")) & (F.col("_at.cy") == corner("y")))
+    return side("a").join(side("b"), [key, "_at"]), once & (F.col(f"a_{order}") < F.col(f"b_{order}"))
+
+
+_SIDES = ("a_x", "a_y", "a_width", "a_height", "b_x", "b_y", "b_width", "b_height")
+
+
+def overlap_pairs(boxes: DataFrame, least: float = 0.8, key: str = "doc_id", order: str = "ord", split: int = SPLIT) -> DataFrame:
     """(key, a, b, share): pairs of a document's boxes whose common area exceeds a share of the larger.
 
-    The join is by document; the overlap is a condition on the joined rows."""
-    a, b = _sides(boxes, key, order)
-    share = overlap_share(*(F.col(c) for c in ("a_x", "a_y", "a_width", "a_height", "b_x", "b_y", "b_width", "b_height")))
-    return a.join(b, key).where((F.col(f"a_{order}") < F.col(f"b_{order}")) & (share > least)).select(key, F.col(f"a_{order}").alias("a"), F.col(f"b_{order}").alias("b"), share.alias("share"))
+    The join is by document, and by cell where a document has more than split boxes."""
+    both, counts = _met(boxes, key, order, split)
+    share = overlap_share(*map(F.col, _SIDES))
+    return both.where(counts & (share > least)).select(key, F.col(f"a_{order}").alias("a"), F.col(f"b_{order}").alias("b"), share.alias("share"))
 
 
-def touching_pairs(boxes: DataFrame, key: str = "doc_id", order: str = "ord") -> DataFrame:
-    """(key, a, b): pairs of a document's boxes that touch as closed rectangles."""
-    a, b = _sides(boxes, key, order)
-    touch = rectangles_touch(*(F.col(c) for c in ("a_x", "a_y", "a_width", "a_height", "b_x", "b_y", "b_width", "b_height")))
-    return a.join(b, key).where((F.col(f"a_{order}") < F.col(f"b_{order}")) & touch).select(key, F.col(f"a_{order}").alias("a"), F.col(f"b_{order}").alias("b"))
+def touching_pairs(boxes: DataFrame, key: str = "doc_id", order: str = "ord", split: int = SPLIT) -> DataFrame:
+    """(key, a, b): pairs of a document's boxes that touch as closed rectangles; joined as in ``overlap_pairs``."""
+    both, counts = _met(boxes, key, order, split)
+    return both.where(counts & rectangles_touch(*map(F.col, _SIDES))).select(key, F.col(f"a_{order}").alias("a"), F.col(f"b_{order}").alias("b"))
 
 
 def _winner(a: dict, b: dict) -> int:
@@ -101,11 +130,12 @@ def collate_boxes(rows: list[dict], least: float) -> list[dict]:
     return boxes
 
 
-def collate(boxes: DataFrame, least: float = 0.8) -> DataFrame:
+def collate(boxes: DataFrame, least: float = 0.8, split: int = SPLIT) -> DataFrame:
     """boxes (see BOX) with near-equal readings merged, and replaces: what each winner stands for.
 
-    Order decides, so a document's boxes are one group, in one shuffle; only documents with an overlapping
-    pair are handed to Python, the others pass through."""
+    Order decides, but only among boxes that overlap, directly or through others. So a document's boxes are
+    one group, or, where it has more than split of them, each connected set is one. Groups without an
+    overlapping pair pass through, the others are handed to Python. Boxes of one order number go by their members."""
     full = complete(boxes).select("doc_id", F.col("ord").cast("int").alias("ord"), "text", *(F.col(c).cast("double").alias(c) for c in COMPLETE[1:]))
     members = [c.split()[0] for c in BOX.split(", ") if not c.startswith("doc_id")]
     kind = dict(boxes.dtypes)["doc_id"]
@@ -119,13 +149,42 @@ def collate(boxes: DataFrame, least: float = 0.8) -> DataFrame:
                                                                   ("replaces", pa.list_(pa.struct([("text", pa.string()), ("confidence", pa.float64())])))]))
 
     sides = lambda a, b: (a[c] for x in (a, b) for a, c in ((x, "x"), (x, "y"), (x, "width"), (x, "height")))
-    meets = lambda rows: F.exists(rows, lambda a: F.exists(rows, lambda b: (a["ord"] < b["ord"]) & (overlap_share(*sides(a, b)) > least)))
-    documents = full.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*members))).alias("boxes")).withColumn("meets", meets(F.col("boxes")))
+    meets = lambda rows: F.exists(F.transform(rows, lambda a, i: F.exists(F.slice(rows, i + 2, F.size(rows)), lambda b: overlap_share(*sides(a, b)) > least)), lambda x: x)
+    large = full.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > split).select("doc_id")
+    groups = full
+    group = ["doc_id"]
+    if not large.isEmpty():
+        groups, group = _connected(full, large, members, least), ["doc_id", "part"]
+    documents = groups.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(*members))).alias("boxes"))
+    documents = documents.withColumn("meets", let(F.col("boxes"), meets))
     merged = documents.where("meets").select("doc_id", "boxes").mapInArrow(run, schema)
     rest = documents.where("NOT meets").select("doc_id", F.explode("boxes").alias("b")).select("doc_id", "b.*").withColumn("replaces", F.array().cast("array<struct<text:string,confidence:double>>"))
     return merged.unionByName(rest)
 
 
+def _connected(full: DataFrame, large: DataFrame, members: list[str], least: float) -> DataFrame:
+    """full with part: 0 in small documents, in large ones a name of the set of boxes that overlaps connect."""
+    spark, folder = full.sparkSession, shared_folder(full.sparkSession, "collate")
+    kept = lambda df, name: (df.write.parquet(f"{folder}/{name}"), spark.read.parquet(f"{folder}/{name}"))[1]
+    name = F.xxhash64(*members).alias("box")  # equal boxes are one here, and copies of it in their group
+    cut = full.join(large, "doc_id", "left_semi").select("*", name)
+    pairs = kept(overlap_pairs(cut.select("doc_id", "box", "x", "y", "width", "height").distinct(), least, order="box", split=0), "pairs")
+    edges = pairs.select("doc_id", F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select("doc_id", F.col("b").alias("u"), F.col("a").alias("v")))
+    names = kept(edges.groupBy("doc_id", "u").agg(F.least(F.first("u"), F.min("v")).alias("part")), "names0")
+    turn = 0
+    while True:  # each box takes the least name around it, and then that box's own, until none changes
+        turn += 1
+        near = edges.join(names.select("doc_id", F.col("u").alias("v"), "part"), ["doc_id", "v"]).groupBy("doc_id", "u").agg(F.min("part").alias("near"))
+        step = names.join(near, ["doc_id", "u"]).select("doc_id", "u", F.col("part").alias("old"), F.least("part", "near").alias("c"))
+        above = names.select("doc_id", F.col("u").alias("c"), F.col("part").alias("up"))
+        new = kept(step.join(above, ["doc_id", "c"], "left").select("doc_id", "u", "old", F.least("c", F.coalesce("up", "c")).alias("part")), f"names{turn}")
+        names = new.select("doc_id", "u", "part")
+        if new.where("old <> part").isEmpty():
+            break
+    parts = cut.join(names.withColumnRenamed("u", "box"), ["doc_id", "box"], "left").withColumn("part", F.coalesce("part", "box")).drop("box")
+    return full.join(large, "doc_id", "left_anti").withColumn("part", F.lit(0).cast("long")).unionByName(parts)
+
+
 def title_pool(boxes: DataFrame, entities: DataFrame, compat: bool = False) -> DataFrame:
     """Boxes that may be titles: sure, no garbage, and without facts of other kinds."""
     facts = entities.where(F.col("kind").isin("date", "datetime", "dayofweek", "streetaddress", "city", "price")).select("doc_id", "ord").distinct()
@@ -177,10 +236,10 @@ def titles(boxes: DataFrame, key: str = "doc_id", order: str = "ord") -> DataFra
     return title_boxes(boxes, key, order).select(key, title_of(F.col("pool")).alias("t")).where("t IS NOT NULL").select(key, "t.title", "t.description")
 
 
-def box_ngrams(boxes: DataFrame, key: tuple[str, ...] = ("doc_id", "ord"), text: str = "text") -> DataFrame:
-    """(key, base, n, ngram, confidence): every run of a box's words; confidence is the box's own."""
+def box_ngrams(boxes: DataFrame, key: tuple[str, ...] = ("doc_id", "ord"), text: str = "text", longest: int | None = None) -> DataFrame:
+    """(key, base, n, ngram, confidence): every run of a box's words (of at most so many characters); confidence is the box's own."""
     more = ["confidence"] if "confidence" in boxes.columns else []
-    return boxes.select(*key, *more, F.posexplode(ngrams(tokens(F.col(text)))).alias("n", "ngram"))
+    return boxes.select(*key, *more, F.posexplode(ngrams(tokens(F.col(text)), longest)).alias("n", "ngram"))
 
 
 # voting

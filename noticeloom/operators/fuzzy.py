@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from noticeloom.functions.text import escape_umlauts
+from noticeloom.functions.text import escape_umlauts, let
 
 MOST, SHARE = 2, 0.2
 
@@ -54,16 +54,88 @@ def deletes(word: Column, most: int = MOST) -> Column:
     """Distinct strings that at most that many deletions leave of a word, the word included."""
     once = lambda w: F.transform(F.sequence(F.lit(1), F.char_length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.char_length(w))))
     shorter = lambda w: F.when(F.char_length(w) > 0, once(w)).otherwise(F.array().cast("array<string>"))
-    layer = out = F.array(word)
-    for _ in range(most):
-        layer = F.array_distinct(F.flatten(F.transform(layer, shorter)))
-        out = F.array_union(out, layer)
-    return out
 
+    def layers(layer: Column, left: int) -> Column:
+        if not left:
+            return layer
+        return let(F.array_distinct(F.flatten(F.transform(layer, shorter))), lambda x: F.array_union(layer, layers(x, left - 1)))
 
-def delete_index(terms: DataFrame, term: str = "term", most: int = MOST) -> DataFrame:
-    """terms with one row for each delete key."""
-    return terms.select("*", F.explode(deletes(F.col(term), most)).alias("delete_key"))
+    return let(F.array(word), lambda x: layers(x, most))
+
+
+#: Characters of a word that delete keys are made of.
+PREFIX = 8
+
+
+def delete_index(terms: DataFrame, term: str = "term", most: int = MOST, prefix: int | None = None) -> DataFrame:
+    """terms with one row for each delete key, of the whole term or of its first characters.
+
+    Prefixes lose no pair: if a and b are within k edits, the first p characters of the one meet those of
+    the other, or fewer, within k edits, and what is over can be deleted for the insertions that pushed it out.
+    So a word has a fixed number of keys, however long it is."""
+    word = F.col(term) if prefix is None else F.substring(term, 1, prefix)
+    return terms.select("*", F.explode(deletes(word, most)).alias("delete_key"))
+
+
+def candidates(words: DataFrame, known: DataFrame, most: int = MOST, prefix: int = PREFIX) -> DataFrame:
+    """(_w, _t): pairs that share a delete key of their prefixes and differ by at most so many characters in length.
+
+    Lengths are part of the key, so words of other lengths never meet, and many words of one beginning are cut by their lengths."""
+    left = delete_index(words.withColumn("_n", F.char_length("_w")), "_w", most, prefix)
+    right = delete_index(known.withColumn("_n", F.explode(F.sequence(F.greatest(F.char_length("_t") - most, F.lit(0)), F.char_length("_t") + most))), "_t", most, prefix)
+    return left.join(right, ["delete_key", "_n"]).select("_w", "_t").distinct()
+
+
+#: Characters beyond which a pair's distance is found by jumps over equal stretches; the built-in function reads long strings from their start for each character.
+LONG = 400
+
+
+def bounded_distance(a: str, b: str, most: int) -> int:
+    """Edit distance, or -1 if it exceeds most.
+
+    For each number of edits and each shift between the strings the furthest place is kept that can be reached,
+    so the work is equal stretches, compared at once, times (most + 1) squared."""
+
+    def equal(i: int, j: int) -> int:
+        start, step = i, 64
+        while step:
+            if a[i : i + step] == b[j : j + step] and i < len(a) and j < len(b):
+                done = min(step, len(a) - i, len(b) - j)
+                i, j, step = i + done, j + done, step * 2
+                if i >= len(a) or j >= len(b):
+                    break
+            else:
+                step //= 2
+                if i >= len(a) or j >= len(b) or a[i] != b[j]:
+                    break
+        return i - start
+
+    shift = len(b) - len(a)
+    if abs(shift) > most:
+        return -1
+    reach = {0: equal(0, 0)}
+    for edits in range(most + 1):
+        if reach.get(shift, -1) >= len(a):
+            return edits
+        new = {}
+        for d in range(-edits - 1, edits + 2):
+            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -1), reach.get(d + 1, -2) + 1)
+            if 0 <= i <= len(a) and i + d <= len(b) and i + d >= 0:
+                new[d] = i + equal(i, i + d)
+        reach = new
+    return -1
+
+
+def _measured(pairs: DataFrame, most: int) -> DataFrame:
+    """Pairs (_w, _t) with their distance, where that is at most so many edits."""
+
+    @F.pandas_udf("int")
+    def long_distance(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([bounded_distance(x, y, most) for x, y in zip(xs, ys, strict=True)])
+
+    far = F.char_length("_w") > LONG
+    near = pairs.where(~far).withColumn("distance", F.levenshtein("_w", "_t", most))
+    return near.unionByName(pairs.where(far).withColumn("distance", long_distance("_w", "_t"))).where("distance >= 0")
 
 
 def fuzzy_join(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", most: int = MOST, nearest: bool = True, share: float | None = SHARE,
@@ -75,8 +147,7 @@ def fuzzy_join(texts: DataFrame, terms: DataFrame, text: str = "text", term: str
     folded = lambda x: escape_umlauts(F.lower(x))
     words = texts.select(folded(F.col(text)).alias("_w")).where("_w IS NOT NULL").distinct()
     known = terms.select(folded(F.col(term)).alias("_t")).distinct()
-    keys = delete_index(words, "_w", most).join(delete_index(known, "_t", most), "delete_key").select("_w", "_t").distinct()
-    found = keys.withColumn("distance", F.levenshtein("_w", "_t", most)).where("distance >= 0")
+    found = _measured(candidates(words, known, most), most)
     if costs is not None:
         found = cost_distance(found, costs, "_w", "_t")
     if nearest:
@@ -101,7 +172,7 @@ def push_to_base(found: DataFrame, boxes: DataFrame, keys: tuple[str, ...] = ("d
 
 
 class CostTable:
-    """Costs of replacing short strings by others; what is not in the table costs the longer one's length, equal strings nothing."""
+    """Costs of replacing short strings by others; what is not in the table costs the longer one's length, or nothing between equal strings."""
 
     def __init__(self, costs: list[tuple[str, str, float]]):
         self.longest = max([1, *(max(len(x), len(y)) for x, y, _ in costs)])
@@ -116,6 +187,8 @@ class CostTable:
     def prices(self, p: int, q: int, x: np.ndarray, y: np.ndarray, equal: np.ndarray) -> np.ndarray:
         """What it costs to replace strings of length p by strings of length q (their codes, last character first)."""
         out = np.full(len(equal), float(max(p, q)))
+        if p == q:
+            out[equal] = 0.0
         if (p, q) in self.tables:
             known, cost = self.tables[p, q]
             digits = [*x, *y]
@@ -123,8 +196,6 @@ class CostTable:
             at = np.minimum(np.searchsorted(known, whole), len(known) - 1)
             hit = (known[at] == whole) & np.all([d > 0 for d in digits], axis=0)
             out[hit] = cost[at[hit]]
-        if p == q:
-            out[equal] = 0.0
         return out
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from noticeloom.operators import boxes as B
 from noticeloom.operators.entities import extract
+from noticeloom.functions.text import escape_umlauts
 from noticeloom.operators.fuzzy import fuzzy_join
 from noticeloom.operators.resolve import resolve
 from noticeloom.plans.config import Config
@@ -28,8 +29,9 @@ def merged_branches(rectified: DataFrame, original: DataFrame, config: Config =
 
 def spelled(boxes: DataFrame, terms: DataFrame, config: Config = Config(), costs: list[tuple[str, str, float]] | None = None) -> DataFrame:
     """(doc_id, ord, confidence, kind, subkey, value): dictionary terms near a box's text or a run of its words, by a table
-    of substitution costs if the settings ask for that and one is given."""
-    grams = B.box_ngrams(boxes).select("doc_id", "ord", "confidence", F.col("ngram").alias("text"))
+    of substitution costs if the settings ask for that and one is given. Runs longer than any term within the edits are not made."""
+    longest = terms.agg(F.max(F.char_length(escape_umlauts(F.lower("term"))))).first()[0] or 0
+    grams = B.box_ngrams(boxes, longest=longest + config.most_edits).select("doc_id", "ord", "confidence", F.col("ngram").alias("text"))
     near = fuzzy_join(grams, terms, most=config.most_edits, share=config.edit_share, costs=costs if config.distance == "ocr" else None)
     return near.select("doc_id", "ord", "confidence", F.col("dict_key").alias("kind"), "subkey", F.col("term").alias("value")).distinct()
 
