@@ -150,8 +150,3 @@ def with_fallback(events: DataFrame, local: DataFrame, remote: DataFrame, id_col
     """events(id) joined with local records and, for ids that are missing there, with remote ones."""
     missing = events.join(local, id_column, "left_anti")
     return events.join(local, id_column).unionByName(missing.join(remote, id_column, "left"), allowMissingColumns=True)
-
-
-def position(column: Column, key: str = "doc_id") -> Column:
-    """Place of a row in its document, from 1."""
-    return F.row_number().over(W.partitionBy(key).orderBy(column))

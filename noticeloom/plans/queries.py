@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import datetime
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from noticeloom.functions import geometry, normalize, text
+from noticeloom.functions import geometry, images, normalize, text
 from noticeloom.operators import boxes, entities, fuzzy, overlay, quads, quality, resolve, selector
-from noticeloom.plans import extract
+from noticeloom.plans import extract, registry
 from noticeloom.sources import datasource, files, store
 from noticeloom.sources.files import table
 from noticeloom.sources.segments import Segments
@@ -347,7 +348,7 @@ def dictionary_counts(spark, sf_dir):
     return fuzzy.dictionary(table(spark, sf_dir, "part").select(F.col("p_name").alias("term"))).select("term", "count")
 
 
-@query()
+@query("""WITH p AS (SELECT DISTINCT p_name AS a FROM part WHERE p_name IS NOT NULL) SELECT p.a, q.a AS b, CAST(damerau_levenshtein(p.a, q.a) AS INTEGER) AS distance FROM p JOIN p q ON damerau_levenshtein(p.a, q.a) <= 2""")
 def transposition_distance(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).where("a IS NOT NULL").distinct()
     q = p.withColumnRenamed("a", "b")
@@ -783,6 +784,15 @@ def cost_records(spark, sf_dir):
     return fuzzy.cost_lines(n.select(F.col("r_name").alias("a"), F.col("n_name").alias("b"), (F.col("n_nationkey") / 4).alias("cost")))
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) // (event_id % 7) AS VARCHAR) END AS share,
+ CASE WHEN event_id % 7 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN event_id % 7 = 0 THEN 'ZeroDivisionError' END AS error FROM events""")
+def rows_with_status(spark, sf_dir):
+    """A table function in SQL that fails on every seventh row, and on those only."""
+    table(spark, sf_dir, "events").createOrReplaceTempView("noticeloom_events")
+    registry.table_function(spark, "share_of", lambda decoder, props, by: [(decoder.decode(props)["k"] // by,)], "share bigint", json.JSONDecoder)
+    return spark.sql("SELECT event_id, CAST(share AS STRING) AS share, status, substring_index(error, ':', 1) AS error FROM noticeloom_events e, LATERAL share_of(e.props, e.event_id % 7)")
+
+
 @query("""SELECT event_id, event_id % 3 = 1 AS failed, CASE WHEN event_id % 3 = 0 THEN json_extract_string(props, '$.k') END AS k FROM events""")
 def parsed_props(spark, sf_dir):
     m = F.col("event_id") % 3
@@ -845,3 +855,77 @@ def cost_distances(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     pairs = li.select("l_orderkey", "l_linenumber", F.concat(F.when(F.col("l_linenumber") % 2 == 0, "kern").otherwise("ken"), "l_returnflag").alias("a"), F.concat(F.when(F.col("l_linenumber") % 2 == 0, "kem").otherwise("kem"), F.lit("A")).alias("b"))
     return fuzzy.cost_distance(pairs, [("rn", "m", 0.1)]).select("l_orderkey", "l_linenumber", "distance")
+
+
+# files and records of one kind
+
+
+_MONTHS = ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember")
+
+
+@query(f"""SELECT c_custkey, printf('2019-%02d-%02d', CAST(c_custkey % 12 + 1 AS INTEGER), CAST(c_custkey % 28 + 1 AS INTEGER)) AS day FROM customer""")
+def dates_with_month_names(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    name = F.get(F.array(*map(F.lit, _MONTHS)), (F.col("c_custkey") % 12).cast("int"))
+    text = F.concat((F.col("c_custkey") % 28 + 1).cast("string"), F.lit(". "), F.when(F.col("c_custkey") % 2 == 0, F.upper(name)).otherwise(name), F.lit(" 2019"))
+    return c.select("c_custkey", normalize.normal_date(text, TODAY).alias("day"))
+
+
+@query("""SELECT o_orderkey AS doc_id, to_json({'doc_id': o_orderkey, 'rev': '1-' || o_orderstatus, 'value': o_orderpriority, 'deleted': false})::VARCHAR AS json FROM orders""")
+def serialized_orders(spark, sf_dir):
+    pictures = F.array(F.lit("x").cast("binary"))
+    return store.serialized(_orders(spark, sf_dir).withColumn("images", pictures)).select("doc_id", "json")
+
+
+@query("""SELECT o_orderkey AS doc_id, '1-' || o_orderstatus AS rev, o_orderpriority AS value FROM orders""")
+def exported_orders(spark, sf_dir):
+    """Orders written as JSON lines and read back as records of those files."""
+    folder = shared_folder(spark, "json")
+    store.export_json(_orders(spark, sf_dir).drop("deleted"), folder)
+    return spark.read.schema("doc_id long, rev string, value string").json(folder)
+
+
+@query("""SELECT DISTINCT p_name AS a, p_brand AS b, CAST(p_size AS DOUBLE) AS cost FROM part""")
+def costs_of_files(spark, sf_dir):
+    """Substitution costs written as lines and read back."""
+    folder = shared_folder(spark, "costs")
+    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("a"), F.col("p_brand").alias("b"), F.col("p_size").cast("double").alias("cost")).distinct()
+    fuzzy.cost_lines(p).write.text(folder)
+    return fuzzy.read_costs(spark, folder)
+
+
+@query("""SELECT DISTINCT p_name AS term FROM part""")
+def dictionary_of_files(spark, sf_dir):
+    folder = shared_folder(spark, "terms")
+    table(spark, sf_dir, "part").select("p_name").distinct().write.text(folder)
+    return fuzzy.read_dictionaries(spark, folder).select("term")
+
+
+@query("""SELECT 'id-' || md5('{"value":"' || o_orderpriority || '-' || o_orderkey || '"}') AS doc_id, o_orderpriority || '-' || o_orderkey AS value FROM orders WHERE o_orderkey % 5 = 0""")
+def new_ids(spark, sf_dir):
+    """Changes without a key get one made of their content."""
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.lit(None).cast("string").alias("doc_id"), F.concat_ws("-", "o_orderpriority", "o_orderkey").alias("value"))
+    none = o.limit(0).withColumn("rev", F.lit(None).cast("string")).select("doc_id", "rev", "value")
+    return store.upserts(none, o).select("doc_id", "value")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CAST(l_partkey % 100 + l_suppkey % 30 - 15 AS DOUBLE) AS x, CAST(l_partkey % 70 + l_suppkey % 20 - 15 AS DOUBLE) AS y FROM lineitem""")
+def shifted_places(spark, sf_dir):
+    """Places in a group's own picture, moved to the page's."""
+    x, y = geometry.shifted(F.col("l_partkey") % 100, F.col("l_partkey") % 70, F.col("l_suppkey") % 30, F.col("l_suppkey") % 20)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 < 2 THEN c_name WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS picture FROM customer""")
+def best_pictures(spark, sf_dir):
+    """The rectified picture where its place exists, else the original one."""
+    c = table(spark, sf_dir, "customer")
+    best = F.when(F.col("c_custkey") % 4 < 2, 0).otherwise(7)
+    original = F.when(F.col("c_custkey") % 3 == 0, 1).otherwise(-1)
+    return c.select("c_custkey", images.best_image(F.array("c_name", "c_mktsegment"), best, original).alias("picture"))
+
+
+@query("""SELECT event_id, event_type, value FROM events WHERE event_id = 77""")
+def event_of_id(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("event_id"), "event_type", "value")
+    return files.event(e, "77").select(F.col("event_id").cast("long").alias("event_id"), "event_type", "value")

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticeloom.functions.text import data_url, plain_base64
 from noticeloom.operators.selector import find
+from noticeloom.sources.shared import shared_folder
 
 RECORD = """text ARRAY<STRUCT<text: STRING, confidence: DOUBLE, x: INT, y: INT, width: INT, height: INT, id: STRING, baseid: STRING,
  replaces: ARRAY<STRUCT<text: STRING, confidence: DOUBLE>>>>, filename STRING, images STRUCT<original: INT, best: INT, text: INT, edges: INT, contours: INT>"""
@@ -52,13 +56,6 @@ def exists(spark: SparkSession, name: str) -> bool:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
-def open_input(spark: SparkSession, documents: DataFrame, argument: str) -> DataFrame:
-    """A file's picture if the argument is a path that exists in its store, else the document of that id."""
-    if exists(spark, argument):
-        return spark.read.format("binaryFile").load(argument).select(F.col("path").alias("filename"), "content")
-    return document(documents, argument)
-
-
 def document(documents: DataFrame, doc_id, rev: str | None = None, attachments: bool = True) -> DataFrame:
     """One document, perhaps of a given revision, perhaps without its attachments (which are then not read)."""
     out = documents.where(F.col("doc_id") == F.lit(doc_id))
@@ -105,9 +102,40 @@ def ids(documents: DataFrame, *more: str) -> DataFrame:
     return documents.select("doc_id", *more)
 
 
-def nth_id(documents: DataFrame, n: int) -> DataFrame:
-    """The id at a place in the order of ids, counted from 0."""
-    return documents.select("doc_id").orderBy("doc_id").offset(n).limit(1)
+#: Parts that a range is cut into at once; rows that are ordered in one task.
+PARTS, FEW = 64, 10_000
+
+
+def nth_id(documents: DataFrame, n: int, few: int = FEW) -> DataFrame:
+    """The id at a place in the order of ids (nulls first), counted from 0.
+
+    Ids of a sample part a range, the parts are counted, and the part that holds the place is the next
+    range, until it has few rows or ids; only those are put in order."""
+    ids = documents.select("doc_id")
+    nulls = ids.where("doc_id IS NULL").count()
+    if n < nulls:
+        return ids.where("doc_id IS NULL").limit(1)
+    rest, n = ids.where("doc_id IS NOT NULL"), n - nulls
+    while True:
+        sample = sorted({r[0] for r in rest.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h").limit(PARTS).collect()})
+        if len(sample) < PARTS:  # few ids: counted one by one
+            break
+        part = F.size(F.filter(F.array(*map(F.lit, sample)), lambda x: x <= F.col("doc_id")))
+        counts = dict(rest.groupBy(part.alias("part")).count().collect())
+        at = 0
+        while at < PARTS and n >= counts.get(at, 0):
+            n -= counts.get(at, 0)
+            at += 1
+        bounds = ([F.col("doc_id") >= sample[at - 1]] if at else []) + ([F.col("doc_id") < sample[at]] if at < PARTS else [])
+        for b in bounds:
+            rest = rest.where(b)
+        if counts.get(at, 0) <= few:
+            return rest.orderBy("doc_id").offset(n).limit(1)
+    for value, count in sorted(rest.groupBy("doc_id").count().collect()):
+        if n < count:
+            return rest.where(F.col("doc_id") == value).limit(1)
+        n -= count
+    return ids.limit(0)
 
 
 def selected_ids(documents: DataFrame, selector, limit: int = 25) -> DataFrame:
@@ -121,18 +149,29 @@ def posters_of_events(posters: DataFrame, events: DataFrame, selector, limit: in
     return posters.join(some, "event_id", "left_semi").orderBy("doc_id").limit(limit)
 
 
-def newest_first(documents: DataFrame, by: str = "created", key: str = "doc_id", part: str = "minute") -> DataFrame:
+def newest_first(documents: DataFrame, by: str = "created", key: str = "doc_id") -> DataFrame:
     """documents, newest first and then by key, with place, counted from 1; those without a time come last.
 
-    Rows are ranked within the minutes (or other parts) of their times; a part's first place follows
-    from the number of rows in the parts after it, a table with one row a part."""
-    rows = documents.withColumn("_part", F.date_trunc(part, by))
-    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy(F.col("_part").desc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(F.col("_part").alias("_p"), before.alias("_before"))
-    rank = F.row_number().over(W.partitionBy("_part").orderBy(F.col(by).desc(), key))
-    placed = rows.withColumn("_rank", rank).join(offsets, F.col("_part").eqNullSafe(F.col("_p")))
-    return placed.select(*documents.columns, (F.col("_before") + F.col("_rank")).alias("place")).orderBy("place")
+    Rows are dealt to ranges of both columns, so one time may hold all of them. Each range is numbered as it is
+    written to the shared folder; a range's first place follows from the numbers of rows in those before it."""
+    order = [F.col(by).desc_nulls_last(), F.col(key)]
+    spark, folder = documents.sparkSession, shared_folder(documents.sparkSession, "places")
+    names = documents.columns
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, done = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            more = [pa.array([part] * batch.num_rows, pa.int32()), pa.array(range(done + 1, done + 1 + batch.num_rows), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*names, "_part", "_rank"])
+            done += batch.num_rows
+
+    schema = T.StructType([*documents.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_rank", T.LongType())])
+    documents.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(numbered, schema).write.parquet(folder)
+    rows = spark.read.schema(schema).parquet(folder)
+    counts = sorted(map(tuple, rows.groupBy("_part").count().collect()))  # one row a range
+    before = [(p, b) for (p, _), b in zip(counts, itertools.accumulate((n for _, n in counts), initial=0))]
+    offsets = spark.createDataFrame(before, "_part int, _before long")
+    return rows.join(F.broadcast(offsets), "_part").select(*names, (F.col("_before") + F.col("_rank")).alias("place")).orderBy("place")
 
 
 def change_feed(spark: SparkSession, path: str, schema: T.StructType | str, files: int = 5) -> DataFrame:

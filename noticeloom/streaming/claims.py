@@ -7,7 +7,7 @@ import datetime
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -103,9 +103,15 @@ def processed(stream: DataFrame, work: Callable[[DataFrame], DataFrame], sink: S
     and comes back changes nothing. With a store of documents and an engine's name, claims are put on the
     documents themselves, likewise by batch; both may be used together.
 
-    A batch that fails goes to the dead letters with its error and its claims are released; the query fails if
+    Rows of work's result whose status (see registry.table_function) is failed go to the dead letters alone, the
+    others of their batch to the sink. A batch that fails goes to the dead letters with its error and its claims are released; the query fails if
     there are none to take it. A batch that runs again puts in the same rows. dry_run writes nothing."""
 
+    def letters(rows: DataFrame, error: Column, number: int) -> None:
+        made = rows.select(F.to_json(F.struct(*[c for c in rows.columns if c not in ("images", "processed_by", "status", "error")])).alias("record"), error.alias("error"), F.lit(number).alias("batch"))
+        known = dead.read()
+        dead.write(made if known is None else known.where(F.col("batch") != number).unionByName(made))
+
     def batch(df: DataFrame, number: int) -> None:
         df = df.persist()
         got, fence = None, None
@@ -119,6 +125,14 @@ def processed(stream: DataFrame, work: Callable[[DataFrame], DataFrame], sink: S
                 fence, held = ledger.claim(some, number)
                 some = some.join(held.select(key), key, "left_semi")
             out = work(some)
+            if {"status", "error"} <= set(out.columns) and not dry_run:
+                out = out.persist()
+                bad = out.where(F.col("status") == "failed")
+                if not bad.isEmpty():
+                    if dead is None:
+                        raise ValueError(bad.first()["error"])
+                    letters(bad.join(df, key, "left_semi") if key in bad.columns else bad, F.col("error"), number)
+                out = out.where(F.coalesce(F.col("status") != "failed", F.lit(True))).drop("status", "error")
             if not dry_run:
                 if fence is None:
                     sink.put(out, key)
@@ -132,9 +146,7 @@ def processed(stream: DataFrame, work: Callable[[DataFrame], DataFrame], sink: S
                 ledger.settle(fence, FREE)
             if dead is None or dry_run:
                 raise
-            letters = df.select(F.to_json(F.struct(*[c for c in df.columns if c not in ("images", "processed_by")])).alias("record"), F.lit(str(error)[:2000]).alias("error"), F.lit(number).alias("batch"))
-            known = dead.read()
-            dead.write(letters if known is None else known.where(F.col("batch") != number).unionByName(letters))
+            letters(df, F.lit(str(error)[:2000]), number)
         finally:
             df.unpersist()
 
