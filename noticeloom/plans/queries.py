@@ -770,12 +770,12 @@ e AS (SELECT a.k, a.x, a.y, b.x AS bx, b.y AS bz FROM p a JOIN p b ON a.k = b.k
  HAVING bool_and((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) > 0 OR ((b.x - a.x) * (c.y - a.y) = (b.y - a.y) * (c.x - a.x) AND (b.x - a.x) * (c.x - a.x) + (b.y - a.y) * (c.y - a.y) BETWEEN 0 AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)))),
 s AS (SELECT k, abs(sum(x * bz - bx * y)) / 2 AS area FROM e GROUP BY k), v AS (SELECT k, x, y FROM e UNION SELECT k, bx, bz FROM e UNION SELECT k, x, y FROM p WHERE k NOT IN (SELECT k FROM e)),
 c AS (SELECT k, {_CORNER.format(0, 0)} AS tl, {_CORNER.format(100, 100)} AS br FROM v GROUP BY k)
-SELECT k AS l_orderkey, CASE WHEN (SELECT count(*) FROM p WHERE p.k = c.k) > 2 THEN coalesce(area, 0) ELSE 0 END AS area, tl.x AS left, tl.y AS top, br.x AS right, br.y AS bottom FROM c LEFT JOIN s USING (k)""")
+SELECT k AS l_orderkey, CASE WHEN (SELECT count(*) FROM p WHERE p.k = c.k) > 2 THEN coalesce(area, 0) ELSE 0 END AS area, tl.x AS x_first, tl.y AS y_first, br.x AS x_last, br.y AS y_last FROM c LEFT JOIN s USING (k)""")
 def hull_corners(spark, sf_dir):
     """Hulls of orders' points: their area and the corners at the top left and the bottom right."""
     p = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 100).cast("double").alias("x"), (F.col("l_suppkey") % 100).cast("double").alias("y"))
     found = quads.hulls(p, "l_orderkey").withColumn("c", quads.extreme_corners(F.col("hull"), F.lit(100.0), F.lit(100.0)))
-    return found.select("l_orderkey", quads.area(F.col("hull")).alias("area"), *(F.get("c", F.lit(i))[v].alias(n) for i, v, n in ((0, "x", "left"), (0, "y", "top"), (2, "x", "right"), (2, "y", "bottom"))))
+    return found.select("l_orderkey", quads.area(F.col("hull")).alias("area"), *(F.get("c", F.lit(i))[v].alias(n) for i, v, n in ((0, "x", "x_first"), (0, "y", "y_first"), (2, "x", "x_last"), (2, "y", "y_last"))))
 
 
 @query("""SELECT r_name || '|' || n_name || '|' || CAST(n_nationkey / 4.0 AS VARCHAR) AS value FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 = 2""")
