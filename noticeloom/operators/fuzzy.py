@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from noticeloom.functions.text import escape_umlauts, let
+from noticeloom.sources.files import chosen, qualified
 
 MOST, SHARE = 2, 0.2
 
@@ -25,9 +26,13 @@ def dictionary(terms: DataFrame, term: str = "term", keys: tuple[str, ...] = ("d
     return named.where("term != ''").groupBy(*keys, "term").agg(F.count("*").alias("count"))
 
 
-def read_dictionaries(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
-    """(dict_key, subkey, term) of text files with a term a line; the file's name is the key."""
+def read_dictionaries(spark: SparkSession, path: str, glob: str = "*.txt", pattern: str | None = None, depth: int = -1) -> DataFrame:
+    """(dict_key, subkey, term) of text files with a term a line; the file's name is the key.
+
+    Files may be chosen by a glob, by a pattern that their whole name has to fit, and by a depth (see ``files.located``)."""
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    if pattern is not None or depth >= 0:
+        lines = lines.where(chosen(F.col("_metadata.file_path"), qualified(spark, path), pattern, depth))
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1)
     return lines.select(F.substring_index(name, "_", 1).alias("dict_key"), F.when(name.contains("_"), F.regexp_replace(name, "^[^_]*_", "")).alias("subkey"), F.col("value").alias("term"))
 

@@ -11,9 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from noticeloom.functions import geometry, images, normalize, text
-from noticeloom.operators import boxes, entities, fuzzy, overlay, quads, quality, resolve, selector
+from noticeloom.operators import boxes, crops, entities, fuzzy, overlay, quads, quality, resolve, selector
 from noticeloom.plans import extract, registry
-from noticeloom.sources import datasource, files, store
+from noticeloom.sources import datasource, files, filesets, store
 from noticeloom.sources.files import table
 from noticeloom.sources.segments import Segments
 from noticeloom.sources.shared import shared_folder
@@ -929,3 +929,40 @@ def best_pictures(spark, sf_dir):
 def event_of_id(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("event_id"), "event_type", "value")
     return files.event(e, "77").select(F.col("event_id").cast("long").alias("event_id"), "event_type", "value")
+
+
+@query("""WITH b AS (SELECT c_nationkey AS doc_id, c_custkey AS ord, CAST(c_custkey % 90 - 5 AS INTEGER) AS x, CAST(c_custkey % 71 - 5 AS INTEGER) AS y FROM customer),
+c AS (SELECT *, greatest(x, 0) AS l, least(x + 20, 80) AS r, greatest(y, 0) AS t, least(y + 15, 60) AS u FROM b)
+SELECT 'line-' || doc_id || '-' || ord || '.png' AS name, CAST(r - l AS INTEGER) AS width, CAST(u - t AS INTEGER) AS height FROM c WHERE r > l AND u > t""")
+def line_crops(spark, sf_dir):
+    """Crops of nations' pictures saved as files; names and measures as the files state them."""
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    found = c.select(F.col("c_nationkey").alias("doc_id"), F.col("c_custkey").alias("ord"), (F.col("c_custkey") % 90 - 5).alias("x"), (F.col("c_custkey") % 71 - 5).alias("y"), F.lit(20).alias("width"), F.lit(15).alias("height"))
+    image = F.struct(F.lit(60).alias("rows"), F.lit(80).alias("cols"), F.lit(3).alias("elem_size"), F.rpad(F.col("n_name"), 60 * 80 * 3, "noticeloom").cast("binary").alias("data"))
+    folder = shared_folder(spark, "crops")
+    crops.save_crops(crops.crops(n.select(F.col("n_nationkey").alias("doc_id"), image.alias("image")), found), folder)
+    measure = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("int")
+    return filesets.read_files(spark, folder).select("name", measure(17).alias("width"), measure(21).alias("height"))
+
+
+@query("""SELECT DISTINCT 'brand_' || replace(p_brand, '#', '-') || '.txt' AS name FROM part WHERE p_brand LIKE '%1'""")
+def located_files(spark, sf_dir):
+    """Dictionaries written for each brand, found by a pattern of their names and the depth of their folders."""
+    folder = shared_folder(spark, "brands")
+    name = F.concat(F.lit("terms/brand_"), F.translate("p_brand", "#", "-"), F.lit(".txt"))
+    terms = table(spark, sf_dir, "part").groupBy(name.alias("name")).agg(F.array_join(F.array_sort(F.collect_set("p_name")), "\n").cast("binary").alias("content"))
+    filesets.write_files(terms, folder)
+    found = files.located(spark, [f"{folder}-none", folder], "brand_.*1[.]txt", 3)
+    return found.select(F.substring_index("path", "/", -1).alias("name"))
+
+
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN 'event-' || o_orderkey END AS event_id, o_orderkey % 3 = 1 AS turned_away FROM orders""")
+def saved_edits(spark, sf_dir):
+    """Edits by revision: of every three documents one is saved and linked, one has another revision by then, one is not edited."""
+    none = F.lit(None).cast("string")
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("1-a").alias("rev"), none.alias("event_id"))
+    documents, records = (Segments(spark, shared_folder(spark, name), key=key) for name, key in (("documents", "doc_id"), ("records", "event_id")))
+    documents.write(docs)
+    edits = docs.where("doc_id % 3 < 2").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "1-a").otherwise("0-a").alias("doc_rev"), "event_id", none.alias("rev"), F.concat(F.lit("title "), "doc_id").alias("title"))
+    away = store.save_edits(edits, documents, records).select("doc_id", F.lit(True).alias("turned_away"))
+    return documents.read().join(away, "doc_id", "left").select("doc_id", "event_id", F.coalesce("turned_away", F.lit(False)).alias("turned_away"))

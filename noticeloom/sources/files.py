@@ -186,3 +186,37 @@ def read_config(paths: list[str]) -> dict:
             with open(p, encoding="utf-8") as f:
                 return json.load(f)
     return {}
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder's whole name, with the scheme of its store and as files below it are named."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def chosen(path: Column, root: str, pattern: str | None, depth: int) -> Column:
+    """Whether a file's whole name fits a pattern and it lies at most depth folders below a root (negative: at any depth)."""
+    # a store's name is written with one slash or three
+    below = F.regexp_replace(F.regexp_replace(path, "^file:/+", "/"), "^/+", "").substr(F.lit(len(root.replace("file:", "", 1).strip("/")) + 2), F.lit(1 << 30))
+    fits = F.lit(True) if pattern is None else F.substring_index(path, "/", -1).rlike(f"^(?:{pattern})$")
+    return fits & (F.lit(depth < 0) | (F.char_length(F.regexp_replace(below, "[^/]", "")) <= depth))
+
+
+def located(spark: SparkSession, folders: list[str], pattern: str, depth: int = -1) -> DataFrame:
+    """(place, path) of files whose whole name fits a pattern, at most depth folders below one of the folders, whose place is its number.
+
+    A depth of 0 means the folder itself, a negative one any. Folders that do not exist are passed over."""
+    out = spark.createDataFrame([], "place int, path string")
+    for place, folder in enumerate(folders):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+            out = out.unionByName(found.where(chosen(F.col("path"), qualified(spark, folder), pattern, depth)).select(F.lit(place).alias("place"), "path"))
+    return out
+
+
+def first_located(spark: SparkSession, folders: list[str], pattern: str, depth: int = -1) -> str | None:
+    """The first such file by folder, then the least deep, then by path; None if there is none."""
+    deep = F.char_length(F.regexp_replace("path", "[^/]", ""))
+    found = located(spark, folders, pattern, depth).agg(F.min(F.struct("place", deep.alias("deep"), "path"))["path"].alias("path")).first()
+    return found["path"]

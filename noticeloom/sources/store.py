@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeloom.functions.text import record_id
+from noticeloom.sources.shared import shared_folder
 
 UNTITLED = "Unbekannt"
 
@@ -133,6 +134,40 @@ def save_results(events: DataFrame, documents: Snapshots, records: Snapshots, be
     documents.change(linked)
 
 
+def save_edits(edits: DataFrame, documents: Snapshots, records: Snapshots) -> DataFrame:
+    """Save edited event records and link their documents; returns the edits that were turned away.
+
+    edits has doc_id, doc_rev (the document's revision that the editor saw) and the columns of an event record (event_id, rev
+    and fields). An edit counts if both revisions are the stored ones (a record not saved before has none), and is then
+    saved as a whole: first the record, then the link, each only where it changes. Without an event_id the record is named by its
+    document. A batch that ends in between can run again: the record is what is stored by then, which counts as seen."""
+    none = F.lit(None).cast("string")
+    named = edits.withColumn("event_id", F.coalesce("event_id", F.concat(F.lit("event-"), F.col("doc_id").cast("string"))))
+    held = documents.read().select("doc_id", F.col("rev").alias("_doc_rev"), F.lit(True).alias("_known"))
+    now = records.read()
+    fields = [c for c in named.columns if c not in ("doc_id", "doc_rev")]
+    if now is None:
+        seen = named.withColumn("_rev", none).withColumn("_same", F.lit(False))
+    else:
+        content = lambda: F.to_json(F.struct(*(c for c in fields if c != "rev")))
+        stored = now.select("event_id", F.col("rev").alias("_rev"), F.md5(content()).alias("_content"))
+        seen = named.join(stored, "event_id", "left").withColumn("_same", F.coalesce(F.col("_content") == F.md5(content()), F.lit(False))).drop("_content")
+    good = F.col("doc_rev").eqNullSafe(F.col("_doc_rev")) & F.col("_known") & (F.col("_same") | F.col("rev").eqNullSafe(F.col("_rev")))
+    checked = seen.join(held, "doc_id", "left").withColumn("_good", F.coalesce(good, F.lit(False)))
+    spark, folder = edits.sparkSession, shared_folder(edits.sparkSession, "edits")
+    checked.select(*named.columns, "_good").write.parquet(folder)  # what counts is decided once, before anything is saved
+    decided = spark.read.parquet(folder)
+    some = decided.where("_good")
+    records.put(some.select(*fields), "event_id")
+    links = some.select("doc_id", F.col("event_id").alias("_event"))
+
+    def linked(stored: DataFrame, _: int) -> DataFrame:
+        return upserts(stored, stored.join(links, "doc_id").withColumn("event_id", F.col("_event")).select(*stored.columns))
+
+    documents.change(linked)
+    return decided.where("NOT _good").drop("_good")
+
+
 def created(pictures: DataFrame, thumb: Column, full: Column, now: Column, version: str = "0.2") -> DataFrame:
     """New posters of pictures(filename, ...): a name of their own, both pictures attached, no event yet."""
     one = lambda data: F.struct(F.lit("image/jpeg").alias("content_type"), data.alias("data"))
