@@ -10,6 +10,10 @@ lists and calls to what stands inside. A literal is scored by the words of the n
 its own form; with a high enough score it is a span of kind ``named`` (one for each part of a joined
 text), unless a base span of kind ``assign`` already covers it. No length is limited.
 
+Some forms name their literal elsewhere than before an operator and are read beside the lines: elements and records of a name and a value
+(``<password>x</password>``, ``name="password" value="x"``, in either order), calls that set something (``define("PASSWORD", "x")``,
+``setPassword("x")``), defaults of shell variables (``${PASSWORD:-x}``), headers of bearers, and blocks of private keys, which need no name.
+
 Offsets are code points, ends exclusive. The scan is one pass over each row, so hot sources and
 groups of copies cost no more than other rows.
 
@@ -47,16 +51,22 @@ _QUOTED = r'"""(?:[^"\\]++|\\.|"(?!""))*+"""' + r"|'''(?:[^'\\]++|\\.|'(?!''))*+
 #: A name (perhaps quoted, dotted or subscripted) and an operator; a name begins where its run of characters does.
 _HEAD = rf"(?<![A-Za-z0-9_.\-])[0-9.\-]*+(?P<name>{_NAME})[\"'`]?\]?[ \t]*+(?P<op>{_ASSIGNS})"
 STRING = re.compile(rf"(?s)(?<![A-Za-z0-9_])[A-Za-z]{{0,2}}(?:{_QUOTED})")
-TOKEN = re.compile(rf"(?s)(?P<line>\n)|(?P<head>{_HEAD})|(?P<string>(?<![A-Za-z0-9_])[A-Za-z]{{0,2}}(?:{_QUOTED}))|(?P<open>[(\[{{])|(?P<close>[)\]}}])")
+#: A name between a word that declares it and its type.
+_DECLARED = rf"(?<![A-Za-z0-9_.\-])(?:const|var)[ \t]++(?P<declared_name>{_NAME})[ \t]++[\[\]*]*+[A-Za-z_][A-Za-z0-9_.\[\]]*+[ \t]*+=(?![=>])"
+TOKEN = re.compile(rf"(?s)(?P<line>\n)|(?P<declared>{_DECLARED})|(?P<head>{_HEAD})|(?P<string>(?<![A-Za-z0-9_])[A-Za-z]{{0,2}}(?:{_QUOTED}))|(?P<open>[(\[{{])|(?P<close>[)\]}}])")
 SPACES = re.compile(r"[ \t]*+")
 #: After a string: what makes it a name.
 KEYED = re.compile(rf"(?P<bracket>\]?)[ \t]*+(?P<op>{_ASSIGNS})")
 #: After ``name:``, a type and the operator.
-TYPE = re.compile(r"""[A-Za-z_][A-Za-z0-9_.]*+(?:[ \t]*+[\[|][^=:\n"']*+)?[ \t]*+(?:(?<=[ \t])=(?![=>])|=(?=[ \t]*+[A-Za-z]{0,2}["']))[ \t]*+""")
+TYPE = re.compile(r"""(?:&(?:'[a-z_]++[ \t]++)?(?:mut[ \t]++)?|\*(?:const[ \t]++|mut[ \t]++)?|\[\])*+[A-Za-z_][A-Za-z0-9_.]*+(?:[ \t]*+[\[|<?][^=:\n"']*+)?[ \t]*+(?:(?<=[ \t])=(?![=>])|=(?=[ \t]*+[A-Za-z]{0,2}["']))[ \t]*+""")
 #: A name that is itself assigned to (``a = b = ...``).
 CHAINED = re.compile(rf"(?P<name>{_NAME})[ \t]*+=(?![=>])[ \t]*+")
-CALL = re.compile(r"(?:new[ \t]++|await[ \t]++)?[A-Za-z_][A-Za-z0-9_.:]*+(?=\()")
+CALL = re.compile(r"(?:new[ \t]++|await[ \t]++)?(?:\[[0-9]*+\])?&?[A-Za-z_][A-Za-z0-9_.:]*+(?=\()")
+#: A list or mapping with its type before it.
+LISTED = re.compile(r"(?:\[[0-9]*+\]|map\[[A-Za-z0-9_.]++\]|&)[A-Za-z_][A-Za-z0-9_.]*+(?=\{)")
 INDEXED = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*+(?=\[)")
+#: What a mapping holds under a text.
+MEMBER = re.compile(r"""(?P<of>[A-Za-z_][A-Za-z0-9_.]*+)\[[ \t]*+(["'])(?P<key>[^"'\\\n]++)\2[ \t]*+\]""")
 BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>#&|]++""")
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 #: What joins parts of a text: a plus sign, a line that goes on, and within brackets nothing but space.
@@ -69,11 +79,28 @@ NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 OPERATOR_LINE = re.compile(r"[^\n]*[=:][^\n]*")
 CLOSING = {"(": ")", "[": "]", "{": "}"}
 
+# Forms that name their literal elsewhere than before an operator.
+_SHORT = r"""[^\s"'`,;(){}\[\]<>#&|]++"""
+_GIVEN = rf"(?:(?P<quoted>{_QUOTED})|(?P<bare>{_SHORT}))"
+_IS = r"[\"']?[ \t]*+[:=][ \t]*+"
+_LABEL, _HELD = r"(?<![A-Za-z0-9_])[\"']?(?i:name|key|id|variable|property)", r"(?<![A-Za-z0-9_])[\"']?(?i:value|val|default)"
+RECORD = re.compile(rf"(?s){_LABEL}{_IS}[\"']?(?P<name>{_NAME})[\"']?[ \t]*+,?\s*+{_HELD}{_IS}{_GIVEN}")
+REVERSED = re.compile(rf"(?s){_HELD}{_IS}{_GIVEN}[ \t]*+,?\s*+{_LABEL}{_IS}[\"']?(?P<name>{_NAME})")
+ELEMENT = re.compile(rf"<(?P<tag>{_NAME})(?P<more>\s[^<>]*+)?>\s*+(?P<body>[^<>]++)</(?P=tag)>")
+ATTRIBUTE = re.compile(rf"(?i:name|key|id)=[\"'](?P<name>{_NAME})[\"']")
+PAIRED = re.compile(rf"(?s)(?<![A-Za-z0-9_])(?:define|set|setdefault|put|add|setenv|setProperty|set_property|setHeader|addHeader|header)\(\s*+[\"'](?P<name>{_NAME})[\"']\s*+,\s*+(?P<quoted>{_QUOTED})")
+SETTER = re.compile(rf"(?s)(?<![A-Za-z0-9_])(?:set|put|with|add|use)(?P<name>[A-Z_][A-Za-z0-9_]*+)\(\s*+(?P<quoted>{_QUOTED})\s*+\)")
+DEFAULT = re.compile(r"""(?:(?P<outer>[A-Za-z_][A-Za-z0-9_]*+)[ \t]*+[:=][ \t]*+["']?)?\$\{(?P<name>[A-Za-z_][A-Za-z0-9_]*+):?[-=](?P<bare>[^{}\s"']++)\}""")
+BEARER = re.compile(rf"(?i)(?<![a-z0-9_-])authorization{_IS}[\"']?(?P<name>bearer|basic|token)[ \t]++(?P<bare>[a-z0-9+/_.=~-]++)")
+PRIVATE = re.compile(r"-----BEGIN [A-Z0-9 ]*?PRIVATE KEY-----\s*+(?P<body>[^-]++)-----END")
+
 #: Words of names and what they say about the value, from 0 to 1.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 0.9, "token": 0.8, "apikey": 1.0,
-    "credential": 0.9, "credentials": 0.9, "private": 0.5, "access": 0.3, "auth": 0.5, "bearer": 0.7, "key": 0.4, "api": 0.4, "signing": 0.5, "encryption": 0.5,
+    "credential": 0.9, "credentials": 0.9, "private": 0.5, "access": 0.3, "auth": 0.5, "bearer": 0.7, "basic": 0.5, "key": 0.4, "api": 0.4, "signing": 0.5, "encryption": 0.5,
 }
+#: Last words of names whose values tell about a secret instead of being one.
+ABOUT = frozenset("hint prompt label path file filename dir directory url uri endpoint type length size count policy expiry expires field title description help".split())
 #: Literals that stand for a secret instead of being one.
 PLACEHOLDER = re.compile(r"(?i)\A(?:x+|\*+|\.+|changeme|example|your[_-].*|none|null|true|false|todo|<.*|\$\{?.*|%.*%)\Z")
 THRESHOLD = 1.2
@@ -81,8 +108,9 @@ THRESHOLD = 1.2
 
 @lru_cache(20_000)
 def name_score(name: str) -> float:
-    """How sensitive a name is: the sum of its words' weights, at most 1."""
-    return min(1.0, sum(SENSITIVE.get(w.lower(), 0.0) for w in NAME_WORD.findall(name)))
+    """How sensitive a name is: the sum of its words' weights, at most 1; 0 if its last word says that it only tells about a secret, and for ``private`` alone."""
+    words = [w.lower() for w in NAME_WORD.findall(name)]
+    return 0.0 if words == ["private"] or words and words[-1] in ABOUT else min(1.0, sum(SENSITIVE.get(w, 0.0) for w in words))
 
 
 def literal_score(value: str, phrase: bool = False) -> float:
@@ -131,7 +159,7 @@ class Lexer:
 
     def __init__(self, text: str, at: int):
         self.text, self.at = text, at
-        self.stack: list[tuple[str | int, float]] = []  # closing bracket or indentation, how sensitive the names around are
+        self.stack: list[tuple[str | int, float, str | None]] = []  # closing bracket or indentation, how sensitive the names around are, whose mapping it is
         self.found: list[Found] = []
 
     def around(self) -> float:
@@ -147,10 +175,12 @@ class Lexer:
                     return self.at
             elif kind == "head":
                 self.value(m["name"], m["op"])
+            elif kind == "declared":
+                self.value(m["declared_name"], "=")
             elif kind == "string":
                 self.string(m)
             elif kind == "open":
-                self.stack.append((CLOSING[m[0]], self.around()))
+                self.stack.append((CLOSING[m[0]], self.around(), None))
             elif self.stack and self.stack[-1][0] == m[0]:
                 self.stack.pop()
         return len(self.text)
@@ -205,7 +235,13 @@ class Lexer:
             self.found += [Found(name, self.around(), (b.span(),), b[0], False) for b in others]
 
     def value(self, name: str, op: str) -> None:
-        """What a name is given, from here on."""
+        """What a name is given, from here on; within a named mapping it is given to the mapping's member too."""
+        of, first = self.stack[-1][2] if self.stack else None, len(self.found)
+        self.given(name, op)
+        if of is not None:
+            self.found += [f._replace(name=f'{of}["{name}"]') for f in self.found[first:] if f.name == name]
+
+    def given(self, name: str, op: str) -> None:
         text = self.text
         self.at = SPACES.match(text, self.at).end()
         if op == ":" and (kind := TYPE.match(text, self.at)):
@@ -220,14 +256,17 @@ class Lexer:
         inner = max(self.around(), *(name_score(x) for x, _ in names)) if len(names) > 1 else max(self.around(), name_score(name))
         if self.at == len(text) or text[self.at] == "\n" or (op == ":" and BLOCK.match(text, self.at)):
             self.below([x for x, _ in names], inner)
+        elif call := CALL.match(text, self.at) or LISTED.match(text, self.at):
+            self.stack.append((CLOSING[text[call.end()]], inner, None))
+            self.at = call.end() + 1
         elif text[self.at] in CLOSING:
-            self.stack.append((CLOSING[text[self.at]], inner))
+            self.stack.append((CLOSING[text[self.at]], inner, name if text[self.at] == "{" else None))
             self.at += 1
-        elif call := CALL.match(text, self.at):
-            self.stack.append((")", inner))
-            self.at = call.end() + 1
+        elif member := MEMBER.match(text, self.at):
+            self.found += [Found(x, self.around(), (), f'{member["of"]}["{member["key"]}"]', False) for x, _ in names]
+            self.at = member.end()
         elif indexed := INDEXED.match(text, self.at):
-            self.stack.append(("]", 0.0))  # what stands in the brackets is a key
+            self.stack.append(("]", 0.0, None))  # what stands in the brackets is a key
             self.at = indexed.end() + 1
         else:
             covered, found = 0, []
@@ -267,7 +306,7 @@ class Lexer:
         elif (m := STRING.match(text, start)) and not KEYED.match(text, m.end()):
             self.literal(m, list(names))
         else:
-            self.stack.append((own, inner))
+            self.stack.append((own, inner, None))
 
 
 def assignments(text: str) -> Iterator[Found]:
@@ -280,13 +319,48 @@ def assignments(text: str) -> Iterator[Found]:
             yield from lexer.found
 
 
+def forms(text: str) -> Iterator[Found]:
+    """What is given to names in forms without an operator between them, and private keys (of a name of their own)."""
+
+    def literal(name: str, m: re.Match) -> Found:
+        if m["bare"] if "bare" in m.re.groupindex else None:
+            return Found(name, 0.0, (m.span("bare"),), m["bare"], False)
+        s, e = m.span("quoted")
+        width = 3 if e - s >= 6 and text[s : s + 3] in ('"""', "'''") else 1
+        return Found(name, 0.0, ((s + width, e - width),), text[s + width : e - width], True)
+
+    low = text.lower()
+    if "val" in low or "default" in low:
+        for pattern in (RECORD, REVERSED):
+            yield from (literal(m["name"], m) for m in pattern.finditer(text))
+    if "</" in text:
+        for m in ELEMENT.finditer(text):
+            body = m["body"].rstrip()
+            attribute = ATTRIBUTE.search(m["more"] or "")
+            for name in (m["tag"], attribute and attribute["name"]):
+                if name:
+                    yield Found(name, 0.0, ((m.start("body"), m.start("body") + len(body)),), body, True)
+    if "(" in text:
+        for pattern in (PAIRED, SETTER):
+            yield from (literal(m["name"], m) for m in pattern.finditer(text))
+    if "${" in text:
+        for m in DEFAULT.finditer(text):
+            yield from (literal(m[x], m) for x in ("outer", "name") if m[x])
+    if "authorization" in low:
+        yield from (literal(f"{m['name']}_auth", m) for m in BEARER.finditer(text))
+    if "PRIVATE KEY-----" in text:
+        for m in PRIVATE.finditer(text):
+            body = m["body"].rstrip()
+            yield Found("private_key", 0.0, ((m.start("body"), m.start("body") + len(body)),), "".join(body.split()), True)
+
+
 def named_spans(text: str) -> list[tuple[int, int, str]]:
     """Literals whose names, their own, those around them or those that they are handed on to, make them secrets.
 
     Names hand on in whatever order a text has its lines: a name is as sensitive as any that is given its value."""
-    if "=" not in text and ":" not in text:
+    found = [*(assignments(text) if "=" in text or ":" in text else ()), *forms(text)]
+    if not found:
         return []
-    found = list(assignments(text))
     known = {f.name for f in found if f.name is not None}
     given: dict[str, list[str]] = {}  # what names are given other names
     score: dict[str, float] = {}
@@ -294,7 +368,7 @@ def named_spans(text: str) -> list[tuple[int, int, str]]:
     for f in found:
         if f.name is not None:
             score[f.name] = max(score.get(f.name) or name_score(f.name), f.around)
-        if not f.quoted and f.value in known and NAME.match(f.value):
+        if not f.quoted and f.value in known and (not f.spans or NAME.match(f.value)):
             if f.name is not None:
                 given.setdefault(f.name, []).append(f.value)
             else:
