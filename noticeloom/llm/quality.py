@@ -1,10 +1,12 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
 Each rule is a Boolean column that holds for acceptable texts. On a bounded random sample the operator
-takes every rule's rejection rate and its cost, orders the rules by rejection per cost and chains them
-in one CASE: a row is tested by the next rule only if it passed the ones before. A rule's cost is the
-characters that it reads, on average over the sample: unlike the seconds of a job on a thousand rows,
-which are nearly all overhead, they are the same in every run. The order changes the work, never the verdict.
+takes every rule's verdicts and its work, orders the rules by rejection per cost and chains them
+in one CASE: a row is tested by the next rule only if it passed the ones before. So the order is greedy over
+what is left: the first rule rejects most for its cost, each next one most of the rows that passed the ones before.
+A rule's cost is its work on those rows, counted in characters read once by a pattern: the characters that it
+reads and the runs that its pattern finds, each of which is copied (see ``scan_work``). Unlike the seconds of a job on a thousand rows,
+which are nearly all overhead, such counts are the same in every run. The order changes the work, never the verdict.
 
 Defined results: a null or empty text has no words, all its counts are 0 and it fails the base
 rule. Rows are judged one by one, so repeated rows and ids do not matter; an empty table gives an
@@ -27,11 +29,26 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
 class Rule(NamedTuple):
-    """A rule, and the characters that it reads of a row: its whole text unless stated."""
+    """A rule, and its work on a row in characters that are read once: its whole text unless stated."""
 
     name: str
     accepts: Column
-    reads: Column | None = None
+    work: Column | None = None
+
+
+#: Work for a run that a pattern finds and for a character that is only split at, in characters that a pattern reads. Measured on
+#: 10 million characters of one core: 0.36 s with 25 thousand runs, 0.66 s with 1.6 million, 0.14 s for a split.
+RUN_WORK, SPLIT_WORK = 5, 0.4
+
+
+def scan_work(text: Column, pattern: str) -> Column:
+    """Work of replacing or counting what a pattern of one class finds in a text."""
+    return F.char_length(text) + RUN_WORK * F.regexp_count(text, F.lit(pattern))
+
+
+def split_work(text: Column) -> Column:
+    """Work of splitting a text into lines."""
+    return SPLIT_WORK * F.char_length(text) + RUN_WORK * F.regexp_count(text, F.lit("\n"))
 
 
 def words_of(text: Column) -> Column:
@@ -94,22 +111,39 @@ def standard_rules(text: str = "text") -> list[Rule]:
     t, n = F.coalesce(F.col(text), F.lit("")), F.col("n_words")
     lines = F.size(F.split(t, "\n", -1))
     none = F.lit(0)  # measures are there already
+    left = lambda pattern: F.char_length(F.regexp_replace(t, pattern, ""))
+    other, lower, calm = r"[^\p{L}]+", r"[^\p{Lu}]+", r"[^!?]+"
     return [
         Rule("symbols", 2 * F.col("n_symbols") <= n, none),
         Rule("word_length", F.col("word_chars").between(2 * n, 20 * n), none),
-        Rule("duplicate_lines", 10 * F.col("n_dup_lines") <= 3 * lines),
-        Rule("letters", 10 * F.char_length(F.regexp_replace(t, r"[^\p{L}]+", "")) >= 6 * F.col("word_chars")),
-        Rule("shouting", 10 * F.char_length(F.regexp_replace(t, r"[^\p{Lu}]+", "")) <= 5 * F.col("word_chars")),
-        Rule("exclamation", 5 * F.char_length(F.regexp_replace(t, r"[^!?]+", "")) <= n),
+        Rule("duplicate_lines", 10 * F.col("n_dup_lines") <= 3 * lines, split_work(t)),
+        Rule("letters", 10 * left(other) >= 6 * F.col("word_chars"), scan_work(t, other)),
+        Rule("shouting", 10 * left(lower) <= 5 * F.col("word_chars"), scan_work(t, lower)),
+        Rule("exclamation", 5 * left(calm) <= n, scan_work(t, calm)),
     ]
 
 
-def rule_costs(sample: DataFrame, rules: list[Rule], text: str = "text") -> list[tuple[Rule, float, float]]:
-    """(rule, rejected share, characters read of a row, at least 1) of each rule on a sample, in one pass."""
-    mean = lambda c: F.coalesce(F.avg(c.cast("double")), F.lit(0.0))
-    reads = lambda r: F.coalesce(F.char_length(text), F.lit(0)) if r.reads is None else r.reads
-    found = sample.agg(*(c for i, r in enumerate(rules) for c in (mean(~r.accepts).alias(f"n{i}"), mean(reads(r)).alias(f"c{i}")))).first()
-    return [(r, found[f"n{i}"], max(1.0, found[f"c{i}"])) for i, r in enumerate(rules)]
+class Group(NamedTuple):
+    """Rows of a sample with the same verdicts: what rejects each of them, how many they are, and each rule's work on them."""
+
+    rejected: list[bool]
+    n: int
+    work: list[float]
+
+
+def sample_groups(sample: DataFrame, rules: list[Rule], text: str = "text") -> list[Group]:
+    """The rows of a bounded sample by their verdicts, in one pass; at most as many groups as rows."""
+    work = [F.coalesce((F.char_length(text) if r.work is None else r.work).cast("double"), F.lit(0.0)) for r in rules]
+    verdicts = F.array(*(F.coalesce(~r.accepts, F.lit(False)) for r in rules))
+    found = sample.select(verdicts.alias("rejected"), F.array(*(F.greatest(w, F.lit(1.0)) for w in work)).alias("work"))
+    sums = found.groupBy("rejected").agg(F.count("*").alias("n"), F.array(*(F.sum(F.col("work")[i]) for i in range(len(rules)))).alias("work"))
+    return [Group(*r) for r in sums.orderBy("rejected").collect()]
+
+
+def rule_costs(groups: list[Group], rules: list[Rule]) -> list[tuple[Rule, float, float]]:
+    """(rule, rejected share, mean work of a row) of each rule over some groups."""
+    rows = max(1, sum(g.n for g in groups))
+    return [(r, sum(g.n for g in groups if g.rejected[i]) / rows, sum(g.work[i] for g in groups) / rows) for i, r in enumerate(rules)]
 
 
 def order_rules(costs: list[tuple[Rule, float, float]]) -> list[Rule]:
@@ -117,6 +151,20 @@ def order_rules(costs: list[tuple[Rule, float, float]]) -> list[Rule]:
     return [c[0] for c in sorted(costs, key=lambda c: -c[1] / max(c[2], 1e-12))]
 
 
+def greedy_order(groups: list[Group], rules: list[Rule]) -> list[Rule]:
+    """The rules, each the one that rejects most for its cost of the rows that passed those before it.
+
+    Ties, and rules that reject none of what is left, go by what they reject of all rows for their cost, then in the given order."""
+    place = {r.name: i for i, r in enumerate(rules)}
+    overall = order_rules(rule_costs(groups, rules))
+    out: list[Rule] = []
+    while len(out) < len(rules):
+        passed = [g for g in groups if not any(g.rejected[place[r.name]] for r in out)]
+        known = {c[0].name: c for c in rule_costs(passed, rules)}
+        out.append(order_rules([known[r.name] for r in overall if r not in out])[0])
+    return out
+
+
 def cascade(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     """rows with rejected_by: the first rule, in this order, that does not hold; null if all do."""
     out = F.lit(None).cast("string")
@@ -130,7 +178,7 @@ def planned_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows:
     rules = rules or standard_rules(text)
     share = min(1.0, sample_rows / max(1, docs.count()))
     sample = measured(docs.select(text).sample(share, seed=SEED).limit(2 * sample_rows), text).where(~base_failed())
-    return order_rules(rule_costs(sample, rules, text))
+    return greedy_order(sample_groups(sample, rules, text), rules)
 
 
 def quality_report(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
