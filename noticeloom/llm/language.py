@@ -243,7 +243,7 @@ def training_sample(labelled: DataFrame, lang_docs: int = LANG_DOCS, lang_chars:
     texts = named.select("doc_id", "lang", cut.alias("text")).alias("t").join(F.broadcast(chosen.alias("c")), F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.lang") == F.col("c.lang")))
     rows = texts.groupBy("t.doc_id", "t.lang").agg(F.min("t.text").alias("text")).collect()  # one of rows that share an id
     parts: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"] if r["doc_id"] is not None else -1, r["text"])):
+    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"] is not None, 0 if r["doc_id"] is None else r["doc_id"], r["text"])):
         parts.setdefault(r["lang"], []).append(folded(r["text"]))
     share = {x: max(1, lang_chars // len(p)) for x, p in parts.items()}
     out = {}

@@ -351,7 +351,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     key = hash((tuple(vocabulary.pieces), model))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     place = docs.columns.index("text")
-    kept = [i for i, c in enumerate(docs.columns) if c not in ("text", "ids", "n_tokens", "round_trip")]
+    kept = [i for i, c in enumerate(docs.columns) if c.lower() not in ("text", "ids", "n_tokens", "round_trip")]
     names = [docs.columns[i] for i in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,7 +377,7 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
     vocabulary = Vocabulary.load(model)
     key = hash((tuple(vocabulary.pieces), model))
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
-    kept = [i for i, c in enumerate(rows.columns) if c != "text"]
+    kept = [i for i, c in enumerate(rows.columns) if c.lower() != "text"]
     place = rows.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -381,6 +381,23 @@ def test_costs_are_the_same_in_every_run(spark):
         assert [r.name for r in quality.planned_rules(df, [dear, reads, cheap], sample_rows=40)] == ["cheap", "reads", "dear"]
 
 
+def test_rules_are_ordered_by_work_and_by_what_is_left(spark):
+    # two rules with equal rejections: the one whose pattern finds more runs costs more
+    runs, calm = (quality.Rule(n, ~F.col("text").contains("!!!"), quality.scan_work(F.col("text"), p)) for n, p in (("runs", "[^\\p{L}]+"), ("calm", "[^!?]+")))
+    rows = [(i, " ".join(f"word{j}" for j in range(60 + i)) + (" !!!" if i % 4 == 0 else " ???" if i % 4 == 1 else "")) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for _ in range(10):
+        assert [r.name for r in quality.planned_rules(df, [runs, calm], sample_rows=40)] == ["calm", "runs"]
+    # b rejects more than c, but of what passes a it rejects nothing
+    a, b, c = (quality.Rule(n, F.lit(True)) for n in "abc")
+    groups = [quality.Group([True, True, False], 40, [40.0] * 3), quality.Group([False, False, True], 5, [5.0] * 3), quality.Group([False] * 3, 55, [55.0] * 3)]
+    assert [r.name for r in quality.order_rules(quality.rule_costs(groups, [a, b, c]))] == ["a", "b", "c"] and [r.name for r in quality.greedy_order(groups, [a, b, c])] == ["a", "c", "b"]
+    # work counts on the rows that are left: c is dear only on rows that a rejects
+    groups = [quality.Group([True, False, False], 50, [50.0, 50.0, 9000.0]), quality.Group([False, True, True], 10, [10.0, 20.0, 10.0]), quality.Group([False] * 3, 40, [40.0, 80.0, 40.0])]
+    assert [r.name for r in quality.greedy_order(groups, [a, b, c])] == ["a", "c", "b"] and quality.greedy_order([], [b, a]) == [b, a]
+    assert [r.name for r in quality.planned_rules(df.limit(0), [runs, calm])] == ["runs", "calm"]
+
+
 def test_rules_after_a_rejection_are_not_evaluated(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     fails = quality.Rule("fails", F.raise_error(F.lit("evaluated")).isNull())
@@ -682,3 +699,12 @@ def test_pieces_of_long_and_odd_segments(monkeypatch):
             assert np.frombuffer(ids, np.int32).tolist() == model.encode(t) and e.decode(ids) == t.replace("▁", " ")
     pairs = np.unique([r.randrange(1, len(e.text) + 1) << 20 | r.randrange(len(e.text)) for _ in range(1500)] + e.pairs[:1500].tolist())
     assert e.stay_apart(pairs).tolist() == [e.stays(p >> 20, p & ((1 << 20) - 1)) for p in pairs.tolist()]
+
+
+def test_ids_that_are_text_or_missing_and_names_in_another_case(spark):
+    rows = [("a", "the house and the garden", "en"), (None, "das Haus und der Garten", "de"), (None, "the garden", "en"), ("b", "der Garten und das Haus", "de"), ("c", None, None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    assert set(language.training_sample(df)) == {"de", "en"}
+    found = pieces.encode(df.withColumn("IDS", F.lit("x")).withColumn("N_Tokens", F.lit("y")))
+    assert sorted(found.columns) == ["doc_id", "ids", "lang", "n_tokens", "round_trip"] and sorted(r.n_tokens > 0 for r in found.collect()) == [False, True, True, True, True]
+    assert sorted(str(r.text) for r in pieces.decode(found.withColumn("TEXT", F.lit("z"))).collect()) == sorted(str(t) for _, t, _ in rows)
