@@ -170,9 +170,14 @@ def suggestions(found: DataFrame, keys: tuple[str, ...], verbose: int = 1) -> Da
     return ranked.where("rank = 1") if verbose == 0 else ranked
 
 
-def push_to_base(found: DataFrame, boxes: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Suggestions for n-grams (base_id) as entities of their base boxes (box_id)."""
+def push_to_base(found: DataFrame, boxes: DataFrame, keys: tuple[str, ...] = ("doc_id",), parts: int | None = None) -> DataFrame:
+    """Suggestions for n-grams (base_id) as entities of their base boxes (box_id).
+
+    parts is the number of tasks that both tables are dealt to (see ``shared.tasks_of``); by default it is Spark's, whatever their size."""
     base = boxes.select(*keys, "box_id")
+    if parts:
+        found, base = found.repartition(parts, *keys, "base_id"), base.repartition(parts, *keys, "box_id")
+    base = base.distinct()
     return found.join(base, [*(found[k] == base[k] for k in keys), found["base_id"] == base["box_id"]]).select(*(base[k] for k in keys), "box_id", F.col("dict_key").alias("kind"), "subkey", F.col("term").alias("value")).distinct()
 
 

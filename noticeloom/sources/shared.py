@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Rows that a task sorts or hashes at once where a table of any size is dealt by its keys.
+ROWS = 500_000
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -19,3 +22,8 @@ def shared_folder(spark: SparkSession, label: str) -> str:
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="noticeloom-"))
         found = jsc.getCheckpointDir().get()
     return f"{found.rstrip('/')}/noticeloom/{label}-{uuid.uuid4().hex}"
+
+
+def tasks_of(df: DataFrame, rows: int = ROWS) -> int:
+    """Tasks to deal a table to so that each has about so many rows at most; one a core at least. Counts the table (of Parquet files, their footers)."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))

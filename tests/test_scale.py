@@ -1,8 +1,11 @@
 """Steps of queries whose tasks must not grow with the tables."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from noticeloom.operators import resolve
+from noticeloom.operators import fuzzy, resolve
+from noticeloom.sources.shared import tasks_of
 
 
 def plan_of(df):
@@ -17,3 +20,12 @@ def test_known_venues_keep_repeated_rows_and_divide_a_city(spark):
     assert found.select(F.spark_partition_id()).distinct().count() > 4
     above = plan_of(found).split("HashJoin")[0]
     assert "Exchange" not in above and "Aggregate" not in above
+
+
+def test_suggestions_of_bases_in_parts(spark):
+    found = spark.createDataFrame([(1, 1, "city", None, "a"), (1, 1, "city", None, "a"), (1, 2, "city", None, "b"), (2, 9, "city", None, "c")], "doc_id long, base_id int, dict_key string, subkey string, term string")
+    boxes = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (3, 1)], "doc_id long, box_id int")
+    got = fuzzy.push_to_base(found, boxes, parts=37)
+    assert sorted(r["value"] for r in got.collect()) == ["a", "b"]
+    assert set(re.findall(r"hashpartitioning\([^)]*, (\d+)\)", plan_of(got))) == {"37"}
+    assert tasks_of(spark.range(1001), 100) == 11 and tasks_of(spark.range(5), 100) == 4
