@@ -50,41 +50,114 @@ def convex_hull(points: np.ndarray) -> np.ndarray:
     return np.array(chain(points) + chain(points[::-1]))
 
 
-def _xy(points: pa.Array) -> np.ndarray:
-    return np.column_stack([points.field(c).to_numpy(zero_copy_only=False) for c in "xy"]).astype(float)
+def side_by_side(xy: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(corners, number of each group's corners): ``convex_hull`` of the points of groups 0, 1, ... at once, which need not be in order.
+
+    A point on or beyond the line between its neighbours in a chain is no corner, as both are points of the group. Such
+    points leave all chains at once, until none is left in any."""
+    order = np.lexsort((xy[:, 1], xy[:, 0], group))
+    xy, group = xy[order], group[order]
+    first = np.ones(len(xy), bool)
+    first[1:] = (group[1:] != group[:-1]) | (xy[1:] != xy[:-1]).any(axis=1)
+    xy, group = xy[first], group[first]
+
+    def chain(at: np.ndarray) -> np.ndarray:
+        """Places of a chain's corners without its last, by groups; at are all places, in the order of the chain."""
+        done = []
+        while len(at):
+            p, g = xy[at], group[at]
+            ends = np.ones(len(at), bool)
+            ends[1:-1] = (g[:-2] != g[1:-1]) | (g[2:] != g[1:-1])
+            gone = np.zeros(len(at), bool)
+            one, two = p[1:-1] - p[:-2], p[2:] - p[:-2]
+            gone[1:-1] = one[:, 0] * two[:, 1] - one[:, 1] * two[:, 0] <= 0
+            gone &= ~ends
+            busy = np.zeros(count, bool)
+            busy[g[gone]] = True
+            last = np.append(g[1:] != g[:-1], True)
+            done.append(at[~busy[g] & ~last])
+            at = at[busy[g] & ~gone]
+        return np.concatenate([*done, np.zeros(0, np.int64)])
+
+    count = int(group[-1]) + 1 if len(group) else 0
+    places = np.arange(len(xy))
+    alone = np.bincount(group, minlength=count)[group] == 1
+    lower, upper = np.sort(np.append(chain(places[~alone]), places[alone])), chain(places[~alone][::-1])
+    upper = np.sort(upper)[::-1]
+    every = np.append(lower, upper)
+    every = every[np.argsort(group[every], kind="stable")]
+    return xy[every], np.bincount(group[every], minlength=count)
+
+
+def _groups(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Numbers that differ in neighbouring rows where their keys do, and in others if they differ."""
+    code = np.zeros(batch.num_rows, np.int64)
+    for k in keys:
+        part = batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        code = np.unique(code * (part.max(initial=0) + 1) + part, return_inverse=True)[1]
+    return code
 
 
 def hulls(points: DataFrame, *keys: str) -> DataFrame:
     """(keys, hull): the convex hull of each group's points (x, y); rows that are no points are left out.
 
-    Hulls merge: where a batch of rows holds many points of a group, only their hull goes on, so a group is
-    gathered as some corners of each batch, however many points it has."""
-    good = points.select(*keys, F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).alias("p"))
-    good = good.where(F.col("p.x").isNotNull() & F.col("p.y").isNotNull() & ~F.isnan("p.x") & ~F.isnan("p.y") & (F.abs("p.x") < float("inf")) & (F.abs("p.y") < float("inf")))
+    Hulls merge: where a batch of rows holds many points of a group, only their hull goes on. Groups come one after the
+    other in sorted parts, and their hulls are found a batch at a time, side by side; of a group that goes on in the
+    next batch its hull so far is kept."""
     kinds = dict(points.dtypes)
+    even = lambda k: (F.col(k) + F.lit(0.0)).cast(kinds[k]) if kinds[k] in ("float", "double") else F.col(k)  # noqa: E731  (-0.0 is 0.0)
+    good = points.select(*(even(k).alias(k) for k in keys), F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"))
+    good = good.where(F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y") & (F.abs("_x") < float("inf")) & (F.abs("_y") < float("inf")))
+    # keys that are made of parts are compared as text
+    whole = [k for k in keys if kinds[k].startswith(("struct", "array", "map"))]
+    good = good.withColumns({f"_text{i}": F.to_json(F.struct(k), {"ignoreNullFields": "false"}) for i, k in enumerate(whole)}) if whole else good
+    compared = [f"_text{whole.index(k)}" if k in whole else k for k in keys]
     names = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    group = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    texts = "".join(f", _text{i} string" for i in range(len(whole)))
+    point = lambda batch: np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("_x", "_y")])
+
+    def fewer(batch: pa.RecordBatch, code: np.ndarray, most: int) -> pa.RecordBatch:
+        """The batch with the corners only, each once, of groups of more rows than that."""
+        sizes = np.bincount(code)
+        if not len(sizes) or sizes.max() <= most:
+            return batch
+        xy, keep = point(batch), sizes[code] <= most
+        for g in np.flatnonzero(sizes > most):
+            rows = np.flatnonzero(code == g)
+            places, at = np.unique(xy[rows], axis=0, return_index=True)
+            corners = {tuple(c) for c in convex_hull(places).tolist()}
+            keep[[rows[i] for i, p in zip(at, places.tolist(), strict=True) if tuple(p) in corners]] = True
+        return batch.filter(pa.array(keep))
 
     def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            code = batch.column("_group").dictionary_encode().indices.to_numpy()
-            order = np.argsort(code, kind="stable")
-            xy, keep = _xy(batch.column("p")), []
-            for rows in np.split(order, np.flatnonzero(np.diff(code[order])) + 1) if len(order) else []:
-                if len(rows) > FEW:
-                    corners = {tuple(c) for c in convex_hull(xy[rows]).tolist()}
-                    rows = [i for i in rows if tuple(xy[i].tolist()) in corners]
-                keep.extend(rows)
-            yield batch.take(pa.array(keep, pa.int64())).select([*keys, "p"])
+            yield fewer(batch, _groups(batch, compared), FEW)
+
+    def found(batch: pa.RecordBatch, code: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+        corners, counts = side_by_side(point(batch), np.cumsum(np.append(0, code[1:] != code[:-1])))
+        values = pa.StructArray.from_arrays([pa.array(corners[:, 0]), pa.array(corners[:, 1])], names=["x", "y"])
+        hull = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), values)
+        return pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(starts)) for k in keys), hull], names=[*keys, "hull"])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+        held = None
         for batch in batches:
-            found = [[{"x": x, "y": y} for x, y in convex_hull(_xy(p.values)).tolist()] for p in batch.column("ps")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(found, kind)], names=[*keys, "hull"])
-
-    parts = good.withColumn("_group", group).mapInArrow(thinned, f"{names}, p struct<x:double,y:double>")
-    return parts.groupBy(*keys).agg(F.collect_set("p").alias("ps")).mapInArrow(merged, f"{names}, hull {POINTS}")
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            code = _groups(batch, compared)
+            starts = np.append(0, np.flatnonzero(code[1:] != code[:-1]) + 1)
+            last = int(starts[-1])
+            if last:
+                yield found(batch.slice(0, last), code[:last], starts[:-1])
+            held = fewer(batch.slice(last), np.zeros(batch.num_rows - last, np.int64), FEW)
+        if held is not None:
+            yield found(held, np.zeros(held.num_rows, np.int64), np.zeros(1, np.int64))
+
+    # each key's text is next to it, so equal keys are neighbours
+    parts = good.mapInArrow(thinned, f"{names}, _x double, _y double{texts}").repartition(*compared).sortWithinPartitions(*compared)
+    return parts.mapInArrow(merged, f"{names}, hull {POINTS}")
 
 
 def area(corners: Column) -> Column:

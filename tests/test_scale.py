@@ -2,9 +2,10 @@
 
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from noticeloom.operators import fuzzy, resolve
+from noticeloom.operators import fuzzy, quads, resolve
 from noticeloom.sources.shared import tasks_of
 
 
@@ -29,3 +30,28 @@ def test_suggestions_of_bases_in_parts(spark):
     assert sorted(r["value"] for r in got.collect()) == ["a", "b"]
     assert set(re.findall(r"hashpartitioning\([^)]*, (\d+)\)", plan_of(got))) == {"37"}
     assert tasks_of(spark.range(1001), 100) == 11 and tasks_of(spark.range(5), 100) == 4
+
+
+def test_hulls_side_by_side_are_those_of_each_group():
+    rng = np.random.default_rng(1)
+    for t in range(60):
+        parts = [rng.integers(0, (3, 10, 1000)[t % 3], (rng.integers(1, 30), 2)).astype(float) for _ in range(20)]
+        parts[0] = np.column_stack([np.arange(40), -(np.arange(40.0) ** 2)])  # an arc, corners all
+        group, points = np.repeat(np.arange(20), [len(p) for p in parts]), np.concatenate(parts)
+        some = rng.permutation(len(group))
+        corners, counts = quads.side_by_side(points[some], group[some])
+        assert [c.tolist() for c in np.split(corners, np.cumsum(counts)[:-1])] == [quads.convex_hull(p).tolist() for p in parts]
+
+
+def test_hulls_over_batches_and_odd_keys(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        square = "posexplode(array(0, 4, 4, 0, 2, 2, 1, 4)) AS (i, x)"
+        rows = spark.range(12).selectExpr("CASE id WHEN 0 THEN NULL WHEN 1 THEN 0.0D WHEN 2 THEN -0.0D WHEN 3 THEN double('NaN') ELSE double(id div 2) END AS k", "named_struct('s', IF(id < 4, NULL, string(id div 2))) AS p", square).selectExpr("k", "p", "x", "element_at(array(0, 0, 4, 4, 2, 9 - 8, 1, 4), i + 1) AS y")
+        rows = rows.unionByName(rows.where("k = 3")).unionByName(rows.where("k = 3").limit(3)).crossJoin(spark.range(5).select())
+        got = quads.hulls(rows.repartition(3), "k", "p")
+        assert "Aggregate" not in plan_of(got)
+        found = got.select("k", "p.s", F.size("hull").alias("n"), quads.area(F.col("hull")).alias("area")).collect()
+        assert sorted((str(r["k"]), str(r["s"]), r["n"], r["area"]) for r in found) == sorted([(k, s, 4, 16.0) for k, s in (("None", "None"), ("0.0", "None"), ("nan", "None"), ("2.0", "2"), ("3.0", "3"), ("4.0", "4"), ("5.0", "5"))])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
