@@ -2,7 +2,7 @@
 
 A merge adds one segment to each bucket that it touches; readers take of every key the row of the
 latest segment. A bucket's first segment is its base; rows of the later ones are few, so they are
-broadcast, by the sizes that the manifest knows, against the base. A bucket of more than ``most``
+broadcast, by the sizes that the manifest knows, against the base; many are joined by sorting. A bucket of more than ``most``
 segments is merged into one by ``compact``, which every merge calls for. Segments are never changed: readers of
 an older version go on reading its own until ``vacuum`` drops what no kept version names.
 
@@ -20,8 +20,14 @@ from pyspark.sql import types as T
 
 from noticeloom.sources.store import Snapshots, upserts
 
-#: Bytes of later segments, as Parquet, up to which their keys are broadcast.
-BROADCAST = 16 << 20
+#: Bytes of segments, as Parquet, up to which their keys are broadcast. Columns of few values hardly count in files, so a
+#: megabyte may hold half a million keys, which take some tens of them in the driver.
+BROADCAST = 1 << 20
+
+
+def beside(keys: DataFrame, size: int) -> DataFrame:
+    """keys to join by, out of segments of so many bytes: few are broadcast. Many are sorted, as Spark's own guess from the size of files is too low for them to pass through the driver."""
+    return F.broadcast(keys) if size <= BROADCAST else keys.hint("merge")
 
 
 class Segments(Snapshots):
@@ -75,7 +81,7 @@ class Segments(Snapshots):
             return base
         last = load(later).groupBy(self.key).agg(F.max_by(F.struct(*schema.fieldNames()), "_number").alias("r")).select("r.*")
         keys = last.select(self.key)
-        return base.join(F.broadcast(keys) if size <= BROADCAST else keys, self.key, "left_anti").select(*schema.fieldNames()).unionByName(last)
+        return base.join(beside(keys, size), self.key, "left_anti").select(*schema.fieldNames()).unionByName(last)
 
     def read(self, version: int | None = None) -> DataFrame | None:
         found = self.manifest(version)
@@ -93,11 +99,22 @@ class Segments(Snapshots):
         known = {int(p) for p in self._pointers()}
         if any(n not in known for n in range(since + 1, upto + 1)):
             return self._rows(held).withColumn("version", F.lit(upto))
-        own = [s for n in range(since + 1, upto + 1) for s in self.manifest(n)["segments"] if s["number"] == n and not s["moved"]]
+        own = self._own(since, upto)
         paths = [f"{self.folder}/{s['path']}/_bucket={b}" for s in own for b in s["bytes"]]
         rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         return rows.withColumnRenamed("_number", "version")
 
+    def _own(self, since: int, upto: int) -> list[dict]:
+        """The segments that the versions after since and up to another put in."""
+        return [s for n in range(since + 1, upto + 1) for s in self.manifest(n)["segments"] if s["number"] == n and not s["moved"]]
+
+    def changed(self, since: int, upto: int) -> int:
+        """Bytes of what ``changes`` reads between two versions."""
+        known = {int(p) for p in self._pointers()}
+        if any(n not in known for n in range(since + 1, upto + 1)):
+            return self.size(upto)
+        return sum(sum(s["bytes"].values()) for s in self._own(since, upto))
+
     def write(self, df: DataFrame, after: int | None = None) -> int:
         """Put df in place of all that is held, as the version after the newest (or the given) one."""
         number = (self.version() if after is None else after) + 1
@@ -148,7 +165,9 @@ class Segments(Snapshots):
             if dict(changes.dtypes)[self.key] == "string":  # null ones are named by their content
                 return upserts(now, rows, self.key, order, fence)
             touched = {str(r[0]) for r in rows.select(self._bucket(held["buckets"])).distinct().collect()}  # at most the number of buckets
-            return upserts(self._rows(held, touched), rows, self.key, order, fence)
+            size = sum(n for s in held["segments"] for b, n in s["bytes"].items() if b in touched)
+            now = self._rows(held, touched)
+            return upserts(now.hint("merge") if size > BROADCAST else now, rows, self.key, order, fence)
 
         return self.change(new, self.key)[0]
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from noticeloom.sources.segments import Segments
+from noticeloom.sources.segments import Segments, beside
 from noticeloom.sources.store import Snapshots, last_revision
 
 
@@ -38,15 +38,15 @@ class Sync:
         row = self.left.spark.createDataFrame([(self.peer, left, right)], "peer string, left int, right int")
         self.checkpoint.merge(row, key="peer") if self.checkpoint.version() else self.checkpoint.write(row, 0)
 
-    def _taken(self, side: Segments, winners: DataFrame) -> int | None:
-        """Merge the revisions that a side does not hold; the version that did it, None if there were none."""
+    def _taken(self, side: Segments, winners: DataFrame, size: int) -> int | None:
+        """Merge the revisions that a side does not hold, out of changes of so many bytes; the version that did it, None if there were none."""
         have = side.read()
-        new = winners if have is None else winners.join(have.select(self.key, F.col("rev")), [self.key, "rev"], "left_anti")
+        new = winners if have is None else winners.join(have.select(self.key, F.col("rev")).hint("merge"), [self.key, "rev"], "left_anti")
         if new.isEmpty():
             return None
         if have is None:
             return side.write(new, 0)
-        return side.change(lambda now, _: last_revision(new.select(*now.columns).unionByName(now.join(new.select(self.key), self.key, "left_semi")), self.key), self.key)[0]
+        return side.change(lambda now, _: last_revision(new.select(*now.columns).unionByName(now.join(beside(new.select(self.key), size), self.key, "left_semi")), self.key), self.key)[0]
 
     def round(self) -> bool:
         """Take over both sides' changes since the last round; False if the gate is shut or nothing was new."""
@@ -55,18 +55,20 @@ class Sync:
         seen, now = self.seen(), (self.left.version(), self.right.version())
         if now == seen:
             return False
-        keys = None
+        keys, size = None, 0
         for side, since, upto in zip((self.left, self.right), seen, now, strict=True):
             changed = side.changes(since, upto) if upto > since else None
             if changed is not None:
+                size += side.changed(since, upto)
                 keys = changed.select(self.key) if keys is None else keys.unionByName(changed.select(self.key))
         keys = keys.distinct() if self.wanted is None else keys.distinct().join(self.wanted.select(self.key), self.key, "left_semi")
+        keys = beside(keys, size)
         held = [side.read(upto).join(keys, self.key, "left_semi") for side, upto in zip((self.left, self.right), now, strict=True) if upto]
         both = held[0] if len(held) == 1 else held[0].unionByName(held[1].select(*held[0].columns))
         winners = last_revision(both, self.key).persist()
         try:
             for side in (self.left, self.right):
-                self._taken(side, winners)
+                self._taken(side, winners, size)
         finally:
             winners.unpersist()
         # what this round wrote is seen again once, and found on both sides

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from noticeloom.operators import fuzzy, quads, resolve
+from noticeloom.sources import segments
+from noticeloom.sources.segments import Segments
 from noticeloom.sources.shared import tasks_of
 
 
@@ -55,3 +57,22 @@ def test_hulls_over_batches_and_odd_keys(spark):
         assert sorted((str(r["k"]), str(r["s"]), r["n"], r["area"]) for r in found) == sorted([(k, s, 4, 16.0) for k, s in (("None", "None"), ("0.0", "None"), ("nan", "None"), ("2.0", "2"), ("3.0", "3"), ("4.0", "4"), ("5.0", "5"))])
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_many_keys_of_a_store_are_not_broadcast(spark, tmp_path, monkeypatch):
+    rows = lambda n, value: spark.range(n).select(F.col("id").alias("doc_id"), F.lit("1-a").alias("rev"), F.lit(value).alias("value"), F.lit(False).alias("deleted"))
+    held = Segments(spark, f"file://{tmp_path}/s", buckets=2)
+    held.write(rows(800_000, "a"))
+    held.merge(rows(600_000, "b"))
+    assert held.changed(1, 2) < 16 << 20  # few bytes, many keys
+    assert "Broadcast" not in plan_of(held.read()) and held.read().where("value = 'b'").count() == 600_000
+    held.merge(rows(10, "c"))
+    assert held.changed(2, 3) < segments.BROADCAST < held.changed(1, 3)
+    few = Segments(spark, f"file://{tmp_path}/few", buckets=2)
+    few.write(rows(1000, "a"))
+    few.merge(rows(10, "b"))
+    assert "BroadcastHashJoin" in plan_of(few.read()) and few.read().count() == 1000
+    made = []
+    monkeypatch.setattr(segments, "upserts", lambda base, *_, **__: made.append(base) or base.limit(0))
+    held.put(rows(800_000, "d"))
+    assert "strategy=merge" in made[0]._jdf.queryExecution().logical().toString()
