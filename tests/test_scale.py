@@ -9,6 +9,7 @@ from noticeloom.operators import fuzzy, quads, resolve
 from noticeloom.sources import segments
 from noticeloom.sources.segments import Segments
 from noticeloom.sources.shared import tasks_of
+from noticeloom.streaming import state
 
 
 def plan_of(df):
@@ -76,3 +77,13 @@ def test_many_keys_of_a_store_are_not_broadcast(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(segments, "upserts", lambda base, *_, **__: made.append(base) or base.limit(0))
     held.put(rows(800_000, "d"))
     assert "strategy=merge" in made[0]._jdf.queryExecution().logical().toString()
+
+
+def test_only_the_latest_changes_of_a_batch_reach_the_state(spark):
+    rows = spark.range(0, 4000, 1, 1).selectExpr("IF(id % 50 = 0, 'odd', string(id % 7)) AS k", "id * 37 % 1000 AS seq", "id AS n", "id % 3 = 0 AS deleted")
+    got = state.latest_of_batches(rows, "k", "seq").collect()
+    best = {}
+    for r in rows.collect():
+        if r["k"] not in best or r["seq"] > best[r["k"]]["seq"]:
+            best[r["k"]] = r
+    assert sorted(map(tuple, got)) == sorted(map(tuple, best.values()))
