@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,13 +19,22 @@ PATTERNS = {
     "streetaddress": r"(?<![a-zA-ZäöüßÄÖÜ\- ])[a-zA-ZäöüßÄÖÜ\- ]{4,}+\d{1,4}(?!\d)",
     "url": r"(?:https?://)?[a-zA-Z][\da-zA-Z-]+\.*[. ][a-zA-Z.]{2,6}[/\w .-]*/?",
 }
+#: What every match of a kind holds, one of several strings or a short pattern: texts without it are not searched.
+NEEDS = {"city": "[0-9]{5} ", "date": "[0-9]", "datetime": "[0-9]", "streetaddress": "[0-9]", "email": ("@",), "price": ("€", "$", "EUR", ",-")}
 SHORT_KINDS = ("price", "dayofweek")
 
 
+def may_match(text: Column, kind: str) -> Column:
+    """Whether a text holds what every match of a kind does."""
+    need = NEEDS.get(kind, "")
+    return text.rlike(need) if isinstance(need, str) else functools.reduce(operator.or_, (text.contains(n) for n in need))
+
+
 def matches(text: Column, kind: str) -> Column:
     """All matches of a kind, in order; except for prices and days, those of more than three bytes."""
     pattern = PATTERNS[kind].replace(r"\b", "(?<![0-9A-Za-z_])")  # before digits; Java's own takes letters beyond ASCII as parts of words
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = F.when(~may_match(text, kind), F.array().cast("array<string>")).otherwise(found) if kind in NEEDS else found
     return found if kind in SHORT_KINDS else F.filter(found, lambda x: F.octet_length(x) > 3)
 
 

@@ -1,11 +1,12 @@
 """Steps of queries whose tasks must not grow with the tables."""
 
+import datetime
 import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from noticeloom.operators import fuzzy, quads, resolve
+from noticeloom.operators import entities, fuzzy, quads, resolve
 from noticeloom.sources import segments
 from noticeloom.sources.segments import Segments
 from noticeloom.sources.shared import tasks_of
@@ -87,3 +88,22 @@ def test_only_the_latest_changes_of_a_batch_reach_the_state(spark):
         if r["k"] not in best or r["seq"] > best[r["k"]]["seq"]:
             best[r["k"]] = r
     assert sorted(map(tuple, got)) == sorted(map(tuple, best.values()))
+
+
+def test_what_matches_need_loses_none(spark):
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    odd = ["", "a@b.de", "x.y@z1 com", "5€", "5 $", "7,-", "3 EUR", "12345 Abcde", "123456 Stadt", "am 5.6.", "20:15 Uhr", "Hauptstr 5", "no digits", "@", "€", None]
+    texts = texts.unionByName(spark.createDataFrame([(t,) for t in odd], "text string"))
+    for kind in entities.NEEDS:
+        found = F.regexp_extract_all("text", F.lit(entities.PATTERNS[kind].replace(r"\b", "(?<![0-9A-Za-z_])")), F.lit(0))
+        assert texts.where(~entities.may_match(F.col("text"), kind) & (F.size(found) > 0)).isEmpty()
+    assert "CASE WHEN" in texts.select(entities.matches(F.col("text"), "email"))._jdf.queryExecution().analyzed().toString()
+    assert texts.where("text IS NULL").select(entities.matches(F.col("text"), "email").alias("m")).first()["m"] is None
+
+
+def test_normal_forms_are_made_before_the_facts_are_gathered(spark):
+    found = spark.createDataFrame([(1, 0, 95.0, "date", None, "5.6.2018"), (1, 1, 10.0, "datetime", None, "20:00 Uhr"), (1, 2, 95.0, "datetime", None, "21:00 Uhr")], "doc_id long, ord int, confidence double, kind string, subkey string, value string")
+    got = resolve.gathered(found, found, datetime.date(2018, 6, 1))
+    assert got.select("dates", "clock").first() == (["2018-06-05"], ["21:00"])
+    aggregate = next(line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line)
+    assert "_form" in aggregate and "regexp" not in aggregate
