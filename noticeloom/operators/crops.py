@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from noticeloom.functions.images import png_bytes
 from noticeloom.sources import filesets
+from noticeloom.sources.shared import tasks_of
 
-#: Boxes that travel with one copy of their document's picture, and bytes of pictures that a task holds at once.
-BOXES, BATCH_BYTES = 1000, 16 << 20
+#: Boxes that travel with one copy of their document's picture, boxes of a task, and bytes of pictures that it holds at once.
+BOXES, ROWS, BATCH_BYTES = 1000, 10_000, 16 << 20
 
 
 def bounds(x: float, y: float, width: float, height: float, rows: int, cols: int) -> tuple[int, int, int, int] | None:
@@ -43,7 +44,8 @@ def crops(pictures: DataFrame, boxes: DataFrame, image: str = "image") -> DataFr
 
     Boxes reach as far as the picture does; those that touch no pixel, have a null or infinite measure, or belong to
     a document without a picture have no crop. A document's boxes go in groups, each with one copy of
-    the picture, so a picture of very many boxes is the work of many tasks. A document that stands twice among the
+    the picture, and the groups to tasks of about ten (boxes are counted first, as their bytes tell little of the
+    work), so a picture of very many boxes is the work of many tasks. A document that stands twice among the
     pictures gives its boxes' crops of both."""
     spark = boxes.sparkSession
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
@@ -54,8 +56,8 @@ def crops(pictures: DataFrame, boxes: DataFrame, image: str = "image") -> DataFr
     groups = boxes.where("ord IS NOT NULL").join(counts, "doc_id").groupBy("doc_id", group.alias("_group")).agg(F.collect_list(box).alias("_boxes"))
     held = pictures.where(F.col(image)["data"].isNotNull()).select("doc_id", F.col(image).alias("_image"))
     kind = dict(boxes.dtypes)["doc_id"]
-    joined = held.join(groups, "doc_id").select(F.col("doc_id").cast(kind).alias("doc_id"), "_image", "_boxes")
-    return joined.mapInArrow(_cut, f"doc_id {kind}, ord long, rows int, cols int, content binary")
+    joined = held.join(groups, "doc_id").repartition(tasks_of(boxes, ROWS), "doc_id", "_group")
+    return joined.select(F.col("doc_id").cast(kind).alias("doc_id"), "_image", "_boxes").mapInArrow(_cut, f"doc_id {kind}, ord long, rows int, cols int, content binary")
 
 
 def save_crops(found: DataFrame, folder: str, mode: str = "append") -> None:

@@ -1,5 +1,6 @@
 """Files of rows, crops of pictures, files found by pattern and depth, saves by revision."""
 
+import json
 import struct
 import zlib
 
@@ -45,6 +46,35 @@ def test_a_job_that_fails_leaves_no_files(spark, tmp_path):
         assert held(spark, str(tmp_path / "s")) == [] and not [p for p in (tmp_path / "s").rglob("*") if p.is_file()]
 
 
+def test_files_are_read_from_lists_that_tasks_share(spark, tmp_path):
+    folder = str(tmp_path / "many")
+    rows = spark.range(500).select(F.concat(F.lit("a b/"), "id", F.lit(".bin")).alias("name"), F.encode(F.col("id").cast("string"), "utf-8").alias("content"))
+    filesets.write_files(rows.repartition(3), folder)
+    filesets.write_files(rows.where("id < 20").coalesce(1), folder)
+    found = filesets.read_files(spark, folder)
+    assert len(found.inputFiles()) == 4 and found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert held(spark, folder) == sorted([(r["name"], bytes(r["content"])) for r in rows.collect()] + [(f"a b/{i}.bin", str(i).encode()) for i in range(20)])
+    assert found.agg(F.sum("bytes")).first()[0] == 10 + 2 * 90 + 3 * 400 + 10 + 2 * 10
+    for path in tmp_path.glob("many/*/files-*/a b/7.bin"):  # names and sizes need no contents
+        path.unlink()
+    assert found.select("name", "bytes").where("bytes = 1").count() == 20 and found.where("name LIKE '%/8.bin'").count() == 2
+    with pytest.raises(Exception, match="7.bin"):
+        found.where("name LIKE '%/7.bin'").collect()
+
+
+def test_large_files_and_sets_without_lists(spark, tmp_path):
+    folder = str(tmp_path / "large")
+    size = 6 << 20
+    filesets.write_files(spark.range(12).select(F.col("id").cast("string").alias("name"), F.rpad(F.col("id").cast("string"), size, "x").cast("binary").alias("content")).repartition(2), folder)
+    digest = lambda df: sorted(map(tuple, df.select("name", "bytes", F.sha2("content", 256)).collect()))
+    wanted = sorted(map(tuple, spark.range(12).select(F.col("id").cast("string"), F.lit(size).cast("long"), F.sha2(F.rpad(F.col("id").cast("string"), size, "x").cast("binary"), 256)).collect()))
+    assert digest(filesets.read_files(spark, folder)) == wanted
+    manifest = tmp_path / "large/_sets/00000001"
+    manifest.write_text(json.dumps([{k: v for k, v in p.items() if k != "names"} for p in json.loads(manifest.read_text())]))
+    filesets.write_files(spark.createDataFrame([("new", b"n")], "name string, content binary"), folder)
+    assert digest(filesets.read_files(spark, folder).where("name <> 'new'")) == wanted and filesets.read_files(spark, folder).count() == 13
+
+
 def decoded(data):
     """Pixels of a PNG file without filters, read chunk by chunk."""
     at, lines = 8, b""
@@ -80,6 +110,14 @@ def test_crops_are_the_pixels_that_boxes_touch(spark, tmp_path):
     assert [n for n, _ in held(spark, f"{tmp_path}/c")] == ["line-1-0.png", "line-1-1.png", "line-1-2.png", "line-2-0.png"]
 
 
+def test_boxes_of_one_picture_are_the_work_of_many_tasks(spark, tmp_path):
+    picture = spark.createDataFrame([(1, (2, 2, 1, b"abcd"))], "doc_id long, image struct<rows:int,cols:int,elem_size:int,data:binary>")
+    boxes = spark.range(60_000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").alias("ord"), *(F.lit(v).alias(c) for c, v in (("x", 0.0), ("y", 0.0), ("width", 1.0), ("height", 1.0))))
+    found = crops.crops(picture, boxes)
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 60_000 and len(sizes) > 4 and max(sizes) < 30_000
+
+
 def test_pictures_are_attached_as_png(spark):
     df = spark.createDataFrame([((1, 2, 4, bytes(range(8))),), ((None, None, None, None),)], "i struct<rows:int,cols:int,elem_size:int,data:binary>")
     first, second = [r.p for r in df.select(images.png("i").alias("p")).collect()]
