@@ -5,7 +5,8 @@ of a version (option ``version``, default the newest) in one partition for each
 bucket's later segments; base files leave out keys that are in later ones of their bucket. A stream
 read gives the rows that versions put in, in their order, from option ``since`` on (a version, or ``now``).
 Writers make one segment of each bucket and task and commit one version when all tasks are done; tasks' files of
-a job that fails are deleted. A stream's writer notes its batch in the version (option ``stream``): a
+a job that fails are deleted, also those of tasks that go on for a while after it: an empty folder ``_aborted/...``, which stays,
+tells them. (What a process leaves that is killed at that moment stays, unnamed; so do files of a stream's tasks that fail.) A stream's writer notes its batch in the version (option ``stream``): a
 batch that runs again is not written twice.
 
 Files are reached by pyarrow (local folders, HDFS, S3, GCS). Keys are whole numbers or text, hashed as Spark
@@ -63,6 +64,36 @@ class Folder:
         with self.fs.open_output_stream(path) as f:
             f.write(text.encode())
 
+    def delete(self, name: str) -> None:
+        """Delete a folder, if it is there; others may write to it or delete it meanwhile."""
+        for left in reversed(range(5)):
+            try:
+                if self.fs.get_file_info(f"{self.root}/{name}").type == pafs.FileType.Directory:
+                    self.fs.delete_dir(f"{self.root}/{name}")
+                return
+            except OSError:
+                if not left:
+                    raise
+
+    def abort(self, name: str) -> None:
+        """Delete the folder of a job that failed. Tasks that Spark has killed may write for a while yet, so the mark
+        comes first: files made before it are deleted here, later ones by their tasks."""
+        self.fs.create_dir(f"{self.root}/_aborted/{name}", recursive=True)
+        self.delete(name)
+
+    def aborted(self, name: str) -> bool:
+        return self.fs.get_file_info(f"{self.root}/_aborted/{name}").type != pafs.FileType.NotFound
+
+    def going_on(self, name: str) -> None:
+        """An error if the job of a folder was aborted."""
+        if self.aborted(name):
+            raise RuntimeError(f"the job that writes {name} was aborted")
+
+    def swept(self, name: str) -> None:
+        """Delete the folder if its job was aborted: called by each task when it ends, however it does."""
+        if self.aborted(name):
+            self.delete(name)
+
     def versions(self) -> list[int]:
         return [int(n) for n in self.names("_current") if n.isdigit()]
 
@@ -193,6 +224,7 @@ class Writer(DataSourceWriter):
         attempt = uuid.uuid4().hex
 
         def flush(bucket: str) -> None:
+            folder.going_on(self.segment)
             rows = waiting.pop(bucket)
             table = pa.table([pa.array([r[c] for r in rows], f.type) for c, f in zip(self.schema.fieldNames(), arrow, strict=True)], schema=arrow)
             table = table.append_column("_number", pa.array([self.base + 1] * len(rows), pa.int32()))
@@ -203,13 +235,16 @@ class Writer(DataSourceWriter):
                 pq.write_table(table, f)
             sizes[bucket] = sizes.get(bucket, 0) + folder.fs.get_file_info(part).size
 
-        for row in iterator:
-            b = str(bucket_of(row[self.key], kind, self.buckets))
-            waiting.setdefault(b, []).append(row)
-            if len(waiting[b]) >= 50_000:
+        try:
+            for row in iterator:
+                b = str(bucket_of(row[self.key], kind, self.buckets))
+                waiting.setdefault(b, []).append(row)
+                if len(waiting[b]) >= 50_000:
+                    flush(b)
+            for b in list(waiting):
                 flush(b)
-        for b in list(waiting):
-            flush(b)
+        finally:
+            folder.swept(self.segment)
         return Written(self.segment, sizes)
 
     def _commit(self, messages: list[Written | None], batch: int | None = None) -> None:
@@ -238,14 +273,13 @@ class Writer(DataSourceWriter):
     def _abort(self, messages: list[Written | None]) -> None:
         folder = Folder(self.path)
         for segment in {self.segment, *(m.segment for m in messages if m)}:
-            if folder.fs.get_file_info(f"{folder.root}/{segment}").type == pafs.FileType.Directory:
-                folder.fs.delete_dir(f"{folder.root}/{segment}")
+            folder.delete(segment)
 
     def commit(self, messages: list[Written | None]) -> None:
         self._commit(messages)
 
     def abort(self, messages: list[Written | None]) -> None:
-        self._abort(messages)
+        Folder(self.path).abort(self.segment)
 
 
 class StreamWriter(Writer, DataSourceStreamWriter):

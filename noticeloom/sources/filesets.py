@@ -2,7 +2,7 @@
 
 Each attempt of a task writes into a folder of its own. When all tasks are done, the folders of the attempts that
 counted are named in one manifest, which is made whole or not at all; files of other attempts are never read, and
-those of a job that fails are deleted. ``append`` keeps the files of earlier sets, ``overwrite`` no longer names them.
+those of a job that fails are deleted, also by tasks that outlive it (see ``datasource``). ``append`` keeps the files of earlier sets, ``overwrite`` no longer names them.
 Each attempt lists its files in a Parquet file, so readers list no folders and tasks of any number share the files.
 
 Names are paths below the folder, of parts that begin with neither a dot nor an underscore (Spark would not read them).
@@ -21,7 +21,6 @@ from dataclasses import dataclass
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,24 +51,28 @@ class Writer(DataSourceWriter):
     def write(self, iterator) -> Written:
         folder, number, made, folders = Folder(self.path), uuid.uuid4().hex, {}, set()
         own, names = f"{self.job}/files-{number}", f"{self.job}/names-{number}.parquet"
-        for row in iterator:
-            name, content = row["name"], row["content"]
-            if name is None or not content:
-                continue
-            if not all(PART.fullmatch(p) for p in name.split("/")):
-                raise ValueError(f"no name for a file: {name}")
-            if name in made:
-                raise ValueError(f"two rows are named {name}")
-            made[name] = len(content)
-            full = f"{folder.root}/{own}/{name}"
-            if (above := full.rsplit("/", 1)[0]) not in folders:
-                folder.fs.create_dir(above, recursive=True)
-                folders.add(above)
-            with folder.fs.open_output_stream(full) as f:
-                f.write(bytes(content))
-        if made:
-            with folder.fs.open_output_stream(f"{folder.root}/{names}") as f:
-                pq.write_table(pa.table({"folder": [own] * len(made), "name": list(made), "bytes": pa.array(made.values(), pa.int64())}), f)
+        try:
+            for row in iterator:
+                name, content = row["name"], row["content"]
+                if name is None or not content:
+                    continue
+                if not all(PART.fullmatch(p) for p in name.split("/")):
+                    raise ValueError(f"no name for a file: {name}")
+                if name in made:
+                    raise ValueError(f"two rows are named {name}")
+                made[name] = len(content)
+                full = f"{folder.root}/{own}/{name}"
+                if (above := full.rsplit("/", 1)[0]) not in folders:
+                    folder.going_on(self.job)
+                    folder.fs.create_dir(above, recursive=True)
+                    folders.add(above)
+                with folder.fs.open_output_stream(full) as f:
+                    f.write(bytes(content))
+            if made:
+                with folder.fs.open_output_stream(f"{folder.root}/{names}") as f:
+                    pq.write_table(pa.table({"folder": [own] * len(made), "name": list(made), "bytes": pa.array(made.values(), pa.int64())}), f)
+        finally:
+            folder.swept(self.job)
         return Written(own, len(made), sum(made.values()), names)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -80,9 +83,7 @@ class Writer(DataSourceWriter):
         folder.put_text(f"_sets/{number + 1:08d}", json.dumps(held + new))
 
     def abort(self, messages: list[Written | None]) -> None:
-        folder = Folder(self.path)
-        if folder.fs.get_file_info(f"{folder.root}/{self.job}").type == pafs.FileType.Directory:
-            folder.fs.delete_dir(f"{folder.root}/{self.job}")
+        Folder(self.path).abort(self.job)
 
 
 class FileSetSource(DataSource):

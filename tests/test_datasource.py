@@ -1,12 +1,15 @@
 """The store's own data source: batch and stream, reading and writing."""
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from noticeloom.sources import datasource
+from noticeloom.sources import datasource, filesets
 from noticeloom.sources.segments import Segments
 
 ROWS = "doc_id long, rev string, value string"
+KEYED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("value", T.StringType())])
 
 
 @pytest.fixture
@@ -72,6 +75,48 @@ def test_a_job_that_fails_leaves_nothing(spark, tmp_path):
     assert not Segments(spark, folder).version() and not list((tmp_path / "w").glob("s0*"))
 
 
+def test_a_task_that_outlives_its_job_leaves_nothing(tmp_path):
+    writer = datasource.Writer(str(tmp_path / "w"), KEYED, {"buckets": 4}, False)
+    late = datasource.Writer(str(tmp_path / "w"), writer.schema, {"buckets": 4}, False)
+    late.segment = writer.segment
+
+    def killed(rows, abort_at):
+        for i in range(rows):
+            if i == abort_at:  # the driver's copy of the writer, while the task reads rows
+                writer.abort([None])
+            yield Row(doc_id=i, value="x")
+
+    for at in (0, 3, 9):
+        with pytest.raises(RuntimeError, match="aborted"):
+            late.write(killed(10, at))
+        assert not list(tmp_path.glob("w/s0*"))
+    with pytest.raises(RuntimeError, match="aborted"):
+        late.write(killed(10, -1))  # a task that starts after all
+    assert not list(tmp_path.glob("w/s0*"))
+
+
+@pytest.mark.parametrize("which", [filesets.Writer, datasource.Writer])
+def test_files_made_while_a_job_is_aborted_go_with_their_task(tmp_path, monkeypatch, which):
+    folder = tmp_path / "w"
+    if which is filesets.Writer:
+        writer, rows = which(str(folder), False), [Row(name=f"{i}.bin", content=b"x") for i in range(6)]
+    else:
+        writer, rows = which(str(folder), KEYED, {}, False), [Row(doc_id=i, value="x") for i in range(6)]
+    seen = datasource.Folder.going_on
+
+    def meanwhile(self, name):
+        seen(self, name)
+        writer.abort([None])  # after the task has looked, before it makes its file
+
+    monkeypatch.setattr(datasource.Folder, "going_on", meanwhile)
+    try:
+        writer.write(iter(rows))
+    except RuntimeError:
+        pass
+    assert not [p for p in folder.rglob("*") if p.is_file()]
+    assert [p.name for p in folder.iterdir()] == ["_aborted"]
+
+
 def test_a_stream_writes_each_batch_once(spark, tmp_path):
     datasource.register(spark)
     folder = f"file://{tmp_path}/w"
