@@ -27,6 +27,30 @@ def test_known_venues_keep_repeated_rows_and_divide_a_city(spark):
     assert "Exchange" not in above and "Aggregate" not in above
 
 
+def test_known_venues_in_cells_lose_and_repeat_no_pair(spark, monkeypatch):
+    for name, n in {"KEYS": 40, "VENUES": 7, "PAIRS": 100, "LONG": 5, "SHORT": 3, "FEW": 2}.items():
+        monkeypatch.setattr(resolve, name, n)
+    cities = spark.range(900).selectExpr("IF(id % 50 = 0, NULL, id div 2) AS doc_id", "element_at(array('A', 'B', 'C', NULL), cast(id % 4 + 1 AS int)) AS city")
+    known = spark.range(80).selectExpr("element_at(array('A', 'B', 'D', NULL), cast(id % 4 + 1 AS int)) AS subkey", "IF(id < 4, NULL, string(id div 12)) AS value")
+    pairs = cities.join(known, F.col("city") == F.col("subkey")).select("doc_id", "city", F.col("value").alias("venue"))
+    found = resolve.known_venues(cities, known)
+    assert found.schema == pairs.schema and found.count() == 2 * 225 * 20
+    assert found.exceptAll(pairs).isEmpty() and pairs.exceptAll(found).isEmpty()
+    for cities, known in ((cities.limit(0), known), (cities, known.limit(0))):
+        assert resolve.known_venues(cities, known).isEmpty()
+
+
+def test_known_venues_take_little_disk(spark, tmp_path):
+    cities = spark.range(2000).selectExpr("id AS doc_id", "string(id % 2) AS city")
+    known = spark.range(6000).selectExpr("string(id % 2) AS subkey", "format_string('Venue#%09d', id) AS value")
+    found = resolve.known_venues(cities, known)
+    # rows leave the blocks' Generate one by one: it is no part of a generated loop that gathers all rows of a block
+    assert re.search(r"^[ :+-]*Generate explode\(transform", plan_of(found), re.MULTILINE)
+    found.write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").count() == 6_000_000
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 0.5 * 6_000_000
+
+
 def test_suggestions_of_bases_in_parts(spark):
     found = spark.createDataFrame([(1, 1, "city", None, "a"), (1, 1, "city", None, "a"), (1, 2, "city", None, "b"), (2, 9, "city", None, "c")], "doc_id long, base_id int, dict_key string, subkey string, term string")
     boxes = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (3, 1)], "doc_id long, box_id int")
